@@ -40,7 +40,7 @@ def _skippable(magic: int, content: bytes) -> bytes:
 class Writer:
     """Writes documents in the order given; close() adds index and seek table."""
 
-    def __init__(self, sink, width: int = 2, frame_tokens: int = FRAME_TOKENS, level: int = 3):
+    def __init__(self, sink, width: int = 2, frame_tokens: int = FRAME_TOKENS, level: int = 1):
         import zstandard
 
         self.sink, self.width, self.frame_tokens = sink, width, frame_tokens

@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
@@ -21,7 +22,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Pieces in each of the two generations of a worker's cache (memory only, never results).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: New pieces that the library encodes as one text.
 AT_ONCE = 2000
 #: Characters below this code point are split here; it covers the Latin blocks.
@@ -45,7 +46,7 @@ def _changes_block(c: int) -> bool:
 
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
-_ODD = "[" + "".join(re.escape(chr(c)) for c in range(LATIN_END) if _changes_block(c)) + f"\\u{LATIN_END:04x}-\U0010ffff]"
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(LATIN_END) if _changes_block(c)) + f"\\u{LATIN_END:04x}-\U0010ffff]")
 
 
 class Encoder:
@@ -77,8 +78,11 @@ class Encoder:
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         self.by_piece = bool(self.by_piece and suffix)
-        added = [re.escape(x["content"]) for x in made.get("added_tokens", [])]
-        self.odd = re.compile("|".join([_ODD, *added]))
+        self.never = [x["content"] for x in made.get("added_tokens", [])]
+
+    def _splits(self, x: str) -> bool:
+        """Whether x is split here."""
+        return self.by_piece and not any(s in x for s in self.never) and (x.isascii() or not _ODD.search(x))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -90,32 +94,22 @@ class Encoder:
             ids = np.asarray(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, stops = ids.tobytes(), (4 * ends).tolist()
-                self.known.update(zip(some, (raw[x:y] for x, y in zip([0, *stops], stops, strict=False)), strict=True))
+                raw, stops = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip(some, (raw[x:y] for x, y in pairwise(stops)), strict=True))
             else:
                 self.known.update(zip(some, self._whole(some), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, the end id included, as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        whole, seen = [], set()
-        for x in texts:
-            if not self.by_piece or self.odd.search(x):
-                split.append(None)
-                whole.append(x)
-            else:
-                split.append(_PIECE.findall(x.lower()))
-                seen.update(split[-1])
+        split = [_PIECE.findall(x.lower()) if self._splits(x) else None for x in texts]
+        seen = set().union(*(s for s in split if s))
         if len(self.known) + len(seen) > CACHE_PIECES:
             self.older, self.known = self.known, {}
-        new = []
-        for p in seen.difference(self.known):
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        self._learn(new)
-        get, rest = self.known.__getitem__, iter(self._whole(whole))
+        seen.difference_update(self.known)
+        again = seen.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(list(seen - again))
+        get, rest = self.known.__getitem__, iter(self._whole([x for x, s in zip(texts, split, strict=True) if s is None]))
         return [(next(rest) if s is None else b"".join(map(get, s))) + self.end for s in split]
 
 
