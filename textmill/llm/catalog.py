@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm.common import table
+from textmill.llm.divergence import quality_rules
 from textmill.llm.packing import pack_documents
 from textmill.llm.token_files import token_digest
 
@@ -19,8 +20,12 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_vector_packing)}
+    return {f.__name__: f for f in (op2_token_files, op5_vector_packing, op8_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
