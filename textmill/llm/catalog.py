@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
+from textmill.llm.mixing import mix
 from textmill.llm.packing import pack_documents
 from textmill.llm.token_files import token_digest
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_vector_packing, op8_divergence_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op5_vector_packing, op8_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

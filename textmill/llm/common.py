@@ -55,6 +55,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textmill.llm.common import saved, text_of
+from textmill.llm.common import saved, text_of, words_of
 
 SPACE = r"\x20\x09-\x0D"
 #: Character classes, stripped one after the other; what is left is the last bin.
@@ -43,10 +43,6 @@ class Rules:
     max_repeat_percent: int = 20
 
 
-def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
-
-
 def class_counts(text: Column) -> Column:
     """Code points of each class, as an array of longs; each class is taken from what the ones before left."""
     lengths, rest = [F.length(text)], text
