@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
+from textmill.llm.language import language_id
 from textmill.llm.mixing import mix
 from textmill.llm.packing import pack_documents
 from textmill.llm.token_files import token_digest
@@ -25,12 +26,16 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op5_vector_packing, op8_divergence_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
