@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
+from textmill.llm.html_text import html_main_text
 from textmill.llm.language import language_id
 from textmill.llm.mixing import mix
 from textmill.llm.packing import pack_documents
@@ -22,6 +23,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
