@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.llm.bytenet import quality_scores
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
 from textmill.llm.html_text import html_main_text
@@ -27,6 +28,10 @@ def op3_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
