@@ -26,6 +26,7 @@ from textmill.llm.common import saved, text_of, words_of
 
 SPACE = r"\x20\x09-\x0D"
 #: Character classes, stripped one after the other; what is left is the last bin.
+#: The second is white space, and what it leaves are the characters in words.
 CLASSES = (r"\p{Ll}+", rf"[{SPACE}]+", r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{L}+", r"\p{N}+", r"[#*$%&|<>]+")
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 5
@@ -58,8 +59,8 @@ def repeated_words(df: DataFrame) -> DataFrame:
 
     Windows are compared as 64-bit hashes.  Only texts in which two windows agree are looked at by position.
     """
-    n = F.size("_words")
-    hashes = F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+    every = F.transform("_words", lambda w, i: F.xxhash64(w, *(F.get("_words", i + k) for k in range(1, SHINGLE))))
+    hashes = F.slice(every, 1, F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(0)))
     df = df.withColumn("_h", hashes)
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     before = lambda i: F.when(i > 0, F.get("_sorted", i - 1)["h"])
@@ -135,7 +136,7 @@ def quality_rules(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     return out.select(
         F.col("_id").alias("doc_id"),
         words.alias("n_words"),
-        F.length(F.regexp_replace("_text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
+        (chars - F.get("_classes", F.lit(1))).cast("long").alias("word_chars"),
         (chars - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
