@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textmill.llm.bytenet import quality_scores
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
+from textmill.llm.forest import near_components
 from textmill.llm.html_text import html_main_text
 from textmill.llm.language import language_id
 from textmill.llm.mixing import mix
@@ -44,8 +45,12 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
