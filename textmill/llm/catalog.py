@@ -14,6 +14,7 @@ from textmill.llm.html_text import html_main_text
 from textmill.llm.language import language_id
 from textmill.llm.mixing import mix
 from textmill.llm.packing import pack_documents
+from textmill.llm.projections import near_vectors
 from textmill.llm.token_files import token_digest
 
 
@@ -45,12 +46,16 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
