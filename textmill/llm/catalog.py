@@ -14,6 +14,7 @@ from textmill.llm.html_text import html_main_text
 from textmill.llm.language import language_id
 from textmill.llm.mixing import mix
 from textmill.llm.packing import pack_documents
+from textmill.llm.passages import passage_digest
 from textmill.llm.projections import near_vectors
 from textmill.llm.token_files import token_digest
 
@@ -38,6 +39,10 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_column_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op6_column_transform, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
