@@ -138,33 +138,35 @@ def _marks(line: DataFrame, wanted: list[tuple[int, float]]) -> dict[tuple[int,
     return out
 
 
-def mix(
+def _placed(df: DataFrame, id_column: str, text_column: str, source: str | Column, seed: int) -> DataFrame:
+    """df with _id, _text_key, _size, _names (its sources, null as null) and _key (its place in the seeded order)."""
+    column = F.col(source) if isinstance(source, str) else source
+    several = dict(df.select(column.alias("s")).dtypes)["s"].startswith("array")
+    names = F.when(column.isNull() | (F.size(column) == 0), F.array(F.lit(None).cast("string"))).otherwise(column.cast("array<string>")) if several else F.array(column.cast("string"))
+    text = text_of(text_column)
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), F.xxhash64(text)), 64 - KEY_BITS)
+    return df.withColumns({"_id": F.col(id_column), "_text_key": F.xxhash64(text), "_size": F.size(words_of(text)).cast("long"), "_names": F.sort_array(F.array_distinct(names), asc=False), "_key": key})
+
+
+def _one_source(names: Column) -> Column:
+    return F.array(F.get(names, F.pmod(F.col("_key"), F.size(names)).cast("int")))
+
+
+def times(
     df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source: str | Column = "source",
     weights: Sequence[float] | dict = WEIGHTS, share: float = 1.0, repeats: int = 3, seed: int = 7,
 ) -> DataFrame:
-    """One row for each document and source it belongs to.
+    """df with one row for each row and source it belongs to, and columns _id, _text_key, _size, _source, _source_size, _target, _times.
 
-    source: a column of a name, or of an array of names (a document in several sources).  weights: by
-    source, or a cycle for the sources in code point order, null last.  Columns: doc_id, text_key
-    (hash of the text), source, size, source_size, target, taken (words, repeats counted), times.
+    Two passes over df: one for the plan, and the projection that is returned; df's columns never move.
     """
-    column = F.col(source) if isinstance(source, str) else source
-    several = dict(df.select(column.alias("s")).dtypes)["s"].startswith("array")
-    names = F.when(column.isNull() | (F.size(column) == 0), F.array(F.lit(None).cast("string"))).otherwise(column.cast("array<string>")) if several else F.array(column.cast("string"))
-    text = text_of(text_column)
-    base = df.select(
-        F.col(id_column).alias("doc_id"),
-        F.xxhash64(text).alias("text_key"),
-        F.size(words_of(text)).cast("long").alias("_size"),
-        F.sort_array(F.array_distinct(names), asc=False).alias("_names"),
-    )
-    base = base.withColumn("_key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_key"), 64 - KEY_BITS))
-    base = saved(base, "mix-documents")
+    spark = df.sparkSession
+    base = saved(_placed(df, id_column, text_column, source, seed).select("_size", "_names", "_key"), "mix-documents")
     found = base.groupBy("_names").agg(F.sum("_size").alias("n")).orderBy(F.desc("n"), "_names").limit(MAX_PATTERNS + 1).collect()
+    kept = None
     if len(found) > MAX_PATTERNS:
-        kept = df.sparkSession.createDataFrame([(r["_names"],) for r in found[:MAX_PATTERNS]], "_names array<string>")
-        one = F.array(F.get("_names", F.pmod("_key", F.size("_names")).cast("int")))
-        base = base.join(F.broadcast(kept.withColumn("_big", F.lit(True))), "_names", "left").withColumn("_names", F.when(F.col("_big"), F.col("_names")).otherwise(one)).drop("_big")
+        kept = F.broadcast(spark.createDataFrame([(r["_names"], True) for r in found[:MAX_PATTERNS]], "_names array<string>, _big boolean"))
+        base = base.join(kept, "_names", "left").withColumn("_names", F.when(F.col("_big"), F.col("_names")).otherwise(_one_source(F.col("_names")))).drop("_big")
         base = saved(base, "mix-patterns")
         found = base.groupBy("_names").agg(F.sum("_size").alias("n")).collect()
     patterns = {tuple(sorted(r["_names"], key=_order)): int(r["n"]) for r in found}
@@ -186,25 +188,45 @@ def mix(
             stretches.append((i, s, at, end, size))
             wanted |= {(i, float(x % size)) for x in (at, end) if size and x % size}
             at = end
-    ids = df.sparkSession.createDataFrame([(list(p), i) for p, i in numbers.items()] or [([], -1)], "_sorted array<string>, _p int")
-    # arrays of names with nulls: compared in the order sort_array gives
-    line = base.join(F.broadcast(ids.select(F.sort_array("_sorted", asc=False).alias("_names"), "_p")), "_names")
-    marks = _marks(line.select("_p", "_key", "_size"), sorted(wanted))
+    ids = spark.createDataFrame([(list(p), i) for p, i in numbers.items()] or [([], -1)], "_sorted array<string>, _p int")
+    # sets of names in the order that sort_array gives
+    ids = F.broadcast(ids.select(F.sort_array("_sorted", asc=False).alias("_names"), "_p"))
+    marks = _marks(base.join(ids, "_names").select("_p", "_key", "_size"), sorted(wanted))
     plan = []
     for i, s, at, end, size in stretches:
         # the stretch, pass by pass: whole passes, and runs of keys
-        times, runs = 0, []
+        whole, runs = 0, []
         if size and end > at:
             cuts = [at, *range((at // size + 1) * size, end, size), end]
             for a, b in pairwise(cuts):
                 low = marks[i, float(a % size)] if a % size else 0
                 high = marks[i, float(b % size)] if b % size else 1 << KEY_BITS
                 if (low, high) == (0, 1 << KEY_BITS):
-                    times += 1
+                    whole += 1
                 elif low < high:
                     runs.append((low, high))
-        plan.append((i, s, sizes[s], float(targets[s]), times, runs))
-    rows = df.sparkSession.createDataFrame(plan or [(-1, None, 0, 0.0, 0, [])], "_p int, source string, source_size long, target double, _times int, _runs array<struct<low:long,high:long>>")
-    out = line.join(F.broadcast(rows), "_p")
-    times = F.when(F.col("_size") > 0, F.col("_times") + F.size(F.filter("_runs", lambda r: (F.col("_key") >= r["low"]) & (F.col("_key") < r["high"])))).otherwise(0)
-    return out.select("doc_id", "text_key", "source", F.col("_size").alias("size"), "source_size", "target", (times * F.col("_size")).cast("long").alias("taken"), times.cast("int").alias("times"))
+        plan.append((i, s, sizes[s], float(targets[s]), whole, runs))
+    rows = spark.createDataFrame(plan or [(-1, None, 0, 0.0, 0, [])], "_p int, _source string, _source_size long, _target double, _whole int, _runs array<struct<low:long,high:long>>")
+    out = _placed(df, id_column, text_column, source, seed)
+    if kept is not None:
+        out = out.join(kept, "_names", "left").withColumn("_names", F.when(F.col("_big"), F.col("_names")).otherwise(_one_source(F.col("_names")))).drop("_big")
+    out = out.join(ids, "_names").join(F.broadcast(rows), "_p")
+    count = F.when(F.col("_size") > 0, F.col("_whole") + F.size(F.filter("_runs", lambda r: (F.col("_key") >= r["low"]) & (F.col("_key") < r["high"])))).otherwise(0)
+    return out.withColumn("_times", count.cast("int")).drop("_p", "_names", "_key", "_whole", "_runs")
+
+
+def mix(df: DataFrame, **options) -> DataFrame:
+    """One row for each document and source it belongs to; options as for `times`.
+
+    source: a column of a name, or of an array of names (a document in several sources).  weights: by
+    source, or a cycle for the sources in code point order, null last.  Columns: doc_id, text_key
+    (hash of the text), source, size, source_size, target, taken (words, repeats counted), times.
+    """
+    out = times(df, **options)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_text_key").alias("text_key"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).cast("long").alias("taken"), F.col("_times").alias("times"))
+
+
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """The mix itself: df's rows, each as often as it is taken."""
+    out = times(df, **options).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
