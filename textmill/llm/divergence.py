@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A language's reference is a pair of histograms over all its documents: character classes, and its
-most common words with one bin for all other words.  A document is compared with the reference of
+A language's reference is a pair of histograms over all its documents: classes of characters in words,
+and its most common words with one bin for all other words.  A document is compared with the reference of
 its `lang` by the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1), and fails
 if either distance is over its threshold.  Guards: a histogram of fewer characters or words than the
 minimum isn't judged, and a language with fewer documents than the minimum, or none, has the pooled
@@ -85,19 +85,19 @@ def references(df: DataFrame, rules: Rules) -> DataFrame:
     df: _text, _lang.
     """
     size, classes = rules.common_words, len(CLASSES) + 1
-    counts = df.select("_lang", class_counts(F.col("_text")).alias("c"))
-    sums = counts.groupBy("_lang").agg(F.count("*").alias("docs"), *(F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(classes)))
-    sums = saved(sums, "class-sums")
-    total = lambda d: [F.sum("docs").alias("docs"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(classes))]
-    own = sums.filter(F.col("_lang").isNotNull() & (F.col("docs") >= rules.min_docs))
-    chars = own.unionByName(sums.groupBy().agg(*total(sums)).withColumn("_lang", F.lit(None).cast("string"))).filter("docs > 0")
+    words = df.select("_lang", F.explode(words_of(F.col("_text"))).alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
+    words = saved(words, "word-counts")
+    # the words' characters are the texts' characters, so the texts needn't be read again for them
+    counts = words.select("_lang", "n", class_counts(F.col("w")).alias("c"))
+    sums = saved(counts.groupBy("_lang").agg(*(F.sum(F.get("c", F.lit(k)) * F.col("n")).alias(f"c{k}") for k in range(classes))), "class-sums")
+    docs = saved(df.groupBy("_lang").agg(F.count("*").alias("docs")), "language-sizes")
+    known = F.broadcast(docs.filter(F.col("_lang").isNotNull() & (F.col("docs") >= rules.min_docs)).select("_lang"))
     every = sum((F.col(f"c{k}") for k in range(classes)), F.lit(0))
+    pooled = sums.groupBy().agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(classes))).withColumn("_lang", F.lit(None).cast("string"))
+    chars = sums.join(known, "_lang", "left_semi").unionByName(pooled).filter(F.col("c0").isNotNull())
     chars = chars.select("_lang", F.array(*(F.col(f"c{k}") / F.greatest(every, F.lit(1)) for k in range(classes))).alias("_class_share"))
-
-    words = df.select("_lang", F.explode(words_of(F.lower("_text"))).alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
-    words = saved(words, "word-counts")
-    known = F.broadcast(own.select("_lang"))
-    by_lang = words.join(known, "_lang", "left_semi").unionByName(words.groupBy("w").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit(None).cast("string")))
+    lower = words.groupBy("_lang", F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
+    by_lang = lower.join(known, "_lang", "left_semi").unionByName(lower.groupBy("w").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit(None).cast("string")))
     # a language's words meet in one group only after each of many slices has kept its own most common ones
     slices = W.partitionBy("_lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("n"), "w")
     best = by_lang.withColumn("r", F.row_number().over(slices)).filter(F.col("r") <= size).drop("r")
@@ -128,7 +128,8 @@ def quality_rules(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     n, chars = F.size("_words"), F.length("_text")
     counted = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: (F.size("_places") - F.size(F.array_remove("_places", k))) / n)
     out = out.withColumn("_word_bins", F.concat(counted, F.array((n - F.size("_places")) / n)))
-    out = out.withColumn("_class_bins", F.transform("_classes", lambda c: c / chars))
+    in_words = chars - F.get("_classes", F.lit(1))
+    out = out.withColumn("_class_bins", F.transform("_classes", lambda c, i: F.when(i == 1, 0.0).otherwise(c / in_words)))
     far_words = (n >= rules.min_words) & (_distance(F.col("_word_bins"), F.col("_model._word_share")) > rules.max_word_distance)
     far_chars = (chars >= rules.min_chars) & (_distance(F.col("_class_bins"), F.col("_model._class_share")) > rules.max_class_distance)
     words = n.cast("long")
@@ -136,7 +137,7 @@ def quality_rules(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     return out.select(
         F.col("_id").alias("doc_id"),
         words.alias("n_words"),
-        (chars - F.get("_classes", F.lit(1))).cast("long").alias("word_chars"),
+        in_words.cast("long").alias("word_chars"),
         (chars - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
