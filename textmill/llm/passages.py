@@ -167,13 +167,23 @@ def columns(texts: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarr
 
 def _docs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = text_of(text_column)
-    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("v"), text.alias("text"))
+    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("v"), text.alias("text"))
 
 
 def _bytes(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer() if x.is_valid else b"", np.uint8)
 
 
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage as `saved` does; tables of equal buckets of (doc, v) are joined without a shuffle."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = "textmill_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "doc", "v").option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -190,23 +200,18 @@ def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in out.items()})
                     held, count = [], 0
 
-    return docs.mapInArrow(run, "h long, doc long, v long, pos int" if placed else "h long")
+    return docs.mapInArrow(run, "h long, doc long, v int, pos int" if placed else "h long")
 
 
 def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings(), with_kept: bool = False) -> DataFrame:
     """doc, v, n_removed, n_spans, kept_sha256 (and kept bytes) of the documents that lose bytes; doc and v as in `document_keys`."""
     s = settings
-    spark = df.sparkSession
     back = s.length - s.gram
     docs = _docs(df, id_column, text_column)
     long_ = docs.filter(F.octet_length("text") >= s.length)
-    repeated = _anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h")
+    repeated = saved(_anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors")
     places = _anchor_rows(long_, s, True).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch(spark, "repeating-texts")
-    name = "textmill_" + path.rsplit("-", 1)[1]
-    long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]).write.bucketBy(buckets, "doc", "v").option("path", path).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts")
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -216,11 +221,11 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                 h, x = context_hashes(_bytes(text), at, s)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "x": x.view(np.int64), "doc": np.repeat(doc[i], len(at)), "v": np.repeat(v[i], len(at)), "pos": at.astype(np.int32)})
 
-    classes = texts.select("doc", "v", "text", "places").mapInArrow(contexts, "h long, x long, doc long, v long, pos int")
+    classes = texts.select("doc", "v", "text", "places").mapInArrow(contexts, "h long, x long, doc long, v int, pos int")
     classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts")
     several = classes.groupBy("h").count().filter("count > 1")
     firsts = classes.join(several, "h", "left").select("doc", "v", F.struct("pos", "h", F.coalesce("count", F.lit(1)).alias("n")).alias("f"))
-    firsts = saved(firsts.groupBy("doc", "v").agg(F.collect_list("f").alias("firsts")), "first-contexts")
+    firsts = _bucketed(firsts.groupBy("doc", "v").agg(F.collect_list("f").alias("firsts")), "first-contexts")
     width = back + s.length
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +243,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                         "salt": pa.array(hot, pa.int32()),
                         "split": pa.array([f["n"] > s.most_contexts for f in rows]),
                         "doc": pa.array([doc] * len(rows), pa.int64()),
-                        "v": pa.array([v] * len(rows), pa.int64()),
+                        "v": pa.array([v] * len(rows), pa.int32()),
                         "pos": pa.array([f["pos"] for f in rows], pa.int32()),
                         "text": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
                     }
@@ -271,7 +276,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                         if not found[i, j]:
                             at = j - int(low[i])
                             add(r, r[5] - back + j, r[5] - back + j + s.length, hashlib.blake2b(r[6][at : at + s.length], digest_size=16).digest())
-            kinds = {"doc": pa.int64(), "v": pa.int64(), "begin": pa.int64(), "end": pa.int64(), "digest": pa.binary()}
+            kinds = {"doc": pa.int64(), "v": pa.int32(), "begin": pa.int64(), "end": pa.int64(), "digest": pa.binary()}
             return pa.RecordBatch.from_pydict({k: pa.array(x, kinds[k]) for k, x in out.items()})
 
         last, rows = None, []
@@ -285,9 +290,9 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
         if rows:
             yield done(rows)
 
-    schema = "h long, salt int, split boolean, doc long, v long, pos int, text binary"
+    schema = "h long, salt int, split boolean, doc long, v int, pos int, text binary"
     cut_ = texts.select("doc", "v", "text").join(firsts, ["doc", "v"]).select("doc", "v", "text", "firsts").mapInArrow(cut, schema)
-    found = cut_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(transform, "doc long, v long, begin long, end long, digest binary")
+    found = cut_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(transform, "doc long, v int, begin long, end long, digest binary")
     found = saved(found, "repeats")
     split = found.filter("digest IS NOT NULL")
     least = split.groupBy("digest").agg(F.min(F.struct("doc", "v", "begin")).alias("least"))
@@ -315,17 +320,17 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 for k, value in zip(out, (doc, v, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     out[k].append(value)
-            yield pa.RecordBatch.from_pydict({k: pa.array(x, pa.string() if k == "kept_sha256" else pa.binary() if k == "kept" else pa.int64()) for k, x in out.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(x, {"kept_sha256": pa.string(), "kept": pa.binary(), "v": pa.int32()}.get(k, pa.int64())) for k, x in out.items()})
 
     joined = texts.select("doc", "v", "text", "places").join(firsts, ["doc", "v"], "left").join(every, ["doc", "v"], "left").select("doc", "v", "text", "places", "firsts", "stretches")
-    return joined.mapInArrow(remove, "doc long, v long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
+    return joined.mapInArrow(remove, "doc long, v int, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
 
 
 def passage_digest(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
     lost = repeated_stretches(df, id_column=id_column, text_column=text_column, settings=settings)
     text = text_of(text_column)
-    rows = df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("v"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_whole"))
+    rows = df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("v"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_whole"))
     out = rows.join(lost, ["doc", "v"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
@@ -339,7 +344,7 @@ def without_repeats(df: DataFrame, *, id_column: str = "doc_id", text_column: st
         for part in parts:
             yield pa.RecordBatch.from_pydict({"doc": part.column(0), "v": part.column(1), "_kept": pa.array([x.decode("utf-8", "ignore") for x in part.column(2).to_pylist()], pa.string())})
 
-    kept = lost.select("doc", "v", "kept").mapInArrow(decode, "doc long, v long, _kept string").withColumnsRenamed({"doc": "_doc", "v": "_v"})
+    kept = lost.select("doc", "v", "kept").mapInArrow(decode, "doc long, v int, _kept string").withColumnsRenamed({"doc": "_doc", "v": "_v"})
     text = text_of(text_column)
-    rows = df.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)), "_v": F.xxhash64(text)})
+    rows = df.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)), "_v": F.hash(text)})
     return rows.join(kept, ["_doc", "_v"], "left").withColumn(text_column, F.coalesce("_kept", F.col(text_column))).drop("_doc", "_v", "_kept")
