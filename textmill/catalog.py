@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from textmill.queries import base
+
+MODULES = ("corpus", "training")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"textmill.queries.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(base.SQL)
