@@ -6,7 +6,7 @@ import importlib
 
 from textmill.queries import base
 
-MODULES = ("corpus", "training")
+MODULES = ("corpus", "training", "evaluation")
 
 
 def _load() -> None:
