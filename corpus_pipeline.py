@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textmill.llm.common import saved, table
 from textmill.llm.forest import Settings as Near
 from textmill.llm.forest import near_components
-from textmill.llm.language import UNKNOWN, identify, learn
+from textmill.llm.language import identify, learn
 from textmill.llm.mixing import mixed
 from textmill.llm.packing import pack_documents
 from textmill.llm.passages import without_repeats
@@ -25,9 +25,7 @@ LEAST_COVERAGE = 0.05
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, null texts, and texts hardly any of whose n-grams a learned language has."""
-    told = identify(docs, learn(docs), into="_language")
-    good = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.coverage") >= LEAST_COVERAGE)
-    return told.filter(good).select(*docs.columns)
+    return identify(docs, learn(docs), least_coverage=LEAST_COVERAGE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

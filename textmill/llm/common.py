@@ -8,9 +8,12 @@ schema.  A null text counts as the empty text.  Rows that repeat are kept as row
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +76,22 @@ def open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
+
+
+#: What a worker process holds beyond a task, by owner, with the function that frees it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task's Python code: what other operators left in this worker process is freed."""
+    others = [x for x in _held if x != owner]
+    for x in others:
+        _held.pop(x)()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: it keeps what it keeps
+    if release:
+        _held[owner] = release

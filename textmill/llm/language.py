@@ -16,14 +16,16 @@ rows aren't learned; without any language all texts are `und`.  Empty table: emp
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textmill.llm.common import learnable, text_of
+from textmill.llm.common import claim, learnable, text_of
 
 #: Odd multipliers for the hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -38,6 +40,7 @@ class Settings:
     hashes: int = 3
     sample_docs: int = 300
     min_docs: int = 5
+    max_languages: int = 1024  # the most frequent ones
     least_count: int = 2
     least_ratio: float = 0.2  # of the n-gram's highest frequency in any language; less is foreign matter
 
@@ -128,29 +131,48 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
 
 
 def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", settings: Settings = Settings()) -> Model:
-    """Fits on learnable rows; a hash below a language's own threshold chooses its sample, so no row moves but the chosen."""
+    """Fits on learnable rows: a hash below a language's own threshold chooses its sample; only the sample's texts move."""
     rows = df.filter(learnable(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.select(F.col(lang_column).cast("string").alias("_lang"), text_of(text_column).alias("_text"), F.pmod(F.xxhash64(F.col(id_column), F.lit(17)), F.lit(1 << 30)).alias("_u"))
     counts = rows.groupBy("_lang").count().filter(F.col("count") >= settings.min_docs)
-    chosen = rows.join(counts, "_lang").filter(F.col("_u") < F.lit(float(1 << 30)) * settings.sample_docs / F.col("count"))
+    known = counts.orderBy(F.desc("count"), "_lang").limit(settings.max_languages).collect()
+    limits = df.sparkSession.createDataFrame([(r["_lang"], settings.sample_docs / r["count"] * (1 << 30)) for r in known], "_lang string, _limit double")
     samples: dict[str, list[str]] = {}
-    for r in chosen.select("_lang", "_text").collect():
+    for r in rows.join(F.broadcast(limits), "_lang").filter(F.col("_u") < F.col("_limit")).select("_lang", "_text").collect():
         samples.setdefault(r["_lang"], []).append(r["_text"])
     return fit(samples, settings)
 
 
-def identify(df: DataFrame, model: Model, text_column: str = "text", into: str = "_language") -> DataFrame:
-    """df with one more column: a struct of lang_pred, score and coverage."""
+#: Columns that `identify` adds.
+ADDED = "_lang_pred string, _score double, _coverage double"
+
+
+def identify(df: DataFrame, model: Model, text_column: str = "text", *, keep_text: bool = True, least_coverage: float | None = None) -> DataFrame:
+    """df with _lang_pred, _score and _coverage (and without its text column, if that isn't to be kept).
+
+    With least_coverage, rows of an unknown language or of less coverage are left out.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = df.columns
+    at = names.index(text_column)
+    kept = [i for i in range(len(names)) if keep_text or i != at]
+    schema = T.StructType([df.schema.fields[i] for i in kept] + T._parse_datatype_string(ADDED).fields)
 
-    @F.pandas_udf("lang_pred string, score double, coverage double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([predict(shared.value, x) for x in texts], columns=["lang_pred", "score", "coverage"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
+        for part in parts:
+            found = [predict(shared.value, x.as_py()) for x in part.column(at)]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *columns], names=schema.names)
+            if least_coverage is not None:
+                out = out.filter(pa.array([f[0] != UNKNOWN and f[2] >= least_coverage for f in found], pa.bool_()))
+            yield out
 
-    return df.withColumn(into, run(F.col(text_column).cast("string")))
+    return df.mapInArrow(run, schema)
 
 
 def language_id(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", settings: Settings = Settings()) -> DataFrame:
     model = learn(df, id_column=id_column, text_column=text_column, lang_column=lang_column, settings=settings)
-    docs = df.select(F.col(id_column).alias("doc_id"), (~learnable(id_column)).alias("held_out"), F.col(text_column).alias("_text"))
-    return identify(docs, model, "_text").select("doc_id", "held_out", "_language.lang_pred", "_language.score", "_language.coverage")
+    docs = df.select(F.col(id_column).alias("doc_id"), (~learnable(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("_text"))
+    out = identify(docs, model, "_text", keep_text=False)
+    return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_coverage").alias("coverage"))

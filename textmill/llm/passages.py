@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import saved, scratch, text_of
+from textmill.llm.common import claim, saved, scratch, text_of
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def _bucketed(df: DataFrame, name: str) -> DataFrame:
 
 def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages")
         for part in parts:
             doc, v = (part.column(k).to_numpy() for k in range(2))
             texts, held, count = part.column(2), [], 0

@@ -10,6 +10,7 @@ the library whole; the result is the same either way (tests compare the two).
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -17,6 +18,8 @@ from itertools import pairwise
 
 import numpy as np
 
+from textmill.llm.common import claim
+
 #: The pipeline of the tokenizer kind that can be split into independent pieces.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -114,14 +117,17 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, end_id: int | None = None) -> Encoder:
-    """One per worker process and tokenizer."""
-    import os
-
+def _made(path: str, end_id: int | None) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, end_id)
 
 
+def encoder(path: str, end_id: int | None = None) -> Encoder:
+    """One per worker process and tokenizer."""
+    claim("tokens", _made.cache_clear)
+    return _made(path, end_id)
+
+
 def batches(texts, most_bytes: int = 4 << 20):
     """Runs of consecutive (index range) texts of about most_bytes, so that memory is bounded by one long text."""
     begin = held = 0
