@@ -262,5 +262,6 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ext_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: tumbling windows over the events' stream."""
-    out = flows.counted_windows(_event_files(spark, sf_dir), at="ts", kind="event_type", size="1 hour")
+    events = _event_files(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = flows.counted_windows(events, at="ts", kind="event_type", size="1 hour")
     return flows.drained(out, "textmill_stream_windows", "update")
