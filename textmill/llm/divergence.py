@@ -38,8 +38,8 @@ class Rules:
     min_docs: int = 20
     min_chars: int = 100
     min_words: int = 50
-    max_class_distance: float = 0.2
-    max_word_distance: float = 0.36
+    max_class_distance: float = 0.3
+    max_word_distance: float = 0.42
     min_words_base: int = 10
     max_repeat_percent: int = 20
 
