@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.llm import sql
 from textmill.llm.bytenet import quality_scores
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_column_transform": sql.OP6, "op8_divergence_rules": sql.OP8, "op9_sorted_projections": sql.OP9, "op10_lsh_forest": sql.OP10}
