@@ -55,7 +55,7 @@ def test_columns(symbols):
     for i in range(20, 50):
         x[i, r.integers(0, m)] = 999
     rank, low, high = r.permutation(n), r.integers(0, 4, n), r.integers(m - 4, m + 1, n)
-    got = columns(x, rank, low, high, length)
+    got = columns(np.ascontiguousarray(x.T), rank, low, high, length).T
     for j in range(m - length + 1):
         for i in range(n):
             earlier = any(rank[k] < rank[i] and (x[k, j : j + length] == x[i, j : j + length]).all() for k in range(n))

@@ -139,29 +139,29 @@ def context_hashes(data: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.nd
 def columns(texts: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """Which strings of `length` columns also stand in a document of smaller rank, at the same column.
 
-    texts: documents x columns, symbols; document i has columns [low[i], high[i]).  The transform is
-    built from the last column to the first.
+    texts: columns x documents, symbols; document i has columns [low[i], high[i]).  The transform is
+    built from the last column to the first.  Returns first columns x documents.
     """
-    n, m = texts.shape
-    order, common = np.arange(n), np.zeros(n, np.int32)  # common[i]: symbols that order[i - 1] and order[i] share from here on
-    out = np.zeros((n, m - length + 1), bool)
+    m, n = texts.shape
+    order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)  # common[i]: symbols that order[i - 1] and order[i] share from here on
+    out = np.zeros((m - length + 1, n), bool)
     for j in range(m - 1, -1, -1):
-        symbols = texts[order, j]  # the transform's column: what stands before each suffix, in suffix order
+        symbols = texts[j][order]  # the transform's column: what stands before each suffix, in suffix order
         move = np.argsort(symbols, kind="stable")
         sorted_ = symbols[move]
         same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
-        after = np.zeros(n, np.int32)
+        after = np.zeros(n, np.int16)
         if len(same):
             pairs = np.empty(2 * len(same), np.int64)
             pairs[::2], pairs[1::2] = move[same] + 1, move[same + 1] + 1
-            after[same + 1] = np.minimum.reduceat(np.append(common, np.int32(0)), pairs)[::2] + 1
+            after[same + 1] = np.minimum.reduceat(np.append(common, np.int16(0)), pairs)[::2] + 1
         order, common = order[move], after
         if j <= m - length:
             starts = np.flatnonzero(common < length)
             ranks = rank[order]
             first = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, n)))
             fits = (low[order] <= j) & (j + length <= high[order])
-            out[order, j] = (ranks > first) & fits
+            out[j, order] = (ranks > first) & fits
     return out
 
 
@@ -174,13 +174,13 @@ def _bytes(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer() if x.is_valid else b"", np.uint8)
 
 
-def _bucketed(df: DataFrame, name: str) -> DataFrame:
+def _bucketed(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cuts lineage as `saved` does; tables of equal buckets of (doc, v) are joined without a shuffle."""
     spark = df.sparkSession
     path = scratch(spark, name)
     table = "textmill_" + path.rsplit("-", 1)[1]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, "doc", "v").option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(buckets, "doc", "v").options(path=path, **options).saveAsTable(table)
     return spark.table(table)
 
 
@@ -212,7 +212,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
     long_ = docs.filter(F.octet_length("text") >= s.length)
     repeated = saved(_anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors")
     places = _anchor_rows(long_, s, True).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts")
+    texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -251,45 +251,54 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                 )
 
     def transform(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            n = len(rows)
-            x, low, high = np.full((n, width), 256, np.uint16), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, r in enumerate(rows):
-                low[i] = back - min(back, r[5])
-                high[i] = low[i] + len(r[6])
-                x[i, low[i] : high[i]] = np.frombuffer(r[6], np.uint8)
-            rank = np.empty(n, np.int64)
-            rank[sorted(range(n), key=lambda i: rows[i][3:6])] = np.arange(n)
+        def done(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(block).combine_chunks()
+            split, doc, v, pos = (table.column(k).to_numpy() for k in ("split", "doc", "v", "pos"))
+            text = table.column("text").chunk(0)
+            ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            raw = np.frombuffer(text.buffers()[2], np.uint8)
+            n = len(doc)
+            low = back - np.minimum(back, pos.astype(np.int64))
+            high = low + np.diff(ends)
+            x = np.full((width, n), 256, np.uint16)
+            for i in range(n):
+                x[low[i] : high[i], i] = raw[ends[i] : ends[i + 1]]
+            rank = np.empty(n, np.int32)
+            rank[np.lexsort((pos, v, doc))] = np.arange(n, dtype=np.int32)
             found = columns(x, rank, low, high, s.length)
-            out: dict[str, list] = {"doc": [], "v": [], "begin": [], "end": [], "digest": []}
+            # runs of repeated strings of a document become one stretch
+            edge = np.zeros((1, n), bool)
+            begins, stops = np.argwhere(found & ~np.concatenate([edge, found[:-1]])), np.argwhere(found & ~np.concatenate([found[1:], edge]))
+            begins, stops = begins[np.lexsort((begins[:, 0], begins[:, 1]))], stops[np.lexsort((stops[:, 0], stops[:, 1]))]
+            who, first, last = begins[:, 1], begins[:, 0], stops[:, 0]
+            digests: list[bytes | None] = [None] * len(who)
+            if split.any():  # first in its split: the other splits may hold the string too
+                at = np.arange(len(found))[:, None]
+                open_ = np.argwhere(~found & split & (low <= at) & (at + s.length <= high))
+                who, first, last = (np.concatenate([a, b]) for a, b in ((who, open_[:, 1]), (first, open_[:, 0]), (last, open_[:, 0])))
+                digests += [hashlib.blake2b(x[j : j + s.length, i].astype(np.uint8).tobytes(), digest_size=16).digest() for j, i in open_.tolist()]
+            start = pos[who].astype(np.int64) - back
+            return pa.RecordBatch.from_pydict({"doc": doc[who], "v": v[who], "begin": start + first, "end": start + last + s.length, "digest": pa.array(digests, pa.binary())})
 
-            def add(r: tuple, begin: int, end: int, digest: bytes | None) -> None:
-                for k, value in zip(out, (r[3], r[4], begin, end, digest), strict=True):
-                    out[k].append(value)
-
-            edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            for sign, other in zip(np.argwhere(edges == 1), np.argwhere(edges == -1), strict=True):
-                r, start = rows[sign[0]], rows[sign[0]][5] - back
-                add(r, start + int(sign[1]), start + int(other[1]) - 1 + s.length, None)
-            for i, r in enumerate(rows):
-                if r[2]:  # first in its split: the other splits may hold the string too
-                    for j in range(int(low[i]), int(high[i]) - s.length + 1):
-                        if not found[i, j]:
-                            at = j - int(low[i])
-                            add(r, r[5] - back + j, r[5] - back + j + s.length, hashlib.blake2b(r[6][at : at + s.length], digest_size=16).digest())
-            kinds = {"doc": pa.int64(), "v": pa.int32(), "begin": pa.int64(), "end": pa.int64(), "digest": pa.binary()}
-            return pa.RecordBatch.from_pydict({k: pa.array(x, kinds[k]) for k, x in out.items()})
-
-        last, rows = None, []
+        claim("passages")
+        last, block, held = None, [], 0
         for part in parts:
-            for r in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if r[:2] != last and len(rows) >= s.block:
-                    yield done(rows)
-                    rows = []
-                last = r[:2]
-                rows.append(r)
-        if rows:
-            yield done(rows)
+            keys = np.stack([part.column("h").to_numpy(), part.column("salt").to_numpy().astype(np.int64)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            begin = 0
+            for cut in cuts[:-1]:  # units begin here
+                if held + cut - begin >= s.block and tuple(keys[cut]) != last:
+                    if cut > begin:
+                        block.append(part.slice(begin, cut - begin))
+                    if block:
+                        yield done(block)
+                    block, held, begin = [], 0, cut
+                last = tuple(keys[cut])
+            if len(keys) > begin:
+                block.append(part.slice(begin))
+                held += len(keys) - begin
+        if block:
+            yield done(block)
 
     schema = "h long, salt int, split boolean, doc long, v int, pos int, text binary"
     cut_ = texts.select("doc", "v", "text").join(firsts, ["doc", "v"]).select("doc", "v", "text", "firsts").mapInArrow(cut, schema)
