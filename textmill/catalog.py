@@ -6,7 +6,7 @@ import importlib
 
 from textmill.queries import base
 
-MODULES = ("corpus", "training", "evaluation")
+MODULES = ("corpus", "training", "evaluation", "various")
 
 
 def _load() -> None:

@@ -81,3 +81,13 @@ def throughput(tokens: Column, seconds: Column) -> Column:
 
 def reward(passed: Column, total: Column) -> Column:
     return F.when(total <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), passed / total)))
+
+
+def divides(batch: Column, accumulate: Column, world: Column, generations: Column) -> Column:
+    """Whether a global batch splits into whole groups of generations."""
+    return (batch * accumulate * world) % generations == 0
+
+
+def rows_within(rows: Column, target: Column) -> Column:
+    """How many rows of a loaded table count: all there are, up to the target; the target where nothing is known."""
+    return F.coalesce(F.least(rows, target), target)

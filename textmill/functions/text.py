@@ -135,3 +135,42 @@ def blake2s_32(x: Column | str) -> Column:
         return values.map(lambda v: None if v is None else int.from_bytes(hashlib.blake2s(v.encode(), digest_size=4).digest(), "big")).astype("Int64")
 
     return F.pandas_udf(run, "long")(col(x))
+
+
+def repository_parts(url: Column | str) -> Column:
+    """struct(repo, revision, file) of a file's URL in a model repository: host/owner/name/(resolve|blob)/revision/path."""
+    parts = F.split(F.regexp_replace(F.parse_url(col(url), F.lit("PATH")), "^/", ""), "/")
+    at = F.when(F.get(parts, F.lit(2)).isin("resolve", "blob"), 2)
+    return F.when(
+        at.isNotNull() & (F.size(parts) > 4),
+        F.struct(F.concat_ws("/", F.slice(parts, 1, 2)).alias("repo"), F.get(parts, F.lit(3)).alias("revision"), F.url_decode(F.array_join(F.slice(parts, 5, F.greatest(F.size(parts) - 4, F.lit(1))), "/")).alias("file")),
+    )
+
+
+def unfenced(x: Column | str) -> Column:
+    """Text without the code fence around it."""
+    text = strip(col(x))
+    rows = lines(text)
+    rows = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+    rows = F.when(strip(F.element_at(F.concat(F.array(F.lit("")), rows), -1)).startswith("```"), F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
+    return F.when(text.startswith("```"), strip(F.array_join(rows, "\n"))).otherwise(text)
+
+
+#: The modes of token files and their numbers.
+MODES = {"standard": 0, "fim_psm": 1, "fim_spm": 2}
+
+
+def mode_number(name: Column | str) -> Column:
+    """A mode's number by the beginning of a file's name; other names are standard."""
+    out = F.lit(MODES["standard"])
+    for mode, n in MODES.items():
+        out = F.when(col(name).startswith(mode), n).otherwise(out)
+    return out
+
+
+def mode_name(number: Column | str) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, MODES)), col(number).cast("int")), F.lit("standard"))
+
+
+def digest(content: Column | str) -> Column:
+    return F.sha2(col(content).cast("binary"), 256)

@@ -133,3 +133,24 @@ def ranked_files(files: DataFrame, preferred: str) -> DataFrame:
     """Candidate files: the preferred name first, then .safetensors, then by name; adds `place`."""
     order = W.orderBy((F.col("name") == preferred).desc(), F.col("name").endswith(".safetensors").desc(), "name")
     return files.withColumn("place", F.row_number().over(order))
+
+
+def validation_mean(batches: DataFrame, first: int, *, order: str, loss: str) -> DataFrame:
+    """The mean loss of the first batches (a top-k report)."""
+    return batches.orderBy(order).limit(first).agg(F.avg(loss).alias("mean"), F.count("*").alias("n"))
+
+
+def key_names(rows: DataFrame, column: str) -> DataFrame:
+    """All keys of a map column, sorted; for diagnostics of sources that give no document."""
+    return rows.select(F.explode(F.map_keys(column)).alias("k")).agg(F.array_sort(F.collect_set("k")).alias("names"))
+
+
+def passed_by_position(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """Pairs candidates with references by task number and counts those that pass: task_no, n, passed."""
+    joined = candidates.join(references, "task_no")
+    return joined.groupBy("task_no").agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("expected")).alias("passed"))
+
+
+def same_keys(a: Column, b: Column) -> Column:
+    """Whether two maps have the same keys."""
+    return (F.size(F.array_except(F.map_keys(a), F.map_keys(b))) == 0) & (F.size(F.array_except(F.map_keys(b), F.map_keys(a))) == 0)

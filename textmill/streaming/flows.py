@@ -76,3 +76,24 @@ def drained(stream: DataFrame, table: str, mode: str = "append", checkpoint: str
 def counted_windows(events: DataFrame, *, at: str, kind: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Extension: events of each kind by tumbling window, with a watermark."""
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+class Stalled(RuntimeError):
+    """A stream made no progress for too long."""
+
+
+def await_progress(query, longest_s: float = 300.0, poll_s: float = 1.0) -> None:
+    """Waits for a query to end; Stalled if it handles no row for longest_s."""
+    import time
+
+    last, since = -1, time.monotonic()
+    while query.isActive:
+        if query.awaitTermination(poll_s):
+            return
+        progress = query.lastProgress
+        batch = progress["batchId"] if progress and progress["numInputRows"] else last
+        if batch != last:
+            last, since = batch, time.monotonic()
+        elif time.monotonic() - since > longest_s:
+            query.stop()
+            raise Stalled(f"no row for {longest_s} s")
