@@ -68,10 +68,11 @@ def brute(rows, words, percent):
     return sets, union(pairs, ids)
 
 
-SMALL = forest.Settings(region=4, together=6, first_depth=2)
+SMALL = forest.Settings(region=4, together=6, shingles=900)
+REGIONS = forest.Settings(region=6, together=6, most_blocks=1)
 
 
-@pytest.mark.parametrize("settings", [forest.Settings(), forest.Settings(words=5, percent=80), SMALL])
+@pytest.mark.parametrize("settings", [forest.Settings(), forest.Settings(words=5, percent=80), SMALL, REGIONS])
 def test_documents(documents, corpus, nothing, settings):
     got = forest.near_components(documents, settings=settings).collect()
     sets, want = brute([(i, t) for i, t, *_ in corpus if i is not None], settings.words, settings.percent)
@@ -96,10 +97,10 @@ def test_a_large_group(spark):
         rows.append((i, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     _, want = brute(rows, 3, 85)
-    for settings in (forest.Settings(), forest.Settings(region=40), forest.Settings(region=40, together=60)):
+    for settings in (forest.Settings(), forest.Settings(region=40), forest.Settings(together=40, shingles=3000), forest.Settings(region=40, together=60, most_blocks=1)):
         got = {x["doc_id"]: x["component_id"] for x in forest.near_components(d, settings=settings).collect()}
         wrong = [i for i in want if got[i] != want[i]]
-        assert len(wrong) <= (0 if settings.together > 150 else 3)
+        assert len(wrong) <= (0 if settings.most_blocks > 1 else 3)
 
 
 def vectors(n=300):

@@ -39,6 +39,7 @@ class Settings:
     row_bits: int = 20
     hashes: int = 3
     sample_docs: int = 300
+    sample_bytes: int = 50_000  # longer texts are not learned from
     min_docs: int = 5
     max_languages: int = 1024  # the most frequent ones
     least_count: int = 2
@@ -138,7 +139,7 @@ def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     known = counts.orderBy(F.desc("count"), "_lang").limit(settings.max_languages).collect()
     limits = df.sparkSession.createDataFrame([(r["_lang"], settings.sample_docs / r["count"] * (1 << 30)) for r in known], "_lang string, _limit double")
     samples: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(limits), "_lang").filter(F.col("_u") < F.col("_limit")).select("_lang", "_text").collect():
+    for r in rows.join(F.broadcast(limits), "_lang").filter((F.col("_u") < F.col("_limit")) & (F.octet_length("_text") <= settings.sample_bytes)).select("_lang", "_text").collect():
         samples.setdefault(r["_lang"], []).append(r["_text"])
     return fit(samples, settings)
 
