@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,7 +67,13 @@ def committed_once(root: str, name: str = "batches") -> Callable[[DataFrame, int
 
 
 def drained(stream: DataFrame, table: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that a stream has now, through a memory table; for tests and small reports."""
+    """All that a stream has now, through a memory table; for tests and small reports.
+
+    Without a checkpoint of its own, a new one goes into the folder that driver and executors share.
+    """
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if checkpoint is None and shared:
+        checkpoint = f"{shared.rstrip('/')}/textmill/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
