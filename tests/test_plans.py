@@ -28,6 +28,12 @@ def test_running_sum_any_width(spark):
                     total += v
 
 
+def test_running_sum_keeps_nulls(spark):
+    d = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", None, 7), ("a", 1, 8)], "k string, o long, v long")
+    got = {(r["k"], r["o"]): r["s"] for r in ordered.running_sum(d, ["k"], "o", F.col("v"), "s").collect()}
+    assert got == {(None, 1): 0, (None, 2): 5, ("a", None): 0, ("a", 1): 7}
+
+
 def test_hash_rank_is_a_permutation(spark):
     d = ordered.hash_rank(spark.range(1000), F.md5(F.col("id").cast("string").cast("binary")), "r", slices=16).collect()
     assert sorted(r["r"] for r in d) == list(range(1000)) and [r["r"] for r in sorted(d)] != list(range(1000))
@@ -145,3 +151,8 @@ def test_stream_resumes(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(out / "batches"))
     assert got.count() == 30 and got.select("id").distinct().count() == 30 and got.select("batch_id").distinct().count() == 3
+
+
+def test_bounded_output():
+    code, text = manifest.run_bounded(["python", "-c", "print('x' * 100000 + 'end'); raise SystemExit(3)"], 50)
+    assert code == 3 and len(text) == 50 and text.endswith("end\n")

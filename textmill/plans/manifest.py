@@ -124,3 +124,20 @@ def delete_below(root: str | os.PathLike, path: str | os.PathLike) -> None:
     if path == root or root not in path.parents:
         raise ValueError(f"{path} is not below {root}")
     shutil.rmtree(path, ignore_errors=True)
+
+
+def run_bounded(command: list[str], most_bytes: int = 65_536, timeout: float | None = None) -> tuple[int, str]:
+    """Runs a command and keeps the last bytes of what it prints: (return code, text)."""
+    import subprocess
+    from collections import deque
+
+    tail: deque[bytes] = deque()
+    held = 0
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.STDOUT) as p:
+        for part in iter(lambda: p.stdout.read(8192), b""):
+            tail.append(part)
+            held += len(part)
+            while held - len(tail[0]) >= most_bytes:
+                held -= len(tail.popleft())
+        code = p.wait(timeout)
+    return code, b"".join(tail)[-most_bytes:].decode("utf-8", "replace")

@@ -18,15 +18,21 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, i
     Buckets of the order column are summed first (combined before the shuffle); a window over these
     sums, one row a bucket, gives each bucket's start; rows are then summed within their bucket.  The
     largest task holds a bucket, and a window over bucket sums holds order range / width rows.
-    Rows that tie in `order` are summed in no stated order; make it unique.
+    Rows that tie in `order` are summed in no stated order; make it unique.  Null keys and a null order
+    are values like others (a null order comes first).
     """
     kept = df.withColumn("_bucket", F.floor(F.col(order) / width)).withColumn("_value", value)
     own = [*keys, "_bucket"]
     sums = kept.groupBy(*own).agg(F.sum("_value").alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    starts = starts.select(*(F.col(c).alias(f"_own{i}") for i, c in enumerate(own)), "_start")
+    same = F.lit(True)
+    for i, c in enumerate(own):
+        same = same & kept[c].eqNullSafe(F.col(f"_own{i}"))
     within = W.partitionBy(*own).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return kept.join(starts, own).withColumn(into, F.col("_start") + F.coalesce(F.sum("_value").over(within), F.lit(0))).drop("_bucket", "_value", "_start")
+    joined = kept.join(starts, same).withColumn(into, F.col("_start") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+    return joined.drop("_bucket", "_value", "_start", *(f"_own{i}" for i in range(len(own))))
 
 
 def row_numbers(df: DataFrame, order: str, into: str, *, keys: Sequence[str] = (), width: int = WIDTH) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.functions import numbers, text
-from textmill.operators import evalkit, sft
-from textmill.queries.base import query, read
+from textmill.functions import markup, numbers, text
+from textmill.operators import evalkit, filters, rl, sft
+from textmill.queries.base import SOURCES, query, read
 
 
 @query("SELECT page_id, 'own/er-' || page_id AS repo, 'main' AS revision, 'a b/c.txt' AS file FROM pages")
@@ -67,3 +67,42 @@ def sft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = sft.formatted(by, _encode, group="instruction", most=64, key="conv_id").select(F.col("conv_id").alias("key"), "mode", "example.ids", "example.labels")
     two = sft.formatted(read(spark, sf_dir, "documents"), _encode, group="raw_completion", most=64, key="doc_id").select(F.col("doc_id").alias("key"), "mode", "example.ids", "example.labels")
     return one.unionByName(two)
+
+
+@query("SELECT event_id, map_from_entries([('a', 'x'), ('b', event_id::VARCHAR)]) AS items FROM events")
+def scalar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit('{"b": '), F.col("event_id").cast("string"), F.lit(', "a": "x", "list": [1, 2], "object": {"k": 1}}'))
+    return read(spark, sf_dir, "events").select("event_id", filters.scalars(body).alias("items"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def completion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content")))).alias("parts"))
+    return by.select("conv_id", rl.completion_text(F.col("parts")).alias("text"))
+
+
+@query("SELECT event_id, event_type || e'\\n\\n' || event_id || e'\\n\\n' || event_type AS text FROM events")
+def flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values of differing shapes as one text."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    body = F.when(n % 2 == 0, F.to_json(F.struct(kind.alias("a"), F.struct(n.alias("b"), kind.alias("c")).alias("d")))).otherwise(F.concat(F.lit('["'), kind, F.lit('", null, ['), n.cast("string"), F.lit(', "'), kind, F.lit('"]]')))
+    return read(spark, sf_dir, "events").select("event_id", markup.processed(body, "flatten").alias("text"))
+
+
+@query("SELECT seq, least(seq % 5, 4) >= 2 AS kept FROM (SELECT doc_id AS seq FROM documents)")
+def keep_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of code are kept by their own least length."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.expr("repeat('x', cast(10 * (doc_id % 5) AS int))").alias("text"))
+    return d.select("seq", filters.keep_document("text", F.lit("python_code"), min_chars=1000, chunk_type=F.lit("python_function"), min_chunk_chars=20).alias("kept"))
+
+
+@query("SELECT doc_id, 'src' || (doc_id % 3) AS source_id, CASE doc_id % 3 WHEN 0 THEN 'python_code' WHEN 1 THEN 'other_code' ELSE 'technical_english' END AS category, coalesce(text, '') AS text FROM documents")
+def typed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of three sources through their descriptors, united."""
+    raw = read(spark, sf_dir, "documents")
+    out = None
+    for i in range(3):
+        own = raw.filter(F.col("doc_id") % 3 == i)
+        one = own.select("doc_id", F.lit(SOURCES[i].source_id).alias("source_id"), F.lit(SOURCES[i].category).alias("category"), text.join_fields("text").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
