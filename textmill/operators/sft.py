@@ -129,6 +129,15 @@ def collated(df: DataFrame, *, batch: str, order: str, pad: int) -> DataFrame:
     return wide.select(batch, order, F.slice("_i", 1, F.col("_n") - 1).alias("x"), F.zip_with(tail("_l"), tail("_i"), lambda l, i: F.when(l != IGNORED, l).otherwise(i)).alias("y"), F.transform(tail("_l"), lambda l: l != IGNORED).alias("mask"))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column; rows where it is null are left out.
+
+    A generator stands between the value and what uses it, so the optimizer can't copy a costly
+    expression into every reference and into a pushed-down filter.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def formatted(df: DataFrame, encode, *, group: str, most: int, key: str, seed: int = 42, text_field: str | None = None, docstring_probability: float = 0.0, lists: list[str] | None = None) -> DataFrame:
     """df with `example` (struct of ids and labels) and `mode`; rows that give no example are left out.
 
@@ -145,15 +154,16 @@ def formatted(df: DataFrame, encode, *, group: str, most: int, key: str, seed: i
         text = F.when(text == "", F.concat_ws("\n\n", pair["prompt"], pair["completion"])).otherwise(text)
         own = df.withColumn("_t", text).filter(F.col("_t") != "")
         own = own.withColumn("_d", F.when(uniform(*seeds, "docstring") < docstring_probability, split_at_docstring(F.col("_t"), uniform(*seeds, "match"))))
-        own = own.withColumn("_e", F.when(F.col("_d").isNotNull(), docstring_labelled(F.col("_d.prompt"), F.col("_d.rest"), encode)))
+        own = computed(own, "_x", F.struct(F.when(F.col("_d").isNotNull(), docstring_labelled(F.col("_d.prompt"), F.col("_d.rest"), encode)).alias("e"), encode(strip("_t")).alias("ids")))
+        own = own.withColumn("_e", F.col("_x.e"))
         mode = F.when(F.col("_e").isNotNull(), "docstring_completion").otherwise("raw_completion")
-        raw = truncated(raw_labelled(encode(strip("_t"))), most, "raw_completion", *seeds, "window")
+        raw = truncated(raw_labelled(F.col("_x.ids")), most, "raw_completion", *seeds, "window")
         example = F.when(F.col("_e").isNotNull(), truncated(F.col("_e"), most, "docstring_completion", *seeds, "window")).otherwise(raw)
-        return own.withColumns({"mode": mode, "example": example}).drop("_t", "_d", "_e").filter("example IS NOT NULL")
+        return computed(own.withColumn("mode", mode), "example", example).drop("_t", "_d", "_e", "_x")
     have = [c for c in (lists or ["messages", "conversations", "conversation", "data"]) if c in df.columns]
     pair = prompt_and_completion(df)
     own = df.withColumn("_m", messages([F.col(c) for c in have])) if have else df.withColumn("_m", F.lit(None).cast("array<struct<role:string,content:string>>"))
     p, c = pair_texts(pair["prompt"], pair["completion"])
     encoded = F.when(F.col("_m").isNotNull(), labelled(F.col("_m"), encode)).when(pair.isNotNull(), pair_labelled(encode(p), encode(c)))
-    own = own.withColumn("_e", encoded)
-    return own.withColumns({"mode": F.lit("instruction"), "example": truncated(F.col("_e"), most, "instruction", *seeds, "window")}).drop("_m", "_e").filter("example IS NOT NULL")
+    own = computed(own, "_e", encoded)
+    return computed(own.withColumn("mode", F.lit("instruction")), "example", truncated(F.col("_e"), most, "instruction", *seeds, "window")).drop("_m", "_e")

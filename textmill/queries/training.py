@@ -181,7 +181,7 @@ def _encode(x):
     " SELECT conv_id, CAST(sum(2 + len(w)) AS BIGINT) AS n, CAST(sum(h + 10 + coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)) AS BIGINT) AS id_sum, CAST(sum(CASE WHEN role = 'assistant' THEN 1 + len(w) ELSE 0 END) AS BIGINT) AS labelled FROM e GROUP BY conv_id HAVING bool_or(role = 'assistant')"
 )
 def labels_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _messages(spark, sf_dir).select("conv_id", sft.labelled(F.col("messages"), _encode).alias("x")).filter("x IS NOT NULL")
+    x = sft.computed(_messages(spark, sf_dir), "x", sft.labelled(F.col("messages"), _encode))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
     return x.select("conv_id", F.size("x.ids").cast("long").alias("n"), total(F.col("x.ids")).alias("id_sum"), F.size(F.filter("x.labels", lambda v: v != sft.IGNORED)).cast("long").alias("labelled"))
 
@@ -214,8 +214,8 @@ def best_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT doc_id, CAST(len(ids[start + 1:start + 65]) AS INT) AS n, CAST(list_sum(ids[start + 1:start + 65]) AS BIGINT) AS total FROM s"
 )
 def truncate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", sft.raw_labelled(_encode(F.col("text"))).alias("x"))
-    d = d.select("doc_id", sft.truncated(F.col("x"), 64, "raw_completion", "42", F.col("doc_id"), "raw").alias("x")).filter("x IS NOT NULL")
+    d = sft.computed(read(spark, sf_dir, "documents").select("doc_id", "text"), "ids", _encode(F.col("text")))
+    d = sft.computed(d, "x", sft.truncated(sft.raw_labelled(F.col("ids")), 64, "raw_completion", "42", F.col("doc_id"), "raw"))
     return d.select("doc_id", F.size("x.ids").alias("n"), F.aggregate("x.ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
