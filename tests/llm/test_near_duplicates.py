@@ -103,6 +103,29 @@ def test_a_large_group(spark):
         assert len(wrong) <= (0 if settings.most_blocks > 1 else 3)
 
 
+def covered(rows):
+    """Pairs of ids that share a region or unit."""
+    by = {}
+    for h, i in rows:
+        by.setdefault(h, set()).add(i)
+    return {(a, b) for x in by.values() for a in x for b in x if a < b}
+
+
+def test_a_large_region_keeps_every_pair(spark):
+    rows = [(i, [1, 2, *range(100 * i, 100 * i + 6)]) for i in range(40)]
+    found = forest.regions(spark.createDataFrame(rows, "id long, signature array<int>"), forest.Settings(values=8, trees=1, region=4))
+    assert covered(map(tuple, found.select("h", "id").collect())) == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+
+
+@pytest.mark.parametrize("most_blocks", [1, 64])
+def test_a_large_component_keeps_every_pair(spark, most_blocks):
+    sizes = {i: 1 + i * i // 3 for i in range(60)}
+    found = forest._units(spark.createDataFrame([(0, i, n) for i, n in sizes.items()], "component long, id long, n long"), forest.Settings(together=4, most_blocks=most_blocks))
+    pairs = covered(map(tuple, found.collect()))
+    assert {(a, b) for a in sizes for b in sizes if a < b and 100 * sizes[a] >= 85 * sizes[b]} <= pairs
+    assert len(pairs) < 60 * 59 / 2 if most_blocks == 1 else len(pairs) == 60 * 59 / 2
+
+
 def vectors(n=300):
     r = np.random.default_rng(6)
     x = r.normal(size=(n, 16))

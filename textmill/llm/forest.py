@@ -4,16 +4,17 @@ A text is the set of hashes of its word shingles.  Texts with equal sets are one
 forest is built over classes.
 
 * Each of `trees` orders reads the signature from another place.  Texts that share a tree's first
-  values are a region of that order, neighbours with a long common prefix.  A region that is too
-  large is told apart by a longer prefix, again and again, only there: depth adapts to the region.
+  values are a region of that order, neighbours with a common prefix.  A region that is too large for
+  one task is cut into blocks, and every pair of blocks is a task.  A longer prefix would part it for
+  less, but also part texts from their only partners.
 * Within a region the whole signatures are compared, and those that agree in enough places are joined.
   What is joined over all trees is a candidate component; texts outside share none.
 * A component's full sets are brought together once.  From a text outward, those that are not yet
   reached and whose signatures agree enough are compared on full sets; what passes is reached.  So
   every possible link of a component that could join two of its parts has been compared in full.
   A component too large for one task (`together` texts or `shingles` in their sets) is cut into blocks,
-  and every pair of blocks is compared by one task.  Only beyond `most_blocks` blocks, where pairs of
-  blocks would be too many, is it taken apart into its regions instead, over all trees.
+  and every pair of blocks is compared by one task.  Beyond `most_blocks` blocks, blocks are of texts
+  of like size, and pairs whose sizes are too far apart for any link are left out; no link is.
 
 Signatures, regions and components move, texts once, sets once for candidates; links are a spanning
 star for each task, never all pairs of a group.
@@ -24,6 +25,7 @@ with nothing, component null, kept.  Rows with the same id are one document.  Em
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,8 +54,6 @@ class Settings:
     seed: int = 11
 
 
-#: Depths that are tried in turn where a region is too large.
-DEPTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 96)
 #: Bytes of a text hashed at once.
 PART = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -196,30 +196,35 @@ def _spread(ids: list[int], signs: np.ndarray, least: int, check=None) -> tuple[
 
 
 def regions(reps: DataFrame, s: Settings) -> DataFrame:
-    """h, id: the regions of all trees, with two to s.region members each.  reps: id, signature."""
+    """h, id: the regions of all trees that have two members or more; of a region over s.region, the pairs of its blocks.  reps: id, signature."""
     stride = max(1, s.values // s.trees)
     doubled = reps.select("id", F.concat("signature", "signature").alias("sig"))
-    depths = [d for d in DEPTHS if s.first_depth <= d <= s.values]
-    prefix = lambda t, d: F.xxhash64(t, F.lit(d), F.slice("sig", t * stride + 1, d))
-    now = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig").select("id", "t", prefix(F.col("t"), depths[0]).alias("h"))
-    done = []
-    for k, _ in enumerate(depths):
-        now = saved(now, "forest")
-        counts = now.groupBy("h").count().filter("count > 1")
-        small = now.join(counts.filter(F.col("count") <= s.region).select("h"), "h", "left_semi").select("h", "id")
-        done.append(small)
-        large = counts.filter(F.col("count") > s.region)
-        if k + 1 == len(depths):
-            salted = now.join(large, "h").select(F.xxhash64("h", F.pmod(F.xxhash64("id", "t"), F.ceil(2 * F.col("count") / s.region))).alias("h"), "id")
-            done.append(salted)  # equal in every value: any split will do, and each tree's is another
-            break
-        if large.limit(1).count() == 0:
-            break
-        now = now.join(large, "h", "left_semi").join(doubled, "id").select("id", "t", prefix(F.col("t"), depths[k + 1]).alias("h"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return saved(out, "regions")
+    all_trees = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig")
+    now = saved(all_trees.select("id", F.xxhash64("t", F.slice("sig", F.col("t") * stride + 1, s.first_depth)).alias("h")), "forest")
+    counts = now.groupBy("h").count().filter("count > 1").select("h", F.ceil(F.col("count") / s.region).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    paired = now.join(counts, "h").select("h", "id", "blocks", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    # with several blocks, a block meets itself in its pairs with others
+    paired = paired.filter((F.col("i") != F.col("j")) | (F.col("blocks") == 1))
+    return paired.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("h"), "id")
+
+
+def _units(member: DataFrame, s: Settings) -> DataFrame:
+    """unit, id: what one task compares, so that any two texts of a component that may be linked share a unit.  member: component, id, n (several rows for an id with several sets)."""
+    blocks = F.greatest(F.ceil(F.count("*") / s.together), F.ceil(F.sum("n") / s.shingles)).cast("int")
+    sizes = member.groupBy("component").agg((blocks > s.most_blocks).alias("banded"))
+    # sizes of linked texts differ by a factor of 100 / percent at most, so by one band at most
+    width = max(math.log(100 / s.percent), 0.01) * 1.001
+    band = F.when(F.col("banded"), F.floor(F.log("n") / width)).otherwise(0).cast("int")
+    member = saved(member.join(sizes, "component").select("component", "id", "n", "banded", band.alias("band")), "members")
+    bands = member.groupBy("component", "band").agg(blocks.alias("blocks"))
+    own = member.join(bands, ["component", "band"]).select("component", "id", "band", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int").alias("i"), F.explode(F.when(F.col("banded"), F.sequence(F.col("band") - 1, F.col("band") + 1)).otherwise(F.array("band"))).alias("near"))
+    paired = own.join(bands.withColumnRenamed("band", "near"), ["component", "near"]).select("component", "id", "band", "i", "near", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    # with several blocks, a block meets itself in its pairs with others
+    paired = paired.filter((F.col("band") != F.col("near")) | (F.col("i") != F.col("j")) | (F.col("blocks") == 1))
+    block = lambda b, i: F.col(b).cast("long") * (1 << 32) + F.col(i)
+    one, other = block("band", "i"), block("near", "j")
+    return paired.select(F.xxhash64("component", F.least(one, other), F.greatest(one, other)).alias("unit"), "id").distinct()
 
 
 def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -244,16 +249,7 @@ def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     by_region = found.join(signs, "id").select("h", "id", "signature").repartition("h").sortWithinPartitions("h", "id")
     rough = connected_components(by_region.mapInArrow(guess, "a long, b long"))
     rough = saved(rough, "candidates")
-    weights = signs.groupBy("id").agg(F.sum("n").alias("n"))
-    sizes = rough.join(weights, "id").groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("texts") / s.together), F.ceil(F.col("n") / s.shingles)).cast("int").alias("blocks"))
-    member = saved(rough.join(sizes, "component"), "members")
-    own = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")
-    paired = member.filter(F.col("blocks") <= s.most_blocks).select("component", "id", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    # with several blocks, a block meets itself in its pairs with others
-    paired = paired.join(sizes, "component").filter((F.col("i") != F.col("j")) | (F.col("blocks") == 1))
-    units = paired.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), "id")
-    units = units.unionByName(found.join(member.filter(F.col("blocks") > s.most_blocks).select("id"), "id", "left_semi").select(F.xxhash64("h", F.lit(1)).alias("unit"), "id")).distinct()
+    units = _units(rough.join(signs.select("id", "n"), "id"), s)
 
     wanted = rough.select(F.col("id").alias("_id"))
     texts = docs.join(wanted, "_id", "left_semi")
