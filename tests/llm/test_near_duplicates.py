@@ -158,6 +158,14 @@ def test_vectors(spark, settings):
     assert near_vectors(d.limit(0)).count() == 0
 
 
+def test_pairs_that_no_pass_brings_together(spark):
+    rows = vectors()
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, want = brute_vectors(rows, 0.93)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(d, settings=Vectors(passes=1, window=1, block=32)).collect()}
+    assert got == {i: (links[i], want[i]) for i in links}
+
+
 def test_repeated_vectors_and_null_ids(spark):
     d = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, near_vectors(d).collect()), key=repr)

@@ -3,10 +3,10 @@
 Each pass orders the vectors of a label by a key of concatenated random hashes (signs of random
 projections, most significant first) and compares every vector with a bounded window of its
 successors.  Pairs at or over the threshold, verified in double precision, are united over all
-passes.  A window can't hold all partners of a vector in a dense place, so links are counted in a
-second step: the vectors of a component are compared with each other in blocks of bounded size, and
-only counts leave a block.  A link between two vectors of one component is so never missed; what can
-be missed is a link that no pass brought into a window and that no chain of others stands in for.
+passes.  A window can't hold all partners of a vector in a dense place, and some pairs are near each
+other in no pass, so links are found and counted in a second step: the vectors of a label are compared
+with each other in blocks of bounded size, and only counts and links between different components of
+the passes leave a block.  So no link is missed; the work grows with the square of a label's vectors.
 
 Equal vectors of a label are one vertex with a weight, so copies cost nothing.  The passes are one
 shuffle: rows are dealt by ranges of (pass, label, key), in which no key can be hot.
@@ -146,42 +146,51 @@ def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str
 
     ordered = classes.select("vertex", "label", "vector").mapInArrow(keys, "pass int, label string, key long, vertex long, vector array<double>")
     ordered = ordered.repartitionByRange("pass", "label", "key", "vertex").sortWithinPartitions("pass", "label", "key", "vertex")
-    parts = saved(connected_components(ordered.mapInArrow(windows, "a long, b long")), "vector-components")
+    near = saved(connected_components(ordered.mapInArrow(windows, "a long, b long")), "vector-components")
 
-    # counting: unit (component, i, j) compares block i with block j
-    sizes = parts.groupBy("component").count().withColumn("blocks", F.ceil(F.col("count") / s.block).cast("int"))
-    member = parts.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = member.select("component", "id", "own", other.alias("other")).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "id", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"))
-    member = member.join(classes.select(F.col("vertex").alias("id"), "weight", "vector"), "id").select("unit", "left", "same", "id", "weight", "vector").repartition("unit").sortWithinPartitions("unit", "id")
+    # counting: unit (label, i, j) compares block i with block j
+    member = classes.select(F.col("vertex").alias("id"), F.concat_ws(" ", F.size("vector"), "label").alias("place"), "weight", "vector")
+    sizes = member.groupBy("place").count().select("place", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
+    member = member.join(near, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    member = member.join(sizes, "place").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("unit")
+    member = member.select(unit, (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"), "id", "weight", "part", "vector").repartition("unit").sortWithinPartitions("unit", "id")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list) -> pa.RecordBatch:
-            x, w = _unit(np.stack([g[4] for g in group])), np.array([g[3] for g in group], np.int64)
+            x, w, of = _unit(np.stack([g[5] for g in group])), np.array([g[3] for g in group], np.int64), np.array([g[4] for g in group], np.int64)
             out = np.zeros(len(group), np.int64)
             if group[0][1]:  # one block with itself
                 links = x @ x.T >= s.threshold
                 np.fill_diagonal(links, False)
-                out = links @ w
+                out, one, two = links @ w, of, of
             else:
                 a = np.array([g[0] for g in group])
                 links = x[a] @ x[~a].T >= s.threshold
-                out[a], out[~a] = links @ w[~a], links.T @ w[a]
-            return pa.RecordBatch.from_pydict({"id": pa.array([g[2] for g in group], pa.int64()), "n": pa.array(out, pa.int64())})
+                out[a], out[~a], one, two = links @ w[~a], links.T @ w[a], of[a], of[~a]
+            i, j = np.nonzero(links & (one[:, None] != two[None, :]))
+            new = np.unique(np.stack([one[i], two[j]], axis=1), axis=0)
+            ids = np.concatenate([np.array([g[2] for g in group], np.int64), new[:, 0]])
+            other = pa.concat_arrays([pa.nulls(len(group), pa.int64()), pa.array(new[:, 1], pa.int64())])
+            return pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(np.concatenate([out, np.zeros(len(new), np.int64)])), "other": other})
 
         unit, group = None, []
         for part in parts:
-            columns = [part.column(k).to_pylist() for k in range(5)] + [_stack(part.column(5))]
-            for u, left, same, i, w, v in zip(*columns, strict=True):
+            columns = [part.column(k).to_pylist() for k in range(6)] + [_stack(part.column(6))]
+            for u, left, same, i, w, of, v in zip(*columns, strict=True):
                 if u != unit:
                     if group:
                         yield done(group)
                     unit, group = u, []
-                group.append((left, same, i, w, v))
+                group.append((left, same, i, w, of, v))
         if group:
             yield done(group)
 
-    links = member.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = saved(member.mapInArrow(count, "id long, n long, other long"), "vector-links")
+    links = counted.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
+    new = counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    parts = saved(connected_components(new.unionByName(near.select(F.col("id").alias("a"), F.col("component").alias("b")))), "vector-components")
     of_part = classes.select(F.col("vertex").alias("id"), F.col("id").alias("least")).join(parts, "id")
     least = of_part.groupBy("component").agg(F.min("least").alias("least"))
     placed = classes.select(F.col("vertex").alias("id"), "digest", "weight", F.col("id").alias("own"))
