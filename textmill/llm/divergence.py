@@ -26,7 +26,8 @@ from textmill.llm.common import saved, text_of, words_of
 
 SPACE = r"\x20\x09-\x0D"
 #: Character classes, stripped one after the other; what is left is the last bin.
-#: The second is white space, and what it leaves are the characters in words.
+#: The second is white space, and what it leaves are the characters in words.  The last are the symbols
+#: of the base rules, none of which is in a class before it.
 CLASSES = (r"\p{Ll}+", rf"[{SPACE}]+", r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{L}+", r"\p{N}+", r"[#*$%&|<>]+")
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 5
@@ -57,11 +58,18 @@ def class_counts(text: Column) -> Column:
 def repeated_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside 5-word windows that occur twice or more in the same row's `_words`.
 
-    Windows are compared as 64-bit hashes.  Only texts in which two windows agree are looked at by position.
+    Windows are compared as 64-bit hashes, put together from hashes of words and of pairs of words.  A window that
+    occurs again repeats four pairs, so texts with fewer repeated pairs have no windows hashed, and only texts in
+    which two windows agree are looked at by position.
     """
-    every = F.transform("_words", lambda w, i: F.xxhash64(w, *(F.get("_words", i + k) for k in range(1, SHINGLE))))
-    hashes = F.slice(every, 1, F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(0)))
-    df = df.withColumn("_h", hashes)
+    def joined(a: str, b: str, by: int) -> Column:
+        return F.zip_with(F.col(a), F.slice(b, by + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
+
+    df = df.withColumn("_w", F.transform("_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("_pairs", joined("_w", "_w", 1))
+    again = F.size("_pairs") - F.size(F.array_distinct("_pairs")) >= SHINGLE - 1
+    windows = F.zip_with(joined("_pairs", "_pairs", 2), F.slice("_w", SHINGLE, F.size("_w")), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("_h", F.when(again, F.slice(windows, 1, F.greatest(F.size("_words") - (SHINGLE - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
     before = lambda i: F.when(i > 0, F.get("_sorted", i - 1)["h"])
     twins = F.filter("_sorted", lambda x, i: x["h"].eqNullSafe(F.get("_sorted", i + 1)["h"]) | x["h"].eqNullSafe(before(i)))
@@ -138,7 +146,7 @@ def quality_rules(df: DataFrame, *, id_column: str = "doc_id", text_column: str
         F.col("_id").alias("doc_id"),
         words.alias("n_words"),
         in_words.cast("long").alias("word_chars"),
-        (chars - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.get("_classes", F.lit(len(CLASSES) - 1)).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
