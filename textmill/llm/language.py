@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import claim, learnable, text_of
+from textmill.llm.common import arrow, claim, learnable, text_of
 
 #: Odd multipliers for the hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -160,7 +160,7 @@ def identify(df: DataFrame, model: Model, text_column: str = "text", *, keep_tex
     schema = T.StructType([df.schema.fields[i] for i in kept] + T._parse_datatype_string(ADDED).fields)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("language")
+        claim("language", lambda: vars(shared).pop("_value", None))  # the model, which this process can read again
         for part in parts:
             found = [predict(shared.value, x.as_py()) for x in part.column(at)]
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
@@ -169,7 +169,7 @@ def identify(df: DataFrame, model: Model, text_column: str = "text", *, keep_tex
                 out = out.filter(pa.array([f[0] != UNKNOWN and f[2] >= least_coverage for f in found], pa.bool_()))
             yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def language_id(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", settings: Settings = Settings()) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import text_of
+from textmill.llm.common import arrow, text_of
 from textmill.llm.tokens import batches, default_path, encoder
 
 #: Bits of a sequence id that count within a task.
@@ -159,4 +159,4 @@ def pack_documents(
             yield flush(block, base)[0]
 
     loss = F.lit(None).cast("long") if loss_column is None else F.greatest(F.col(loss_column).cast("long"), F.lit(0))
-    return df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"), loss.alias("_loss")).mapInArrow(run, schema)
+    return arrow(df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"), loss.alias("_loss")), run, schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import open_fs, saved, scratch, text_of
+from textmill.llm.common import arrow, open_fs, saved, scratch, text_of
 from textmill.llm.tokens import batches, default_path, encoder
 
 #: Fixed values of the public seekable format.
@@ -171,8 +171,10 @@ def write_token_files(
             fs.move(own, name)
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [name], "n_docs": [len(writer.docs)], "n_tokens": [total]})
 
-    ordered = df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
-    return saved(ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-manifest")
+    rows = df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    # rows with one id, such as null, are dealt to several files
+    ordered = rows.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h", "_text").select("_id", "_text")
+    return saved(arrow(ordered, write, "part long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
@@ -206,7 +208,7 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
                     )
 
     rows = spark.createDataFrame(files, "path string, base long").repartition(min(len(files), 10_000))
-    return rows.mapInArrow(read, schema)
+    return arrow(rows, read, schema)
 
 
 def token_digest(df: DataFrame, **options) -> DataFrame:
