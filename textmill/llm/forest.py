@@ -4,9 +4,11 @@ A text is the set of hashes of its word shingles.  Texts with equal sets are one
 forest is built over classes.
 
 * Each of `trees` orders reads the signature from another place.  Texts that share a tree's first
-  values are a region of that order, neighbours with a common prefix.  A region that is too large for
-  one task is cut into blocks, and every pair of blocks is a task.  A longer prefix would part it for
-  less, but also part texts from their only partners.
+  values are a region of that order, neighbours with a common prefix.
+* Texts in a region of more than `region` members go through a second forest of `fine_trees` orders.
+  There each region goes deeper, prefix by prefix, while it is too large, down to the depth at which a
+  pair at the threshold still meets in some order (all but `missed` of such pairs).  What is too large
+  even there is compared in pairs of blocks.  Texts with equal signatures enter it as one.
 * Within a region the whole signatures are compared, and those that agree in enough places are joined.
   What is joined over all trees is a candidate component; texts outside share none.
 * A component's full sets are brought together once.  From a text outward, those that are not yet
@@ -19,6 +21,7 @@ forest is built over classes.
 Signatures, regions and components move, texts once, sets once for candidates; links are a spanning
 star for each task, never all pairs of a group.
 
+Very long texts are hashed in parts; ties have no say, as a component's smallest id names it.
 Null texts or texts without words: n_shingles 0, linked with nothing.  Rows with a null id: linked
 with nothing, component null, kept.  Rows with the same id are one document.  Empty table: no rows.
 """
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import claim, saved, text_of
+from textmill.llm.common import arrow, claim, saved, text_of
 from textmill.llm.components import connected_components
 
 
@@ -46,13 +49,36 @@ class Settings:
     values: int = 96
     trees: int = 16
     first_depth: int = 2
+    fine_trees: int = 64
     region: int = 2048
     together: int = 4096
     shingles: int = 2_000_000
     most_blocks: int = 64
-    slack: float = 0.16
+    missed: float = 1e-6
     seed: int = 11
 
+    def agreeing(self) -> list[float]:
+        """Chances that a pair at the threshold agrees in 0, 1, ... values of its signatures."""
+        p, n = self.percent / 100, self.values
+        return [math.comb(n, m) * p**m * (1 - p) ** (n - m) for m in range(n + 1)]
+
+    def least(self) -> int:
+        """Values that a pair at the threshold agrees in, but for a share of `missed`."""
+        total = 0.0
+        for m, chance in enumerate(self.agreeing()):
+            total += chance
+            if total > self.missed:
+                return m
+        return self.values
+
+    def deepest(self) -> int:
+        """The greatest depth at which a pair at the threshold shares a region of the second forest, but for a share of `missed`."""
+        for depth in range(self.first_depth, self.values):
+            lost = sum(chance * (1 - math.comb(m, depth) / math.comb(self.values, depth)) ** self.fine_trees for m, chance in enumerate(self.agreeing()))
+            if lost > self.missed:
+                return max(self.first_depth, depth - 1)
+        return self.values
+
 
 #: Bytes of a text hashed at once.
 PART = 1 << 20
@@ -130,7 +156,7 @@ def _multipliers(s: Settings) -> np.ndarray:
 
 
 def sketches(df: DataFrame, s: Settings) -> DataFrame:
-    """_id, _text -> id, n, digest, signature (null for texts without words)."""
+    """_key, _id, _text -> key, id, n, digest, signature (null for texts without words)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -138,17 +164,15 @@ def sketches(df: DataFrame, s: Settings) -> DataFrame:
         claim("forest", _powers.clear)
         multipliers = _multipliers(s)
         for part in parts:
-            texts = part.column(1)
-            for at in range(0, len(texts), 1000):
-                n, digests, signs = [], [], []
-                for text in texts.slice(at, 1000):
-                    h = shingles(text.as_py(), s.words)
-                    n.append(len(h))
-                    digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                    signs.append(signature(h, multipliers).view(np.int32) if len(h) else None)
-                yield pa.RecordBatch.from_pydict({"id": part.column(0).slice(at, 1000), "n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "signature": pa.array(signs, pa.list_(pa.int32()))})
+            n, digests, signs = [], [], []
+            for text in part.column(2):
+                h = shingles(text.as_py(), s.words)
+                n.append(len(h))
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                signs.append(signature(h, multipliers).view(np.int32) if len(h) else None)
+            yield pa.RecordBatch.from_pydict({"key": part.column(0), "id": part.column(1), "n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "signature": pa.array(signs, pa.list_(pa.int32()))})
 
-    return df.mapInArrow(run, "id long, n long, digest binary, signature array<int>")
+    return arrow(df, run, f"key {df.schema['_key'].dataType.simpleString()}, id long, n long, digest binary, signature array<int>")
 
 
 def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
@@ -195,18 +219,48 @@ def _spread(ids: list[int], signs: np.ndarray, least: int, check=None) -> tuple[
     return a, b
 
 
-def regions(reps: DataFrame, s: Settings) -> DataFrame:
-    """h, id: the regions of all trees that have two members or more; of a region over s.region, the pairs of its blocks.  reps: id, signature."""
+def _several(now: DataFrame) -> DataFrame:
+    """h, count of the regions with two members or more."""
+    return now.groupBy("h").count().filter("count > 1")
+
+
+def _paired(now: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """h, id: each pair of blocks of the regions as a region."""
+    counts = sizes.select("h", F.ceil(F.col("count") / s.region).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    paired = now.join(counts, "h").select("h", "id", "blocks", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    # a block meets itself in its pairs with others
+    return paired.filter("i <> j").select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("h"), "id")
+
+
+def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """h, id: regions of both forests, to be compared whole; a, b: links of texts with equal signatures.  signs: id, signature."""
     stride = max(1, s.values // s.trees)
-    doubled = reps.select("id", F.concat("signature", "signature").alias("sig"))
+    doubled = signs.select("id", F.concat("signature", "signature").alias("sig"))
     all_trees = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig")
     now = saved(all_trees.select("id", F.xxhash64("t", F.slice("sig", F.col("t") * stride + 1, s.first_depth)).alias("h")), "forest")
-    counts = now.groupBy("h").count().filter("count > 1").select("h", F.ceil(F.col("count") / s.region).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
-    paired = now.join(counts, "h").select("h", "id", "blocks", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    # with several blocks, a block meets itself in its pairs with others
-    paired = paired.filter((F.col("i") != F.col("j")) | (F.col("blocks") == 1))
-    return paired.select(F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")).alias("h"), "id")
+    sizes = saved(_several(now), "regions")
+    out = now.join(sizes.filter(F.col("count") <= s.region), "h", "left_semi").select("h", "id")
+    large = sizes.filter(F.col("count") > s.region)
+    if not large.limit(1).count():
+        return out, signs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    crowded = signs.join(now.join(large, "h", "left_semi").select("id").distinct(), "id", "left_semi")
+    alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id"), F.array_distinct(F.collect_list("id")).alias("all")), "equal-signatures")
+    twins = alike.select(F.col("id").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    rng = np.random.default_rng([s.seed, 2])
+    deepest = s.deepest()
+    orders = F.array(*(F.array(*(F.lit(int(i)) for i in rng.permutation(s.values)[:deepest])) for _ in range(s.fine_trees)))
+    left = alike.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(s.fine_trees - 1))).alias("t"))
+    for depth in sorted({min(s.first_depth + 1, deepest), *range(s.first_depth + 2, deepest, 2), deepest}):
+        prefix = F.transform(F.slice(F.get(orders, F.col("t")), 1, depth), lambda i: F.get("signature", i))
+        now = saved(left.select("id", "t", F.xxhash64(F.lit(-depth), "t", prefix).alias("h")), "fine-forest")
+        sizes = saved(_several(now), "regions")
+        out = out.unionByName(now.join(sizes.filter(F.col("count") <= s.region), "h", "left_semi").select("h", "id"))
+        large = sizes.filter(F.col("count") > s.region)
+        if not large.limit(1).count():
+            return out, twins
+        left = alike.select("id", "signature").join(now.join(large, "h", "left_semi").select("id", "t"), "id")
+    return out.unionByName(_paired(now.select("h", "id"), large, s)), twins
 
 
 def _units(member: DataFrame, s: Settings) -> DataFrame:
@@ -227,18 +281,14 @@ def _units(member: DataFrame, s: Settings) -> DataFrame:
     return paired.select(F.xxhash64("component", F.least(one, other), F.greatest(one, other)).alias("unit"), "id").distinct()
 
 
-def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    s = settings
-    docs = df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"))
-    rows = saved(sketches(docs, s), "sketches")
+def _components(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """digest, component of the texts with words.  docs: _key, _text; rows: what `sketches` gives of them, saved."""
     known = rows.filter("n > 0 AND id IS NOT NULL")
     classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     # where a document has several sets, they are one vertex; each set's signature counts
     signs = classes.select("id", "n", "signature")
-    least = int(np.ceil((s.percent / 100 - s.slack) * s.values))
-
-    found = regions(signs.dropDuplicates(["id", "signature"]), s)
+    least, multipliers = s.least(), _multipliers(s)
+    found, twins = regions(signs.select("id", "signature").distinct(), s)
 
     def guess(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(parts):
@@ -247,13 +297,10 @@ def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: st
                 yield _edges(a, b)
 
     by_region = found.join(signs, "id").select("h", "id", "signature").repartition("h").sortWithinPartitions("h", "id")
-    rough = connected_components(by_region.mapInArrow(guess, "a long, b long"))
-    rough = saved(rough, "candidates")
+    rough = saved(connected_components(arrow(by_region, guess, "a long, b long").unionByName(twins)), "candidates")
     units = _units(rough.join(signs.select("id", "n"), "id"), s)
-
-    wanted = rough.select(F.col("id").alias("_id"))
-    texts = docs.join(wanted, "_id", "left_semi")
-    multipliers = _multipliers(s)
+    wanted = known.join(rough, "id", "left_semi").select(F.col("key").alias("_key"), "id").distinct()
+    texts = docs.join(wanted, "_key").select("id", "_text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("forest", _powers.clear)
@@ -262,8 +309,6 @@ def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: st
                 own = [shingles(x.as_py(), s.words) for x in part.column(1).slice(at, 200)]
                 yield pa.RecordBatch.from_pydict({"id": part.column(0).slice(at, 200), "hashes": pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))})
 
-    full = texts.mapInArrow(sets, "id long, hashes array<bigint>")
-
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(parts):
             ids = [g[0] for g in group]
@@ -288,10 +333,34 @@ def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: st
             if a:
                 yield _edges(a, b)
 
-    together = units.join(full, "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit", "id")
-    final = connected_components(together.mapInArrow(verify, "a long, b long"))
+    together = units.join(arrow(texts, sets, "id long, hashes array<bigint>"), "id").select("unit", "id", "hashes").repartition("unit").sortWithinPartitions("unit", "id")
+    final = connected_components(arrow(together, verify, "a long, b long"))
+    return classes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
 
-    placed = classes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("_component"))
+
+def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    own = F.col(id_column).cast("long")
+    docs = df.select(own.alias("_key"), own.alias("_id"), text_of(text_column).alias("_text"))
+    rows = saved(sketches(docs, settings), "sketches")
+    placed = _components(docs.select("_key", "_text"), rows, settings)
     out = rows.select("id", "n", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("id"))).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """df with one row of each group: the one with the smallest id (null last), among equal ids the one with the smallest digest.
+
+    Every row is a text of its own here, whatever its id is, so rows with a null id and different
+    texts with one id are compared too.  Rows without words are in no group and stay.
+    """
+    id_, text = F.col(id_column).cast("string"), text_of(text_column)
+    key = F.md5(F.concat(F.coalesce(F.concat(id_, F.lit("+")), F.lit("-")), text).cast("binary"))
+    docs = df.select(key.alias("_key"), F.col(id_column).cast("long").alias("_id"), text.alias("_text"))
+    own = saved(sketches(docs, settings).withColumnRenamed("id", "own").withColumn("id", F.monotonically_increasing_id()), "sketches")
+    placed = _components(docs.select("_key", "_text"), own.select("key", "id", "n", "digest", "signature"), settings)
+    first = own.filter("n > 0").join(placed, "digest").groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "key")).alias("x")).select(F.col("x.key").alias("_near_key"))
+    keyed = df.withColumn("_near_key", key)
+    word = text.rlike(r"[^\x20\x09-\x0D]")
+    return keyed.filter(word).join(first, "_near_key", "left_semi").dropDuplicates(["_near_key"]).unionByName(keyed.filter(~word)).drop("_near_key")
