@@ -9,7 +9,7 @@ import pytest
 from textmill.llm import forest
 from textmill.llm.components import connected_components
 from textmill.llm.projections import Settings as Vectors
-from textmill.llm.projections import near_vectors
+from textmill.llm.projections import _spanning, near_vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,8 +68,8 @@ def brute(rows, words, percent):
     return sets, union(pairs, ids)
 
 
-SMALL = forest.Settings(region=4, together=6, shingles=900)
-REGIONS = forest.Settings(region=6, together=6, most_blocks=1)
+SMALL = forest.Settings(region=4, together=6, shingles=900, fine_trees=24)
+REGIONS = forest.Settings(region=6, together=6, most_blocks=1, fine_trees=24)
 
 
 @pytest.mark.parametrize("settings", [forest.Settings(), forest.Settings(words=5, percent=80), SMALL, REGIONS])
@@ -99,8 +99,7 @@ def test_a_large_group(spark):
     _, want = brute(rows, 3, 85)
     for settings in (forest.Settings(), forest.Settings(region=40), forest.Settings(together=40, shingles=3000), forest.Settings(region=40, together=60, most_blocks=1)):
         got = {x["doc_id"]: x["component_id"] for x in forest.near_components(d, settings=settings).collect()}
-        wrong = [i for i in want if got[i] != want[i]]
-        assert len(wrong) <= (0 if settings.most_blocks > 1 else 3)
+        assert got == want, settings
 
 
 def covered(rows):
@@ -113,10 +112,24 @@ def covered(rows):
 
 def test_a_large_region_keeps_every_pair(spark):
     rows = [(i, [1, 2, *range(100 * i, 100 * i + 6)]) for i in range(40)]
-    found = forest.regions(spark.createDataFrame(rows, "id long, signature array<int>"), forest.Settings(values=8, trees=1, region=4))
+    found, twins = forest.regions(spark.createDataFrame(rows, "id long, signature array<int>"), forest.Settings(values=8, trees=1, fine_trees=1, region=4, first_depth=1, percent=10, missed=0.99))
+    assert not twins.count() and forest.Settings(values=8, fine_trees=1, first_depth=1, percent=10, missed=0.99).deepest() == 1
+    found, _ = forest.regions(spark.createDataFrame([(i, [1] * 8 + [0] * (i == 0)) for i in range(40)], "id long, signature array<int>"), forest.Settings(values=8, trees=1, region=50))
     assert covered(map(tuple, found.select("h", "id").collect())) == {(a, b) for a in range(40) for b in range(a + 1, 40)}
 
 
+def test_what_stays_too_large_at_the_last_depth_is_compared_in_blocks(spark):
+    now = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 90), (2, 91)], "h long, id long")
+    found = forest._paired(now, now.filter("h = 1").groupBy("h").count(), forest.Settings(region=7))
+    assert covered(map(tuple, found.collect())) == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_depth_follows_the_loss_that_is_allowed():
+    s = forest.Settings()
+    assert s.first_depth < s.deepest() < 12 and 55 < s.least() < 70
+    assert forest.Settings(missed=1e-3).deepest() > s.deepest() >= forest.Settings(percent=80).deepest()
+
+
 @pytest.mark.parametrize("most_blocks", [1, 64])
 def test_a_large_component_keeps_every_pair(spark, most_blocks):
     sizes = {i: 1 + i * i // 3 for i in range(60)}
@@ -137,7 +150,8 @@ def vectors(n=300):
 
 
 def brute_vectors(rows, least):
-    good = [(i, np.array(v, float), l) for i, v, l in rows if i is not None and v is not None and l is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    # a vector's direction: products of very large or small components would overflow or vanish
+    good = [(i, np.array(v, float) / np.abs(v).max(), l) for i, v, l in rows if i is not None and v is not None and l is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
     pairs = [(a, b) for k, (a, x, l) in enumerate(good) for b, y, m in good[:k] if l == m and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= least]
     links = {i: 0 for i, _, _ in rows}
     for a, b in pairs:
@@ -146,24 +160,27 @@ def brute_vectors(rows, least):
     return links, union(pairs, [i for i, _, _ in rows if i is not None])
 
 
-@pytest.mark.parametrize("settings", [Vectors(passes=24), Vectors(passes=24, block=8, window=8)])
+@pytest.mark.parametrize("settings", [Vectors(), Vectors(block=40), Vectors(block=8)])
 def test_vectors(spark, settings):
     rows = vectors() + [(400, None, 1), (401, [0.0] * 16, 1), (402, [1.0, None], 1), (403, [float("nan")] * 16, 0), (404, vectors()[0][1], None), (405, [1e-200, 1e-200], 1), (406, [1e200, 1e200], 1), (407, [], 1)]
-    d = spark.createDataFrame([(*x, 1, 2) for x in rows], "vec_id long, embedding array<double>, label int, component int, vector int")
+    d = spark.createDataFrame([(*x, 1, 2, "x", True) for x in rows], "vec_id long, embedding array<double>, label int, component int, vector int, place string, left boolean")
     links, want = brute_vectors(rows, 0.93)
-    got = near_vectors(d, settings=settings).collect()
-    assert len(got) == len(rows)
-    wrong = [r["vec_id"] for r in got if (r["n_links"], r["component_id"], r["kept"]) != (links[r["vec_id"]], want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"])]
-    assert len(wrong) <= 0.02 * len(rows)
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(d, settings=settings).collect()}
+    assert got == {i: (links[i], want[i], want[i] == i) for i in links}
     assert near_vectors(d.limit(0)).count() == 0
 
 
-def test_pairs_that_no_pass_brings_together(spark):
-    rows = vectors()
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    links, want = brute_vectors(rows, 0.93)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(d, settings=Vectors(passes=1, window=1, block=32)).collect()}
-    assert got == {i: (links[i], want[i]) for i in links}
+def test_passes_follow_the_bits():
+    s = Vectors()
+    assert s.passes(0) == 1 and 8 < s.passes(2) < 12 and s.passes(16) > 60
+
+
+def test_spanning_links():
+    r = np.random.default_rng(1)
+    pairs = r.integers(0, 60, (45, 2))
+    want = union([tuple(x) for x in pairs.tolist() if x[0] != x[1]], range(60))
+    got = _spanning(60, pairs[pairs[:, 0] != pairs[:, 1]])
+    assert union([tuple(x) for x in got.tolist()], range(60)) == want and len(got) == 60 - len(set(want.values()))
 
 
 def test_repeated_vectors_and_null_ids(spark):

@@ -1,48 +1,61 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass orders the vectors of a label by a key of concatenated random hashes (signs of random
-projections, most significant first) and compares every vector with a bounded window of its
-successors.  Pairs at or over the threshold, verified in double precision, are united over all
-passes.  A window can't hold all partners of a vector in a dense place, and some pairs are near each
-other in no pass, so links are found and counted in a second step: the vectors of a label are compared
-with each other in blocks of bounded size, and only counts and links between different components of
-the passes leave a block.  So no link is missed; the work grows with the square of a label's vectors.
+projections, most significant first) and compares every vector with the window of its neighbours whose
+keys have the leading bits in common.  How many bits those are follows the label's size, so that
+windows stay at about `block` vectors, and how many passes there are follows the bits, so that a pair
+at the threshold shares a window in some pass, but for a share of `missed` of such pairs: a label of up
+to `block` vectors is one window of one pass.  A window that a dense place fills beyond `block` is
+compared in pairs of blocks, so it loses nothing.
 
-Equal vectors of a label are one vertex with a weight, so copies cost nothing.  The passes are one
-shuffle: rows are dealt by ranges of (pass, label, key), in which no key can be hot.
+Pairs at or over the threshold, verified in double precision, are united over all passes.  A pair counts
+as a link in the first pass whose window holds both, which the two vectors' own keys tell, so no pair
+is ever written: a task gives a count for each vector and a spanning set of links.
+
+Equal vectors of a label are one vertex with a weight, so copies cost nothing.  Keys are counted before
+vectors move; vectors meet by window.  The work grows with the size of a label to the power 1.2 or so,
+that on a dense window with its square.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, vectors without a label or
 without an id: no links.  Vectors of different lengths are never compared.  Rows with equal id and
-vector: each a row.  Empty table: no rows.
+vector: each a row.  Ties have no say: a component's smallest id names it.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import saved
+from textmill.llm.common import arrow, saved
 from textmill.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.93
-    passes: int = 16
-    bits: int = 60
-    window: int = 32
-    block: int = 2048
+    block: int = 4096
+    missed: float = 1e-6
     seed: int = 13
 
+    def bits(self, n: Column) -> Column:
+        """Leading bits that windows share in a label of n vectors."""
+        return F.greatest(F.ceil(F.log2(n / self.block)), F.lit(0)).cast("int")
+
+    def passes(self, bits: int) -> int:
+        """A pair at the threshold agrees in a bit with the chance 1 - angle / pi."""
+        same = (1 - math.acos(self.threshold) / math.pi) ** bits
+        return 1 if bits == 0 else math.ceil(math.log(self.missed) / math.log(1 - same))
+
 
-#: Vectors compared at once.
-PART = 4096
+#: Projections of one pass; more bits than a label of 2 ** 31 windows needs.
+BITS = 31
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -64,7 +77,7 @@ def prepare(df: DataFrame) -> DataFrame:
                 digests.append(hashlib.blake2b(f"{len(x)} {label}\n".encode() + x.tobytes(), digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_pydict({"id": part.column(0), "digest": pa.array(digests, pa.binary()), "label": pa.array(labels, pa.string()), "vector": pa.array(vectors, pa.list_(pa.float64()))})
 
-    return df.mapInArrow(run, "id long, digest binary, label string, vector array<double>")
+    return arrow(df, run, "id long, digest binary, label string, vector array<double>")
 
 
 def _stack(column: pa.Array) -> list[np.ndarray]:
@@ -72,22 +85,46 @@ def _stack(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1])
 
 
-def _unite(n: int, pairs: np.ndarray, ids: list[int]) -> pa.RecordBatch:
-    """Links from the first of each part to its others."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x, y in pairs.tolist():
-        x, y = top(x), top(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    tops = [(top(x), x) for x in range(n)]
-    return pa.RecordBatch.from_pydict({"a": pa.array([ids[t] for t, x in tops if t != x], pa.int64()), "b": pa.array([ids[x] for t, x in tops if t != x], pa.int64())})
+def _spanning(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Pairs (first of a part, other) that keep n places connected as the given pairs do."""
+    up = np.arange(n)
+    while len(pairs):  # smallest neighbours travel, and pointers are halved, until nothing changes
+        a, b = up[pairs[:, 0]], up[pairs[:, 1]]
+        open_ = a != b
+        if not open_.any():
+            break
+        pairs, a, b = pairs[open_], a[open_], b[open_]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    other = np.flatnonzero(up != np.arange(n))
+    return np.stack([up[other], other], axis=1)
+
+
+class Keys:
+    """The leading bits of vectors' keys, as integers, pass by pass."""
+
+    def __init__(self, s: Settings):
+        self.s, self.planes = s, {}
+
+    def codes(self, x: np.ndarray, bits: int, at: int) -> np.ndarray:
+        length = x.shape[1]
+        if (length, at) not in self.planes:
+            self.planes[length, at] = np.random.default_rng([self.s.seed, length, at]).normal(size=(length, BITS))
+        return (x @ self.planes[length, at][:, :bits] > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def _first_met(keys: Keys, pairs: np.ndarray, x: np.ndarray, bits: int, at: int) -> np.ndarray:
+    """The pairs (rows of x) that share no window of a pass before this one."""
+    if not len(pairs) or not bits:
+        return pairs
+    who, places = np.unique(pairs, return_inverse=True)
+    places = places.reshape(pairs.shape)
+    for earlier in range(at):
+        codes = keys.codes(x[who], bits, earlier)
+        new = codes[places[:, 0]] != codes[places[:, 1]]
+        pairs, places = pairs[new], places[new]
+    return pairs
 
 
 def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", settings: Settings = Settings()) -> DataFrame:
@@ -97,100 +134,69 @@ def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str
     rows = saved(prepare(rows), "vectors")
     classes = rows.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     # a vertex is a class; an id with several vectors stands for each of them
-    classes = saved(classes.withColumn("vertex", F.xxhash64("digest")), "vector-classes")
-
-    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = np.int64(1) << np.arange(s.bits - 1, -1, -1)
-        for part in parts:
-            vectors = _stack(part.column(2))
-            for length in sorted({len(v) for v in vectors}):
-                if length not in planes:
-                    planes[length] = np.random.default_rng([s.seed, length]).normal(size=(length, s.passes * s.bits)).astype(np.float64)
-                mine = np.array([i for i, v in enumerate(vectors) if len(v) == length])
-                signs = (_unit(np.stack([vectors[i] for i in mine])) @ planes[length] > 0).reshape(len(mine), s.passes, s.bits)
-                codes = (signs * weights).sum(axis=2)
-                take = pa.array(np.tile(mine, s.passes))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "pass": pa.array(np.repeat(np.arange(s.passes, dtype=np.int32), len(mine))),
-                        "label": pa.array([f"{length} {x}" for x in part.column(1).take(take).to_pylist()]),
-                        "key": pa.array(codes.T.ravel(), pa.int64()),
-                        "vertex": part.column(0).take(take),
-                        "vector": part.column(2).take(take),
-                    }
-                )
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("vertex"), "*", F.concat_ws(" ", F.size("vector"), "label").alias("place")), "vector-classes")
+    sizes = classes.groupBy("place").count().select("place", s.bits(F.col("count")).alias("bits"))
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, ids, own = None, [], []
-
-        def compare() -> pa.RecordBatch:
-            x, found = _unit(np.stack(own)), []
-            for k in range(1, min(s.window, len(own) - 1) + 1):
-                hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= s.threshold)
-                found.append(np.stack([hit, hit + k], axis=1))
-            return _unite(len(ids), np.concatenate(found), ids)
-
+        keys = Keys(s)
         for part in parts:
-            heads = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-            for here, vertex, v in zip(heads, part.column(3).to_pylist(), _stack(part.column(4)), strict=True):
-                if here != place or len(ids) >= PART:
-                    if len(ids) > 1:
-                        yield compare()
-                    keep = s.window if here == place else 0  # the next part begins with what its first windows look back on
-                    place, ids, own = here, ids[len(ids) - keep :], own[len(own) - keep :]
-                ids.append(vertex)
-                own.append(v)
-        if len(ids) > 1:
-            yield compare()
-
-    ordered = classes.select("vertex", "label", "vector").mapInArrow(keys, "pass int, label string, key long, vertex long, vector array<double>")
-    ordered = ordered.repartitionByRange("pass", "label", "key", "vertex").sortWithinPartitions("pass", "label", "key", "vertex")
-    near = saved(connected_components(ordered.mapInArrow(windows, "a long, b long")), "vector-components")
-
-    # counting: unit (label, i, j) compares block i with block j
-    member = classes.select(F.col("vertex").alias("id"), F.concat_ws(" ", F.size("vector"), "label").alias("place"), "weight", "vector")
-    sizes = member.groupBy("place").count().select("place", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
-    member = member.join(near, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    member = member.join(sizes, "place").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+            vectors, bits, places = _stack(part.column(3)), part.column(2).to_numpy(), part.column(1)
+            lengths = np.array([len(v) for v in vectors])
+            for length, b in sorted(set(zip(lengths.tolist(), bits.tolist(), strict=True))):
+                mine = np.flatnonzero((lengths == length) & (bits == b))
+                x, own, of = _unit(np.stack([vectors[i] for i in mine])), part.column(0).take(pa.array(mine)), places.take(pa.array(mine))
+                for at in range(s.passes(b)):
+                    code = keys.codes(x, b, at) if b else np.zeros(len(mine), np.int64)
+                    yield pa.RecordBatch.from_pydict({"place": of, "pass": pa.array(np.full(len(mine), at, np.int32)), "code": pa.array(code), "vertex": own})
+
+    ordered = saved(arrow(classes.join(sizes, "place").select("vertex", "place", "bits", "vector"), windows, "place string, pass int, code long, vertex long").select(F.xxhash64("place", "pass", "code").alias("h"), "pass", "vertex"), "vector-keys")
+    full = ordered.groupBy("h").count().filter("count > 1").select("h", F.ceil(F.col("count") / s.block).cast("int").alias("blocks"))
+    member = ordered.join(full, "h").withColumn("own", F.pmod(F.xxhash64("vertex", F.lit(5)), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("unit")
-    member = member.select(unit, (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"), "id", "weight", "part", "vector").repartition("unit").sortWithinPartitions("unit", "id")
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(group: list) -> pa.RecordBatch:
-            x, w, of = _unit(np.stack([g[5] for g in group])), np.array([g[3] for g in group], np.int64), np.array([g[4] for g in group], np.int64)
-            out = np.zeros(len(group), np.int64)
-            if group[0][1]:  # one block with itself
-                links = x @ x.T >= s.threshold
-                np.fill_diagonal(links, False)
-                out, one, two = links @ w, of, of
-            else:
-                a = np.array([g[0] for g in group])
-                links = x[a] @ x[~a].T >= s.threshold
-                out[a], out[~a], one, two = links @ w[~a], links.T @ w[a], of[a], of[~a]
-            i, j = np.nonzero(links & (one[:, None] != two[None, :]))
-            new = np.unique(np.stack([one[i], two[j]], axis=1), axis=0)
-            ids = np.concatenate([np.array([g[2] for g in group], np.int64), new[:, 0]])
-            other = pa.concat_arrays([pa.nulls(len(group), pa.int64()), pa.array(new[:, 1], pa.int64())])
-            return pa.RecordBatch.from_pydict({"id": pa.array(ids), "n": pa.array(np.concatenate([out, np.zeros(len(new), np.int64)])), "other": other})
+    unit = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("unit")
+    member = member.select(unit, "pass", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") == F.col("other")).alias("same"), "vertex")
+    member = member.join(classes.join(sizes, "place").select("vertex", "weight", "bits", "vector"), "vertex").select("unit", "pass", "left", "same", "bits", "vertex", "weight", "vector")
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = Keys(s)
+
+        def done(group: list) -> Iterator[pa.RecordBatch]:
+            at, _, same, bits = group[0][:4]
+            ids, weight = np.array([g[4] for g in group], np.int64), np.array([g[5] for g in group], np.int64)
+            x, left = _unit(np.stack([g[6] for g in group])), np.array([g[1] for g in group])
+            one = np.arange(len(group)) if same else np.flatnonzero(left)
+            two = one if same else np.flatnonzero(~left)
+            count, linked = np.zeros(len(group), np.int64), []
+            for begin in range(0, len(one), 512):
+                i, j = np.nonzero(x[one[begin : begin + 512]] @ x[two].T >= s.threshold)
+                pairs = np.stack([one[begin + i], two[j]], axis=1)
+                if same:
+                    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+                pairs = _first_met(keys, pairs, x, bits, at)
+                np.add.at(count, pairs[:, 0], weight[pairs[:, 1]])
+                np.add.at(count, pairs[:, 1], weight[pairs[:, 0]])
+                linked.append(_spanning(len(group), pairs))
+            links = _spanning(len(group), np.concatenate(linked)) if linked else np.zeros((0, 2), np.int64)
+            some = np.flatnonzero(count)
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[some]), "n": pa.array(count[some]), "other": pa.nulls(len(some), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[links[:, 0]]), "n": pa.array(np.zeros(len(links), np.int64)), "other": pa.array(ids[links[:, 1]])})
 
         unit, group = None, []
         for part in parts:
-            columns = [part.column(k).to_pylist() for k in range(6)] + [_stack(part.column(6))]
-            for u, left, same, i, w, of, v in zip(*columns, strict=True):
+            columns = [part.column(k).to_pylist() for k in range(7)] + [_stack(part.column(7))]
+            for u, *rest in zip(*columns, strict=True):
                 if u != unit:
                     if group:
-                        yield done(group)
+                        yield from done(group)
                     unit, group = u, []
-                group.append((left, same, i, w, of, v))
+                group.append(rest)
         if group:
-            yield done(group)
+            yield from done(group)
 
-    counted = saved(member.mapInArrow(count, "id long, n long, other long"), "vector-links")
+    counted = saved(arrow(member.repartition("unit").sortWithinPartitions("unit", "vertex"), compare, "id long, n long, other long"), "vector-links")
     links = counted.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    new = counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    parts = saved(connected_components(new.unionByName(near.select(F.col("id").alias("a"), F.col("component").alias("b")))), "vector-components")
+    parts = saved(connected_components(counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "vector-components")
     of_part = classes.select(F.col("vertex").alias("id"), F.col("id").alias("least")).join(parts, "id")
     least = of_part.groupBy("component").agg(F.min("least").alias("least"))
     placed = classes.select(F.col("vertex").alias("id"), "digest", "weight", F.col("id").alias("own"))
