@@ -47,7 +47,7 @@ def test_every_window_has_its_anchor(monkeypatch, part):
 
 
 @pytest.mark.parametrize("symbols", [2, 4, 200])
-def test_columns(symbols):
+def test_columns(tmp_path, symbols):
     r = np.random.default_rng(symbols)
     n, m, length = 60, 30, 8
     x = r.integers(0, symbols, (n, m)).astype(np.uint16)
@@ -55,7 +55,8 @@ def test_columns(symbols):
     for i in range(20, 50):
         x[i, r.integers(0, m)] = 999
     rank, low, high = r.permutation(n), r.integers(0, 4, n), r.integers(m - 4, m + 1, n)
-    got = columns(np.ascontiguousarray(x.T), rank, low, high, length).T
+    got = columns(np.ascontiguousarray(x.T), rank, low, high, length, f"file://{tmp_path}/block").T
+    assert not list(tmp_path.iterdir())
     for j in range(m - length + 1):
         for i in range(n):
             earlier = any(rank[k] < rank[i] and (x[k, j : j + length] == x[i, j : j + length]).all() for k in range(n))

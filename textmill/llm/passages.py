@@ -21,23 +21,27 @@ texts.  Texts are shuffled once, into a bucketed table of those that have repeat
 meet by anchor in blocks; an anchor with more than `most_contexts` different contexts is split, and
 what is first in its split is compared over all splits by the digest of the string.
 
-Texts are UTF-8 bytes; null is empty.  Order: doc_id, null last, then the hash of the text, then
-place.  Rows with equal id and text are one document and have one result.  Texts shorter than
+Texts are UTF-8 bytes; null is empty.  Order: doc_id, null last, then the MD5 digest of the text, then
+place.  Rows with equal id and text are one document and have one result; different texts under one
+id (or none) are told apart by a number in the order of their digests.  A long text of one repeated
+character has an anchor at each place, so its list of places is as long as it is.  Texts shorter than
 `length` lose nothing.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import claim, saved, scratch, text_of
+from textmill.llm.common import arrow, claim, open_fs, saved, scratch, text_of
 
 
 @dataclass(frozen=True)
@@ -136,17 +140,39 @@ def context_hashes(data: np.ndarray, at: np.ndarray, s: Settings) -> tuple[np.nd
     return anchor, context
 
 
-def columns(texts: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
-    """Which strings of `length` columns also stand in a document of smaller rank, at the same column.
+class Columns:
+    """Arrays of one length in a sequential file of the shared folder: written front to back, then read front to back."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = open_fs(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.file = self.fs.open_output_stream(self.path)
+
+    def append(self, *arrays: np.ndarray) -> None:
+        for x in arrays:
+            self.file.write(np.ascontiguousarray(x))
+
+    def rewind(self) -> None:
+        self.file.close()
+        self.file = self.fs.open_input_stream(self.path)
+
+    def next(self, n: int, kind: type) -> np.ndarray:
+        return np.frombuffer(self.file.read(n * np.dtype(kind).itemsize), kind)
+
+    def drop(self) -> None:
+        self.file.close()
+        self.fs.delete_file(self.path)
+
 
-    texts: columns x documents, symbols; document i has columns [low[i], high[i]).  The transform is
-    built from the last column to the first.  Returns first columns x documents.
+def construct(texts: Columns, transform: Columns, m: int, n: int) -> None:
+    """The collection transform of n documents of m columns, from the last column to the first.
+
+    texts: each column's symbols, last column first.  Each round appends its order of the documents
+    and how many symbols neighbours share from its column on.
     """
-    m, n = texts.shape
     order, common = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)  # common[i]: symbols that order[i - 1] and order[i] share from here on
-    out = np.zeros((m - length + 1, n), bool)
-    for j in range(m - 1, -1, -1):
-        symbols = texts[j][order]  # the transform's column: what stands before each suffix, in suffix order
+    for _ in range(m):
+        symbols = texts.next(n, np.uint16)[order]  # the transform's column: what stands before each suffix, in suffix order
         move = np.argsort(symbols, kind="stable")
         sorted_ = symbols[move]
         same = np.flatnonzero(sorted_[1:] == sorted_[:-1])
@@ -156,18 +182,57 @@ def columns(texts: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarr
             pairs[::2], pairs[1::2] = move[same] + 1, move[same + 1] + 1
             after[same + 1] = np.minimum.reduceat(np.append(common, np.int16(0)), pairs)[::2] + 1
         order, common = order[move], after
-        if j <= m - length:
-            starts = np.flatnonzero(common < length)
-            ranks = rank[order]
-            first = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, n)))
-            fits = (low[order] <= j) & (j + length <= high[order])
-            out[j, order] = (ranks > first) & fits
-    return out
+        transform.append(order, common)
 
 
-def _docs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = text_of(text_column)
-    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("v"), text.alias("text"))
+def columns(texts: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, at: str) -> np.ndarray:
+    """Which strings of `length` columns also stand in a document of smaller rank, at the same column.
+
+    texts: columns x documents, symbols; document i has columns [low[i], high[i]).  at: where the two
+    files are while they are needed.  Returns first columns x documents.
+    """
+    m, n = texts.shape
+    symbols, transform = Columns(f"{at}.symbols"), Columns(f"{at}.transform")
+    try:
+        for j in range(m - 1, -1, -1):
+            symbols.append(texts[j])
+        symbols.rewind()
+        construct(symbols, transform, m, n)
+        transform.rewind()
+        out = np.zeros((m - length + 1, n), bool)
+        for j in range(m - 1, -1, -1):
+            order, common = transform.next(n, np.int32), transform.next(n, np.int16)
+            if j <= m - length:
+                starts = np.flatnonzero(common < length)
+                ranks = rank[order]
+                first = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, n)))
+                fits = (low[order] <= j) & (j + length <= high[order])
+                out[j, order] = (ranks > first) & fits
+        return out
+    finally:
+        symbols.drop()
+        transform.drop()
+
+
+def _versions(df: DataFrame, id_column: str, text_column: str) -> DataFrame | None:
+    """doc, digest, v (1 and more) of the texts whose id, or lack of one, has several; None without any."""
+    own = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.md5(text_of(text_column).cast("binary")).alias("digest"))
+    # ids with several rows first: their texts alone need digests
+    several = saved(own.groupBy("doc").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one <> other").select("doc"), "repeated-ids")
+    if not several.limit(1).count():
+        return None
+    texts = own.join(several, "doc", "left_semi").distinct().repartitionByRange("doc", "digest").sortWithinPartitions("doc", "digest")
+    return saved(texts.withColumn("v", F.monotonically_increasing_id() + 1), "versions")
+
+
+def _keyed(df: DataFrame, id_column: str, text_column: str, versions: DataFrame | None) -> DataFrame:
+    """df with _doc and _v, which name a document; _v is 0 for the only text of an id."""
+    df = df.withColumn("_doc", F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)))
+    if versions is None:
+        return df.withColumn("_v", F.lit(0).cast("long"))
+    own = versions.select(F.col("doc").alias("_of"), F.col("digest").alias("_digest"), F.col("v").alias("_v"))
+    here = (F.col("_doc") == F.col("_of")) & (F.md5(text_of(text_column).cast("binary")) == F.col("_digest"))
+    return df.join(own, here, "left").withColumn("_v", F.coalesce("_v", F.lit(0).cast("long"))).drop("_of", "_digest")
 
 
 def _bytes(x: pa.Scalar) -> np.ndarray:
@@ -181,9 +246,17 @@ def _bucketed(df: DataFrame, name: str, **options: str) -> DataFrame:
     table = "textmill_" + path.rsplit("-", 1)[1]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, "doc", "v").options(path=path, **options).saveAsTable(table)
+    atexit.register(_forget, spark, table)
     return spark.table(table)
 
 
+def _forget(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session has ended, and its catalog with it unless that is kept elsewhere
+        pass
+
+
 def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("passages")
@@ -201,14 +274,13 @@ def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in out.items()})
                     held, count = [], 0
 
-    return docs.mapInArrow(run, "h long, doc long, v int, pos int" if placed else "h long")
+    return arrow(docs, run, "h long, doc long, v long, pos int" if placed else "h long")
 
 
-def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings(), with_kept: bool = False) -> DataFrame:
-    """doc, v, n_removed, n_spans, kept_sha256 (and kept bytes) of the documents that lose bytes; doc and v as in `document_keys`."""
-    s = settings
+def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) -> DataFrame:
+    """doc, v, n_removed, n_spans, kept_sha256 (and the kept text) of the documents that lose bytes.  docs: doc, v, text."""
     back = s.length - s.gram
-    docs = _docs(df, id_column, text_column)
+    files = scratch(docs.sparkSession, "columns")
     long_ = docs.filter(F.octet_length("text") >= s.length)
     repeated = saved(_anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors")
     places = _anchor_rows(long_, s, True).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
@@ -222,7 +294,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                 h, x = context_hashes(_bytes(text), at, s)
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "x": x.view(np.int64), "doc": np.repeat(doc[i], len(at)), "v": np.repeat(v[i], len(at)), "pos": at.astype(np.int32)})
 
-    classes = texts.select("doc", "v", "text", "places").mapInArrow(contexts, "h long, x long, doc long, v int, pos int")
+    classes = arrow(texts.select("doc", "v", "text", "places"), contexts, "h long, x long, doc long, v long, pos int")
     classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts")
     several = classes.groupBy("h").count().filter("count > 1")
     firsts = classes.join(several, "h", "left").select("doc", "v", F.struct("pos", "h", F.coalesce("count", F.lit(1)).alias("n")).alias("f"))
@@ -244,7 +316,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                         "salt": pa.array(hot, pa.int32()),
                         "split": pa.array([f["n"] > s.most_contexts for f in rows]),
                         "doc": pa.array([doc] * len(rows), pa.int64()),
-                        "v": pa.array([v] * len(rows), pa.int32()),
+                        "v": pa.array([v] * len(rows), pa.int64()),
                         "pos": pa.array([f["pos"] for f in rows], pa.int32()),
                         "text": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
                     }
@@ -265,7 +337,7 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                 x[low[i] : high[i], i] = raw[ends[i] : ends[i + 1]]
             rank = np.empty(n, np.int32)
             rank[np.lexsort((pos, v, doc))] = np.arange(n, dtype=np.int32)
-            found = columns(x, rank, low, high, s.length)
+            found = columns(x, rank, low, high, s.length, f"{files}/{uuid.uuid4().hex}")
             # runs of repeated strings of a document become one stretch
             edge = np.zeros((1, n), bool)
             begins, stops = np.argwhere(found & ~np.concatenate([edge, found[:-1]])), np.argwhere(found & ~np.concatenate([found[1:], edge]))
@@ -300,9 +372,9 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
         if block:
             yield done(block)
 
-    schema = "h long, salt int, split boolean, doc long, v int, pos int, text binary"
-    cut_ = texts.select("doc", "v", "text").join(firsts, ["doc", "v"]).select("doc", "v", "text", "firsts").mapInArrow(cut, schema)
-    found = cut_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(transform, "doc long, v int, begin long, end long, digest binary")
+    schema = "h long, salt int, split boolean, doc long, v long, pos int, text binary"
+    cut_ = arrow(texts.select("doc", "v", "text").join(firsts, ["doc", "v"]).select("doc", "v", "text", "firsts"), cut, schema)
+    found = arrow(cut_.repartition("h", "salt").sortWithinPartitions("h", "salt"), transform, "doc long, v long, begin long, end long, digest binary")
     found = saved(found, "repeats")
     split = found.filter("digest IS NOT NULL")
     least = split.groupBy("digest").agg(F.min(F.struct("doc", "v", "begin")).alias("least"))
@@ -328,19 +400,20 @@ def repeated_stretches(df: DataFrame, *, id_column: str = "doc_id", text_column:
                     continue
                 kept = data[~gone].tobytes()
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                for k, value in zip(out, (doc, v, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
+                for k, value in zip(out, (doc, v, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept else None), strict=False):
                     out[k].append(value)
-            yield pa.RecordBatch.from_pydict({k: pa.array(x, {"kept_sha256": pa.string(), "kept": pa.binary(), "v": pa.int32()}.get(k, pa.int64())) for k, x in out.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(x, {"kept_sha256": pa.string(), "kept": pa.string()}.get(k, pa.int64())) for k, x in out.items()})
 
     joined = texts.select("doc", "v", "text", "places").join(firsts, ["doc", "v"], "left").join(every, ["doc", "v"], "left").select("doc", "v", "text", "places", "firsts", "stretches")
-    return joined.mapInArrow(remove, "doc long, v int, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
+    return arrow(joined, remove, "doc long, v long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_kept else ""))
 
 
 def passage_digest(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    lost = repeated_stretches(df, id_column=id_column, text_column=text_column, settings=settings)
     text = text_of(text_column)
-    rows = df.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("v"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_whole"))
+    own = _keyed(df.select(F.col(id_column), F.col(text_column)), id_column, text_column, _versions(df, id_column, text_column))
+    lost = repeated_stretches(own.select(F.col("_doc").alias("doc"), F.col("_v").alias("v"), text.alias("text")), settings)
+    rows = own.select(F.col(id_column).alias("doc_id"), F.col("_doc").alias("doc"), F.col("_v").alias("v"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("_whole"))
     out = rows.join(lost, ["doc", "v"], "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"))
@@ -348,13 +421,9 @@ def passage_digest(df: DataFrame, *, id_column: str = "doc_id", text_column: str
 
 def without_repeats(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", settings: Settings = Settings()) -> DataFrame:
     """df with each text cut; bytes of characters that a cut has split go too."""
-    lost = repeated_stretches(df, id_column=id_column, text_column=text_column, settings=settings, with_kept=True)
-
-    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield pa.RecordBatch.from_pydict({"doc": part.column(0), "v": part.column(1), "_kept": pa.array([x.decode("utf-8", "ignore") for x in part.column(2).to_pylist()], pa.string())})
-
-    kept = lost.select("doc", "v", "kept").mapInArrow(decode, "doc long, v int, _kept string").withColumnsRenamed({"doc": "_doc", "v": "_v"})
-    text = text_of(text_column)
-    rows = df.withColumns({"_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)), "_v": F.hash(text)})
-    return rows.join(kept, ["_doc", "_v"], "left").withColumn(text_column, F.coalesce("_kept", F.col(text_column))).drop("_doc", "_v", "_kept")
+    versions = _versions(df, id_column, text_column)
+    docs = _keyed(df.select(F.col(id_column), F.col(text_column)), id_column, text_column, versions)
+    lost = repeated_stretches(docs.select(F.col("_doc").alias("doc"), F.col("_v").alias("v"), text_of(text_column).alias("text")), settings, with_kept=True)
+    kept = lost.select(F.col("doc").alias("_of"), F.col("v").alias("_ver"), F.col("kept").alias("_kept"))
+    rows = _keyed(df, id_column, text_column, versions)
+    return rows.join(kept, (F.col("_doc") == F.col("_of")) & (F.col("_v") == F.col("_ver")), "left").withColumn(text_column, F.coalesce("_kept", F.col(text_column))).select(*(F.col(f"`{c}`") for c in df.columns))
