@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import saved, table
 from textmill.llm.forest import Settings as Near
-from textmill.llm.forest import near_components
+from textmill.llm.forest import without_near_duplicates
 from textmill.llm.language import identify, learn
 from textmill.llm.mixing import mixed
 from textmill.llm.packing import pack_documents
@@ -29,11 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, 0.8); rows with a null id stay."""
-    groups = near_components(docs, settings=Near(words=5, percent=80))
-    kept = groups.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of near-duplicates stays (five words, 0.8), whatever its id."""
+    return without_near_duplicates(docs, settings=Near(words=5, percent=80)).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
