@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.llm import bytenet, html_text, language
@@ -107,3 +108,96 @@ def test_odd_pages(spark):
     got = html_text.html_main_text(pages).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
     assert html_text.html_main_text(pages.limit(0)).count() == 0
+
+
+LONG = " ".join(f"word{k} of the analysis" for k in range(40))
+
+
+def test_names_alone_cut_nothing():
+    nav = "<nav><a href=1>home</a></nav>"
+    for name in ("market-share-analysis", "share", "related", "header-widgets"):
+        page = f'{nav}<div class="{name}"><p>{LONG} one.</p><p>{LONG} two.</p><p>{LONG} three.</p></div>'
+        assert html_text.extract(page) == f"{LONG} one.\n{LONG} two.\n{LONG} three.", name
+    section = f'<article><h1>T</h1><p>{LONG}</p><div class="ad-hoc-networks"><h2>Ad hoc</h2><p>{LONG} b</p></div><p>{LONG} c</p></article>'
+    assert html_text.extract(nav + section) == f"T\n{LONG}\nAd hoc\n{LONG} b\n{LONG} c"
+    body = f'<div id="post-related-work"><p>{LONG}</p><p>{LONG}</p></div><div class="ad">Buy it</div>'
+    assert html_text.extract(nav + body) == f"{LONG}\n{LONG}"
+    only = f'{nav}<div class="comments"><p>{LONG}</p></div>'
+    assert html_text.extract(only) == LONG
+
+
+def test_lists_of_links_inside_the_article_stay():
+    links = "".join(f"<li><a href={k}>Reference {k}</a></li>" for k in range(5))
+    page = f"<nav><ul>{links}</ul></nav><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></article>"
+    assert html_text.extract(page) == "\n".join(["T", LONG, LONG, *(f"Reference {k}" for k in range(5))])
+
+
+def test_only_headings_of_the_article_stay():
+    page = f"<div id=top><h1>SITE LOGO</h1></div><div class=content><h2>Head</h2><div><p>{LONG}</p><p>{LONG}</p></div></div>"
+    assert html_text.extract(page) == f"Head\n{LONG}\n{LONG}"
+
+
+def test_comments_go_where_an_article_is_left():
+    said = "".join(f"<div class=comment><p>{LONG} {k}</p></div>" for k in range(6))
+    page = f"<div class=story><p>{LONG}</p><p>{LONG}</p></div><div id=post-comments>{said}</div>"
+    assert html_text.extract(page) == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("part", ['<p class="a>x', "<p a='x>", "<p don't a=1>", "<!--", "<![CDATA[", "<script>", "<b>", "</i><b>", "<div class=comments>", "<a b= ", "<"])
+def test_time_is_linear(part):
+    import time
+
+    begin = time.process_time()
+    html_text.extract(part * (1_000_000 // len(part)))
+    assert time.process_time() - begin < 8
+
+
+def slow_measures(node):
+    """(characters, in links, tags, link tags) of a subtree, by looking at every text's ancestors."""
+    texts, elements = [], []
+
+    def walk(x, inside):
+        for y in x.children:
+            if isinstance(y, str):
+                texts.append((y, inside))
+            else:
+                elements.append(y.name)
+                walk(y, inside or y.name == "a")
+
+    walk(node, node.name == "a")
+    count = lambda ts: sum(not c.isspace() for t in ts for c in t)
+    return count(t for t, _ in texts), count(t for t, i in texts if i), len(elements), elements.count("a") + (node.name == "a")
+
+
+def test_densities_by_brute_force():
+    r = np.random.default_rng(7)
+
+    def made(depth):
+        out = []
+        for _ in range(r.integers(1, 5)):
+            kind = r.choice(["div", "p", "a", "b", "section", "text"])
+            inner = made(depth - 1) if depth and kind != "text" and kind != "a" else "some words " * int(r.integers(0, 6))
+            out.append(inner if kind == "text" else f"<{kind}>{inner}</{kind}>")
+        return "".join(out)
+
+    for _ in range(40):
+        root = html_text.parse(made(3))
+        nodes = html_text.measure(root)
+        c, lc, _, _ = slow_measures(root)
+        share = lc / max(1, c)
+        densities = {}
+        for node in nodes:
+            c, lc, t, lt = slow_measures(node)
+            assert (node.chars, node.tags, node.link_tags) == (c, t, lt)
+            t, lt = max(1, t), max(1, lt)
+            base = np.log(c / max(1, c - lc) * lc + share * c + np.e)
+            densities[id(node)] = max(0.0, np.log(max(1.0, c / max(1, lc) * t / lt)) / base) * c / t if c else 0.0
+            assert node.density == pytest.approx(densities[id(node)])
+
+        def total(node):
+            return sum(total(x) if x.name in html_text.INLINE else densities[id(x)] for x in node.children if not isinstance(x, str))
+
+        best = max(total(x) for x in nodes)
+        assert root.best.total == pytest.approx(best)
+        html_text.select(root)
+        assert any(x.main and x.total == pytest.approx(best) for x in nodes) or best == 0

@@ -6,12 +6,20 @@ links and plain text.  An element's density sum is the sum over its children.  T
 largest sum is the core; the smallest density on its path to the root is the threshold; from the root
 down, each element over the threshold contributes its subtree's element with the largest sum.
 
-Elements that can't hold an article (scripts, forms, navigation, ...) are cut before, and so are
-blocks whose class, id or role names them as such, unless they hold the page's article.
+What an element is called never decides alone.  Elements that HTML itself sets apart from an article
+(scripts, forms, navigation, footers, page headers, hidden ones, ...) are cut before.  A block whose whole
+class or id names it an advert, notice, menu and the like counts with a fraction of its density, and
+inside the core it goes if it is also short beside the core or mostly links.  Reader comments, which
+are as dense as articles, go where a text is left without them.
+
+Headings go with what they head: those inside the smallest element that holds all that was taken stay,
+and so do those before it with nothing but headings between.
+`<article>` and `<main>` decide between elements of equal sums, then the one with more text, then the first.
 
 Decoded text: white space inside a block becomes one space, blocks are joined by newlines.  Null or
-empty html, and pages without text: the empty string.  Unclosed, stray and truncated tags are allowed.
-Rows are independent; repeated rows and null ids keep their places.
+empty html, and pages without text: the empty string.  Unclosed, stray and truncated tags are allowed;
+the time of a page is linear in its length, so a very long one only takes longer.  Rows are
+independent; repeated rows and null ids keep their places.
 """
 
 from __future__ import annotations
@@ -31,118 +39,210 @@ CUT = frozenset("script style noscript template svg math iframe object embed can
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "thead": ("tbody",), "tfoot": ("tbody", "tr", "td", "th"), "p": ("p",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table article section div main aside body html td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification newsletter"
-    " subscribe subscription signup login share sharing social sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead header toolbar comment comments"
-    " commentlist reply replies respond disqus related recommended recommendations popup modal overlay widget widgets pagination pager skip sitemap".split()
+    " subscribe subscription signup login share sharing social sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead header toolbar"
+    " related recommended recommendations popup modal overlay widget widgets pagination pager skip sitemap".split()
 )
-NEVER_CUT = frozenset("html body article main h1".split())
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+NEVER_NAMED = frozenset("html body article main h1".split())
+#: Words that may stand beside those in a name without changing what it names; the second kind beside comments only.
+BESIDE = frozenset("main site page top bottom left right box wrap wrapper container list bar block area slot unit link links item items inner outer primary secondary global side column col holder panel group row zone button buttons".split())
+BESIDE_COMMENTS = BESIDE | frozenset("post entry article user reader section thread form".split())
+
+#: How a name weighs: the factor of the density of what is named; shares of characters that make a block short or linked; characters that make a text.
+NAMED_WEIGHT, SHORT_SHARE, LINKED_SHARE, LEAST_TEXT = 0.1, 0.15, 0.25, 140
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]{2,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "attributes", "chars", "link_chars", "tags", "link_tags", "density", "total", "main")
+    __slots__ = ("name", "parent", "children", "attributes", "named", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "main")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
-        self.main = False
+        self.named = self.main = False
+
+    @property
+    def below(self) -> list[Node]:
+        return [x for x in self.children if not isinstance(x, str)]
+
+
+class _Source:
+    """A page's tags, front to back; no part of the page is searched twice for the same thing."""
+
+    def __init__(self, text: str):
+        self.text, self.none_from = text, {}
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` next is, or -1; once it isn't found, it isn't sought again."""
+        if at >= self.none_from.get(what, len(self.text) + 1):
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.none_from[what] = at
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        found = self.find(what, at)
+        return len(self.text) if found < 0 else found + len(what)
+
+    def tag_end(self, at: int) -> tuple[int, int]:
+        """End of a tag's attributes and where the text goes on; quoted values may hold >."""
+        begin = at
+        while m := _IN_TAG.search(self.text, at):
+            if m[1] is None:
+                return m.start(), m.end()
+            close = self.find(m[1], m.end())
+            if close < 0:  # a quote that nothing closes is no quote
+                stop = self.find(">", m.end())
+                return (len(self.text),) * 2 if stop < 0 else (stop, stop + 1)
+            at = close + 1
+        return len(self.text), max(begin, len(self.text))
 
 
 def parse(source: str) -> Node:
     root = here = Node("html", None)
-    at = 0
-    end = len(source)
+    tags, at, end = _Source(source), 0, len(source)
+    open_: dict[str, int] = {}
+
+    def close(upto: Node) -> Node:
+        """Closes elements up to and with this one."""
+        node = here
+        while True:
+            open_[node.name] -= 1
+            if node is upto:
+                return node.parent
+            node = node.parent
+
     while at < end:
-        m = _TOKEN.search(source, at)
-        if m is None:
+        begin = tags.find("<", at)
+        if begin < 0:
             here.children.append(source[at:])
             break
-        if m.start() > at:
-            here.children.append(source[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            here.children.append(html.escape(m[1], quote=False))
+        if begin > at:
+            here.children.append(source[at:begin])
+        at = begin + 1
+        if source.startswith("!--", at):
+            at = tags.after("-->", at + 3)
             continue
-        name = m[3] or m[6]
-        if not name:
+        if source.startswith("![CDATA[", at):
+            stop = tags.find("]]>", at + 8)
+            here.children.append(html.escape(source[at + 8 : stop if stop >= 0 else end], quote=False))
+            at = stop + 3 if stop >= 0 else end
             continue
-        name = name.lower()
-        if m[2] or m[5]:  # an end tag closes up to its start tag, if that is open
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        if at < end and source[at] in "!?":
+            at = tags.after(">", at)
+            continue
+        ends = source.startswith("/", at)
+        m = _NAME.match(source, at + ends)
+        if m is None:
+            if ends:
+                at = tags.after(">", at)
+            else:
+                here.children.append("<")
+            continue
+        name = m[0].lower()
+        stop, at = tags.tag_end(m.end())
+        attributes = source[m.end() : stop]
+        if ends:  # closes up to its start tag, if that is open
+            if open_.get(name):
+                node = here
+                while node.name != name:
+                    node = node.parent
+                here = close(node)
             continue
         if name in ("html", "body") and here is root:
-            root.attributes += " "
             continue
-        for close in (("p",) if name in CLOSES_P else ()) + SAME_CLOSES.get(name, ()):
-            node = here
-            while node is not root and node.name != close and (node.name not in SCOPE or (close in ("tr", "td", "th") and node.name in ("td", "th"))):
-                node = node.parent
-            if node is not root and node.name == close:
-                here = node.parent
-        node = Node(name, here, m[4] or "")
+        for other in (("p",) if name in CLOSES_P else ()) + SAME_CLOSES.get(name, ()):
+            if open_.get(other):
+                node = here
+                while node is not root and node.name != other and (node.name not in SCOPE or (other in ("tr", "td", "th") and node.name in ("td", "th"))):
+                    node = node.parent
+                if node is not root and node.name == other:
+                    here = close(node)
+        node = Node(name, here, attributes)
         here.children.append(node)
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-            node.children.append(source[at : stop.start() if stop else end])
-            at = stop.end() if stop else end
-        elif name not in VOID and not (m[4] or "").rstrip().endswith("/") or name in ("p", "div", "span", "a"):
+            ending = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+            node.children.append(source[at : ending.start() if ending else end])
+            at = tags.after(">", ending.end()) if ending else end
+        elif name not in VOID and not attributes.rstrip().endswith("/") or name in ("p", "div", "span", "a"):
             here = node
+            open_[name] = open_.get(name, 0) + 1
     return root
 
 
-def _named_out(node: Node) -> bool:
-    """Whether an element is cut for what it is or is called."""
-    if node.name in CUT:
-        return True
-    if node.name in NEVER_CUT or not node.attributes:
-        return False
+def _said(node: Node) -> str:
+    """What an element's attributes say of it: "out" if it is hidden or has the role of something else, "comments", "named" or nothing."""
+    found = ""
     for m in _ATTRIBUTE.finditer(node.attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and not NAMES.isdisjoint(_PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
         if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return "out"
+        if key in ("class", "id"):
+            for word in value.split():
+                parts = set(_LETTERS.findall(_HUMP.sub("-", word).lower()))
+                if parts & COMMENTS and parts <= COMMENTS | BESIDE_COMMENTS:
+                    found = "comments"
+                elif parts & NAMES and parts <= NAMES | BESIDE:
+                    found = found or "named"
+    return found
+
+
+def _plain(root: Node) -> int:
+    """Characters outside links."""
+    total, pending = 0, [root]
+    while pending:
+        node = pending.pop()
+        for x in node.children:
+            if isinstance(x, str):
+                total += len("".join(x.split()))
+            elif x.name != "a":
+                pending.append(x)
+    return total
 
 
-def _prune(root: Node) -> None:
-    """Cuts elements that can't hold an article; a page-level header goes, an article's own stays."""
+def prune(root: Node) -> None:
+    """Cuts what HTML sets apart, and reader comments where a text is left; marks what is named. A page's header goes, an article's own stays."""
     pending: list[tuple[Node, bool]] = [(root, False)]
+    comments: list[Node] = []
     while pending:
         node, inside = pending.pop()
         kept: list[Node | str] = []
         for x in node.children:
-            if isinstance(x, str):
-                kept.append(x)
-                continue
-            out = _named_out(x) or (x.name == "header" and not inside)
-            if out and (x.name in ("script", "style", "head", "template") or not _has(x, ("article", "main"))):
-                continue
+            if not isinstance(x, str):
+                said = _said(x) if x.attributes and x.name not in NEVER_NAMED else ""
+                if x.name in CUT or said == "out" or (x.name == "header" and not inside):
+                    continue
+                x.named = bool(said)
+                if said == "comments":
+                    comments.append(x)
+                pending.append((x, inside or x.name in ("article", "main")))
             kept.append(x)
-            pending.append((x, inside or x.name in ("article", "main")))
         node.children = kept
-
-
-def _has(root: Node, names: tuple[str, ...]) -> bool:
-    pending = [root]
-    while pending:
-        node = pending.pop()
-        for x in node.children:
-            if not isinstance(x, str):
-                if x.name in names:
-                    return True
-                pending.append(x)
+    if comments:
+        every, within = _plain(root), {id(x) for x in comments}
+        outermost = [x for x in comments if not _inside(x, within)]
+        inner = sum(map(_plain, outermost))
+        if every - inner >= min(LEAST_TEXT, 0.1 * inner):
+            for x in outermost:
+                x.parent.children = [y for y in x.parent.children if y is not x]
+
+
+def _inside(node: Node, some: set[int]) -> bool:
+    while (node := node.parent) is not None:
+        if id(node) in some:
+            return True
     return False
 
 
@@ -159,9 +259,8 @@ def _ordered(root: Node) -> list[Node]:
 def measure(root: Node) -> list[Node]:
     nodes = _ordered(root)
     for node in reversed(nodes):
-        chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
-        below = [x for x in node.children if not isinstance(x, str)]
-        node.chars = chars + sum(x.chars for x in below)
+        below = node.below
+        node.chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) + sum(x.chars for x in below)
         node.tags = len(below) + sum(x.tags for x in below)
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
@@ -172,47 +271,74 @@ def measure(root: Node) -> list[Node]:
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
         base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
         ratio = c / max(1, lc) * (t / lt)
-        node.density = c / t * max(0.0, math.log(max(ratio, 1.0)) / base) if c else 0.0
+        node.density = c / t * max(0.0, math.log(max(ratio, 1.0)) / base) * (NAMED_WEIGHT if node.named else 1.0) if c else 0.0
         # inline elements are part of their block's text, not parts of the page
-        node.total = sum(x.total if x.name in INLINE else x.density for x in node.children if not isinstance(x, str))
+        node.total = sum(x.total if x.name in INLINE else x.density for x in node.below)
+        node.best = max([node, *(x.best for x in node.below)], key=_rank)
     return nodes
 
 
-def _best(node: Node) -> Node:
-    return max(_ordered(node), key=lambda x: x.total)
+def _rank(node: Node) -> tuple:
+    return node.total * (NAMED_WEIGHT if node.named else 1.0), node.name in ("article", "main"), node.chars
+
+
+def _holder(some: list[Node]) -> Node:
+    """The smallest element that holds them all."""
+    path = []
+    for k, node in enumerate(some):
+        own = []
+        while node is not None:
+            own.append(node)
+            node = node.parent
+        own.reverse()
+        path = own if not k else [x for x, y in zip(path, own, strict=False) if x is y]
+    return path[-1]
 
 
 def select(root: Node) -> None:
+    """Marks what is taken: `main` of an element takes its subtree, but for named blocks that are short or linked."""
     nodes = measure(root)
-    core = max(nodes, key=lambda x: (x.total, x.chars))
+    core = root.best
     if core.total <= 0:
         root.main = True
         return
-    node = core
-    while node is not None:  # an element that the page itself marks as its article is taken whole
-        if node.name in ("article", "main"):
-            core = node
-        node = node.parent
     core.main = True
     threshold, node = core.density, core
     while node is not None:
         threshold = min(threshold, node.density)
         node = node.parent
-    pending = [root]
+    pending, taken = [root], [core]
     while pending:
         node = pending.pop()
         if node.main or node.density < threshold or not node.chars:
             continue
-        best = _best(node)
-        (best if best.total > 0 else node).main = True
-        pending.extend(x for x in node.children if not isinstance(x, str))
-    titles = [x for x in nodes if x.name == "h1"]
-    if titles:
-        titles[0].main = True  # a heading has little text, but belongs to what it heads
-
-
-def _links_only(node: Node) -> bool:
-    return node.name in ("ul", "ol", "dl", "div", "section", "table") and node.link_tags >= 3 and node.link_chars > 0.8 * node.chars
+        best = node.best if node.best.total > 0 else node
+        if not best.main and best.density >= threshold:
+            best.main = True
+            taken.append(best)
+        pending.extend(node.below)
+    within = {id(x) for x in taken}
+    chars = sum(x.chars for x in taken if not _inside(x, within))
+    for node in nodes:
+        if node.named and (node.chars < SHORT_SHARE * chars or node.link_chars > LINKED_SHARE * node.chars):
+            node.children = []
+    holder = _holder(taken)
+    pending = [holder]
+    while pending:
+        node = pending.pop()
+        if node.name in HEADINGS:
+            node.main = True
+        elif not node.main:
+            pending.extend(node.below)
+    node = holder
+    while node.parent is not None:  # and upwards, as long as there is nothing but headings beside it
+        beside = [x for x in node.parent.below if x is not node and x.chars]
+        at = node.parent.below.index(node)
+        for x in node.parent.below[:at]:
+            x.main = x.main or x.name in HEADINGS
+        if any(x.name not in HEADINGS for x in beside):
+            break
+        node = node.parent
 
 
 def blocks(root: Node) -> list[str]:
@@ -237,8 +363,6 @@ def blocks(root: Node) -> list[str]:
             held.append(" ")
         else:
             inside = inside or x.main
-            if inside and _links_only(x):
-                continue
             block = x.name not in INLINE
             if block:
                 end()
@@ -252,7 +376,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    _prune(root)
+    prune(root)
     select(root)
     return "\n".join(blocks(root))
 
