@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from textmill.llm import mixing
 from textmill.llm.divergence import Rules, quality_rules
@@ -122,12 +121,18 @@ def test_overlapping_sources(spark):
         assert abs(taken[s] - target) <= 90
 
 
-def test_many_patterns_are_coarsened(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
-    rows = [(i, "w " * 5, [f"s{i % 4}", f"s{(i + 1) % 4}"]) for i in range(80)]
+def test_many_patterns_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 100)
+    rows = [(i, "w " * 5, [f"s{i % 1500}", f"s{(i + 1) % 1500}"]) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
-    got = mixing.mix(d).groupBy("doc_id").agg(F.sum("times").alias("t")).collect()
-    assert len(got) == 80 and max(r["t"] for r in got) <= 3
+    got = mixing.mix(d, weights=(1.0,)).collect()
+    by = collections.Counter(x["doc_id"] for x in got)
+    assert len(got) == 6000 and set(by.values()) == {2}
+    assert {x["source_size"] for x in got} == {20} and {x["target"] for x in got} == {10.0}
+    taken = collections.Counter()
+    for x in got:
+        taken[x["source"]] += x["taken"]
+    assert all(abs(n - 10) <= 10 for n in taken.values())
 
 
 def brute_rules(text):

@@ -38,6 +38,57 @@ def test_lookup_is_a_filter_for_all_languages():
     assert language.predict(language.fit({}), "text")[0] == "und"
 
 
+def test_every_language_with_a_row_is_learned(spark):
+    rows = [(i, "the cat sat on the mat and the dog", "en") for i in range(60)] + [(100, "zwei kleine schafe gingen zwei kleine", "de"), (100, "zwei kleine schafe gingen zwei kleine", "de")]
+    rows = [r for r in rows if not held(r[0])]
+    assert {r[2] for r in rows} == {"en", "de"}
+    m = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == ["de", "en"] and language.predict(m, "kleine zwei")[0] == "de" and language.predict(m, "the mat")[0] == "en"
+
+
+def test_numerals_are_no_letters():
+    m = language.fit({"en": ["the cat sat on the mat"] * 3})
+    for text in ("²½", "Ⅷ", "12 ³", "_"):
+        assert language.predict(m, text)[0] == "und"
+    assert language.predict(m, "² the")[0] == "en"
+
+
+def test_lookup_by_brute_force(corpus):
+    """Sets of typical n-grams instead of a filter's rows; the filter is large, so that chance adds next to nothing."""
+    samples = {"en": [t for i, t, g, _ in corpus if g == "en" and t and not held(i)][:60], "fr": [t for i, t, g, _ in corpus if g == "fr" and t and not held(i)][:60]}
+    s = language.Settings(row_bits=22)
+    m = language.fit(samples, s)
+    typical = {}
+    for n in s.sizes:
+        counts = {}
+        for name, texts in samples.items():
+            raw = "\n".join(texts).lower().encode()
+            own = {}
+            for k in range(len(raw) - n + 1):
+                own[raw[k : k + n]] = own.get(raw[k : k + n], 0) + 1
+            counts[name] = own, len(raw)
+        share = lambda name, g, counts=counts: counts[name][0].get(g, 0) / counts[name][1]
+        for name in samples:
+            typical[name, n] = {g for g, c in counts[name][0].items() if c >= s.least_count and share(name, g) >= s.least_ratio * max(share(x, g) for x in samples)}
+    for _, text, _, _ in corpus:
+        if not text or not any(c.isalpha() for c in text) or len(text.encode()) < 5:
+            continue
+        raw = text.lower().encode()
+        want = np.array([sum(raw[k : k + n] in typical[x, n] for n in s.sizes for k in range(len(raw) - n + 1)) for x in m.languages])
+        got, places = language.hits(m, np.frombuffer(raw, np.uint8))
+        assert places == sum(max(0, len(raw) - n + 1) for n in s.sizes)
+        assert np.abs(got - want).max() <= 2 + 0.002 * places
+        if abs(want[0] - want[1]) > 4 + 0.004 * places:
+            assert language.predict(m, text)[0] == m.languages[int(np.argmax(want))]
+
+
+def test_held_out_languages(spark):
+    got = language.language_id(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").select("doc_id", "lang")
+    rows = got.filter("held_out AND lang_pred <> 'und'").join(true, "doc_id").collect()
+    assert len(rows) > 200 and sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) >= 0.95
+
+
 def test_long_texts_are_taken_in_parts(monkeypatch):
     m = language.fit({"en": ["the cat sat on the mat"] * 3, "fr": ["le chat est sur la table"] * 3})
     data = np.frombuffer(b"the cat sat on the mat " * 200, np.uint8)
@@ -77,6 +128,49 @@ def test_network_learns_and_parts_agree(monkeypatch):
     assert net.score(late) < net.score("abc " * 5000)  # the end of a long text counts
 
 
+def test_convolution_by_brute_force():
+    texts = ["ab c", "Some WORDS, and then some words and then some words 123", "x" * 700, ""]
+    net = bytenet.fit(texts, [0, 1, 0, 1], bytenet.Settings(filters=5, epochs=2))
+    s = net.settings
+    for text in texts:
+        data = text.encode()
+        again = bytenet.repeats(np.frombuffer(data, np.uint8), s.repeat_bytes)
+        best = []
+        for begin in range(0, max(1, len(data)), s.chunk):
+            found = np.full(s.filters, -np.inf)
+            for at in range(begin, begin + s.chunk, s.step):
+                value = net.bias.astype(float).copy()
+                for k in range(s.width):
+                    inside = at + k < len(data)
+                    x = np.append(net.table[data[at + k] if inside else 256], again[at + k] if inside else 0.0)
+                    value += x @ net.filters[k * len(x) : (k + 1) * len(x)]
+                found = np.maximum(found, value)
+            best.append(np.maximum(found, 0))
+        best = np.array(best)
+        z = np.concatenate([best.mean(axis=0), best.max(axis=0), [np.log1p(len(data)) / 5]]) @ net.head + net.offset
+        assert abs(net.score(text) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_held_out_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = bytenet.quality_scores(some, labels, settings=bytenet.Settings(epochs=4)).filter("held_out").join(labels, "doc_id").collect()
+    right = sum(r["predicted"] == r["quality"] for r in got) / len(got)
+    assert len(got) > 1000 and right >= 0.8, right
+
+
+def test_ids_that_repeat_are_sampled_within_bounds(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(3, 9)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(3 + i % 6, f"text {i}") for i in range(600)], "doc_id long, text string")
+    seen = []
+    bytenet_fit, bytenet.fit = bytenet.fit, lambda texts, marks, s: seen.append(len(texts)) or bytenet_fit([], [], s)
+    try:
+        bytenet.learn(docs, labels, settings=bytenet.Settings(sample_docs=20))
+    finally:
+        bytenet.fit = bytenet_fit
+    assert 0 < seen[0] <= 80
+
+
 def test_gradient():
     settings = bytenet.Settings(filters=3, epochs=1)
     net = bytenet.fit(["abc def", "XYZ!! ##"], [1, 0], settings)

@@ -8,10 +8,11 @@ probability.  Only where a filter was largest does its gradient flow, so learnin
 than scoring.
 
 Fitted on the driver on a bounded sample of learnable labelled rows (`sample_docs` of each label,
-chosen by hash, texts of at most `sample_bytes`); scoring takes every byte of every text, in parts of
+chosen by hash, twice as many at most where ids repeat, texts of at most `sample_bytes`); scoring takes every byte of every text, in parts of
 bounded size.  Labels other than 0 and 1 and null texts are not learned from; repeated label rows
 count as often as they are there.  Without both labels in the sample every score is the label's share
-(0.5 without any).  Null text: scored as the empty text.
+(0.5 without any).  Null text: scored as the empty text.  Very long texts take longer only; equal
+texts have equal scores, whatever their row.
 """
 
 from __future__ import annotations
@@ -178,15 +179,16 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
 
 
 def learn(df: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", settings: Settings = Settings()) -> Net:
-    """Samples learnable labelled rows: the hash's threshold for each label comes from the labels alone."""
+    """Samples learnable labelled rows: the hash's threshold for each label comes from the labels alone; the rows that it takes are bounded once more."""
     known = labels.filter(F.col(label_column).isin(0, 1) & learnable(id_column)).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label"), F.pmod(F.xxhash64(F.col(id_column), F.lit(settings.seed)), F.lit(1 << 30)).alias("_u"))
     counts = known.groupBy("_label").count()
     chosen = known.join(counts, "_label").filter(F.col("_u") < F.lit(float(1 << 30)) * settings.sample_docs / F.col("count")).select("_id", "_label", "_u")
     rows = df.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
-    # ids of the sample only, whose number is bounded
-    some = rows.join(F.broadcast(chosen), "_id").filter(F.octet_length("_text") <= settings.sample_bytes).collect()
-    some.sort(key=lambda r: (r["_u"], r["_id"], r["_text"], r["_label"]))
-    return fit([r["_text"] for r in some], [r["_label"] for r in some], settings)
+    # ids of the sample only, whose number is bounded; an id may have any number of rows
+    some = rows.join(F.broadcast(chosen), "_id").filter(F.octet_length("_text") <= settings.sample_bytes).withColumn("_h", F.xxhash64("_u", "_text"))
+    taken = [r for label in (0, 1) for r in some.filter(F.col("_label") == label).orderBy("_h", "_id", "_text").limit(2 * settings.sample_docs).collect()]
+    taken.sort(key=lambda r: (r["_u"], r["_id"], r["_text"], r["_label"]))
+    return fit([r["_text"] for r in taken], [r["_label"] for r in taken], settings)
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", settings: Settings = Settings()) -> DataFrame:

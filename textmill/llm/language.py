@@ -7,10 +7,13 @@ count over the text's n-grams.  The filter's own share of set bits tells how oft
 returned by chance; hits are corrected for that before they decide.
 
 N-grams are of bytes of the lower-cased text, at every place of the whole text.  The model is fitted
-on a bounded sample: about `sample_docs` texts of each language, chosen by hash.
+on a bounded sample of every language that has a learnable row: about `sample_docs` texts, chosen by
+hash, with many languages fewer (`sample_total` over all, but `sample_least` each); of a longer text
+it learns from the first `sample_chars` characters.
 
-Null text, or text without a letter: `und`, score 0.  Languages of fewer than `min_docs` learnable
-rows aren't learned; without any language all texts are `und`.  Empty table: empty result.
+Null text, or text without a letter: `und`, score 0.  Without any language all texts are `und`.  Ties go
+to the first language by code point.  Very long texts are looked up in parts; repeated rows have equal
+results and count once in the sample.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from textmill.llm.common import arrow, claim, learnable, text_of
 
-#: Odd multipliers for the hashes.
+#: Odd multipliers for the hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some numerals
 UNKNOWN = "und"
 
 
@@ -39,9 +43,9 @@ class Settings:
     row_bits: int = 20
     hashes: int = 3
     sample_docs: int = 300
-    sample_bytes: int = 50_000  # longer texts are not learned from
-    min_docs: int = 5
-    max_languages: int = 1024  # the most frequent ones
+    sample_total: int = 30_000
+    sample_least: int = 10
+    sample_chars: int = 50_000
     least_count: int = 2
     least_ratio: float = 0.2  # of the n-gram's highest frequency in any language; less is foreign matter
 
@@ -119,7 +123,7 @@ def hits(model: Model, data: np.ndarray) -> tuple[np.ndarray, int]:
 
 def predict(model: Model, text: str | None) -> tuple[str, float, float]:
     """Language, its share of all languages' hits, and the share of n-grams that it contains."""
-    if not text or not model.languages or not LETTER.search(text):
+    if not text or not model.languages or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return UNKNOWN, 0.0, 0.0
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
     if len(data) < max(model.settings.sizes):
@@ -132,15 +136,25 @@ def predict(model: Model, text: str | None) -> tuple[str, float, float]:
 
 
 def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", settings: Settings = Settings()) -> Model:
-    """Fits on learnable rows: a hash below a language's own threshold chooses its sample; only the sample's texts move."""
+    """Fits on learnable rows: a hash of id and text below a language's own threshold chooses its sample; only the sample's texts move."""
     rows = df.filter(learnable(id_column) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    rows = rows.select(F.col(lang_column).cast("string").alias("_lang"), text_of(text_column).alias("_text"), F.pmod(F.xxhash64(F.col(id_column), F.lit(17)), F.lit(1 << 30)).alias("_u"))
-    counts = rows.groupBy("_lang").count().filter(F.col("count") >= settings.min_docs)
-    known = counts.orderBy(F.desc("count"), "_lang").limit(settings.max_languages).collect()
-    limits = df.sparkSession.createDataFrame([(r["_lang"], settings.sample_docs / r["count"] * (1 << 30)) for r in known], "_lang string, _limit double")
-    samples: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(limits), "_lang").filter((F.col("_u") < F.col("_limit")) & (F.octet_length("_text") <= settings.sample_bytes)).select("_lang", "_text").collect():
-        samples.setdefault(r["_lang"], []).append(r["_text"])
+    rows = rows.select(F.col(lang_column).cast("string").alias("_lang"), text_of(text_column).alias("_text"), F.xxhash64(F.col(id_column), text_of(text_column)).alias("_h"))
+    known = rows.groupBy("_lang").count().collect()  # a row for each language
+    each = min(settings.sample_docs, max(settings.sample_least, settings.sample_total // max(1, len(known))))
+    limits = df.sparkSession.createDataFrame([(r["_lang"], max(1.0, each / r["count"] * (1 << 30))) for r in known], "_lang string, _limit double")
+    picked = rows.join(F.broadcast(limits), "_lang").filter(F.pmod("_h", F.lit(1 << 30)) < F.col("_limit"))
+    samples: dict[str, list[str]] = {r["_lang"]: [] for r in known}
+    # rows that repeat have one hash, and are one text of the sample
+    for r in picked.groupBy("_lang", "_h").agg(F.first(F.substring("_text", 1, settings.sample_chars)).alias("_text")).collect():
+        samples[r["_lang"]].append(r["_text"])
+    few = [x for x, texts in samples.items() if len(texts) < settings.sample_least]
+    if few:  # a small language's own rows decide; the draw may have taken too few of them
+        samples |= {x: [] for x in few}
+        own = rows.filter(F.col("_lang").isin(few)).dropDuplicates(["_lang", "_h"]).withColumn("_r", F.row_number().over(W.partitionBy("_lang").orderBy("_h"))).filter(F.col("_r") <= settings.sample_least)
+        for r in own.select("_lang", F.substring("_text", 1, settings.sample_chars).alias("_text")).collect():
+            samples[r["_lang"]].append(r["_text"])
+    for texts in samples.values():
+        texts.sort()
     return fit(samples, settings)
 
 

@@ -4,7 +4,7 @@ Documents that belong to the same set of sources (a membership pattern) are alik
 one aggregate gives its nodes: the words of each pattern.  From each pattern its words can be taken
 once for nothing, a second time at a cost, a third time at a higher one (convex costs, so the flow
 uses repeats only where single use can't meet the targets); each source takes up to its target.  The
-flow over patterns and sources is solved on the driver, whose share of the data is the patterns.
+flow over patterns and sources is solved on the driver, whose share of the data is one row for each pattern.
 
 The words that flow from a pattern lie on a line: first pass over its documents in seeded order,
 second pass, and so on; sources have successive stretches of that line.  A document belongs to a
@@ -14,7 +14,9 @@ refined bit group by bit group, and a sort of the few documents of one last bin:
 sorted as a whole, and none meets in one task.
 
 Null or empty texts: size 0, never taken.  Null source: a source of its own, ordered last.  Rows
-with equal id and text stand at one place of the order and are taken alike.  Empty table: no rows.
+with equal id and text stand at one place of the order and are taken alike, and so are ties of its
+60-bit key.  A very long text is as many words; it misses a source's amount by half of them at most.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import Window as W
 from textmill.llm.common import saved, text_of, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Patterns kept apart; documents of smaller patterns beyond these count for one of their sources, chosen by hash.
-MAX_PATTERNS = 1024
+#: Rows up to which a table of patterns is broadcast; a larger one is joined as any other.
+BROADCAST_ROWS = 100_000
 #: Bits of the order key that one histogram resolves, and rows in a last bin that are sorted.
 STEP_BITS, KEY_BITS, SORT_ROWS = 12, 60, 20_000
 
@@ -58,7 +60,7 @@ def _order(source: str | None) -> tuple:
 
 
 def min_cost_flow(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple[tuple, str | None], int]:
-    """Words from each pattern to each of its sources; successive cheapest paths, so the flow is as large as it can be at least cost."""
+    """Words from each pattern to each of its sources; all cheapest paths at once, cost by cost, so the flow is as large as it can be at least cost."""
     names = {x: i + 2 for i, x in enumerate([*(("p", p) for p in patterns), *(("s", s) for s in targets)])}
     graph: list[list[int]] = [[] for _ in range(len(names) + 2)]
     to, room, cost = [], [], []
@@ -80,27 +82,59 @@ def min_cost_flow(patterns: dict[tuple, int], targets: dict, repeats: int) -> di
     for s, target in targets.items():
         arc(names["s", s], 1, round(target), 0)
     while True:
-        far, via, waiting, queued = [float("inf")] * len(graph), [-1] * len(graph), deque([0]), [False] * len(graph)
+        far, waiting, queued = [float("inf")] * len(graph), deque([0]), [False] * len(graph)
         far[0] = 0
         while waiting:
             x = waiting.popleft()
             queued[x] = False
             for a in graph[x]:
                 if room[a] > 0 and far[x] + cost[a] < far[to[a]]:
-                    far[to[a]], via[to[a]] = far[x] + cost[a], a
+                    far[to[a]] = far[x] + cost[a]
                     if not queued[to[a]]:
                         waiting.append(to[a])
                         queued[to[a]] = True
-        if via[1] < 0:
+        if far[1] == float("inf"):
             return {x: room[a ^ 1] for x, a in links.items() if room[a ^ 1]}
-        path, x = [], 1
-        while x:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        amount = min(room[a] for a in path)
-        for a in path:
-            room[a] -= amount
-            room[a ^ 1] += amount
+        _fill(graph, to, room, lambda x, a, far=far: far[to[a]] == far[x] + cost[a])
+
+
+def _fill(graph: list[list[int]], to: list[int], room: list[int], cheapest) -> None:
+    """Largest flow from 0 to 1 along the cheapest arcs alone, level by level."""
+    while True:
+        level, waiting = [-1] * len(graph), deque([0])
+        level[0] = 0
+        while waiting:
+            x = waiting.popleft()
+            for a in graph[x]:
+                if room[a] > 0 and level[to[a]] < 0 and cheapest(x, a):
+                    level[to[a]] = level[x] + 1
+                    waiting.append(to[a])
+        if level[1] < 0:
+            return
+        tried, path, x = [0] * len(graph), [], 0
+        while True:
+            if x == 1:
+                amount = min(room[a] for a in path)
+                for a in path:
+                    room[a] -= amount
+                    room[a ^ 1] += amount
+                full = next(k for k, a in enumerate(path) if not room[a])
+                x = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[x] < len(graph[x]):
+                a = graph[x][tried[x]]
+                if room[a] > 0 and level[to[a]] == level[x] + 1 and cheapest(x, a):
+                    break
+                tried[x] += 1
+            if tried[x] < len(graph[x]):
+                path.append(a)
+                x = to[a]
+            elif path:
+                x = to[path.pop() ^ 1]
+                tried[x] += 1
+            else:
+                break
 
 
 def _marks(line: DataFrame, wanted: list[tuple[int, float]]) -> dict[tuple[int, float], int]:
@@ -148,8 +182,8 @@ def _placed(df: DataFrame, id_column: str, text_column: str, source: str | Colum
     return df.withColumns({"_id": F.col(id_column), "_text_key": F.xxhash64(text), "_size": F.size(words_of(text)).cast("long"), "_names": F.sort_array(F.array_distinct(names), asc=False), "_key": key})
 
 
-def _one_source(names: Column) -> Column:
-    return F.array(F.get(names, F.pmod(F.col("_key"), F.size(names)).cast("int")))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def times(
@@ -162,13 +196,7 @@ def times(
     """
     spark = df.sparkSession
     base = saved(_placed(df, id_column, text_column, source, seed).select("_size", "_names", "_key"), "mix-documents")
-    found = base.groupBy("_names").agg(F.sum("_size").alias("n")).orderBy(F.desc("n"), "_names").limit(MAX_PATTERNS + 1).collect()
-    kept = None
-    if len(found) > MAX_PATTERNS:
-        kept = F.broadcast(spark.createDataFrame([(r["_names"], True) for r in found[:MAX_PATTERNS]], "_names array<string>, _big boolean"))
-        base = base.join(kept, "_names", "left").withColumn("_names", F.when(F.col("_big"), F.col("_names")).otherwise(_one_source(F.col("_names")))).drop("_big")
-        base = saved(base, "mix-patterns")
-        found = base.groupBy("_names").agg(F.sum("_size").alias("n")).collect()
+    found = base.groupBy("_names").agg(F.sum("_size").alias("n")).collect()
     patterns = {tuple(sorted(r["_names"], key=_order)): int(r["n"]) for r in found}
     sizes: dict = {}
     for p, n in patterns.items():
@@ -190,7 +218,7 @@ def times(
             at = end
     ids = spark.createDataFrame([(list(p), i) for p, i in numbers.items()] or [([], -1)], "_sorted array<string>, _p int")
     # sets of names in the order that sort_array gives
-    ids = F.broadcast(ids.select(F.sort_array("_sorted", asc=False).alias("_names"), "_p"))
+    ids = _small(ids.select(F.sort_array("_sorted", asc=False).alias("_names"), "_p"), len(numbers))
     marks = _marks(base.join(ids, "_names").select("_p", "_key", "_size"), sorted(wanted))
     plan = []
     for i, s, at, end, size in stretches:
@@ -208,9 +236,7 @@ def times(
         plan.append((i, s, sizes[s], float(targets[s]), whole, runs))
     rows = spark.createDataFrame(plan or [(-1, None, 0, 0.0, 0, [])], "_p int, _source string, _source_size long, _target double, _whole int, _runs array<struct<low:long,high:long>>")
     out = _placed(df, id_column, text_column, source, seed)
-    if kept is not None:
-        out = out.join(kept, "_names", "left").withColumn("_names", F.when(F.col("_big"), F.col("_names")).otherwise(_one_source(F.col("_names")))).drop("_big")
-    out = out.join(ids, "_names").join(F.broadcast(rows), "_p")
+    out = out.join(ids, "_names").join(_small(rows, len(plan)), "_p")
     count = F.when(F.col("_size") > 0, F.col("_whole") + F.size(F.filter("_runs", lambda r: (F.col("_key") >= r["low"]) & (F.col("_key") < r["high"])))).otherwise(0)
     return out.withColumn("_times", count.cast("int")).drop("_p", "_names", "_key", "_whole", "_runs")
 
