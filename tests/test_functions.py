@@ -88,21 +88,24 @@ def test_strip_html(spark):
     assert results(spark, pages, markup.strip_html("x")) == [python(p) for p in pages]
 
 
-def test_notebooks():
-    book = '{"metadata": {"kernelspec": {"name": "%s"}}, "cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"cell_type": "markdown", "source": "m"}, {"cell_type": "code", "source": "c"}, {"cell_type": "code", "source": " "}, 3]}'
-    assert markup.notebook_code(book % "Python 3") == "a\nb\n\nc"
-    assert markup.notebook_code(book % "ir") == ""
-    assert markup.notebook_code("not json") == "not json"
-    assert markup.notebook_code("[1]") == ""
-    assert markup.notebook_code('{"cells": 3}') == ""
-
-
-def test_questions_and_issues():
-    assert markup.question_and_answers({"question": {"body": "<b>q</b>"}, "answers": [{"text": "a&lt;"}, "", {"body": "b"}]}) == "q\n\na<\n\nb"
-    assert markup.question_and_answers({"answers": {"text": "only"}}) == "only"
-    assert markup.issue({"content": " c ", "title": "t"}) == "c"
-    assert markup.issue({"title": "t", "body": None, "events": [{"body": "e1"}, "e2"], "comments": {"items": ["x"]}}) == "t\n\ne1\n\ne2\n\nx"
+def test_notebooks(spark):
+    book = '{"metadata": {"kernelspec": {"name": "%s"}}, "cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"cell_type": "markdown", "source": "m"}, {"cell_type": "code", "source": "c"}, {"cell_type": "code", "source": " "}, 3, {"cell_type": "code", "source": "[1]"}, {"cell_type": "code"}]}'
+    texts = [book % "Python 3", book % "ir", "not json", "[1]", '{"cells": 3}', "", None, '{"metadata": 3, "cells": [{"cell_type": "code", "source": "x"}]}', '{"metadata": {"language_info": {"name": "  "}, "kernelspec": {"language": "R"}}, "cells": []}']
+    assert results(spark, texts, markup.processed("x", markup.NOTEBOOK)) == ["a\nb\n\nc\n\n[1]", "", "not json", "", "", "", None, "x", ""]
+
+
+def test_questions_and_issues(spark):
+    qa, issue = markup.SLOTS["stackexchange_preference_qa"], markup.SLOTS["github_issue_conversation"]
+    assert markup.gathered({"question": {"body": "<b>q</b>"}, "answers": [{"text": "a&lt;"}, "", {"body": "b"}, {"other": 1}, "<code>c</code>"]}, qa) == "q\n\na<\n\nb\n\n`c`"
+    assert markup.gathered({"answers": {"text": "only"}}, qa) == "only" and markup.gathered({"question": {"x": "y"}, "answers": None}, qa) == "y" and markup.gathered(None, qa) == ""
+    assert markup.gathered({"content": " <b>c ", "title": "t"}, issue) == "<b>c"
+    assert markup.gathered({"title": "t", "body": None, "events": [{"body": "e1"}, "e2"], "comments": {"items": ["x"]}}, issue) == "t\n\ne1\n\ne2\n\nx"
+    assert markup.gathered({"title": ["a", "b"], "events": "e", "comments": {"body": "c"}}, issue) == "a\n\nb\n\ne\n\nc"
     assert markup.flat({"a": [1, None, {"b": "c"}]}) == "1\n\nc"
+    rows = ['{"title": "t", "comments": [{"text": "x"}]}', "bad", None]
+    assert results(spark, rows, markup.processed("x", "github_issue_conversation")) == ["t\n\nx", "", None]
+    d = spark.createDataFrame([("{}", "a", None), ('{"title": "t"}', "a", "b")], "x string, a string, b string")
+    assert [r[0] for r in d.select(markup.processed_document("github_issue_conversation", "x", ["a", "b"])).collect()] == ["a", "t"]
 
 
 def test_metrics(spark):
@@ -229,9 +232,63 @@ def test_best_response(spark):
         spark.conf.unset("spark.sql.mapKeyDedupPolicy")
 
 
+def test_tolerant_equality(spark):
+    pairs = [
+        ("1.0000001", "1", True), ("[1, 2.0]", "(1, 2.0)", True), ("[1]", "[1, 2]", False), ('{"a": "x  y"}', '{"a": "x y"}', True), ("a\nb", "a b", True), ("a", "b", False), (None, "", True),
+        ("100000000000000000001", "100000000000000000002", False), ("true", "1", True), ('["1"]', "[1]", True), ('{"b": 1, "a": 2}', '{"a": 2, "b": 1}', True), ('{"a": 1}', '{"b": 1}', False),
+        ("[[1.5], [2]]", "[[1.5000000001], [2]]", True), ("1e400", "2", False), ("[1, [2]]", "[[1], 2]", False), ("1.1", "1.2", False), ("[]", "[]", True), ("None", "null", True), ("x", "1.0", False),
+    ]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = [r[0] for r in d.orderBy("i").select(rl.tolerant_equal(F.col("a"), F.col("b"))).collect()]
+    assert got == [x[2] for x in pairs]
+
+
+def test_problems_and_rewards(spark):
+    d = spark.createDataFrame([("q", "def f():\n    pass", '{"inputs": [1, 2], "outputs": ["3", "4.0"]}', 1), ("q", None, "{}", 2)], "question string, starter_code string, input_output string, problem_id int")
+    p = rl.problems(d)
+    assert [r["prompt"] for r in p.collect()] == ["<fim_prefix># q\n\ndef f():\n    \n<fim_suffix><fim_middle>"]
+    with pytest.raises(ValueError):
+        rl.problems(d.filter("problem_id = 2"))
+    done = p.crossJoin(spark.range(2).withColumnRenamed("id", "candidate")).select("problem_id", "candidate", "tests")
+    outputs = spark.createDataFrame([(1, 0, 0, "3"), (1, 0, 1, "4.0000000001"), (1, 1, 0, "5")], "problem_id int, candidate long, test int, output string")
+    assert sorted(tuple(r) for r in rl.reward_of(done, outputs).collect()) == [(1, 0, 2, 2, 1.0), (1, 1, 0, 2, 0.0)]
+    plain = spark.createDataFrame([("a",), (None,)], "x string").select(rl.completion_text(F.col("x"), "string"))
+    assert [r[0] for r in plain.collect()] == ["a", ""]
+
+
+def test_segments(spark):
+    rows = [[3, 4, 0, 1, 0, 0, 1], [0, 1, 2], [5], []]
+    assert results(spark, rows, pack.segment_ids(F.col("x")), "array<int>") == [[0, 0, 1, 1, 2, 3, 3], [1, 1, 1], [0], []]
+
+
+def test_long_means(spark):
+    x = [float(i * 7 % 13) for i in range(2000)]
+    e, want = None, []
+    for v in x:
+        e = v if e is None else 0.9 * e + 0.1 * v
+        want.append(e)
+    assert results(spark, [x, [], [2.0]], evalkit.ema(F.col("x")), "array<double>") == [pytest.approx(want), [], [2.0]]
+
+
+def test_newest_files(spark):
+    d = spark.createDataFrame([("eval_results_step_9.json",), ("eval_results_step_10.json",), ("step_11.pt",), ("notes.json",)], "name string")
+    assert evalkit.newest_result(d).first()["name"] == "eval_results_step_10.json"
+    assert evalkit.newest_checkpoint(d).first()["name"] == "step_11.pt"
+    assert evalkit.newest_checkpoint(d.unionByName(spark.createDataFrame([("final",)], "name string"))).first()["name"] == "final"
+
+
+def test_docstrings_in_the_transform(spark):
+    code = 'def f(a, b):\n    """Says it."""\n    return a + b + a + b\n'
+    d = spark.createDataFrame([("s", i, "python_code", code, code.split(), 10**9, "m.py") for i in range(40)], "source_id string, seq int, category string, text string, tokens array<string>, position long, path string")
+    s = fim.Fim(most=1.0, ramp_tokens=1, docstring_fraction=1.0)
+    for r in fim.transform(d, s, encode=text.words, path="path", end="<eos>").collect():
+        t = r["tokens"]
+        assert r["mode"] == "fim_psm" and t[-1] == "<eos>" and t[t.index("<fim_middle>") + 1 :] == "return a + b + a + b <eos>".split()
+        head = t[1 : t.index("<fim_suffix>")]
+        assert head in ([*code.split()[:6]], ["<filename>", "m.py", *code.split()[:6]]) or head[-2:] == ['"""Says', 'it."""']
+
+
 def test_rewards(spark):
-    assert rl.alike(1.0000001, "1") and rl.alike([1, 2.0], "(1, 2.0)") and not rl.alike([1], "[1, 2]")
-    assert rl.alike({"a": "x  y"}, '{"a": "x y"}') and rl.alike("a\nb", "a b") and not rl.alike("a", "b") and rl.alike(None, "")
     d = table(spark, ['{"inputs": [1, 2, 3], "outputs": ["a", "b"]}', '{"inputs": [], "outputs": []}', "[]", "bad", None, '{"inputs": 3, "outputs": [1]}'])
     got = [r[0] for r in d.orderBy("i").select(rl.tests("x")).collect()]
     assert list(got[0]["inputs"]) == ["1", "2"] and got[0]["fn_name"] == "" and got[1:] == [None] * 5

@@ -65,15 +65,56 @@ def test_manifest(tmp_path):
     assert list(tmp_path.iterdir()) == [path]
 
 
-def test_log(tmp_path):
+def test_writers_take_turns(tmp_path):
+    import threading
+
+    path, done = tmp_path / "m.json", []
+
+    def add(k):
+        while True:
+            try:
+                manifest.commit(path, manifest.read_json(path, {}) or {}, {"id": k, "actual_tokens": 3})
+                done.append(k)
+                return
+            except manifest.Conflict:
+                continue
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(12)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    found = manifest.read_json(path)
+    assert found["tokens_prepared"] == 36 and len(found["shards"]) == 12 and len({s["tokens_start"] for s in found["shards"]}) == 12
+    (tmp_path / "m.json.lock").touch()
+    with pytest.raises(manifest.Conflict), manifest.locked(path, patience=0.1):
+        pass
+    with manifest.locked(path, patience=0.1, stale=-1):
+        pass
+
+
+def test_parts_of_shards(spark, tmp_path):
+    root = str(tmp_path / "s")
+    d = spark.createDataFrame([(m, i, 30 if i % 5 else 200) for i in range(40) for m in ("standard", "fim_psm")], "mode string, seq long, n_tokens long")
+    manifest.write_shard(d, root, 3, most=100)
+    got = spark.read.parquet(root)
+    assert got.count() == 80
+    parts = got.groupBy("mode", "part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.countDistinct(F.col("_metadata.file_path")).alias("files")).collect()
+    assert all(r["files"] == 1 and (r["n"] <= 100 or r["rows"] == 1) for r in parts)
+    files = manifest.shard_files(root, 3)
+    assert len(files) == len(parts) and {f["mode"] for f in files} == {"standard", "fim_psm"}
+
+
+def test_log(spark, tmp_path):
     path = tmp_path / "l.jsonl"
     for i in range(100):
         manifest.append_line(path, {"i": i}, most_bytes=200)
-    rows = manifest.tail_objects(path)
-    assert path.stat().st_size <= 200 and rows[-1] == {"i": 99} and [r["i"] for r in rows] == list(range(rows[0]["i"], 100))
+    tail = lambda most=1 << 20: [r["i"] for r in manifest.tail_objects(spark, str(path), "i int", most).collect()]
+    rows = tail()
+    assert path.stat().st_size <= 200 and rows == list(range(rows[0], 100))
     with path.open("a") as f:
         f.write("bad\n\n[1]\n")
-    assert manifest.tail_objects(path)[-1] == {"i": 99} and manifest.tail_objects(tmp_path / "none") == []
+    assert tail()[-1] == 99 and tail(30) == [98, 99] and not list(tmp_path.glob("*.tmp"))
 
 
 def test_delete_below(tmp_path):
@@ -153,6 +194,63 @@ def test_stream_resumes(spark, tmp_path):
     assert got.count() == 30 and got.select("id").distinct().count() == 30 and got.select("batch_id").distinct().count() == 3
 
 
+def test_encodings_of_blobs(spark):
+    kind = "files array<struct<path:string,language:string,blob_id:string,src_encoding:string,is_vendor:boolean,is_generated:boolean>>"
+    contents = {"1": (b"caf\xc3\xa9", None), "2": (b"caf\xe9", "latin-1"), "3": (b"a\xffb", "UTF-8"), "4": ("é".encode("utf-16"), "utf-16"), "5": (b"x", "no-such")}
+    raw = spark.createDataFrame([([(k, "Python", k, e, None, None) for k, (_, e) in contents.items()],)], kind)
+    blobs = spark.createDataFrame([(k, bytearray(c)) for k, (c, _) in contents.items()], "blob_id string, content binary")
+    got = {r["path"]: r["text"] for r in readers.bundles(raw, blobs, readers.Source("s", "code")).collect()}
+    assert got == {"1": "café", "2": "café", "3": "a\ufffdb", "4": "é", "5": None}
+
+
+def test_item_text(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, text string")
+    assert readers.item_text(items, 2) == "b"
+    with pytest.raises(KeyError):
+        readers.item_text(items, 3)
+
+
+def test_streams_of_sources_resume_and_retry(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "root")
+    for i in range(2):
+        spark.range(i * 5, i * 5 + 5).coalesce(1).write.mode("append").parquet(str(src))
+    s = readers.Source("s", "c", path=str(src))
+    assert flows.drained(flows.source_stream(spark, s, "id long"), root=root).count() == 10
+    spark.range(10, 12).coalesce(1).write.mode("append").parquet(str(src))
+    got = flows.drained(flows.source_stream(spark, s, "id long"), root=root)
+    assert sorted(r[0] for r in got.collect()) == list(range(12))
+    calls, waits = [], []
+
+    def start():
+        def write(batch, number):
+            calls.append(number)
+            if len(calls) < 3:
+                raise OSError("gone")
+
+        return flows.source_stream(spark, s, "id long").writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+
+    assert flows.retried(start, wait=waits.append) == 2 and waits == [1.0, 2.0]
+    spark.range(9).coalesce(1).write.mode("append").parquet(str(src))
+
+    def never():
+        def write(batch, number):
+            raise OSError("gone")
+
+        return flows.source_stream(spark, s, "id long").writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+
+    with pytest.raises(flows.Unreadable):
+        flows.retried(never, most=1, wait=waits.append)
+
+
+def test_bounded_time_and_head():
+    import subprocess
+
+    code, text = manifest.run_bounded(["python", "-c", "print('begin' + 'x' * 100000)"], 50, head=True)
+    assert code == 0 and len(text) == 50 and text.startswith("begin")
+    with pytest.raises(subprocess.TimeoutExpired):
+        manifest.run_bounded(["python", "-c", "import time; time.sleep(60)"], 50, timeout=1.0)
+
+
 def test_bounded_output():
     code, text = manifest.run_bounded(["python", "-c", "print('x' * 100000 + 'end'); raise SystemExit(3)"], 50)
     assert code == 3 and len(text) == 50 and text.endswith("end\n")

@@ -5,25 +5,31 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions.text import col, strip
+from textmill.functions.text import col, normal_language, strip
+
+
+#: Patterns of markup and what stands for it ($1: the group), in this order.
+TAGS = ((r"(?is)<pre><code>(.*?)</code></pre>", "\n$1\n"), (r"(?is)<code>(.*?)</code>", "`$1`"), (r"<[^>]+>", " "))
+BLANK_LINES = r"\n{3,}"
 
 
 def without_tags(x: Column | str) -> Column:
     """Code blocks on lines of their own, inline code in backticks, other tags as spaces; entities stay."""
-    out = F.regexp_replace(col(x), r"(?is)<pre><code>(.*?)</code></pre>", "\n$1\n")
-    out = F.regexp_replace(out, r"(?is)<code>(.*?)</code>", "`$1`")
-    return F.regexp_replace(out, r"<[^>]+>", " ")
+    out = col(x)
+    for pattern, instead in TAGS:
+        out = F.regexp_replace(out, pattern, instead)
+    return out
 
 
 def tidy(x: Column | str) -> Column:
     """At most one blank line in a row; stripped."""
-    return strip(F.regexp_replace(col(x), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(col(x), BLANK_LINES, "\n\n"))
 
 
 def unescaped(x: Column | str) -> Column:
@@ -35,13 +41,6 @@ def strip_html(x: Column | str) -> Column:
     return tidy(unescaped(without_tags(x)))
 
 
-def _plain(value: str) -> str:
-    """strip_html for values inside JSON."""
-    value = re.sub(r"<pre><code>(.*?)</code></pre>", lambda m: f"\n{m[1]}\n", value, flags=re.I | re.S)
-    value = re.sub(r"<code>(.*?)</code>", lambda m: f"`{m[1]}`", value, flags=re.I | re.S)
-    return re.sub(r"\n{3,}", "\n\n", html.unescape(re.sub(r"<[^>]+>", " ", value))).strip()
-
-
 def flat(value: object) -> str:
     """All values of nested lists and objects, in order, with blank lines between; nulls inside are skipped."""
     if isinstance(value, dict):
@@ -51,68 +50,82 @@ def flat(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
-def _either(value: dict, keys: str, default: object = "") -> object:
-    return next((value[k] for k in keys.split() if value.get(k)), default)
-
-
-def _object(value: object) -> dict:
-    return value if isinstance(value, dict) else {}
-
-
-def notebook_code(text: str) -> str:
-    """A Python notebook's code cells; text that isn't JSON stays, other JSON and other kernels give nothing."""
-    try:
-        book = json.loads(text)
-    except (ValueError, RecursionError):
-        return text
-    if not isinstance(book, dict):
-        return ""
-    about = _object(book.get("metadata"))
-    kernel = _object(about.get("kernelspec"))
-    named = _object(about.get("language_info")).get("name") or kernel.get("language") or kernel.get("name")
-    language = re.sub(r"[\s_-]+", "", str(named or "").strip().lower())
-    if (language and "python" not in language) or not isinstance(book.get("cells", []), list):
-        return ""
-    found = []
-    for cell in map(_object, book.get("cells", [])):
-        code = cell.get("source", "") if cell.get("cell_type") == "code" else None
-        if code is not None:
-            code = "".join(flat(x) for x in code if x is not None) if isinstance(code, list) else flat(code)
-            if code.strip():
-                found.append(code)
-    return "\n\n".join(found)
-
-
-def question_and_answers(row: dict) -> str:
-    question, answers = row.get("question", ""), row.get("answers") or []
-    if isinstance(question, dict):
-        question = _either(question, "text body", flat(question))
-    if isinstance(answers, dict):
-        answers = _either(answers, "answers text", [])
-    texts = [_plain(flat(_either(x, "text body content") if isinstance(x, dict) else x)) for x in ([answers] if isinstance(answers, str) else answers)]
-    return "\n\n".join(x for x in [_plain(flat(question)), *texts] if x)
-
-
-def issue(row: dict) -> str:
-    """An issue's content, or its head followed by events and comments."""
-    if whole := flat(row.get("content")).strip():
-        return whole
-    parts = [row.get(k) for k in ("title", "body", "description")]
-    for thread in (row.get("events"), row.get("comments")):
-        if isinstance(thread, dict):
-            thread = _either(thread, "events comments items", [thread])
-        for item in thread if isinstance(thread, list) else [thread] if thread else []:
-            parts.append(_either(item, "text body comment content description") if isinstance(item, dict) else item)
-    return "\n\n".join(x for x in (_plain(flat(p)) for p in parts) if x)
-
-
-#: What a source's content_processor names; each takes a row's JSON text (a notebook's: the notebook).
-PROCESSORS: dict[str, Callable[[str], str]] = {
-    "python_notebook_code_cells": notebook_code,
-    "stackexchange_preference_qa": lambda x: question_and_answers(_object(_loaded(x))),
-    "github_issue_conversation": lambda x: issue(_object(_loaded(x))),
-    "flatten": lambda x: flat(_loaded(x)),
-}
+@dataclass(frozen=True)
+class Slot:
+    """A field of a JSON row, and where in it the texts are.
+
+    parts: fields of an object, one of which is its text; lists: fields of an object, one of which has
+    the items (without them, and with `itself`, the object is the one item).  alone: if it has a text,
+    nothing else of the row counts, and markup stays.
+    """
+
+    field: str
+    parts: tuple[str, ...] = ()
+    lists: tuple[str, ...] = ()
+    itself: bool = False
+    rest: bool = False  # an object without such a part is flattened
+    alone: bool = False
+
+
+#: The fields that hold texts, in order of preference, by processor.
+SAID = ("text", "body", "comment", "content", "description")
+THREAD = ("events", "comments", "items")
+SLOTS = {
+    "stackexchange_preference_qa": (Slot("question", ("text", "body"), rest=True), Slot("answers", ("text", "body", "content"), ("answers", "text"))),
+    "github_issue_conversation": (
+        Slot("content", alone=True), Slot("title"), Slot("body"), Slot("description"),
+        Slot("events", SAID, THREAD, itself=True), Slot("comments", SAID, THREAD, itself=True),
+    ),
+}
+NOTEBOOK = "python_notebook_code_cells"
+
+
+def _held(value: dict, fields: tuple[str, ...]) -> list:
+    return [value[f] for f in fields if value.get(f)][:1]
+
+
+def _items(value: object, slot: Slot) -> list:
+    if isinstance(value, dict) and slot.lists:
+        value = next(iter(_held(value, slot.lists)), [value] if slot.itself else [])
+    return value if isinstance(value, list) and slot.lists else [value]
+
+
+def _bare(text: str) -> str:
+    for pattern, instead in TAGS:
+        text = re.sub(pattern, instead.replace("$1", r"\1"), text)
+    return re.sub(BLANK_LINES, "\n\n", html.unescape(text)).strip()
+
+
+def gathered(row: object, slots: tuple[Slot, ...]) -> str:
+    """A row's texts, slot by slot, without markup, with blank lines between; what is no object has none."""
+    out: list[str] = []
+    for slot in slots if isinstance(row, dict) else ():
+        found = []
+        for item in _items(row.get(slot.field), slot):
+            if isinstance(item, dict) and slot.parts:
+                item = _held(item, slot.parts) or (item if slot.rest else "")
+            found.append(flat(item).strip() if slot.alone else _bare(flat(item)))
+        found = [x for x in found if x]
+        if slot.alone and found:
+            return found[0]
+        out += found
+    return "\n\n".join(out)
+
+
+def notebook_code(x: Column | str) -> Column:
+    """A Python notebook's code cells, blank lines between; text that isn't JSON stays, other JSON and other kernels give nothing.
+
+    Expressions over a variant.  Parts of a cell's source that are no texts stand as JSON.
+    """
+    text = col(x)
+    book = F.try_parse_json(text)
+    at = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    names = [F.nullif(normal_language(at(book, f"$.metadata.{path}", "string")), F.lit("")) for path in ("language_info.name", "kernelspec.language", "kernelspec.name")]
+    foreign = ~F.coalesce(F.contains(F.coalesce(*names), F.lit("python")), F.lit(True))
+    code = F.filter(at(book, "$.cells", "array<variant>"), lambda c: at(c, "$.cell_type", "string") == "code")
+    sources = F.transform(code, lambda c: F.coalesce(F.array_join(F.transform(at(c, "$.source", "array<variant>"), lambda p: at(p, "$", "string")), ""), at(c, "$.source", "string")))
+    cells = F.array_join(F.filter(sources, lambda s: strip(s) != ""), "\n\n")
+    return F.when(text.isNull(), F.lit(None)).when(book.isNull(), text).when(foreign, "").otherwise(F.coalesce(cells, F.lit("")))
 
 
 def _loaded(x: str) -> object:
@@ -122,10 +135,23 @@ def _loaded(x: str) -> object:
         return None
 
 
-def processed(x: Column | str, processor: str) -> Column:
-    """A JSON column through a processor, in Arrow batches; for rows whose shape differs from row to row."""
-    run = PROCESSORS[processor]
-    return F.pandas_udf(lambda s: s.map(run, na_action="ignore"), "string")(col(x)) if processor else col(x)
+def processed(x: Column | str, processor: str | None) -> Column:
+    """A JSON column through what a source's content_processor names.
+
+    A notebook goes through expressions; rows whose shape differs from row to row, in which the order of
+    an object's keys counts, through Arrow batches.
+    """
+    if not processor:
+        return col(x)
+    if processor == NOTEBOOK:
+        return notebook_code(x)
+    run = flat if processor == "flatten" else lambda row, slots=SLOTS[processor]: gathered(row, slots)
+    return F.pandas_udf(lambda s: s.map(lambda v: run(_loaded(v)), na_action="ignore"), "string")(col(x))
+
+
+def processed_document(processor: str | None, x: Column | str, fields: Sequence[Column | str]) -> Column:
+    """A row's text by its processor; where that gives none, its text fields joined by blank lines."""
+    return F.coalesce(F.nullif(processed(x, processor), F.lit("")), F.concat_ws("\n\n", *(col(f).cast("string") for f in fields)))
 
 
 def typed_answers(question: Column, answers: Column) -> Column:
@@ -133,6 +159,3 @@ def typed_answers(question: Column, answers: Column) -> Column:
     texts = F.filter(F.transform(answers, lambda a: tidy(without_tags(F.coalesce(a, F.lit(""))))), lambda a: a != "")
     return F.array_join(F.filter(F.concat(F.array(tidy(without_tags(F.coalesce(question, F.lit(""))))), texts), lambda a: a != ""), "\n\n")
 
-
-def series(f: Callable[[str], str]) -> Callable[[pd.Series], pd.Series]:
-    return lambda s: s.map(f, na_action="ignore")

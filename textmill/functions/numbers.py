@@ -65,10 +65,6 @@ def is_metric(key: Column | str, name: str) -> Column:
     return metric_key(key).isin(*({plain} | ({"passat1", "passk1"} if plain == "pass1" else set())))
 
 
-def close(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(tolerance) * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
-
-
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """The unbiased estimate 1 - C(n-c, k) / C(n, k), as a product."""
     factors = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (n - c - i) / (n - i))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 #: What ends a line for Python's str.splitlines.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Names of roles, and extensions with the languages that they stand for.
 _NAMES = {"user": ("human", "user", "prompter", "instruction"), "assistant": ("gpt", "assistant", "bot", "model", "response")}
 
 
@@ -61,6 +62,7 @@ def normal_language(x: Column | str) -> Column:
 def extension_language(path: Column | str) -> Column:
     """The language that a path's extension stands for, or null."""
     low = F.lower(col(path))
+    # fixed values
     known = {".py": "python", ".ipynb": "jupyternotebook", ".js": "javascript", ".jsx": "javascript", ".c": "c", ".h": "c", ".rs": "rust", ".go": "go"}
     return F.coalesce(*(F.when(low.endswith(ext), F.lit(name)) for ext, name in known.items()))
 
@@ -129,6 +131,17 @@ def argument(args: Column | str, flag: str) -> Column:
     return F.when(at > 0, F.get(col(args), at.cast("int")))
 
 
+def task_names(args: Column | str, flag: str = "--tasks") -> Column:
+    """The tasks that a command names after a flag, separated by commas: lower case, stripped, blank ones left out."""
+    return F.coalesce(F.filter(F.transform(F.split(argument(args, flag), ","), lambda t: F.lower(strip(t))), lambda t: t != ""), F.array().cast("array<string>"))
+
+
+def report_targets(x: Column | str) -> Column:
+    """Where to report to: a comma-separated text as a list; none for null, blank and "none"."""
+    names = F.filter(F.transform(F.split(clean(x), ","), lambda t: strip(t)), lambda t: (t != "") & (F.lower(t) != "none"))
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
 def blake2s_32(x: Column | str) -> Column:
     """The first four bytes of a text's blake2s digest as an integer; Spark has no such function."""
     def run(values: pd.Series) -> pd.Series:

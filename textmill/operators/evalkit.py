@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,54 +12,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textmill.functions.numbers import finite, is_metric, metric
+from textmill.functions.text import step_number
 
 
-def _walk(value: object, path: str) -> Iterator[tuple[str, str, str | None]]:
-    """(path, key, scalar as text) in depth-first order; an object's own entry comes before what it holds."""
-    items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-    for k, v in items:
-        here = f"{path}/{k}"
+def _walk(value: object, names: tuple[str, ...] = (), places: tuple[int, ...] = ()) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str | None]]:
+    """(names, places, scalar as text) of every entry, depth first; names and places lead to it, elements of lists have no name."""
+    items = value.items() if isinstance(value, dict) else (("", v) for v in value) if isinstance(value, list) else ()
+    for i, (k, v) in enumerate(items):
         nested = isinstance(v, (dict, list))
-        yield here, str(k) if isinstance(value, dict) else "", None if nested or isinstance(v, bool) or v is None else str(v)
+        yield (*names, str(k)), (*places, i), None if nested or isinstance(v, bool) or v is None else str(v)
         if nested:
-            yield from _walk(v, here)
+            yield from _walk(v, (*names, str(k)), (*places, i))
 
 
 def flattened(df: DataFrame, *, key: str, payload: str) -> DataFrame:
-    """key, path, place, name, value: all entries of a JSON column, depth first.  Text that isn't JSON gives none."""
+    """key, names, places, name, value: all entries of a JSON column.  Text that isn't JSON gives none."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows: list[tuple] = []
             for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 try:
                     found = json.loads(text or "null")
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
-                rows += [(k, path, i, name, value) for i, (path, name, value) in enumerate(_walk(found, ""))]
+                rows += [(k, list(names), list(places), names[-1], value) for names, places, value in _walk(found)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [part.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "path", "place", "name", "value"])
+            kinds = [part.schema.field(0).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "names", "places", "name", "value"])
 
-    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, path string, place int, name string, value string")
+    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, names array<string>, places array<int>, name string, value string")
 
 
-def named_metric(entries: DataFrame, name: str, *, key: str) -> DataFrame:
-    """The first finite value of a metric in each payload: aliased keys at the top, then depth first."""
-    good = entries.withColumn("score", metric("value")).filter(is_metric("name", name) & F.col("score").isNotNull())
-    depth = F.size(F.split("path", "/"))
-    return good.groupBy(key).agg(F.min_by("score", F.struct((depth > 2).cast("int"), "place")).alias("score"))
+def named_metric(entries: DataFrame, name: str, *, key: str, below: int = 0) -> DataFrame:
+    """The first finite value of a metric in each payload.
+
+    An object's own keys count before what it holds, and so does what a key of that name holds; else by
+    place.  The first `below` levels only tell where to look: they are taken by place.
+    """
+    order = F.zip_with("names", "places", lambda n, p: F.struct((~is_metric(n, name)).cast("int").alias("later"), p.alias("at")))
+    if below:
+        order = F.transform(order, lambda x, i: F.when(i < below, F.struct(F.lit(0).alias("later"), x["at"].alias("at"))).otherwise(x))
+    good = entries.withColumn("score", metric("value")).filter(is_metric("name", name) & F.col("score").isNotNull() & (F.size("names") > below))
+    return good.groupBy(key).agg(F.min_by("score", order).alias("score"))
 
 
 def task_score(entries: DataFrame, task: str, name: str, *, key: str, anywhere: bool = False) -> DataFrame:
     """A metric below a top-level key that contains the task's name; with `anywhere`, else wherever it is."""
-    top = F.lower(F.element_at(F.split("path", "/"), 2))
-    own = named_metric(entries.filter(top.contains(task.lower())), name, key=key)
+    own = named_metric(entries.filter(F.contains(F.lower(F.get("names", F.lit(0))), F.lit(task.lower()))), name, key=key, below=1)
     if not anywhere:
         return own
     rest = named_metric(entries, name, key=key).withColumnRenamed("score", "_any")
     return rest.join(own, key, "full").select(key, F.coalesce("score", "_any").alias("score"))
 
 
+def task_scores(entries: DataFrame, tasks: list[str], name: str, *, key: str, primary: str, tie: str | None = None, tie_name: str | None = None) -> DataFrame:
+    """key, task, score: each task's metric, null where it has none; only the primary task looks anywhere, the tie-break has a metric of its own.
+
+    tasks: those of the configuration (see `text.task_names`); primary and tie-break are added if they are missing.
+    """
+    every = list(dict.fromkeys([*(t.lower() for t in tasks), primary.lower(), *([tie.lower()] if tie else [])]))
+    keys, out = entries.select(key).distinct(), None
+    for task in every:
+        found = task_score(entries, task, tie_name if tie and tie_name and task == tie.lower() else name, key=key, anywhere=task == primary.lower())
+        one = keys.join(found, key, "left").select(key, F.lit(task).alias("task"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def loss_by_mode(rows: DataFrame, modes: DataFrame, *, mode: str, loss: str, empty: float = 0.0) -> DataFrame:
     """Sum, count and mean of each mode, partial and final; modes without rows stay, with the empty value."""
     sums = rows.groupBy(mode).agg(F.sum(loss).alias("total"), F.count(loss).alias("n"))
@@ -75,9 +95,14 @@ def combined_mean(mean: Column, n: Column) -> Column:
 
 
 def ema(values: Column, alpha: float = 0.1) -> Column:
-    """The running exponential mean of an ordered array, as an array: the first value seeds it."""
-    step = lambda a, x: F.array_append(a, F.when(F.size(a) == 0, x).otherwise((1 - alpha) * F.element_at(a, -1) + alpha * x))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+    """The running exponential mean of an ordered array, as an array: the first value seeds it.
+
+    Each mean is taken from the last `span` values and the seed's rest, whose weight has then vanished
+    below a double's precision, so the work is linear in the array.
+    """
+    span = math.ceil(math.log(2.0**-60) / math.log(1 - alpha)) if 0 < alpha < 1 else 1
+    fold = lambda part: F.aggregate(F.slice(part, 2, F.size(part)), F.get(part, F.lit(0)), lambda a, x: (1 - alpha) * a + alpha * x)
+    return F.transform(values, lambda _, i: fold(F.slice(values, F.greatest(i - span, F.lit(0)) + 1, F.least(i, F.lit(span)) + 1)))
 
 
 def ema_rows(rows: DataFrame, *, run: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
@@ -130,11 +155,23 @@ def longest_failures(rows: DataFrame, *, run: str, order: str, failed: Column) -
 
 
 def ranked_files(files: DataFrame, preferred: str) -> DataFrame:
-    """Candidate files: the preferred name first, then .safetensors, then by name; adds `place`."""
+    """Candidate files of one model (a handful): the preferred name first, then .safetensors, then by name; adds `place`."""
     order = W.orderBy((F.col("name") == preferred).desc(), F.col("name").endswith(".safetensors").desc(), "name")
     return files.withColumn("place", F.row_number().over(order))
 
 
+def newest_result(files: DataFrame, *, name: str = "name") -> DataFrame:
+    """The result file of the highest step, by the number in its name; files without one are none."""
+    return files.withColumn("step", step_number(name)).filter(F.col("step").isNotNull() & F.col(name).rlike(r"^eval_results_step_\d+.*\.json$")).orderBy(F.desc("step"), name).limit(1)
+
+
+def newest_checkpoint(files: DataFrame, *, name: str = "name", final: str | None = "final") -> DataFrame:
+    """The checkpoint to resume from: the named final one where there is one, else that of the highest step."""
+    known = files.withColumn("step", step_number(name)).filter((F.col(name) == final if final else F.lit(False)) | F.col("step").isNotNull())
+    first = F.col(name) == final if final else F.lit(False)
+    return known.orderBy(first.desc(), F.col("step").desc_nulls_last(), name).limit(1)
+
+
 def validation_mean(batches: DataFrame, first: int, *, order: str, loss: str) -> DataFrame:
     """The mean loss of the first batches (a top-k report)."""
     return batches.orderBy(order).limit(first).agg(F.avg(loss).alias("mean"), F.count("*").alias("n"))

@@ -59,8 +59,8 @@ def needs_execution(task: Column | str) -> Column:
     return F.lower(col(task)).rlike(r"^(humaneval|humanevalplus|mbpp|mbppplus|apps|ds1000|multiple)(-|$)")
 
 
-def scalars(variant_text: Column | str) -> Column:
-    """The scalar items of a JSON object, as a map in key order."""
-    items = F.map_entries(F.from_json(col(variant_text), "map<string,string>"))
-    plain = F.filter(items, lambda e: ~e["value"].rlike(r"^\s*[\[{]"))
-    return F.map_from_entries(F.array_sort(plain))
+def scalars(json_text: Column | str) -> Column:
+    """The scalar items of a JSON object, nulls too, as a map in key order; what is scalar is told by its JSON type."""
+    items = F.map_entries(F.try_variant_get(F.try_parse_json(col(json_text)), "$", "map<string,variant>"))
+    plain = F.filter(items, lambda e: ~F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).rlike("^(ARRAY|OBJECT)"))
+    return F.map_from_entries(F.array_sort(F.transform(plain, lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")))))

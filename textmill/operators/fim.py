@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.numbers import ramp
-from textmill.functions.text import uniform
+from textmill.functions.text import strip, uniform
 
-#: A function's head and docstring; `.` stands for no line end, and only \n ends a line.
-DOCSTRING = (
-    r"(?md)^(?<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+\w+[ \t]*\([\s\S]*?\)[ \t]*(?:->[\s\S]*?)?:[ \t]*\n"
-    r"\k<indent>[ \t]+(?<q>" + '"""' + r"|''')[\s\S]*?\k<q>"
-)
+#: Fixed value: a function's head and docstring; `.` stands for no line end, and only \n ends a line.
+DOCSTRING = r"""(?md)^(?<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+\w+[ \t]*\([\s\S]*?\)[ \t]*(?:->[\s\S]*?)?:[ \t]*\n\k<indent>[ \t]+(?<q>\x22{3}|\x27{3})[\s\S]*?\k<q>"""
 
 
 @dataclass(frozen=True)
@@ -49,35 +47,47 @@ def _between(tokens: Column, begin: Column, end: Column) -> Column:
     return F.slice(tokens, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
-def transform(docs: DataFrame, fim: Fim, *, key: str = "seq", tokens: str = "tokens", seen: str = "position") -> DataFrame:
+def transform(
+    docs: DataFrame, fim: Fim, *, key: str = "seq", tokens: str = "tokens", seen: str = "position",
+    encode: Callable[[Column], Column] | None = None, text: str = "text", path: str | None = None, end: str | None = None,
+) -> DataFrame:
     """Adds `mode` and replaces the tokens.
 
     docs: category, source_id, key, tokens (array<string>), seen (tokens before the document).  Every
     draw is a function of (seed, source, key, its name), so neither order nor partitioning matters.
-    """
-    t, n = F.col(tokens), F.size(tokens)
+    With `encode` (text to tokens): a path goes before the tokens by draw, and Python code is cut after
+    a docstring by draw, where both sides have four tokens.  With `end`, every document ends in that token.
+    """
     draw = lambda name: uniform(str(fim.seed), F.col("source_id"), F.col(key), name)
     mark = lambda x: F.array(F.lit(x))
-    eligible = F.col("category").isin(*fim.categories) & (n >= fim.min_tokens) & (draw("coin") < probability(F.col(seen), fim))
+    named = lambda t, name: with_filename(t, F.col(path), encode(F.concat(F.col(path), F.lit("\n"))), draw(name), fim) if encode and path else t
+    out = docs.withColumn("_t", named(F.col(tokens), "filename"))
+    t, n = F.col("_t"), F.size("_t")
+    eligible = F.coalesce(F.col("category").isin(*fim.categories) & (n >= fim.min_tokens) & (draw("coin") < probability(F.col(seen), fim)), F.lit(False))
     least = max(1, fim.min_tokens // 2)
     end_cut = (F.lit(least) + F.floor(draw("end-cut") * (n - 2 * least + 1))).cast("int")
     # two different cuts in 1..n-1: the second draw skips the first
     one = (F.lit(1) + F.floor(draw("cut-1") * (n - 1))).cast("int")
     two = (F.lit(1) + F.floor(draw("cut-2") * (n - 2))).cast("int")
     two = F.when(two >= one, two + 1).otherwise(two)
-    out = docs.withColumns({"_a": F.least(one, two), "_b": F.greatest(one, two), "_end": end_cut, "_kind": F.when(~F.coalesce(eligible, F.lit(False)), "standard").when(draw("end") < fim.end_fraction, "end").when(draw("psm") < fim.psm_fraction, "psm").otherwise("spm")})
-    prefix, middle, suffix = _between(t, F.lit(0), F.col("_a")), _between(t, F.col("_a"), F.col("_b")), _between(t, F.col("_b"), n)
+    kind = F.when(~eligible, "standard")
+    if encode and fim.docstring_fraction > 0:
+        wanted = eligible & (F.col("category") == "python_code") & (draw("docstring") < fim.docstring_fraction)
+        out = out.withColumn("_s", F.when(wanted, split_at_docstring(F.col(text), draw("docstring-match"))))
+        out = out.withColumn("_d", F.when(strip("_s.rest") != "", F.struct(named(encode(F.col("_s.prompt")), "docstring-filename").alias("head"), encode(F.col("_s.rest")).alias("body"))))
+        kind = kind.when(F.coalesce((F.size("_d.head") >= 4) & (F.size("_d.body") >= 4), F.lit(False)), "docstring")
+    kind = kind.when(draw("end") < fim.end_fraction, "end").when(draw("psm") < fim.psm_fraction, "psm").otherwise("spm")
+    out = out.withColumns({"_a": F.least(one, two), "_b": F.greatest(one, two), "_end": end_cut, "_kind": kind})
+    before, middle, after = _between(t, F.lit(0), F.col("_a")), _between(t, F.col("_a"), F.col("_b")), _between(t, F.col("_b"), n)
     pre, mid, suf = mark(fim.prefix), mark(fim.middle), mark(fim.suffix)
-    kinds = {
-        "end": F.concat(pre, _between(t, F.lit(0), F.col("_end")), suf, mid, _between(t, F.col("_end"), n)),
-        "psm": F.concat(pre, prefix, suf, suffix, mid, middle),
-        "spm": F.concat(suf, suffix, pre, prefix, mid, middle),
-    }
-    turned = t
-    for kind, value in kinds.items():
-        turned = F.when(F.col("_kind") == kind, value).otherwise(turned)
+    turned = F.when(F.col("_kind") == "end", F.concat(pre, _between(t, F.lit(0), F.col("_end")), suf, mid, _between(t, F.col("_end"), n)))
+    turned = turned.when(F.col("_kind") == "psm", F.concat(pre, before, suf, after, mid, middle)).when(F.col("_kind") == "spm", F.concat(suf, after, pre, before, mid, middle))
+    if "_d" in out.columns:
+        turned = turned.when(F.col("_kind") == "docstring", F.concat(pre, F.col("_d.head"), suf, mid, F.col("_d.body")))
+    turned = turned.otherwise(t)
+    turned = F.concat(turned, mark(end)) if end is not None else turned
     mode = F.when(F.col("_kind") == "standard", "standard").when(F.col("_kind") == "spm", "fim_spm").otherwise("fim_psm")
-    return out.withColumns({"_turned": turned, "mode": mode}).withColumn(tokens, F.col("_turned")).drop("_a", "_b", "_end", "_kind", "_turned")
+    return out.withColumns({"_turned": turned, "mode": mode}).withColumn(tokens, F.col("_turned")).drop("_t", "_s", "_d", "_a", "_b", "_end", "_kind", "_turned")
 
 
 def split_at_docstring(text: Column, draw: Column) -> Column:

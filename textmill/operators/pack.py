@@ -31,8 +31,9 @@ def windows(docs: DataFrame, length: int, *, key: str, order: str, tokens: str =
 
 def segment_ids(positions: Column) -> Column:
     """How many documents have begun up to each token of a window."""
-    first = F.transform(positions, lambda p: (p == 0).cast("int"))
-    return F.transform(first, lambda x, i: F.aggregate(F.slice(first, 1, i + 1), F.lit(0), lambda a, y: a + y))
+    begun = F.filter(F.transform(positions, lambda p, i: F.when(p == 0, i)), lambda i: i.isNotNull())
+    edges = F.concat(F.array(F.lit(0)), begun, F.array(F.size(positions)))
+    return F.flatten(F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda e, k: F.array_repeat(k, F.get(edges, k + 1) - e)))
 
 
 def segments(rows: DataFrame, *, sample: str, place: str, position: str) -> DataFrame:

@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions.text import clean, first_text, normal_role, strip, uniform
 
 IGNORED = -100
+#: Columns that may hold a conversation, and fields that may hold a message's role and content, in order.
+LISTS = ("messages", "conversations", "conversation", "data")
+ROLES = ("role", "from", "speaker")
+CONTENTS = ("content", "value", "text", "message")
 #: Fields that may hold prompts, their context and completions, in order.
 PROMPTS = ("instruction", "input", "problem", "question", "prompt", "query", "task")
 CONTEXTS = ("context", "additional_context")
 COMPLETIONS = ("output", "response", "solution", "answer", "completion", "accepted_solution")
 
 
-def messages(lists: list[Column]) -> Column:
-    """The first list that has an assistant's message; array<struct<role, content>> with blank contents dropped.
+def message(m: Column, names: Sequence[str]) -> Column:
+    """A struct with any of the fields' names as (role, content); the first content that isn't blank counts."""
+    role = F.coalesce(*(m[f].cast("string") for f in ROLES if f in names), F.lit(None).cast("string"))
+    return F.struct(normal_role(role).alias("role"), first_text(*(m[f].cast("string") for f in CONTENTS if f in names)).alias("content"))
+
+
+def _conversation(list_: Column, names: Sequence[str]) -> Column:
+    kept = F.filter(F.transform(F.filter(list_, lambda m: m.isNotNull()), lambda m: message(m, names)), lambda m: m["content"] != "")
+    return F.when(F.exists(kept, lambda m: m["role"] == "assistant"), kept)
+
+
+def messages(df: DataFrame, lists: Sequence[str] = LISTS) -> Column:
+    """The first list that has an assistant's message; array<struct<role, content>> with blank contents dropped; null without any.
 
-    lists: arrays of structs of role and content (see `message`).
+    Each list is an array of structs that name role and content in their own way; columns that are no such arrays are passed over.
     """
-    kept = [F.filter(F.transform(x, lambda m: F.struct(normal_role(m["role"]).alias("role"), clean(m["content"]).alias("content"))), lambda m: m["content"] != "") for x in lists]
-    return F.coalesce(*(F.when(F.exists(x, lambda m: m["role"] == "assistant"), x) for x in kept))
+    found = []
+    for name in lists:
+        kind = df.schema[name].dataType if name in df.columns else None
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            found.append(_conversation(F.col(name), kind.elementType.fieldNames()))
+    return F.coalesce(*found, F.lit(None).cast("array<struct<role:string,content:string>>"))
 
 
 def rendered(role: Column, content: Column) -> Column:
@@ -160,9 +182,8 @@ def formatted(df: DataFrame, encode, *, group: str, most: int, key: str, seed: i
         raw = truncated(raw_labelled(F.col("_x.ids")), most, "raw_completion", *seeds, "window")
         example = F.when(F.col("_e").isNotNull(), truncated(F.col("_e"), most, "docstring_completion", *seeds, "window")).otherwise(raw)
         return computed(own.withColumn("mode", mode), "example", example).drop("_t", "_d", "_e", "_x")
-    have = [c for c in (lists or ["messages", "conversations", "conversation", "data"]) if c in df.columns]
     pair = prompt_and_completion(df)
-    own = df.withColumn("_m", messages([F.col(c) for c in have])) if have else df.withColumn("_m", F.lit(None).cast("array<struct<role:string,content:string>>"))
+    own = df.withColumn("_m", messages(df, lists or LISTS))
     p, c = pair_texts(pair["prompt"], pair["completion"])
     encoded = F.when(F.col("_m").isNotNull(), labelled(F.col("_m"), encode)).when(pair.isNotNull(), pair_labelled(encode(p), encode(c)))
     own = computed(own, "_e", encoded)

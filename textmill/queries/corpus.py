@@ -119,7 +119,10 @@ def qa_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.filter(markup.tidy(markup.without_tags("q")) != "").select("conv_id", markup.typed_answers(F.col("q"), F.transform("a", lambda x: x["text"])).alias("text"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '\n{3,}', e'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, coalesce(string_agg(t, e'\n\n' ORDER BY turn) FILTER (t <> ''), '') AS text FROM (SELECT conv_id, turn, {_BARE} AS t FROM conversations) GROUP BY conv_id")
 def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as issues: the first turn is the body, the others are comments."""
     by = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("body"), F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", "text")))).alias("c"))
@@ -127,7 +130,9 @@ def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("conv_id", markup.processed(row, "github_issue_conversation").alias("text"))
 
 
-@query()
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 3 = 0 THEN '' ELSE array_to_string(list_filter(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 1), lambda x: regexp_matches(x, '\\S')), e'\n\n') END AS text FROM documents"
+)
 def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines as notebooks' cells; every third notebook has another kernel, every fifth is no JSON."""
     d = read(spark, sf_dir, "documents")
@@ -153,9 +158,11 @@ def source_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_cursor(sources(spark).select("source_id"), cursor).select("source_id", "epoch", "offset")
 
 
-@query("SELECT 'src' || i AS source_id FROM range(20) t(i) WHERE 'src' || i NOT IN (SELECT source FROM documents WHERE doc_id % 40 < 20)")
+@query("SELECT 'src' || i AS source_id FROM range(20) t(i) WHERE 'src' || i NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND source IS NOT NULL)")
 def unused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = read(spark, sf_dir, "documents").filter(F.col("doc_id") % 40 < 20).select(F.col("source").alias("source_id"))
+    """Sources that a selection (here: toxic documents) takes nothing from."""
+    toxic = read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    used = read(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select(F.col("source").alias("source_id"))
     return never_used(sources(spark), used).select("source_id")
 
 

@@ -11,7 +11,7 @@ from textmill.operators import budget, chunk, fim, pack, rl, sft
 from textmill.operators.filters import is_python
 from textmill.plans import manifest
 from textmill.plans.ordered import running_sum
-from textmill.queries.base import SHARD_TOKENS, SQL_DOCS, SQL_TAKEN, SQL_TARGETS, SQL_WORDS, counted, docs, mix, query, read, sources, sql_uniform
+from textmill.queries.base import SHARD_TOKENS, SQL, SQL_DOCS, SQL_TAKEN, SQL_TARGETS, SQL_WORDS, counted, docs, mix, query, read, sources, sql_uniform
 from textmill.sources.mix import targets
 
 _FIM = fim.Fim(most=0.9, ramp_tokens=100_000, end_fraction=0.2)
@@ -29,7 +29,7 @@ _T = "tokens"
 
 
 @query(
-    f"""WITH {SQL_DOCS}, p AS (SELECT source_id, seq, category, {SQL_WORDS} AS tokens, n_tokens AS n, {_POSITION} AS position FROM docs WHERE n_tokens <= 400),
+    f"""WITH {SQL_DOCS}, p AS (SELECT source_id, seq, category, {SQL_WORDS} AS tokens, n_tokens AS n, {_POSITION} AS position FROM docs),
     q AS (SELECT p.*, 1 + CAST(floor({_U("cut-1")} * (n - 1)) AS BIGINT) AS c1, 1 + CAST(floor({_U("cut-2")} * (n - 2)) AS BIGINT) AS c2, 4 + CAST(floor({_U("end-cut")} * (n - 7)) AS BIGINT) AS e,
       CASE WHEN category NOT IN ('python_code', 'other_code') OR n < 8 OR {_U("coin")} >= 0.9::DOUBLE * sin(pi() / 2 * least(position / 100000.0::DOUBLE, 1.0)) THEN 'standard'
       WHEN {_U("end")} < 0.2 THEN 'end' WHEN {_U("psm")} < 0.5 THEN 'psm' ELSE 'spm' END AS kind FROM p),
@@ -40,28 +40,49 @@ _T = "tokens"
       WHEN 'spm' THEN ['<fim_suffix>'] || {_T}[b + 1:] || ['<fim_prefix>'] || {_T}[:a] || ['<fim_middle>'] || {_T}[a + 1:b] ELSE {_T} END, ' ')) AS turned FROM r"""
 )
 def fim_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).withColumn("tokens", words("text")).drop("text").filter(F.size("tokens") <= 400)
+    d = docs(spark, sf_dir).withColumn("tokens", words("text")).drop("text")
     p = running_sum(d, [], "seq", F.size("tokens").cast("long") + 1, "position")
     return fim.transform(p, _FIM).select("seq", "mode", F.md5(F.array_join("tokens", " ").cast("binary")).alias("turned"))
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python modules made of the documents' first words."""
+    """Python modules made of the documents' first words, with the whole text as a docstring."""
     d = docs(spark, sf_dir).filter("category = 'python_code'")
     w = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
     name = lambda i: F.concat(F.lit("f_"), F.coalesce(F.get(w, F.lit(i)), F.lit("x")))
-    said = F.regexp_replace(F.substring("text", 1, 60), r"[\"\\\n]", " ")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\"\\\n]", " ")
     parts = [F.lit("import os\nfrom sys import path\n\n\ndef "), name(0), F.lit('(a, b=1):\n    """'), said, F.lit('"""\n    total = a + b\n    return total * 2\n\n\nclass C:\n    """Holds."""\n\n    @property\n    def '), name(1), F.lit('(self):\n        """Gives."""\n        return self.value + 1000\n')]
     broken = F.when(F.col("seq") % 3 == 0, "def broken(:\n").otherwise("")
     return d.select("source_id", "seq", "category", F.lit("m.py").alias("path"), F.concat(*parts, broken).alias("text"))
 
 
-@query()
+_PARTS = f"""parts AS (SELECT source_id, seq, category, 'import os' || chr(10) || 'from sys import path' || repeat(chr(10), 3) || 'def f_' || coalesce(lower(regexp_extract_all(text, '[A-Za-z]+')[1]), 'x') || '(a, b=1):' || chr(10) || '    \"\"\"' || regexp_replace(coalesce(text, ''), '["\\\\\\n]', ' ', 'g') || '\"\"\"' AS one,
+  chr(10) || '    total = a + b' || chr(10) || '    return total * 2' || repeat(chr(10), 3) || 'class C:' || chr(10) || '    \"\"\"Holds.\"\"\"' || repeat(chr(10), 2) || '    @property' || chr(10) || '    def f_' || coalesce(lower(regexp_extract_all(text, '[A-Za-z]+')[2]), 'x') || '(self):' || chr(10) || '        \"\"\"Gives.\"\"\"' AS two,
+  chr(10) || '        return self.value + 1000' || chr(10) || CASE WHEN seq % 3 = 0 THEN 'def broken(:' || chr(10) ELSE '' END AS three FROM docs WHERE category = 'python_code')"""
+
+
+@query(f"WITH {SQL_DOCS}, {_PARTS} SELECT seq, CASE WHEN {sql_uniform("'42'", 'seq', "'docstring'")} < 0.5 THEN one ELSE one || two END AS prompt, CASE WHEN {sql_uniform("'42'", 'seq', "'docstring'")} < 0.5 THEN two || three ELSE three END AS rest FROM parts")
 def fim_docstring(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _code(spark, sf_dir).withColumn("x", fim.split_at_docstring(F.col("text"), uniform("42", F.col("seq"), "docstring")))
     return c.select("seq", "x.prompt", "x.rest").filter("rest <> ''")
 
 
+_FULL = fim.Fim(most=1.0, ramp_tokens=1, docstring_fraction=0.5, filename_probability=0.5, end_fraction=1.0)
+_CODE_WORDS = lambda x: rf"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    f"WITH {SQL_DOCS}, {_PARTS}, named AS (SELECT *, CASE WHEN {_U('filename')} < 0.5 THEN ['<filename>', 'm.py'] ELSE [] END || {_CODE_WORDS('one || two || three')} AS tokens, CASE WHEN {_U('docstring-filename')} < 0.5 THEN ['<filename>', 'm.py'] ELSE [] END AS head, {_U('docstring-match')} < 0.5 AS first, {_U('docstring')} < 0.5 AS cut FROM parts)"
+    f" SELECT seq, 'fim_psm' AS mode, md5(array_to_string(CASE WHEN cut THEN ['<fim_prefix>'] || head || {_CODE_WORDS('CASE WHEN first THEN one ELSE one || two END')} || ['<fim_suffix>', '<fim_middle>'] || {_CODE_WORDS('CASE WHEN first THEN two || three ELSE three END')}"
+    f" ELSE ['<fim_prefix>'] || tokens[:4 + CAST(floor({_U('end-cut')} * (len(tokens) - 7)) AS BIGINT)] || ['<fim_suffix>', '<fim_middle>'] || tokens[5 + CAST(floor({_U('end-cut')} * (len(tokens) - 7)) AS BIGINT):] END || ['<eos>'], ' ')) AS turned FROM named"
+)
+def fim_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files, cuts after docstrings and end tokens in the one transform; the draws that are left complete the end."""
+    c = _code(spark, sf_dir).withColumns({"tokens": words("text"), "position": F.lit(10**9).cast("long")})
+    out = fim.transform(c, _FULL, encode=words, path="path", end="<eos>")
+    return out.select("seq", "mode", F.md5(F.array_join("tokens", " ").cast("binary")).alias("turned"))
+
+
 @query()
 def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _code(spark, sf_dir)
@@ -104,21 +125,24 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SQL_DOCS}, {_SPANS}, tok AS (SELECT source_id, nth // 64 AS \"window\", nth % 64 AS p, place FROM spans WHERE nth < 6400), seg AS (SELECT *, CAST(sum(CASE WHEN place = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, \"window\" ORDER BY p) AS BIGINT) AS segment FROM tok)"
+    f"WITH {SQL_DOCS}, {_SPANS}, tok AS (SELECT source_id, nth // 32 AS \"window\", nth % 32 AS p, place FROM spans), seg AS (SELECT *, CAST(sum(CASE WHEN place = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, \"window\" ORDER BY p) AS BIGINT) AS segment FROM tok)"
     " SELECT source_id, \"window\", count(DISTINCT segment) AS segments, CAST(sum((n * (n + 1)) // 2) AS BIGINT) AS pairs FROM (SELECT source_id, \"window\", segment, count(*) AS n FROM seg GROUP BY ALL) GROUP BY ALL"
 )
 def segment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of short windows, and the pairs that a causal mask within documents lets through."""
     d = docs(spark, sf_dir).select("source_id", "seq", words("text").alias("tokens"))
-    w = running_sum(d.filter(F.size("tokens") > 0), ["source_id"], "seq", F.size("tokens").cast("long"), "s").filter("s < 6400")
-    t = w.select("source_id", "s", F.posexplode("tokens").alias("place", "w")).withColumn("at", F.col("s") + F.col("place")).filter("at < 6400")
-    t = t.select("source_id", F.floor(F.col("at") / 64).alias("window"), (F.col("at") % 64).alias("p"), "place").withColumn("sample", F.concat_ws("/", "source_id", "window"))
+    w = running_sum(d.filter(F.size("tokens") > 0), ["source_id"], "seq", F.size("tokens").cast("long"), "s")
+    t = w.select("source_id", "s", F.posexplode("tokens").alias("place", "w")).withColumn("at", F.col("s") + F.col("place"))
+    t = t.select("source_id", F.floor(F.col("at") / 32).alias("window"), (F.col("at") % 32).alias("p"), "place").withColumn("sample", F.concat_ws("/", "source_id", "window"))
     s = pack.segments(t, sample="sample", place="p", position="place")
     pairs = pack.attention_pairs(s, sample="sample", place="p").groupBy("sample").agg(F.countDistinct("segment").alias("segments"), F.count("*").alias("pairs"))
     return pairs.select(F.element_at(F.split("sample", "/"), 1).alias("source_id"), F.element_at(F.split("sample", "/"), 2).cast("long").alias("window"), "segments", "pairs")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SQL_DOCS}, d AS (SELECT category, seq, n_tokens, row_number() OVER (PARTITION BY category ORDER BY seq) AS r FROM docs WHERE n_tokens > 0), f AS (SELECT category, seq, n_tokens, r, 0 AS part, n_tokens AS held FROM d WHERE r = 1"
+    " UNION ALL SELECT d.category, d.seq, d.n_tokens, d.r, f.part + CASE WHEN f.held + d.n_tokens > 5000 THEN 1 ELSE 0 END, CASE WHEN f.held + d.n_tokens > 5000 THEN d.n_tokens ELSE f.held + d.n_tokens END FROM f JOIN d ON d.category = f.category AND d.r = f.r + 1) SELECT category, seq, n_tokens, part FROM f"
+)
 def part_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.part_roll(counted(spark, sf_dir), 5_000, key="category")
 
@@ -144,17 +168,30 @@ def train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.train_and_validation(read(spark, sf_dir, "documents").select("doc_id"), 0.05, order="doc_id")
 
 
-@query("WITH s AS (SELECT l_orderkey AS id, CAST(sum(l_quantity) AS BIGINT) AS actual_tokens FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1) SELECT id, actual_tokens, CAST(sum(actual_tokens) OVER (ORDER BY id) - actual_tokens AS BIGINT) AS tokens_start, CAST(sum(actual_tokens) OVER (ORDER BY id) AS BIGINT) AS tokens_end FROM s")
+_SHARDS = "s AS (SELECT l_orderkey AS id, CAST(sum(l_quantity) AS BIGINT) AS actual_tokens FROM lineitem GROUP BY 1), spans AS (SELECT id, actual_tokens, CAST(sum(actual_tokens) OVER (ORDER BY id) - actual_tokens AS BIGINT) AS tokens_start, CAST(sum(actual_tokens) OVER (ORDER BY id) AS BIGINT) AS tokens_end FROM s)"
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").cast("long").alias("actual_tokens"))
+
+
+@query(f"WITH {_SHARDS} SELECT id, actual_tokens, tokens_start, tokens_end FROM spans")
 def shard_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").cast("long").alias("actual_tokens"))
-    return manifest.spans(s)
+    return manifest.spans(_shards(spark, sf_dir)).select("id", "actual_tokens", "tokens_start", "tokens_end")
 
 
-@query("WITH s AS (SELECT l_orderkey AS id, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1) SELECT true AS contiguous, CAST(sum(n) AS BIGINT) AS total, true AS conserved FROM s")
+@query(
+    f"WITH {_SHARDS}, odd AS (SELECT id, actual_tokens, tokens_start + CASE WHEN id = 7 THEN 1 ELSE 0 END AS tokens_start, tokens_end FROM spans), c AS (SELECT 'whole' AS books, *, lag(tokens_end) OVER (ORDER BY id) AS before FROM spans UNION ALL SELECT 'shifted', *, lag(tokens_end) OVER (ORDER BY id) FROM odd)"
+    " SELECT books, bool_and(coalesce(before = tokens_start, true) AND tokens_end - tokens_start = actual_tokens) AS contiguous, CAST(sum(actual_tokens) AS BIGINT) AS total, sum(actual_tokens) = (SELECT sum(l_quantity) FROM lineitem) AS conserved FROM c GROUP BY books"
+)
 def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books of all shards, and the same with one shard's start shifted."""
     s = shard_spans(spark, sf_dir)
-    total = read(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").agg(F.sum("l_quantity").cast("long").alias("prepared"))
-    return budget.conserved(s, F.lit(0)).drop("conserved").join(F.broadcast(total)).select("contiguous", "total", (F.col("total") == F.col("prepared")).alias("conserved"))
+    shifted = s.withColumn("tokens_start", F.col("tokens_start") + (F.col("id") == 7).cast("long"))
+    total = read(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").cast("long").alias("prepared"))
+    rows = [budget.conserved(x, F.lit(0)).drop("conserved").withColumn("books", F.lit(name)) for name, x in (("whole", s), ("shifted", shifted))]
+    # one row joins two
+    return rows[0].unionByName(rows[1]).join(F.broadcast(total)).select("books", "contiguous", "total", (F.col("total") == F.col("prepared")).alias("conserved"))
 
 
 _S = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
@@ -162,8 +199,8 @@ _CHAT = f"m AS (SELECT conv_id, turn, CASE WHEN lower(role) IN ('human', 'user')
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    return by.select("conv_id", sft.messages([F.col("m")]).alias("messages")).filter("messages IS NOT NULL")
+    by = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return by.select("conv_id", sft.messages(by).alias("messages")).filter("messages IS NOT NULL")
 
 
 @query(f"WITH {_CHAT} SELECT conv_id, string_agg('<|im_start|>' || CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE 'user' END || e'\\n' || content || e'<|im_end|>\\n', '' ORDER BY turn) AS text FROM m GROUP BY conv_id HAVING bool_or(role = 'assistant')")
@@ -171,6 +208,16 @@ def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select("conv_id", sft.chat_text(F.col("messages")).alias("text"))
 
 
+@query(SQL["chat_template"])
+def chat_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in each of the public shapes: a list under one of four names, roles and contents under several."""
+    c, n = read(spark, sf_dir, "conversations"), F.col("conv_id") % 4
+    shapes = {"messages": ("role", "content"), "conversations": ("from", "value"), "conversation": ("speaker", "text"), "data": ("role", "message")}
+    lists = [F.array_sort(F.collect_list(F.when(n == k, F.struct("turn", F.col("role").alias(role), F.col("text").alias(content))))).alias(name) for k, (name, (role, content)) in enumerate(shapes.items())]
+    by = c.groupBy("conv_id").agg(*lists)
+    return by.select("conv_id", sft.messages(by).alias("m")).filter("m IS NOT NULL").select("conv_id", sft.chat_text(F.col("m")).alias("text"))
+
+
 def _encode(x):
     """Words' lengths in place of a tokenizer's ids."""
     return F.transform(words(x), lambda w: F.length(w))
@@ -280,5 +327,3 @@ def tolerant_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     actual = F.when(i % 4 == 0, F.concat(F.lit("["), "value", F.lit(", 1]"))).when(i % 4 == 1, F.col("props")).otherwise(F.col("event_type"))
     expected = F.when(i % 4 == 0, F.concat(F.lit("("), (F.col("value") * 1.0000000001).cast("string"), F.lit(", 1)"))).when(i % 4 == 1, F.col("props")).when(i % 4 == 2, F.concat(F.lit("  "), "event_type", F.lit("\n"))).otherwise("other")
     return e.select("event_id", rl.tolerant_equal(actual, expected).alias("equal"))
-
-

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import markup, numbers, text
 from textmill.operators import evalkit, filters, rl, sft
 from textmill.queries.base import SOURCES, query, read
+from textmill.sources import readers
 
 
 @query("SELECT page_id, 'own/er-' || page_id AS repo, 'main' AS revision, 'a b/c.txt' AS file FROM pages")
@@ -69,9 +72,9 @@ def sft_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
-@query("SELECT event_id, map_from_entries([('a', 'x'), ('b', event_id::VARCHAR)]) AS items FROM events")
+@query("SELECT event_id, map_from_entries([('a', '[draft] x'), ('b', event_id::VARCHAR), ('c', NULL), ('d', 'true'), ('e', '{y')]) AS items FROM events")
 def scalar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit('{"b": '), F.col("event_id").cast("string"), F.lit(', "a": "x", "list": [1, 2], "object": {"k": 1}}'))
+    body = F.concat(F.lit('{"e": "{y", "b": '), F.col("event_id").cast("string"), F.lit(', "c": null, "a": "[draft] x", "d": true, "list": [1, 2], "object": {"k": 1}}'))
     return read(spark, sf_dir, "events").select("event_id", filters.scalars(body).alias("items"))
 
 
@@ -103,6 +106,26 @@ def typed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for i in range(3):
         own = raw.filter(F.col("doc_id") % 3 == i)
-        one = own.select("doc_id", F.lit(SOURCES[i].source_id).alias("source_id"), F.lit(SOURCES[i].category).alias("category"), text.join_fields("text").alias("text"))
+        one = readers.documents(own, replace(SOURCES[i], path_field="doc_id")).select(F.col("path").cast("long").alias("doc_id"), "source_id", "category", "text")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'café �' WHEN 1 THEN 'café' ELSE 'x' || doc_id END AS text FROM documents")
+def blob_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs in their own encodings: damaged UTF-8, Latin-1, plain."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    n = F.col("doc_id")
+    content = F.when(n % 3 == 0, F.unhex(F.lit("636166C3A920FF"))).when(n % 3 == 1, F.unhex(F.lit("636166E9"))).otherwise(F.concat(F.lit("x"), n.cast("string")).cast("binary"))
+    blobs = d.select(n.cast("string").alias("blob_id"), content.alias("content"))
+    file = F.struct(n.cast("string").alias("path"), F.lit("en").alias("language"), n.cast("string").alias("blob_id"), F.when(n % 3 == 1, "iso-8859-1").alias("src_encoding"), F.lit(False).alias("is_vendor"), F.lit(None).cast("boolean").alias("is_generated"))
+    out = readers.bundles(d.select(F.array(file).alias("files")), blobs, SOURCES[0])
+    return out.select(F.col("path").cast("long").alias("doc_id"), "text")
+
+
+@query("SELECT doc_id, ['a', 'b b'] AS tasks, CASE WHEN doc_id % 2 = 0 THEN ['x', 'y'] ELSE [] END AS targets FROM documents")
+def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks and report targets out of comma-separated texts."""
+    n = F.col("doc_id")
+    args = F.array(F.lit("run"), F.lit("--tasks"), F.lit(" A ,,b B"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.task_names(args).alias("tasks"), text.report_targets(F.when(n % 2 == 0, "x, none,y ").when(n % 4 == 1, "None")).alias("targets"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -89,8 +89,25 @@ def bundles(raw: DataFrame, blobs: DataFrame, source: Source) -> DataFrame:
     files = files.filter(~F.coalesce("is_vendor", F.lit(False)) & ~F.coalesce("is_generated", F.lit(False)))
     if source.languages:
         files = files.filter(normal_language("language").isin(*(x.lower().replace(" ", "").replace("-", "").replace("_", "") for x in source.languages)))
-    text = F.decode("content", "UTF-8")
-    return files.join(blobs, "blob_id").select(F.lit(source.source_id).alias("source_id"), F.lit(source.category).alias("category"), "path", "language", text.alias("text"))
+    joined = files.join(blobs, "blob_id")
+    return joined.select(F.lit(source.source_id).alias("source_id"), F.lit(source.category).alias("category"), "path", "language", decoded("content", "src_encoding").alias("text"))
+
+
+def decoded(content: str, encoding: str) -> Column:
+    """Bytes as text by each row's own encoding (none: UTF-8); what isn't in it becomes a replacement character, an unknown encoding gives null."""
+    def run(contents: pd.Series, encodings: pd.Series) -> pd.Series:
+        out = []
+        for c, e in zip(contents, encodings, strict=True):
+            try:
+                out.append(None if c is None else c.decode(e or "utf-8", "replace"))
+            except LookupError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    # valid UTF-8 stays in the JVM; Python sees the rest
+    plain = F.coalesce(F.lower(F.regexp_replace(F.col(encoding), "[-_ ]", "")), F.lit("utf8")).isin("utf8", "") & F.is_valid_utf8(F.col(content).cast("string"))
+    other = F.pandas_udf(run, "string")(F.when(~plain, F.col(content)), F.col(encoding))
+    return F.when(plain, F.col(content).cast("string")).otherwise(other)
 
 
 def gunzipped(spark: SparkSession, path: str) -> DataFrame:
@@ -117,13 +134,26 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, at: lines of text files, and what orders them: file, place of the part of the file, number within it."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n")).alias("at"))
+
+
 def last_lines(spark: SparkSession, path: str, n: int, skip: str | None = None) -> DataFrame:
     """The last n non-blank lines of a text file (a top-k report), without those that match `skip`."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
     rows = rows.filter(~F.col("value").rlike(skip)) if skip else rows
     return rows.orderBy(F.desc("at")).limit(n).orderBy("at").select("value")
 
 
+def item_text(items: DataFrame, item_id: int, *, id_column: str = "item_id", text_column: str = "text") -> str:
+    """The prompt of one benchmark item; KeyError if there is none."""
+    found = items.filter(F.col(id_column) == item_id).select(F.col(text_column).alias("t")).limit(1).collect()
+    if not found:
+        raise KeyError(f"no item {item_id}")
+    return found[0]["t"]
+
+
 class _Files(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textmill.sources.readers import Source
 
-def _state_loop(step: Callable[[dict, dict], dict], fields: list[str], start: tuple):
-    """A function for applyInPandasWithState that folds rows in order into a tuple of state fields."""
+
+def _folded(fold: Callable[[tuple, pd.DataFrame], tuple[tuple, dict]], start: tuple):
+    """A function for applyInPandasWithState: a batch's rows of a key, in order, go through `fold` at once, which returns the new state and columns."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(fields, state.get if state.exists else start, strict=True))
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("order", kind="stable")
-        out = []
-        for row in rows.to_dict("records"):
-            now = step(now, row)
-            out.append({"key": key[0], "order": row["order"], **now})
-        state.update(tuple(now[f] for f in fields))
-        yield pd.DataFrame(out)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("order", kind="stable", ignore_index=True)
+        now, columns = fold(state.get if state.exists else start, rows)
+        state.update(now)
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "order": rows["order"], **columns})
 
     return run
 
@@ -30,26 +33,32 @@ def _state_loop(step: Callable[[dict, dict], dict], fields: list[str], start: tu
 def ema_stream(events: DataFrame, *, run: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
     """key, order, ema of a stream of values for each run; state is one number a run.  Steps that come after later ones are folded when they come."""
 
-    def step(now: dict, row: dict) -> dict:
-        x = row["value"]
-        return {"ema": x if pd.isna(now["ema"]) else (1 - alpha) * now["ema"] + alpha * x}
+    def fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, dict]:
+        known = [] if pd.isna(state[0]) else [state[0]]
+        means = pd.Series([*known, *rows["value"]]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(known) :]
+        return (float(means[-1]),), {"ema": means}
 
     rows = events.select(F.col(run).alias("key"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandasWithState(_state_loop(step, ["ema"], (float("nan"),)), f"key {kind}, order long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(_folded(fold, (float("nan"),)), f"key {kind}, order long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
 
 
 def admitted_stream(docs: DataFrame, target: int, *, source: str, order: str, tokens: str) -> DataFrame:
     """key, order, before, admitted: which documents of a stream each source's budget admits; state is a source's tokens so far."""
 
-    def step(now: dict, row: dict) -> dict:
-        before = int(now["before"]) + int(now["last"])
+    def fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, dict]:
+        sizes = rows["value"].fillna(0).to_numpy(np.int64)
+        before = int(state[0]) + np.cumsum(sizes) - sizes
+        # from the first document that isn't admitted on, nothing is added
+        full = np.flatnonzero(before >= target)
+        if len(full):
+            before[full[0] :] = before[full[0]]
         admitted = before < target
-        return {"before": before, "last": int(row["value"]) if admitted else 0, "admitted": bool(admitted)}
+        return (int(before[-1] + (sizes[-1] if admitted[-1] else 0)),), {"before": before, "admitted": admitted}
 
     rows = docs.select(F.col(source).alias("key"), F.col(order).cast("long").alias("order"), F.col(tokens).cast("long").alias("value"))
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").applyInPandasWithState(_state_loop(step, ["before", "last", "admitted"], (0, 0, True)), f"key {kind}, order long, before long, last long, admitted boolean", "before long, last long, admitted boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(_folded(fold, (0,)), f"key {kind}, order long, before long, admitted boolean", "before long", "append", GroupStateTimeout.NoTimeout)
 
 
 def totals_stream(docs: DataFrame, *, source: str, tokens: str) -> DataFrame:
@@ -66,18 +75,63 @@ def committed_once(root: str, name: str = "batches") -> Callable[[DataFrame, int
     return write
 
 
-def drained(stream: DataFrame, table: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that a stream has now, through a memory table; for tests and small reports.
+def drained(stream: DataFrame, mode: str = "append", root: str | None = None, most_batches: int | None = None) -> DataFrame:
+    """All that a stream gives now, written batch by batch and read from the files; in complete mode, the last batch.
 
-    Without a checkpoint of its own, a new one goes into the folder that driver and executors share.
+    Batches and checkpoint are under `root`; without one, in a new folder of the one that driver and
+    executors share.  A root that was used before goes on where it stopped.
+    """
+    spark = stream.sparkSession
+    if root is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='textmill-')).rstrip('/')}/textmill/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).withColumn("batch_id", F.lit(-1)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/batches")
+    writer = stream.writeStream.foreachBatch(committed_once(root)).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    out = spark.read.schema(schema).parquet(f"{root}/batches")
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("batch_id").alias("batch_id"))), "batch_id", "left_semi")
+    return out.drop("batch_id")
+
+
+class Unreadable(RuntimeError):
+    """A source kept failing."""
+
+
+def retried(start: Callable[[], object], *, most: int = 5, base_s: float = 1.0, longest_s: float = 60.0, wait: Callable[[float], None] = time.sleep) -> int:
+    """Runs a stream until it ends, and starts it again from its checkpoint when it fails, with growing waits; returns the number of retries.
+
+    start: starts the query and returns it.  A query that got on before it failed begins the count anew.
+    """
+    failures = retries = 0
+    last = -1
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return retries
+        except StreamingQueryException as error:
+            batch = (query.lastProgress or {}).get("batchId", -1)
+            failures = 1 if batch > last else failures + 1
+            last, retries = max(last, batch), retries + 1
+            if failures > most:
+                raise Unreadable(f"{failures} failures without progress") from error
+            wait(min(longest_s, base_s * 2.0 ** (failures - 1)))
+
+
+def source_stream(spark: SparkSession, source: Source, schema: str, *, files_ahead: int = 1) -> DataFrame:
+    """A source's files as a stream: at most `files_ahead` files a batch, so that no more is read ahead than that.
+
+    The checkpoint of the query that reads it is the source's cursor: it resumes after the last committed
+    file.  A source that is looped has a checkpoint for each epoch.
     """
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if checkpoint is None and shared:
-        checkpoint = f"{shared.rstrip('/')}/textmill/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
+    if source.path is None:
+        raise ValueError(f"source {source.source_id} has no path")
+    reader = spark.readStream.format(source.format).schema(schema).options(**source.options).option("maxFilesPerTrigger", files_ahead)
+    return reader.load(source.path)
 
 
 def counted_windows(events: DataFrame, *, at: str, kind: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
