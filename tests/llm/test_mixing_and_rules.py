@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 import re
 
@@ -165,6 +166,30 @@ def test_divergent_documents_fail(spark, documents):
     assert not kept[900] and not kept[901] and not kept[902]
 
 
+def test_common_words_may_hold_the_separator(spark):
+    r = random.Random(2)
+    names = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(r.choice(["So,", "so", *names]) for _ in range(60)) + " so, so", "en") for i in range(30)]
+    odd = [(99, " ".join(r.choice(["zz", "yy,"]) for _ in range(80)), "en")]
+    for common in (2, 4):
+        got = {x["doc_id"]: x["kept"] for x in quality_rules(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string"), rules=Rules(common_words=common, min_docs=5, max_repeat_percent=100, max_word_distance=0.25, max_class_distance=1.0)).collect()}
+        # the histogram of each text by hand
+        words = [w.lower() for _, t, _ in rows + odd for w in t.split()]
+        top = [w for w, _ in sorted(collections.Counter(words).items(), key=lambda e: (-e[1], e[0]))[:common]]
+        assert "so," in top
+
+        def bins(own, top=top):
+            n = [own.count(w) for w in top]
+            return [x / len(own) for x in [*n, len(own) - sum(n)]]
+
+        q = bins(words)
+        for i, t, _ in rows + odd:
+            p = bins([w.lower() for w in t.split()])
+            half = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+            d = math.sqrt(max(0.0, sum(half(a, b) + half(b, a) for a, b in zip(p, q, strict=True)) / 2))
+            assert got[i] == (d <= 0.25), (i, d)
+
+
 def test_rules_are_native(documents):
     plan = quality_rules(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
