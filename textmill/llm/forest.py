@@ -281,8 +281,8 @@ def _units(member: DataFrame, s: Settings) -> DataFrame:
     return paired.select(F.xxhash64("component", F.least(one, other), F.greatest(one, other)).alias("unit"), "id").distinct()
 
 
-def _components(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
-    """digest, component of the texts with words.  docs: _key, _text; rows: what `sketches` gives of them, saved."""
+def _components(docs: DataFrame, rows: DataFrame, s: Settings, by_id: bool = False) -> DataFrame:
+    """digest, component of the texts with words.  docs: _key, _text; rows: what `sketches` gives of them, saved.  by_id: keys are ids."""
     known = rows.filter("n > 0 AND id IS NOT NULL")
     classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
     # where a document has several sets, they are one vertex; each set's signature counts
@@ -299,8 +299,11 @@ def _components(docs: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     by_region = found.join(signs, "id").select("h", "id", "signature").repartition("h").sortWithinPartitions("h", "id")
     rough = saved(connected_components(arrow(by_region, guess, "a long, b long").unionByName(twins)), "candidates")
     units = _units(rough.join(signs.select("id", "n"), "id"), s)
-    wanted = known.join(rough, "id", "left_semi").select(F.col("key").alias("_key"), "id").distinct()
-    texts = docs.join(wanted, "_key").select("id", "_text")
+    if by_id:
+        texts = docs.join(rough.select(F.col("id").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("id"), "_text")
+    else:
+        wanted = known.join(rough, "id", "left_semi").select(F.col("key").alias("_key"), "id").distinct()
+        texts = docs.join(wanted, "_key").select("id", "_text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("forest", _powers.clear)
@@ -343,7 +346,7 @@ def near_components(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     own = F.col(id_column).cast("long")
     docs = df.select(own.alias("_key"), own.alias("_id"), text_of(text_column).alias("_text"))
     rows = saved(sketches(docs, settings), "sketches")
-    placed = _components(docs.select("_key", "_text"), rows, settings)
+    placed = _components(docs.select("_key", "_text"), rows, settings, by_id=True)
     out = rows.select("id", "n", "digest").join(placed, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("id"))).alias("kept"))
