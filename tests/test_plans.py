@@ -254,3 +254,48 @@ def test_bounded_time_and_head():
 def test_bounded_output():
     code, text = manifest.run_bounded(["python", "-c", "print('x' * 100000 + 'end'); raise SystemExit(3)"], 50)
     assert code == 3 and len(text) == 50 and text.endswith("end\n")
+
+
+def test_shard_stats_file(spark, tmp_path):
+    samples = spark.createDataFrame([("standard", 0, 5), ("standard", 1, 7), ("fim_psm", 0, 3)], "mode string, part int, n_tokens long")
+    docs = spark.createDataFrame([("a", i, n) for i, n in enumerate([4, 0, 6])], "source_id string, seq long, n_tokens long")
+    taken = budget.cycle(docs, spark.createDataFrame([("a", 25)], "source_id string, target long"))
+    stats = budget.source_stats(docs, taken, spark.createDataFrame([("a", 1, 2)], "source_id string, epoch long, offset long"), spark.createDataFrame([("a", 4)], "source_id string, stream_retries long"))
+    told = manifest.write_shard_stats(tmp_path / "shard_stats.json", budget.mode_stats(samples), stats)
+    assert told == manifest.read_json(tmp_path / "shard_stats.json")
+    assert (told["actual_tokens"], told["files"], told["mode_docs"]) == (15, 3, {"standard": 2, "fim_psm": 1})
+    # 4, 0, 6 | 4, 0, 6 | 4, 0, 6: the third pass begins at 20 tokens, its last document has 24 before it
+    assert told["source_stats"]["a"] == {"target_tokens": 25, "actual_tokens": 30, "documents": 6, "examples_consumed": 9, "epochs_completed": 3, "offset": 2, "epoch": 4, "stream_retries": 4}
+
+
+def test_options_and_access():
+    from textmill.operators import chunk
+
+    source = {"name": "en", "config_name": "", "data_files": "x*", "trust_remote_code": 0}
+    assert readers.reader_options(source, {"data": {"hf_token": "t"}}, {"HF_TOKEN": "u"}) == {"name": "en", "data_files": "x*", "token": "t"}
+    assert readers.reader_options({"hf_token": "own"}, {}, {"HF_TOKEN": "u"}) == {"token": "own"} and readers.reader_options({}, {}, {}) == {}
+    s = [readers.Source("g", "c", path="org/gated"), readers.Source("b", "c", path="s3://b/x")]
+    with pytest.raises(PermissionError, match="g: .*; b: "):
+        readers.check_access(s, ["org/gated"], {})
+    readers.check_access(s, ["org/gated"], {"HF_TOKEN": "t", "AWS_PROFILE": "p"})
+    assert chunk.merged({"min_chars": 5, "classes": True}, {"min_chars": 9}) == chunk.Chunking(min_chars=9, classes=True)
+    with pytest.raises(TypeError):
+        chunk.merged({}, {"no_such": 1})
+
+
+def test_windows_of_a_folder(spark, tmp_path):
+    from textmill.operators import pack
+
+    spark.createDataFrame([("standard", i, list(range(i, i + 7))) for i in range(20)], "mode string, seq long, tokens array<int>").write.parquet(str(tmp_path / "t"))
+    one, two = ({r["place"]: r["window"] for r in pack.scan_windows(spark, str(tmp_path / "t"), 10, seed).collect()} for seed in (1, 2))
+    assert sorted(one.values()) == sorted(two.values()) == list(range(14)) and one != two
+    assert "positions" not in pack.scan_windows(spark, str(tmp_path / "t"), 10, 1, with_positions=False).columns
+
+
+def test_rejections(spark):
+    from textmill.operators import sft
+
+    d = spark.createDataFrame([("s", i, i % 4 == 0) for i in range(20)], "source_id string, seq long, ok boolean")
+    sft.check_rejections(d, F.col("ok"), source="source_id", order="seq", most=4)
+    with pytest.raises(ValueError, match="3 unusable"):
+        sft.check_rejections(d, F.col("ok"), source="source_id", order="seq", most=3)

@@ -23,6 +23,20 @@ def learning_rate(step: Column, peak: float, floor: float, warm_up: int, total:
     return F.when(step < warm_up, F.lit(peak) * (step + 1) / F.lit(float(max(1, warm_up)))).otherwise(F.lit(floor) + F.lit(peak - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))
 
 
+def learning_rate_by_ratio(step: Column, peak: float, warm_up_ratio: float, total: int, floor_ratio: float = 0.1, start_ratio: float = 0.05) -> Column:
+    """The other schedule: a warm-up over a share of all steps from start_ratio of the peak, then a cosine down to floor_ratio of it."""
+    warm_up = math.floor(warm_up_ratio * total)
+    low = floor_ratio * peak
+    rising = F.lit(peak) * (F.lit(start_ratio) + F.lit(1 - start_ratio) * step / F.lit(float(max(1, warm_up))))
+    done = F.least((step - warm_up) / F.lit(float(max(1, total - warm_up))), F.lit(1.0))
+    return F.when(step < warm_up, rising).otherwise(F.lit(low) + F.lit(peak - low) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))
+
+
+def total_steps(tokens: Column, per_step: Column) -> Column:
+    """Optimizer steps that so many tokens (or rows) make, the last one not full."""
+    return F.ceil(tokens / per_step).cast("long")
+
+
 def next_multiple(now: Column, interval: int) -> Column:
     return ((F.floor(now / interval) + 1) * interval).cast("long")
 

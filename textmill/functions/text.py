@@ -136,10 +136,14 @@ def task_names(args: Column | str, flag: str = "--tasks") -> Column:
     return F.coalesce(F.filter(F.transform(F.split(argument(args, flag), ","), lambda t: F.lower(strip(t))), lambda t: t != ""), F.array().cast("array<string>"))
 
 
+#: Texts that stand for no target at all.
+NO_TARGET = ("none", "null", "false", "off", "")
+
+
 def report_targets(x: Column | str) -> Column:
-    """Where to report to: a comma-separated text as a list; none for null, blank and "none"."""
-    names = F.filter(F.transform(F.split(clean(x), ","), lambda t: strip(t)), lambda t: (t != "") & (F.lower(t) != "none"))
-    return F.coalesce(names, F.array().cast("array<string>"))
+    """Where to report to: a comma-separated text as a list; none for null and for words that stand for nothing."""
+    names = F.filter(F.transform(F.split(col(x), ","), lambda t: strip(t)), lambda t: t != "")
+    return F.when(F.lower(col(x)).isin(*NO_TARGET) | col(x).isNull(), F.array().cast("array<string>")).otherwise(names)
 
 
 def blake2s_32(x: Column | str) -> Column:
@@ -185,5 +189,16 @@ def mode_name(number: Column | str) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, MODES)), col(number).cast("int")), F.lit("standard"))
 
 
+def iso_time(at: Column) -> Column:
+    """A time as ISO text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def elapsed_seconds(begin: Column | str, end: Column | str) -> Column:
+    """Seconds between two ISO texts or times, as a double; null if either can't be read."""
+    read = lambda x: F.try_to_timestamp(col(x).cast("string")).cast("double")
+    return read(end) - read(begin)
+
+
 def digest(content: Column | str) -> Column:
     return F.sha2(col(content).cast("binary"), 256)

@@ -49,6 +49,32 @@ def shard_stats(taken: DataFrame, *, tokens: str = "n_tokens", by: tuple[str, ..
     return taken.groupBy(*by).agg(F.sum(tokens).alias("actual_tokens"), F.count("*").alias("documents"), *extra)
 
 
+def mode_stats(samples: DataFrame, *, tokens: str = "n_tokens") -> DataFrame:
+    """Tokens, samples and files of each mode.  samples: mode, part, tokens (see `manifest.write_shard`)."""
+    return samples.groupBy("mode").agg(F.sum(tokens).alias("tokens"), F.count("*").alias("samples"), F.countDistinct("part").alias("files"))
+
+
+def source_stats(docs: DataFrame, taken: DataFrame, cursor: DataFrame, retries: DataFrame | None = None, *, tokens: str = "n_tokens") -> DataFrame:
+    """What a shard took from each source, and where the source stands now.
+
+    docs: source_id, a row for every example; taken: what `cycle` gives of them, with target; cursor:
+    source_id, epoch, offset before the shard; retries: source_id, stream_retries.  An example counts
+    each time that it is passed; a pass over all of them completes an epoch.
+    """
+    sizes = docs.groupBy("source_id").agg(F.count("*").alias("rows"))
+    sums = taken.groupBy("source_id").agg(F.max("target").alias("target_tokens"), F.sum(F.col(tokens) * F.col("passes")).alias("actual_tokens"), F.sum(F.when(F.col(tokens) > 0, F.col("passes")).otherwise(0)).cast("long").alias("documents"), F.sum("passes").alias("examples_consumed"))
+    out = sums.join(sizes, "source_id").join(cursor.select("source_id", F.col("epoch").alias("_e"), F.col("offset").alias("_o")), "source_id", "left")
+    at = F.coalesce("_o", F.lit(0)) + F.col("examples_consumed")
+    out = out.withColumns({"epochs_completed": F.floor(at / F.col("rows")), "offset": at % F.col("rows")}).withColumn("epoch", F.coalesce("_e", F.lit(0)) + F.col("epochs_completed"))
+    out = out.join(retries, "source_id", "left") if retries is not None else out.withColumn("stream_retries", F.lit(0).cast("long"))
+    return out.withColumn("stream_retries", F.coalesce("stream_retries", F.lit(0))).drop("rows", "_e", "_o")
+
+
+def limited(rows: DataFrame, most: int | None, *, order: str) -> DataFrame:
+    """The first `most` rows in order; all of them without a limit."""
+    return rows if most is None else rows.orderBy(order).limit(most)
+
+
 def conserved(shards: DataFrame, prepared: Column) -> DataFrame:
     """One row: whether spans are contiguous and add up to what was prepared.  shards: id, actual_tokens, tokens_start, tokens_end (one row a shard)."""
     from pyspark.sql import Window as W

@@ -27,6 +27,11 @@ class Chunking:
     methods: bool = True
 
 
+def merged(common: dict, own: dict) -> Chunking:
+    """Settings of a source: its own over the common ones over the defaults; names that are no setting are an error."""
+    return Chunking(**(common | own))
+
+
 def _first_line(node: ast.AST) -> int:
     return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))])
 
@@ -84,7 +89,7 @@ def chunks(text: str, c: Chunking) -> list[tuple[str, str]]:
 
 
 def chunked(docs: DataFrame, c: Chunking, *, eligible: Column, text: str = "text", key: str = "seq", seed: int = 42) -> DataFrame:
-    """Documents as chunks: adds chunk_type (null for a whole document) and chunk_no, and replaces the text.
+    """Documents as chunks: adds chunk_type (null for a whole document) and chunk_no, and replaces the text; a chunk's language is Python.
 
     Only eligible documents under the length limit, and a drawn share of them, are parsed.
     """
@@ -96,6 +101,8 @@ def chunked(docs: DataFrame, c: Chunking, *, eligible: Column, text: str = "text
     whole = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col(text).alias("text")))
     own = own.withColumn("_chunks", F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(whole))
     out = own.select("*", F.posexplode("_chunks").alias("chunk_no", "_c")).withColumns({text: F.col("_c.text"), "chunk_type": F.col("_c.kind")})
+    if "language" in docs.columns:
+        out = out.withColumn("language", F.when(F.col("chunk_type").isNotNull(), "Python").otherwise(F.col("language")))
     return out.drop("_parse", "_chunks", "_c")
 
 

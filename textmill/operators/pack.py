@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textmill.plans.ordered import WIDTH, row_numbers, running_sum
+from textmill.plans.ordered import WIDTH, hash_rank, row_numbers, running_sum
 
 
 def windows(docs: DataFrame, length: int, *, key: str, order: str, tokens: str = "tokens", width: int = WIDTH) -> DataFrame:
@@ -79,6 +79,17 @@ def part_roll(docs: DataFrame, most: int, *, key: str = "mode", order: str = "se
     return rows.mapInArrow(run, f"{key} {kind[key]}, {order} {kind[order]}, {tokens} {kind[tokens]}, part int")
 
 
+def shuffled(windows_: DataFrame, seed: int, rank: int = 0, *, key: str, window: str = "window") -> DataFrame:
+    """Adds `place`: windows in an order that the seed and the rank alone decide."""
+    return hash_rank(windows_, F.md5(F.concat_ws("#", F.lit(str(seed + rank)), F.col(key).cast("string"), F.col(window).cast("string")).cast("binary")), "place")
+
+
+def scan_windows(spark: SparkSession, path: str, length: int, seed: int, rank: int = 0, *, key: str = "mode", order: str = "seq", tokens: str = "tokens", with_positions: bool = True) -> DataFrame:
+    """A folder of tokenised samples as fixed windows in seeded order: key, window, input_ids, place (and positions)."""
+    found = shuffled(windows(spark.read.parquet(path), length, key=key, order=order, tokens=tokens), seed, rank, key=key)
+    return found if with_positions else found.drop("positions")
+
+
 def rank_ranges(rows: DataFrame, world: int, *, order: str) -> DataFrame:
     """Adds `rank`: equal ranges of the order; the remainder is dropped."""
     numbered = row_numbers(rows, order, "_n")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import clean, first_text, normal_role, strip, uniform
+from textmill.operators.evalkit import longest_failures
 
 IGNORED = -100
 #: Columns that may hold a conversation, and fields that may hold a message's role and content, in order.
@@ -141,6 +142,13 @@ def truncated(example: Column, most: int, mode: str, *draw: Column | str) -> Col
     return F.when(good, F.struct(ids.alias("ids"), labels.alias("labels")))
 
 
+def check_rejections(rows: DataFrame, usable: Column, *, source: str, order: str, most: int = 10_000) -> None:
+    """Raises ValueError if a source has `most` rows in a row that give no example."""
+    worst = longest_failures(rows, run=source, order=order, failed=~F.coalesce(usable, F.lit(False))).filter(F.col("longest") >= most).limit(1).collect()
+    if worst:
+        raise ValueError(f"source {worst[0][source]} has {worst[0]['longest']} unusable rows in a row")
+
+
 def collated(df: DataFrame, *, batch: str, order: str, pad: int) -> DataFrame:
     """x, y and loss mask of each row, padded to its batch's longest.  df: batch, order, ids, labels; batches are small."""
     longest = df.groupBy(batch).agg(F.max(F.size("ids")).alias("_n"))

@@ -158,6 +158,21 @@ def write_shard(samples: DataFrame, root: str, shard_id: int, *, most: int | Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
 
 
+def write_shard_stats(path: str | os.PathLike, modes: DataFrame, sources: DataFrame) -> dict:
+    """The stats file beside a shard: totals by mode, and by source.  Both tables have a row for each of the configuration's."""
+    by_mode = {r["mode"]: r.asDict() for r in modes.collect()}
+    by_source = {r["source_id"]: {k: v for k, v in r.asDict().items() if k != "source_id"} for r in sources.collect()}
+    stats = {
+        "actual_tokens": sum(r["tokens"] for r in by_mode.values()),
+        "files": sum(r["files"] for r in by_mode.values()),
+        "mode_tokens": {k: r["tokens"] for k, r in by_mode.items()},
+        "mode_docs": {k: r["samples"] for k, r in by_mode.items()},
+        "source_stats": by_source,
+    }
+    write_json(path, stats)
+    return stats
+
+
 def shard_files(root: str, shard_id: int) -> list[dict]:
     """mode, part, path, of a shard's files, as they are listed in the folder of its id."""
     out = []

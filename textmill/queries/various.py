@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import markup, numbers, text
-from textmill.operators import evalkit, filters, rl, sft
-from textmill.queries.base import SOURCES, query, read
+from textmill.operators import budget, evalkit, filters, pack, rl, sft
+from textmill.queries.base import SHARD_TOKENS, SOURCES, SQL_DOCS, SQL_TARGETS, counted, docs, mix, query, read, sources
 from textmill.sources import readers
+from textmill.sources.mix import targets
+
+_WINDOWS_OF = 'w AS (SELECT source_id, unnest(range(0, CAST(sum(n_tokens) AS BIGINT) // 129)) AS "window" FROM docs GROUP BY source_id)'
 
 
 @query("SELECT page_id, 'own/er-' || page_id AS repo, 'main' AS revision, 'a b/c.txt' AS file FROM pages")
@@ -123,9 +126,48 @@ def blob_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").cast("long").alias("doc_id"), "text")
 
 
-@query("SELECT doc_id, ['a', 'b b'] AS tasks, CASE WHEN doc_id % 2 = 0 THEN ['x', 'y'] ELSE [] END AS targets FROM documents")
+@query("SELECT doc_id, ['a', 'b b'] AS tasks, CASE WHEN doc_id % 2 = 0 THEN ['x', 'none', 'y'] ELSE [] END AS targets FROM documents")
 def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks and report targets out of comma-separated texts."""
     n = F.col("doc_id")
     args = F.array(F.lit("run"), F.lit("--tasks"), F.lit(" A ,,b B"))
     return read(spark, sf_dir, "documents").select("doc_id", text.task_names(args).alias("tasks"), text.report_targets(F.when(n % 2 == 0, "x, none,y ").when(n % 4 == 1, "None")).alias("targets"))
+
+
+@query(
+    f"WITH {SQL_DOCS}, {SQL_TARGETS}, sized AS (SELECT d.*, 4 * target AS target, sum(n_tokens) OVER (PARTITION BY source_id) AS total, count(*) OVER (PARTITION BY source_id) AS n, coalesce(sum(n_tokens) OVER (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs d JOIN targets USING (source_id)),"
+    " p AS (SELECT *, greatest(least(16, CAST(ceil((target - before)::DOUBLE / total) AS BIGINT)), 0) AS passes FROM sized), t AS (SELECT source_id, max(target) AS target_tokens, CAST(sum(n_tokens * passes) AS BIGINT) AS actual_tokens, CAST(sum(CASE WHEN n_tokens > 0 THEN passes ELSE 0 END) AS BIGINT) AS documents, CAST(sum(passes) AS BIGINT) AS examples_consumed, max(n) AS n FROM p GROUP BY source_id HAVING sum(passes) > 0)"
+    ' SELECT source_id, target_tokens, actual_tokens, documents, examples_consumed, (3 + examples_consumed) // n AS epochs_completed, 2 + (3 + examples_consumed) // n AS epoch, (3 + examples_consumed) % n AS "offset", 0::BIGINT AS stream_retries FROM t'
+)
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cycled shard took from each source, from a cursor at epoch 2, offset 3."""
+    d, s = counted(spark, sf_dir), sources(spark)
+    taken = budget.cycle(d, targets(s, mix(spark), SHARD_TOKENS).withColumn("target", 4 * F.col("target")))
+    cursor = s.select("source_id", F.lit(2).cast("long").alias("epoch"), F.lit(3).cast("long").alias("offset"))
+    out = budget.source_stats(d, taken, cursor)
+    return out.select("source_id", "target_tokens", F.col("actual_tokens").cast("long").alias("actual_tokens"), "documents", "examples_consumed", "epochs_completed", "epoch", "offset", F.col("stream_retries").cast("long").alias("stream_retries"))
+
+
+@query("SELECT i AS step, round(CASE WHEN i < 100 THEN 3e-4::DOUBLE * (0.05 + 0.95 * i / 100.0::DOUBLE) ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5 * (1 + cos(pi() * least((i - 100) / 900.0::DOUBLE, 1.0))) END, 10) AS rate, CAST(ceil(i / 7.0) AS BIGINT) AS steps FROM range(1100) t(i)")
+def lr_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.range(1100).withColumnRenamed("id", "step")
+    return s.select("step", F.round(numbers.learning_rate_by_ratio(F.col("step"), 3e-4, 0.1, 1000), 10).alias("rate"), numbers.total_steps(F.col("step"), F.lit(7)).alias("steps"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS told, round(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2020-01-01'), 3) AS seconds FROM events")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", text.iso_time(F.col("ts").cast("timestamp")).alias("told"))
+    return e.select("event_id", "told", F.round(text.elapsed_seconds(F.lit("2020-01-01T00:00:00+00:00"), "told"), 3).alias("seconds"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit on training rows, clamped to the table."""
+    return budget.limited(read(spark, sf_dir, "documents").select("doc_id"), 100, order="doc_id")
+
+
+@query(f"WITH {SQL_DOCS}, {_WINDOWS_OF} SELECT source_id, \"window\", row_number() OVER (ORDER BY md5('9#' || source_id || '#' || \"window\")) - 1 AS place FROM w")
+def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed windows in seeded order."""
+    d = docs(spark, sf_dir).select("source_id", "seq", text.words("text").alias("tokens"))
+    return pack.shuffled(pack.windows(d, 129, key="source_id", order="seq"), 9, key="source_id").select("source_id", "window", "place")

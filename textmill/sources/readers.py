@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -234,6 +234,31 @@ def generations(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
     return tasks.select((F.col("pos") + first).alias("task_no"), F.posexplode("texts").alias("candidate", "text"))
 
 
+#: Fields of a source that its reader takes as options, and where an access token may stand.
+OPTION_FIELDS = ("data_dir", "data_files")
+TOKEN_NAMES = ("HF_TOKEN", "HUGGINGFACE_TOKEN", "HUGGING_FACE_HUB_TOKEN")
+
+
+def reader_options(source: dict, config: dict, environment: Mapping[str, str]) -> dict:
+    """A configured source's reader options: its subset's name, folders, files, trust and token; unset and empty ones are left out.
+
+    The token is the source's own, else the configuration's, else the environment's.
+    """
+    options = {"name": source.get("config_name") or source.get("name")} | {f: source.get(f) for f in OPTION_FIELDS}
+    options["trust_remote_code"] = True if source.get("trust_remote_code") else None
+    options["token"] = next((t for t in (source.get("hf_token"), config.get("data", {}).get("hf_token"), *(environment.get(n) for n in TOKEN_NAMES)) if t), None)
+    return {k: v for k, v in options.items() if v}
+
+
+def check_access(sources: Sequence[Source], gated: Sequence[str], environment: Mapping[str, str], config: dict | None = None) -> None:
+    """Raises PermissionError that names every source which can't be read yet; called before a shard is begun."""
+    token = bool(reader_options({}, config or {}, environment).get("token"))
+    keys = bool(environment.get("AWS_ACCESS_KEY_ID") and environment.get("AWS_SECRET_ACCESS_KEY")) or bool(environment.get("AWS_PROFILE"))
+    wrong = [x for x in (missing_access(s, gated, token, keys) for s in sources) if x]
+    if wrong:
+        raise PermissionError("; ".join(wrong))
+
+
 def missing_access(source: Source, gated: Sequence[str], has_token: bool, has_keys: bool) -> str | None:
     """Why a source can't be read yet, or None: gated sets need a token, signed stores need keys."""
     if source.enabled and source.path in gated and not has_token:
