@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textmill.llm import passages
@@ -90,7 +91,7 @@ def test_few_symbols(spark):
 
 
 def test_pipeline_stages(spark, documents, corpus, nothing):
-    spec = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    spec = documents.withColumns({"_lang_pred": F.lit(7), "_row": F.lit(8), "_doc": F.lit(9), "_times": F.lit(3)})
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language", "near_duplicates", "passages", "mixture", "packing"]
     told = stages["language"](spark, spec, "")
@@ -117,6 +118,9 @@ def test_pipeline_stages(spark, documents, corpus, nothing):
     for p in pieces:
         total[p["doc_id"]] += p["length"]
     assert total == Counter({i: n * tokens[i] for i, n in times.items()})
+    extra = [c for c in spec.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for step in (told, cut, mixed):
+        assert step.columns == spec.columns and step.select(*extra).distinct().count() == 1 == step.select(*extra).intersect(spec.select(*extra)).count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, nothing.select(*spec.columns), "")
+        out = stage(spark, spec.limit(0), "")
         assert out.columns == spec.columns and out.count() == 0, name

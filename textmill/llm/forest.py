@@ -364,6 +364,7 @@ def without_near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_co
     own = saved(sketches(docs, settings).withColumnRenamed("id", "own").withColumn("id", F.monotonically_increasing_id()), "sketches")
     placed = _components(docs.select("_key", "_text"), own.select("key", "id", "n", "digest", "signature"), settings)
     first = own.filter("n > 0").join(placed, "digest").groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "key")).alias("x")).select(F.col("x.key").alias("_near_key"))
-    keyed = df.withColumn("_near_key", key)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")  # whatever columns are called, none is lost
     word = text.rlike(r"[^\x20\x09-\x0D]")
-    return keyed.filter(word).join(first, "_near_key", "left_semi").dropDuplicates(["_near_key"]).unionByName(keyed.filter(~word)).drop("_near_key")
+    keyed = df.filter(word).select(key.alias("_near_key"), row)
+    return keyed.join(first, "_near_key", "left_semi").dropDuplicates(["_near_key"]).select("_row").unionByName(df.filter(~word).select(row)).select("_row.*")

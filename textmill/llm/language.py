@@ -158,8 +158,17 @@ def learn(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     return fit(samples, settings)
 
 
-#: Columns that `identify` adds.
-ADDED = "_lang_pred string, _score double, _coverage double"
+#: Columns that `identify` adds; where a table has them, with one more underscore.
+ADDED = (("_lang_pred", T.StringType()), ("_score", T.DoubleType()), ("_coverage", T.DoubleType()))
+
+
+def _added(taken: list[str]) -> list[T.StructField]:
+    out = []
+    for name, kind in ADDED:
+        while name in taken:
+            name = f"_{name}"
+        out.append(T.StructField(name, kind))
+    return out
 
 
 def identify(df: DataFrame, model: Model, text_column: str = "text", *, keep_text: bool = True, least_coverage: float | None = None) -> DataFrame:
@@ -171,7 +180,7 @@ def identify(df: DataFrame, model: Model, text_column: str = "text", *, keep_tex
     names = df.columns
     at = names.index(text_column)
     kept = [i for i in range(len(names)) if keep_text or i != at]
-    schema = T.StructType([df.schema.fields[i] for i in kept] + T._parse_datatype_string(ADDED).fields)
+    schema = T.StructType([df.schema.fields[i] for i in kept] + _added(names))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language", lambda: vars(shared).pop("_value", None))  # the model, which this process can read again

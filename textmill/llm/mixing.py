@@ -252,7 +252,9 @@ def mix(df: DataFrame, **options) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), F.col("_text_key").alias("text_key"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_times") * F.col("_size")).cast("long").alias("taken"), F.col("_times").alias("times"))
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: df's rows, each as often as it is taken."""
-    out = times(df, **options).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))  # whatever columns are called, none is lost
+    own = {"id_column": f"_row.`{id_column}`", "text_column": f"_row.`{text_column}`", "source": f"_row.`{source}`"}
+    out = times(rows, **own, **options).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return out.select("_row.*")

@@ -425,5 +425,7 @@ def without_repeats(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     docs = _keyed(df.select(F.col(id_column), F.col(text_column)), id_column, text_column, versions)
     lost = repeated_stretches(docs.select(F.col("_doc").alias("doc"), F.col("_v").alias("v"), text_of(text_column).alias("text")), settings, with_kept=True)
     kept = lost.select(F.col("doc").alias("_of"), F.col("v").alias("_ver"), F.col("kept").alias("_kept"))
-    rows = _keyed(df, id_column, text_column, versions)
-    return rows.join(kept, (F.col("_doc") == F.col("_of")) & (F.col("_v") == F.col("_ver")), "left").withColumn(text_column, F.coalesce("_kept", F.col(text_column))).select(*(F.col(f"`{c}`") for c in df.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")  # whatever columns are called, none is lost
+    rows = _keyed(df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), row), "_id", "_text", versions)
+    joined = rows.join(kept, (F.col("_doc") == F.col("_of")) & (F.col("_v") == F.col("_ver")), "left")
+    return joined.select(F.col("_row").withField(f"`{text_column}`", F.coalesce("_kept", f"_row.`{text_column}`")).alias("_row")).select("_row.*")
