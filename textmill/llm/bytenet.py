@@ -36,6 +36,7 @@ class Settings:
     codes: int = 4
     repeat_bytes: int = 16
     epochs: int = 14
+    enough: float = 0.003  # mean loss of an epoch after which no other follows
     batch: int = 32
     rate: float = 0.01
     decay: float = 1e-4
@@ -90,34 +91,45 @@ class Net:
     offset: float
     constant: float | None = None
     table: np.ndarray = field(default=None)
+    ready: tuple | None = None  # the taps of a net that learns no more
 
-    def patches(self, data: np.ndarray, again: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """Inputs of the filters at chunks [begin, end), one row for each place."""
+    def taps(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each place of a filter, its response to every byte, and its weight of a repeated byte: an input is one of 257 rows, so a product is a look-up."""
+        by_place = self.filters.reshape(self.settings.width, self.table.shape[1] + 1, -1)
+        return [self.table @ w[:-1] for w in by_place], by_place[:, -1]
+
+    def inputs(self, data: np.ndarray, again: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (256: none) and repeat marks of chunks [begin, end)."""
         s = self.settings
         a, b = begin * s.chunk, end * s.chunk + s.width
-        values = np.full(b - a, 256, np.int64)
+        values, marks = np.full(b - a, 256, np.intp), np.zeros(b - a, np.float32)
         own = data[a:b]
-        values[: len(own)] = own
-        x = np.zeros((b - a, self.table.shape[1] + 1), np.float32)
-        x[:, :-1] = self.table[values]
-        x[: len(own), -1] = again[a:b]
-        c = x.shape[1]
-        n = (end - begin) * s.chunk // s.step
-        return np.lib.stride_tricks.as_strided(x, (n, s.width * c), (s.step * c * 4, 4))
-
-    def chunks(self, data: np.ndarray, again: np.ndarray, keep: bool = False):
+        values[: len(own)], marks[: len(own)] = own, again[a:b]
+        return values, marks
+
+    def chunks(self, data: np.ndarray, again: np.ndarray, keep: bool = False, taps: tuple | None = None):
         """Each chunk's largest responses; with keep, also the inputs where they stood."""
         s = self.settings
+        tables, repeated = taps or self.taps()
         total, per = max(1, -(-len(data) // s.chunk)), PART // s.chunk
         out, at = [], []
         for begin in range(0, total, per):
             end = min(total, begin + per)
-            p = np.ascontiguousarray(self.patches(data, again, begin, end))
-            r = (p @ self.filters).reshape(end - begin, s.chunk // s.step, -1)
+            values, marks = self.inputs(data, again, begin, end)
+            n = (end - begin) * s.chunk
+            r = np.take(tables[0], values[:n : s.step], axis=0)
+            for k in range(1, s.width):
+                r += np.take(tables[k], values[k : k + n : s.step], axis=0)
+            for k in range(s.width) if marks.any() else ():
+                some = np.flatnonzero(marks[k : k + n : s.step])
+                r[some] += marks[k : k + n : s.step][some, None] * repeated[k]
+            r = r.reshape(end - begin, s.chunk // s.step, -1)
             if keep:
                 where = r.argmax(axis=1)
                 out.append(np.take_along_axis(r, where[:, None, :], axis=1)[:, 0, :])
-                at.append(p[(np.arange(end - begin)[:, None] * (s.chunk // s.step) + where)])
+                places = (np.arange(end - begin)[:, None] * s.chunk + where * s.step)[:, :, None] + np.arange(s.width)
+                x = np.concatenate([self.table[values[places]], marks[places][..., None]], axis=-1)
+                at.append(x.reshape(*where.shape, -1))
             else:
                 out.append(r.max(axis=1))
         best = np.maximum(np.concatenate(out) + self.bias, 0)
@@ -130,7 +142,7 @@ class Net:
         if self.constant is not None:
             return self.constant
         data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-        z = self.summary(self.chunks(data, repeats(data, self.settings.repeat_bytes)), len(data)) @ self.head + self.offset
+        z = self.summary(self.chunks(data, repeats(data, self.settings.repeat_bytes), taps=self.ready), len(data)) @ self.head + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -150,16 +162,18 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
     m, v, t = [np.zeros_like(p, dtype=float) for p in params], [np.zeros_like(p, dtype=float) for p in params], 0
     steps = settings.epochs * -(-len(docs) // settings.batch)
     for _ in range(settings.epochs):
-        order = rng.permutation(len(docs))
+        order, loss = rng.permutation(len(docs)), 0.0
         for begin in range(0, len(order), settings.batch):
             grads = [np.zeros(p.shape) for p in params]
             some = order[begin : begin + settings.batch]
+            taps = net.taps()
             for i in some:
                 data, again = docs[i]
-                best, at = net.chunks(data, again, keep=True)
+                best, at = net.chunks(data, again, keep=True, taps=taps)
                 s = net.summary(best, len(data))
                 p = 1 / (1 + np.exp(-np.clip(s @ net.head + params[3][0], -30, 30)))
                 e = (p - y[i]) / len(some)
+                loss -= np.log(max(1e-12, p if y[i] else 1 - p))
                 grads[2] += e * s
                 grads[3] += e
                 d = np.repeat(net.head[None, :f] * (e / len(best)), len(best), axis=0)
@@ -174,7 +188,10 @@ def fit(texts: list[str], labels: list[int], settings: Settings = Settings()) ->
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 p -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(p.dtype)
+        if loss / len(docs) < settings.enough:
+            break
     net.offset = float(params[3][0])
+    net.ready = net.taps()
     return net
 
 
