@@ -156,7 +156,7 @@ def _multipliers(s: Settings) -> np.ndarray:
 
 
 def sketches(df: DataFrame, s: Settings) -> DataFrame:
-    """_key, _id, _text -> key, id, n, digest, signature (null for texts without words)."""
+    """_key, _id, _text -> key, id, n, digest, signature (null for texts without words), low: the last byte of each of its values."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -164,15 +164,18 @@ def sketches(df: DataFrame, s: Settings) -> DataFrame:
         claim("forest", _powers.clear)
         multipliers = _multipliers(s)
         for part in parts:
-            n, digests, signs = [], [], []
+            n, digests, signs, low = [], [], [], []
             for text in part.column(2):
                 h = shingles(text.as_py(), s.words)
                 n.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                signs.append(signature(h, multipliers).view(np.int32) if len(h) else None)
-            yield pa.RecordBatch.from_pydict({"key": part.column(0), "id": part.column(1), "n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "signature": pa.array(signs, pa.list_(pa.int32()))})
+                own = signature(h, multipliers) if len(h) else None
+                signs.append(None if own is None else own.view(np.int32))
+                low.append(None if own is None else own.astype(np.uint8).tobytes())
+            columns = {"n": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "signature": pa.array(signs, pa.list_(pa.int32())), "low": pa.array(low, pa.binary())}
+            yield pa.RecordBatch.from_pydict({"key": part.column(0), "id": part.column(1)} | columns)
 
-    return arrow(df, run, f"key {df.schema['_key'].dataType.simpleString()}, id long, n long, digest binary, signature array<int>")
+    return arrow(df, run, f"key {df.schema['_key'].dataType.simpleString()}, id long, n long, digest binary, signature array<int>, low binary")
 
 
 def _grouped(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
@@ -239,12 +242,11 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     doubled = signs.select("id", F.concat("signature", "signature").alias("sig"))
     all_trees = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig")
     now = saved(all_trees.select("id", F.xxhash64("t", F.slice("sig", F.col("t") * stride + 1, s.first_depth)).alias("h")), "forest")
-    sizes = saved(_several(now), "regions")
-    out = now.join(sizes.filter(F.col("count") <= s.region), "h", "left_semi").select("h", "id")
-    large = sizes.filter(F.col("count") > s.region)
-    if not large.limit(1).count():
+    member = saved(now.join(_several(now), "h").select("h", "id", (F.col("count") > s.region).alias("large")), "regions")
+    out = member.filter("NOT large").select("h", "id")
+    if not member.filter("large").limit(1).count():
         return out, signs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    crowded = signs.join(now.join(large, "h", "left_semi").select("id").distinct(), "id", "left_semi")
+    crowded = signs.join(member.filter("large").select("id").distinct(), "id", "left_semi")
     alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id"), F.array_distinct(F.collect_list("id")).alias("all")), "equal-signatures")
     twins = alike.select(F.col("id").alias("a"), F.explode("all").alias("b")).filter("a <> b")
     rng = np.random.default_rng([s.seed, 2])
@@ -284,19 +286,21 @@ def _units(member: DataFrame, s: Settings) -> DataFrame:
 def _components(docs: DataFrame, rows: DataFrame, s: Settings, by_id: bool = False) -> DataFrame:
     """digest, component of the texts with words.  docs: _key, _text; rows: what `sketches` gives of them, saved.  by_id: keys are ids."""
     known = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low")), "classes")
     # where a document has several sets, they are one vertex; each set's signature counts
     signs = classes.select("id", "n", "signature")
     least, multipliers = s.least(), _multipliers(s)
-    found, twins = regions(signs.select("id", "signature").distinct(), s)
+    found, twins = regions(signs.select("id", "signature"), s)
 
     def guess(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(parts):
-            a, b = _spread([g[0] for g in group], np.stack([g[1] for g in group]), least)
+            # values agree where their last bytes do, and elsewhere once in 256 times: no pair is lost, hardly any is added
+            low = np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(len(group), -1)
+            a, b = _spread([g[0] for g in group], low, least)
             if a:
                 yield _edges(a, b)
 
-    by_region = found.join(signs, "id").select("h", "id", "signature").repartition("h").sortWithinPartitions("h", "id")
+    by_region = found.join(classes.select("id", "low"), "id").select("h", "id", "low").repartition("h").sortWithinPartitions("h", "id")
     rough = saved(connected_components(arrow(by_region, guess, "a long, b long").unionByName(twins)), "candidates")
     units = _units(rough.join(signs.select("id", "n"), "id"), s)
     if by_id:
@@ -362,7 +366,7 @@ def without_near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_co
     key = F.md5(F.concat(F.coalesce(F.concat(id_, F.lit("+")), F.lit("-")), text).cast("binary"))
     docs = df.select(key.alias("_key"), F.col(id_column).cast("long").alias("_id"), text.alias("_text"))
     own = saved(sketches(docs, settings).withColumnRenamed("id", "own").withColumn("id", F.monotonically_increasing_id()), "sketches")
-    placed = _components(docs.select("_key", "_text"), own.select("key", "id", "n", "digest", "signature"), settings)
+    placed = _components(docs.select("_key", "_text"), own.select("key", "id", "n", "digest", "signature", "low"), settings)
     first = own.filter("n > 0").join(placed, "digest").groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "key")).alias("x")).select(F.col("x.key").alias("_near_key"))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")  # whatever columns are called, none is lost
     word = text.rlike(r"[^\x20\x09-\x0D]")
