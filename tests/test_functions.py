@@ -309,6 +309,22 @@ def test_ema_and_failures(spark):
     assert f["longest"] == 3
 
 
+def test_means_in_buckets_of_any_width(spark):
+    r = random.Random(8)
+    rows = [(k, 3 * i, None if r.random() < 0.1 else 400 - i + 90 * r.random()) for i in range(400) for k in ("a", None)]
+    d = spark.createDataFrame(rows, "run string, step long, value double").repartition(5)
+    for width in (7, 100, 10**6):
+        got = {(x["run"], x["step"]): (x["ema"], x["least"]) for x in evalkit.ema_rows(d, run="run", order="step", value="value", width=width).collect()}
+        for k in ("a", None):
+            e = least = None
+            for run, step, x in rows:
+                if run == k:
+                    if x is not None:
+                        e = x if e is None else 0.9 * e + 0.1 * x
+                        least = e if least is None else min(least, e)
+                    assert got[k, step] == ((None, None) if e is None else (pytest.approx(e), pytest.approx(least)))
+
+
 def test_choices_follow_weights(spark):
     groups = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("none", 9.0)], "group string, weight double")
     of = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0), ("b", "z", -1.0)], "group string, source_id string, weight double")

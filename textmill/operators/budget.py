@@ -77,8 +77,8 @@ def limited(rows: DataFrame, most: int | None, *, order: str) -> DataFrame:
 
 def conserved(shards: DataFrame, prepared: Column) -> DataFrame:
     """One row: whether spans are contiguous and add up to what was prepared.  shards: id, actual_tokens, tokens_start, tokens_end (one row a shard)."""
-    from pyspark.sql import Window as W
-
-    before = F.lag("tokens_end").over(W.orderBy("id"))
-    joined = shards.withColumn("ok", F.coalesce(before == F.col("tokens_start"), F.lit(True)) & (F.col("tokens_end") - F.col("tokens_start") == F.col("actual_tokens")))
-    return joined.agg(F.bool_and("ok").alias("contiguous"), F.sum("actual_tokens").alias("total")).withColumn("conserved", F.col("total") == prepared)
+    # contiguous spans begin where all shards before them add up to, but for where the first begins
+    summed = running_sum(shards, [], "id", F.col("actual_tokens"), "_before").withColumn("_shift", F.col("tokens_start") - F.col("_before"))
+    whole = F.bool_and(F.col("tokens_end") - F.col("tokens_start") == F.col("actual_tokens"))
+    out = summed.agg((whole & (F.min("_shift") == F.max("_shift"))).alias("contiguous"), F.sum("actual_tokens").alias("total"))
+    return out.withColumn("conserved", F.col("total") == prepared)

@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 
 from textmill.functions.numbers import finite, is_metric, metric
 from textmill.functions.text import step_number
+from textmill.plans.ordered import WIDTH
 
 
 def _walk(value: object, names: tuple[str, ...] = (), places: tuple[int, ...] = ()) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str | None]]:
@@ -105,25 +107,49 @@ def ema(values: Column, alpha: float = 0.1) -> Column:
     return F.transform(values, lambda _, i: fold(F.slice(values, F.greatest(i - span, F.lit(0)) + 1, F.least(i, F.lit(span)) + 1)))
 
 
-def ema_rows(rows: DataFrame, *, run: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """Adds `ema` and its running minimum.  A run's steps are folded in order, in batches; state is one number a run."""
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for part in parts:
-            out, low = [], []
-            for k, x in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
-                last, least = state.get(k, (None, None))
-                if x is not None:
-                    last = x if last is None else (1 - alpha) * last + alpha * x
-                    least = last if least is None else min(least, last)
-                state[k] = last, least
-                out.append(last)
-                low.append(least)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64()), pa.array(low, pa.float64())], names=[*part.schema.names, "ema", "least"])
+def ema_rows(rows: DataFrame, *, run: str, order: str, value: str, alpha: float = 0.1, width: int = WIDTH) -> DataFrame:
+    """Adds `ema` and its running minimum `least`, in two phases, so that no run has to be in one task.
 
+    Over a bucket of a run's steps the mean is linear in what it is before: after n values it is that
+    times (1 - alpha) ** n plus what the bucket adds.  Buckets are summed up first; a run's few sums give
+    each bucket's start; then each bucket is folded by itself.  The order is a number; null values keep the mean.
+    """
     kind = dict(rows.dtypes)
-    ordered = rows.select(run, order, F.col(value).cast("double").alias(value)).repartition(run).sortWithinPartitions(run, order)
-    return ordered.mapInArrow(fold, f"{run} {kind[run]}, {order} {kind[order]}, {value} double, ema double, least double")
+    own = rows.select(run, order, F.col(value).cast("double").alias(value), F.floor(F.col(order) / width).alias("_bucket"))
+    last = W.partitionBy(run, "_bucket").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    later = F.coalesce(F.count(value).over(last), F.lit(0))
+    added = own.withColumn("_add", alpha * F.pow(F.lit(1 - alpha), later) * F.col(value))
+    sums = added.groupBy(run, "_bucket").agg(F.count(value).alias("n"), F.coalesce(F.sum("_add"), F.lit(0.0)).alias("add"), F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("first"))
+
+    def starts(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part, mean, out = part.sort_values("_bucket"), None, []
+        for n, add, first in zip(part["n"], part["add"], part["first"], strict=True):
+            out.append(mean)
+            if n:  # the first value seeds the mean, and then counts as any other
+                mean = (1 - alpha) ** n * (first if mean is None else mean) + add
+        return pd.DataFrame({run: [key[0]] * len(part), "_bucket": part["_bucket"], "_start": out})
+
+    begun = sums.groupBy(run).applyInPandas(starts, f"{run} {kind[run]}, _bucket long, _start double")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mean = None, None
+        for part in parts:
+            means = []
+            for k, b, x, start in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if (k, b) != at:
+                    at, mean = (k, b), start
+                mean = mean if x is None else x if mean is None else (1 - alpha) * mean + alpha * x
+                means.append(mean)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(means, pa.float64())], names=[run, order, value, "ema"])
+
+    joined = own.join(begun, own[run].eqNullSafe(begun[run]) & (own["_bucket"] == begun["_bucket"])).select(own[run], own["_bucket"], order, value, "_start")
+    ordered = joined.repartition(run, "_bucket").sortWithinPartitions(run, "_bucket", order)
+    out = ordered.mapInArrow(fold, f"{run} {kind[run]}, {order} {kind[order]}, {value} double, ema double").withColumn("_bucket", F.floor(F.col(order) / width))
+    lows = out.groupBy(F.col(run).alias("_run"), F.col("_bucket").alias("_of")).agg(F.min("ema").alias("_low"))
+    lows = lows.withColumn("_low", F.min("_low").over(W.partitionBy("_run").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)))
+    within = F.min("ema").over(W.partitionBy(run, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    out = out.withColumn("_within", within).join(lows, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_bucket") == F.col("_of")))
+    return out.select(run, order, value, "ema", F.least("_within", "_low").alias("least"))
 
 
 def best_so_far(rows: DataFrame, *, run: str, order: str, primary: str, tie: str) -> DataFrame:
