@@ -17,7 +17,7 @@ Every byte that lies in a string of `length` bytes which also starts earlier goe
 4. Removal.  Each text's repeated stretches are united and cut.
 
 Anchor hashes are counted before anything else moves; only repeated anchors' places go back to their
-texts.  Texts are shuffled once, into a bucketed table of those that have repeated anchors.  Contexts
+texts, and a filter of fixed size keeps most others from being sent at all.  Texts are shuffled once, into a bucketed table of those that have repeated anchors.  Contexts
 meet by anchor in blocks; an anchor with more than `most_contexts` different contexts is split, and
 what is first in its split is compared over all splits by the digest of the string.
 
@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,14 +258,33 @@ def _forget(spark: SparkSession, table: str) -> None:
         pass
 
 
-def _anchor_rows(docs: DataFrame, s: Settings, placed: bool) -> DataFrame:
+#: Words of 64 bits of the filter that keeps most single anchors from moving: 16 MB, whatever the input is.
+FILTER_WORDS = 1 << 21
+
+
+def _filter(repeated: DataFrame) -> np.ndarray:
+    """A bit for each hash; hashes that share a bit only let a few more anchors through."""
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int")
+    bits = repeated.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    rows = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _anchor_rows(docs: DataFrame, s: Settings, placed: bool, wanted: Broadcast | None = None) -> DataFrame:
+    """h (and doc, v, pos) of the anchors that the filter lets through."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("passages")
+        claim("passages", None if wanted is None else lambda: vars(wanted).pop("_value", None))
         for part in parts:
             doc, v = (part.column(k).to_numpy() for k in range(2))
             texts, held, count = part.column(2), [], 0
             for i, text in enumerate(texts):
                 at, h = anchors(_bytes(text), s)
+                if wanted is not None:
+                    word = wanted.value[(h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)]
+                    known = (word >> (h & np.uint64(63))) & np.uint64(1) > 0
+                    at, h = at[known], h[known]
                 if len(at):
                     held.append((h, np.repeat(doc[i], len(at)), np.repeat(v[i], len(at)), at))
                     count += len(at)
@@ -283,7 +303,8 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     files = scratch(docs.sparkSession, "columns")
     long_ = docs.filter(F.octet_length("text") >= s.length)
     repeated = saved(_anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors")
-    places = _anchor_rows(long_, s, True).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
+    places = _anchor_rows(long_, s, True, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
