@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the session is gone already; only disk space is at stake
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/textmill/{name}-{uuid.uuid4().hex}"
-
-    def drop() -> None:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session is gone already; only disk space is at stake
-            pass
-
-    atexit.register(drop)
+    atexit.register(_drop, spark, path)
     return path
 
 
@@ -58,7 +59,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where saved tables are.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: what was made of them has been saved itself."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            _drop(df.sparkSession, path)
 
 
 def words_of(text: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import saved
+from textmill.llm.common import free, saved
 
 MAX_ROUNDS = 60
 
@@ -33,6 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = large.distinct().join(least, "v")
         small = moved.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         after = saved(small.filter("u < v").distinct(), "links")
+        free(state)
         # done when every vertex has one link, to a vertex without any
         open_ = after.join(after.select(F.col("v").alias("w")), after["u"] == F.col("w"), "left_semi").limit(1).count()
         if not open_ and after.groupBy("v").count().filter("count > 1").limit(1).count() == 0:

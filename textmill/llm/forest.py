@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import arrow, claim, saved, text_of
+from textmill.llm.common import arrow, claim, free, saved, text_of
 from textmill.llm.components import connected_components
 
 
@@ -243,6 +243,7 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     all_trees = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig")
     now = saved(all_trees.select("id", F.xxhash64("t", F.slice("sig", F.col("t") * stride + 1, s.first_depth)).alias("h")), "forest")
     member = saved(now.join(_several(now), "h").select("h", "id", (F.col("count") > s.region).alias("large")), "regions")
+    free(now)
     out = member.filter("NOT large").select("h", "id")
     if not member.filter("large").limit(1).count():
         return out, signs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)

@@ -42,7 +42,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import arrow, claim, open_fs, saved, scratch, text_of
+from textmill.llm.common import arrow, claim, free, open_fs, saved, scratch, text_of
 
 
 @dataclass(frozen=True)
@@ -307,6 +307,8 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     places = _anchor_rows(long_, s, True, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
+    free(repeated)
+
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc, v = (part.column(k).to_numpy() for k in range(2))
@@ -320,6 +322,7 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     several = classes.groupBy("h").count().filter("count > 1")
     firsts = classes.join(several, "h", "left").select("doc", "v", F.struct("pos", "h", F.coalesce("count", F.lit(1)).alias("n")).alias("f"))
     firsts = _bucketed(firsts.groupBy("doc", "v").agg(F.collect_list("f").alias("firsts")), "first-contexts")
+    free(classes)
     width = back + s.length
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import arrow, saved
+from textmill.llm.common import arrow, free, saved
 from textmill.llm.components import connected_components
 
 
@@ -195,6 +195,7 @@ def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str
             yield from done(group)
 
     counted = saved(arrow(member.repartition("unit").sortWithinPartitions("unit", "vertex"), compare, "id long, n long, other long"), "vector-links")
+    free(ordered)
     links = counted.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
     parts = saved(connected_components(counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "vector-components")
     of_part = classes.select(F.col("vertex").alias("id"), F.col("id").alias("least")).join(parts, "id")
