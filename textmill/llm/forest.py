@@ -247,9 +247,9 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     out = member.filter("NOT large").select("h", "id")
     if not member.filter("large").limit(1).count():
         return out, signs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    crowded = signs.join(member.filter("large").select("id").distinct(), "id", "left_semi")
-    alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id"), F.array_distinct(F.collect_list("id")).alias("all")), "equal-signatures")
-    twins = alike.select(F.col("id").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    crowded = saved(signs.join(member.filter("large").select("id").distinct(), "id", "left_semi"), "crowded")
+    alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id")), "equal-signatures")
+    twins = crowded.withColumnRenamed("id", "b").join(alike.withColumnRenamed("id", "a"), "signature").filter("a <> b").select("a", "b")
     rng = np.random.default_rng([s.seed, 2])
     deepest = s.deepest()
     orders = F.array(*(F.array(*(F.lit(int(i)) for i in rng.permutation(s.values)[:deepest])) for _ in range(s.fine_trees)))
