@@ -54,16 +54,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and returns the table read back."""
+def saved(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and returns the table read back.
+
+    like: a saved table that df is no larger than; its size, not the session's partitions, then says how many files there are.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    if like is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-_bytes(like) // FILE_BYTES)))
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
+#: Files of a table whose size is known beforehand.
+LEAST_FILES, FILE_BYTES = 4, 8 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths[df])
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
 #: Where saved tables are.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 

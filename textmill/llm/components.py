@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: v and its smaller neighbours go to the smallest of these
         moved = large.distinct().join(least, "v")
         small = moved.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
-        after = saved(small.filter("u < v").distinct(), "links")
+        after = saved(small.filter("u < v").distinct(), "links", like=state)
         free(state)
         # done when every vertex has one link, to a vertex without any
         open_ = after.join(after.select(F.col("v").alias("w")), after["u"] == F.col("w"), "left_semi").limit(1).count()
