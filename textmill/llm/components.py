@@ -22,7 +22,7 @@ def _point(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long).  Returns id, component for every vertex that has a link to another one; component is its smallest vertex."""
+    """edges: a, b (long).  Returns id, component (saved) for every vertex that has a link to another one; component is its smallest vertex."""
     state = saved(_point(edges), "links")
     for _ in range(MAX_ROUNDS):
         # large star: u's larger neighbours go to the smallest of u and its neighbours
@@ -37,6 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # done when every vertex has one link, to a vertex without any
         open_ = after.join(after.select(F.col("v").alias("w")), after["u"] == F.col("w"), "left_semi").limit(1).count()
         if not open_ and after.groupBy("v").count().filter("count > 1").limit(1).count() == 0:
-            return after.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(after.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+            out = after.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(after.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+            out = saved(out, "components", like=after)
+            free(after)
+            return out
         state = after
     raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")

@@ -242,13 +242,13 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     doubled = signs.select("id", F.concat("signature", "signature").alias("sig"))
     all_trees = doubled.select("id", F.explode(F.sequence(F.lit(0), F.lit(s.trees - 1))).alias("t"), "sig")
     now = saved(all_trees.select("id", F.xxhash64("t", F.slice("sig", F.col("t") * stride + 1, s.first_depth)).alias("h")), "forest")
-    member = saved(now.join(_several(now), "h").select("h", "id", (F.col("count") > s.region).alias("large")), "regions")
+    member = saved(now.join(_several(now), "h").select("h", "id", (F.col("count") > s.region).alias("large")), "regions", like=now)
     free(now)
     out = member.filter("NOT large").select("h", "id")
     if not member.filter("large").limit(1).count():
         return out, signs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     crowded = saved(signs.join(member.filter("large").select("id").distinct(), "id", "left_semi"), "crowded")
-    alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id")), "equal-signatures")
+    alike = saved(crowded.groupBy("signature").agg(F.min("id").alias("id")), "equal-signatures", like=crowded)
     twins = crowded.withColumnRenamed("id", "b").join(alike.withColumnRenamed("id", "a"), "signature").filter("a <> b").select("a", "b")
     rng = np.random.default_rng([s.seed, 2])
     deepest = s.deepest()
@@ -257,7 +257,7 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     for depth in sorted({min(s.first_depth + 1, deepest), *range(s.first_depth + 2, deepest, 2), deepest}):
         prefix = F.transform(F.slice(F.get(orders, F.col("t")), 1, depth), lambda i: F.get("signature", i))
         now = saved(left.select("id", "t", F.xxhash64(F.lit(-depth), "t", prefix).alias("h")), "fine-forest")
-        sizes = saved(_several(now), "regions")
+        sizes = saved(_several(now), "regions", like=now)
         out = out.unionByName(now.join(sizes.filter(F.col("count") <= s.region), "h", "left_semi").select("h", "id"))
         large = sizes.filter(F.col("count") > s.region)
         if not large.limit(1).count():
@@ -266,14 +266,14 @@ def regions(signs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     return out.unionByName(_paired(now.select("h", "id"), large, s)), twins
 
 
-def _units(member: DataFrame, s: Settings) -> DataFrame:
+def _units(member: DataFrame, s: Settings, like: DataFrame | None = None) -> DataFrame:
     """unit, id: what one task compares, so that any two texts of a component that may be linked share a unit.  member: component, id, n (several rows for an id with several sets)."""
     blocks = F.greatest(F.ceil(F.count("*") / s.together), F.ceil(F.sum("n") / s.shingles)).cast("int")
     sizes = member.groupBy("component").agg((blocks > s.most_blocks).alias("banded"))
     # sizes of linked texts differ by a factor of 100 / percent at most, so by one band at most
     width = max(math.log(100 / s.percent), 0.01) * 1.001
     band = F.when(F.col("banded"), F.floor(F.log("n") / width)).otherwise(0).cast("int")
-    member = saved(member.join(sizes, "component").select("component", "id", "n", "banded", band.alias("band")), "members")
+    member = saved(member.join(sizes, "component").select("component", "id", "n", "banded", band.alias("band")), "members", like=like)
     bands = member.groupBy("component", "band").agg(blocks.alias("blocks"))
     own = member.join(bands, ["component", "band"]).select("component", "id", "band", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int").alias("i"), F.explode(F.when(F.col("banded"), F.sequence(F.col("band") - 1, F.col("band") + 1)).otherwise(F.array("band"))).alias("near"))
     paired = own.join(bands.withColumnRenamed("band", "near"), ["component", "near"]).select("component", "id", "band", "i", "near", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -287,7 +287,7 @@ def _units(member: DataFrame, s: Settings) -> DataFrame:
 def _components(docs: DataFrame, rows: DataFrame, s: Settings, by_id: bool = False) -> DataFrame:
     """digest, component of the texts with words.  docs: _key, _text; rows: what `sketches` gives of them, saved.  by_id: keys are ids."""
     known = rows.filter("n > 0 AND id IS NOT NULL")
-    classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low")), "classes")
+    classes = saved(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low")), "classes", like=rows)
     # where a document has several sets, they are one vertex; each set's signature counts
     signs = classes.select("id", "n", "signature")
     least, multipliers = s.least(), _multipliers(s)
@@ -302,8 +302,8 @@ def _components(docs: DataFrame, rows: DataFrame, s: Settings, by_id: bool = Fal
                 yield _edges(a, b)
 
     by_region = found.join(classes.select("id", "low"), "id").select("h", "id", "low").repartition("h").sortWithinPartitions("h", "id")
-    rough = saved(connected_components(arrow(by_region, guess, "a long, b long").unionByName(twins)), "candidates")
-    units = _units(rough.join(signs.select("id", "n"), "id"), s)
+    rough = connected_components(arrow(by_region, guess, "a long, b long").unionByName(twins))
+    units = _units(rough.join(signs.select("id", "n"), "id"), s, like=rough)
     if by_id:
         texts = docs.join(rough.select(F.col("id").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("id"), "_text")
     else:
@@ -367,7 +367,7 @@ def without_near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_co
     key = F.md5(F.concat(F.coalesce(F.concat(id_, F.lit("+")), F.lit("-")), text).cast("binary"))
     docs = df.select(key.alias("_key"), F.col(id_column).cast("long").alias("_id"), text.alias("_text"))
     own = saved(sketches(docs, settings).withColumnRenamed("id", "own").withColumn("id", F.monotonically_increasing_id()), "sketches")
-    placed = _components(docs.select("_key", "_text"), own.select("key", "id", "n", "digest", "signature", "low"), settings)
+    placed = _components(docs.select("_key", "_text"), own, settings)
     first = own.filter("n > 0").join(placed, "digest").groupBy("component").agg(F.min(F.struct(F.col("own").isNull(), "own", "key")).alias("x")).select(F.col("x.key").alias("_near_key"))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")  # whatever columns are called, none is lost
     word = text.rlike(r"[^\x20\x09-\x0D]")

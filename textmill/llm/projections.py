@@ -134,7 +134,7 @@ def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str
     rows = saved(prepare(rows), "vectors")
     classes = rows.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     # a vertex is a class; an id with several vectors stands for each of them
-    classes = saved(classes.select(F.monotonically_increasing_id().alias("vertex"), "*", F.concat_ws(" ", F.size("vector"), "label").alias("place")), "vector-classes")
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("vertex"), "*", F.concat_ws(" ", F.size("vector"), "label").alias("place")), "vector-classes", like=rows)
     sizes = classes.groupBy("place").count().select("place", s.bits(F.col("count")).alias("bits"))
 
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def near_vectors(df: DataFrame, *, id_column: str = "vec_id", vector_column: str
     counted = saved(arrow(member.repartition("unit").sortWithinPartitions("unit", "vertex"), compare, "id long, n long, other long"), "vector-links")
     free(ordered)
     links = counted.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    parts = saved(connected_components(counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "vector-components")
+    parts = connected_components(counted.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     of_part = classes.select(F.col("vertex").alias("id"), F.col("id").alias("least")).join(parts, "id")
     least = of_part.groupBy("component").agg(F.min("least").alias("least"))
     placed = classes.select(F.col("vertex").alias("id"), "digest", "weight", F.col("id").alias("own"))
