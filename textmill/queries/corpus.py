@@ -104,7 +104,11 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", markup.tidy(markup.without_tags("html")).alias("text"))
 
 
-@query()
+#: The references that the tables' pages hold; the operator knows all.
+_DECODED = f"""regexp_replace(replace(replace(replace({_STRIP}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')"""
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace({_DECODED}, '\n{{3,}}', e'\n\n', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
 def strip_html_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", markup.strip_html("html").alias("text"))
 

@@ -83,7 +83,15 @@ def fim_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "mode", F.md5(F.array_join("tokens", " ").cast("binary")).alias("turned"))
 
 
-@query()
+_CHUNKS = f"""{_PARTS}, c AS (SELECT seq, one || two || three AS whole, {sql_uniform("'42'", 'seq', "'chunk'")} < 0.8 AND seq % 3 <> 0 AND length(one || two || three) <= 200000 AS parsed,
+  'import os' || chr(10) || 'from sys import path' || repeat(chr(10), 2) || substr(one, 34) || chr(10) || '    total = a + b' || chr(10) || '    return total * 2' || chr(10) AS f,
+  'import os' || chr(10) || 'from sys import path' || repeat(chr(10), 2) || 'class C:' || chr(10) || '    \"\"\"Holds.\"\"\"' || chr(10) || substr(two, strpos(two, '    @property')) || chr(10) || '        return self.value + 1000' || chr(10) AS m FROM parts)"""
+
+
+@query(
+    f"WITH {SQL_DOCS}, {_CHUNKS} SELECT seq, 0 AS chunk_no, NULL AS chunk_type, whole AS text FROM c WHERE NOT parsed UNION ALL SELECT seq, 0, 'python_function', f FROM c WHERE parsed AND length(f) <= 24001"
+    " UNION ALL SELECT seq, CASE WHEN length(f) <= 24001 THEN 1 ELSE 0 END, 'python_method', m FROM c WHERE parsed"
+)
 def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _code(spark, sf_dir)
     return chunk.chunked(c, chunk.Chunking(split_probability=0.8), eligible=is_python(F.col("category"), F.col("path"))).select("seq", "chunk_no", "chunk_type", "text")
@@ -319,7 +327,7 @@ def reward_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", rl.aligned(values, F.lit(6), F.lit(0)).alias("v"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN event_type = 'other' ELSE true END AS equal FROM events")
 def tolerant_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reward's comparison of literals, floats and nested values."""
     e = read(spark, sf_dir, "events")
