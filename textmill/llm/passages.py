@@ -16,8 +16,8 @@ Every byte that lies in a string of `length` bytes which also starts earlier goe
    neighbours have `length` symbols in common they hold the same string; all but the first repeat.
 4. Removal.  Each text's repeated stretches are united and cut.
 
-Anchor hashes are counted before anything else moves; only repeated anchors' places go back to their
-texts, and a filter of fixed size keeps most others from being sent at all.  Texts are shuffled once, into a bucketed table of those that have repeated anchors.  Contexts
+Anchors are found once and saved; their hashes are counted before anything else moves; only repeated
+anchors' places go back to their texts, and a filter of fixed size keeps most others from being sent.  Texts are shuffled once, into a bucketed table of those that have repeated anchors.  Contexts
 meet by anchor in blocks; an anchor with more than `most_contexts` different contexts is split, and
 what is first in its split is compared over all splits by the digest of the string.
 
@@ -272,29 +272,51 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     return out
 
 
-def _anchor_rows(docs: DataFrame, s: Settings, placed: bool, wanted: Broadcast | None = None) -> DataFrame:
-    """h (and doc, v, pos) of the anchors that the filter lets through."""
+#: Anchors in one row at most.
+ROW_ANCHORS = 50_000
+
+
+def _anchor_rows(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc, v, pos, h: places and hashes of the texts' anchors, as arrays; a text with many has several rows."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("passages", None if wanted is None else lambda: vars(wanted).pop("_value", None))
+        claim("passages")
         for part in parts:
             doc, v = (part.column(k).to_numpy() for k in range(2))
-            texts, held, count = part.column(2), [], 0
-            for i, text in enumerate(texts):
+            rows, held, count = [], [], 0
+            for i, text in enumerate(part.column(2)):
                 at, h = anchors(_bytes(text), s)
-                if wanted is not None:
-                    word = wanted.value[(h >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)]
-                    known = (word >> (h & np.uint64(63))) & np.uint64(1) > 0
-                    at, h = at[known], h[known]
-                if len(at):
-                    held.append((h, np.repeat(doc[i], len(at)), np.repeat(v[i], len(at)), at))
-                    count += len(at)
-                if held and (count >= 50_000 or i + 1 == len(texts)):
-                    h, d, w, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                    out = {"h": h.view(np.int64)} | ({"doc": d, "v": w, "pos": at.astype(np.int32)} if placed else {})
-                    yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in out.items()})
-                    held, count = [], 0
-
-    return arrow(docs, run, "h long, doc long, v long, pos int" if placed else "h long")
+                for k in range(0, len(at), ROW_ANCHORS):
+                    rows.append(i)
+                    held.append((at[k : k + ROW_ANCHORS].astype(np.int32), h[k : k + ROW_ANCHORS].view(np.int64)))
+                    count += len(held[-1][0])
+                    if count >= ROW_ANCHORS:
+                        yield _arrays(doc[rows], v[rows], held)
+                        rows, held, count = [], [], 0
+            if rows:
+                yield _arrays(doc[rows], v[rows], held)
+
+    return arrow(docs, run, "doc long, v long, pos array<int>, h array<bigint>")
+
+
+def _arrays(doc: np.ndarray, v: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(at) for at, _ in held)]).astype(np.int32)
+    pos, h = (pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[k] for x in held]))) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(v), pos, h], names=["doc", "v", "pos", "h"])
+
+
+def _let_through(rows: DataFrame, wanted: Broadcast) -> DataFrame:
+    """h, doc, v, pos of the anchors that the filter lets through."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("passages", lambda: vars(wanted).pop("_value", None))
+        for part in parts:
+            doc, v, pos, h = part.columns
+            times, every = h.value_lengths().to_numpy(), h.flatten().to_numpy().view(np.uint64)
+            word = wanted.value[(every >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)]
+            known = (word >> (every & np.uint64(63))) & np.uint64(1) > 0
+            who = np.repeat(np.arange(len(times)), times)[known]
+            yield pa.RecordBatch.from_pydict({"h": every[known].view(np.int64), "doc": doc.to_numpy()[who], "v": v.to_numpy()[who], "pos": pos.flatten().to_numpy()[known]})
+
+    return arrow(rows, run, "h long, doc long, v long, pos int")
 
 
 def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) -> DataFrame:
@@ -302,12 +324,13 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     back = s.length - s.gram
     files = scratch(docs.sparkSession, "columns")
     long_ = docs.filter(F.octet_length("text") >= s.length)
-    repeated = saved(_anchor_rows(long_, s, False).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors")
+    found = saved(_anchor_rows(long_, s), "anchors")
+    repeated = saved(found.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors", like=found)
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
-    places = _anchor_rows(long_, s, True, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    places = _let_through(found, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
-    free(repeated)
+    free(found, repeated)
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
