@@ -330,8 +330,6 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     places = _let_through(found, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
-    free(found, repeated)
-
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc, v = (part.column(k).to_numpy() for k in range(2))
@@ -341,7 +339,8 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "x": x.view(np.int64), "doc": np.repeat(doc[i], len(at)), "v": np.repeat(v[i], len(at)), "pos": at.astype(np.int32)})
 
     classes = arrow(texts.select("doc", "v", "text", "places"), contexts, "h long, x long, doc long, v long, pos int")
-    classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts")
+    classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts", like=found)
+    free(found, repeated)
     several = classes.groupBy("h").count().filter("count > 1")
     firsts = classes.join(several, "h", "left").select("doc", "v", F.struct("pos", "h", F.coalesce("count", F.lit(1)).alias("n")).alias("f"))
     firsts = _bucketed(firsts.groupBy("doc", "v").agg(F.collect_list("f").alias("firsts")), "first-contexts")
