@@ -54,15 +54,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, like: DataFrame | int | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and returns the table read back.
 
-    like: a saved table that df is no larger than; its size, not the session's partitions, then says how many files there are.
+    like: a saved table that df is no larger than, or its bytes; they, not the session's partitions, then say how many files there are.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     if like is not None:
-        df = df.coalesce(max(LEAST_FILES, -(-_bytes(like) // FILE_BYTES)))
+        size = like if isinstance(like, int) else bytes_of(like)
+        df = df.coalesce(max(LEAST_FILES, -(-size // FILE_BYTES)))
     df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
@@ -73,7 +74,8 @@ def saved(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
 LEAST_FILES, FILE_BYTES = 4, 8 << 20
 
 
-def _bytes(df: DataFrame) -> int:
+def bytes_of(df: DataFrame) -> int:
+    """Size of a saved table."""
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths[df])
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()

@@ -42,7 +42,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.common import arrow, claim, free, open_fs, saved, scratch, text_of
+from textmill.llm.common import arrow, bytes_of, claim, free, open_fs, saved, scratch, text_of
 
 
 @dataclass(frozen=True)
@@ -328,6 +328,8 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
     repeated = saved(found.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").select("h"), "repeated-anchors", like=found)
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(repeated))
     places = _let_through(found, wanted).join(repeated, "h").groupBy("doc", "v").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    places, size = saved(places, "places", like=found), bytes_of(found)
+    free(found, repeated)
     texts = _bucketed(long_.join(places, ["doc", "v"]).dropDuplicates(["doc", "v"]), "repeating-texts", compression="zstd")
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +341,8 @@ def repeated_stretches(docs: DataFrame, s: Settings, with_kept: bool = False) ->
                 yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "x": x.view(np.int64), "doc": np.repeat(doc[i], len(at)), "v": np.repeat(v[i], len(at)), "pos": at.astype(np.int32)})
 
     classes = arrow(texts.select("doc", "v", "text", "places"), contexts, "h long, x long, doc long, v long, pos int")
-    classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts", like=found)
-    free(found, repeated)
+    classes = saved(classes.groupBy("h", "x").agg(F.min(F.struct("doc", "v", "pos")).alias("first")).select("h", "x", "first.*"), "contexts", like=size)
+    free(places)
     several = classes.groupBy("h").count().filter("count > 1")
     firsts = classes.join(several, "h", "left").select("doc", "v", F.struct("pos", "h", F.coalesce("count", F.lit(1)).alias("n")).alias("f"))
     firsts = _bucketed(firsts.groupBy("doc", "v").agg(F.collect_list("f").alias("firsts")), "first-contexts")
