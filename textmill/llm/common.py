@@ -71,7 +71,7 @@ def saved(df: DataFrame, name: str, like: DataFrame | int | None = None) -> Data
 
 
 #: Files of a table whose size is known beforehand.
-LEAST_FILES, FILE_BYTES = 4, 8 << 20
+LEAST_FILES, FILE_BYTES = 4, 2 << 20
 
 
 def bytes_of(df: DataFrame) -> int:
