@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import arrow, text_of
-from textmill.llm.tokens import batches, default_path, encoder
+from textmill.llm.tokens import CACHE_PIECES, batches, default_path, encoder
 
 #: Bits of a sequence id that count within a task.
 TASK_SHIFT = 40
@@ -113,12 +113,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(
     df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", loss_column: str | None = None,
     limits: Limits = Limits(), tokenizer_path: str | None = None, end_id: int | None = 2, with_ids: bool = False,
+    cache_pieces: int = CACHE_PIECES, batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Packs every row's tokens; one row for each piece.
 
     loss_column: how many of the last tokens bear loss (null or no column: all).  With `with_ids` the
     piece's ids come along as column `ids`.  Null text: only the end id.  Repeated rows are packed
-    each; rows with a null id too.  A row without any token (no end id, empty text) has no piece.
+    each; rows with a null id too.  cache_pieces and batch_bytes trade a worker's memory for time.  A row without any token (no end id, empty text) has no piece.
     """
     path = tokenizer_path or default_path()
     schema = PIECES + (", ids array<int>" if with_ids else "")
@@ -143,11 +144,11 @@ def pack_documents(
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")]), base + len(bins)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id).encode
+        encode = encoder(path, end_id, cache_pieces).encode
         base, block, held = TaskContext.get().partitionId() << TASK_SHIFT, [], 0
         for part in parts:
             ids, texts, losses = (part.column(k).to_pylist() for k in range(3))
-            for i, j in batches(texts):
+            for i, j in batches(texts, batch_bytes):
                 for x in zip(ids[i:j], encode(texts[i:j]), losses[i:j], strict=True):
                     block.append(x)
                     held += len(x[1]) // 4

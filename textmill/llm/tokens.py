@@ -53,10 +53,10 @@ _ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(LATIN_END) if _
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str, end_id: int | None, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.cache_pieces = Tokenizer.from_file(path), cache_pieces
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,7 +106,7 @@ class Encoder:
         """Each text's ids, the end id included, as little-endian unsigned 32-bit integers."""
         split = [_PIECE.findall(x.lower()) if self._splits(x) else None for x in texts]
         seen = set().union(*(s for s in split if s))
-        if len(self.known) + len(seen) > CACHE_PIECES:
+        if len(self.known) + len(seen) > self.cache_pieces:
             self.older, self.known = self.known, {}
         seen.difference_update(self.known)
         again = seen.intersection(self.older)
@@ -117,15 +117,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def _made(path: str, end_id: int | None) -> Encoder:
+def _made(path: str, end_id: int | None, cache_pieces: int) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, cache_pieces)
 
 
-def encoder(path: str, end_id: int | None = None) -> Encoder:
+def encoder(path: str, end_id: int | None = None, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One per worker process and tokenizer."""
     claim("tokens", _made.cache_clear)
-    return _made(path, end_id)
+    return _made(path, end_id, cache_pieces)
 
 
 def batches(texts, most_bytes: int = 4 << 20):
