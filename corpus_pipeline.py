@@ -44,7 +44,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs)
+    # executors hold what earlier stages left, so workers have smaller caches here
+    return pack_documents(docs, cache_pieces=150_000, batch_bytes=1 << 20)
 
 
 STAGES = [
