@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import sql
+from textmill.llm.bpe_trie import bpe_digest
 from textmill.llm.bytenet import quality_scores
 from textmill.llm.common import table
 from textmill.llm.divergence import quality_rules
@@ -60,8 +61,12 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op6_column_transform, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op6_column_transform, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

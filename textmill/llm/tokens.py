@@ -48,8 +48,8 @@ def _changes_block(c: int) -> bool:
 
 
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
-_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(LATIN_END) if _changes_block(c)) + f"\\u{LATIN_END:04x}-\U0010ffff]")
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+")
+ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(LATIN_END) if _changes_block(c)) + f"\\u{LATIN_END:04x}-\U0010ffff]")
 
 
 class Encoder:
@@ -85,7 +85,7 @@ class Encoder:
 
     def _splits(self, x: str) -> bool:
         """Whether x is split here."""
-        return self.by_piece and not any(s in x for s in self.never) and (x.isascii() or not _ODD.search(x))
+        return self.by_piece and not any(s in x for s in self.never) and (x.isascii() or not ODD.search(x))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -104,7 +104,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, the end id included, as little-endian unsigned 32-bit integers."""
-        split = [_PIECE.findall(x.lower()) if self._splits(x) else None for x in texts]
+        split = [PIECE.findall(x.lower()) if self._splits(x) else None for x in texts]
         seen = set().union(*(s for s in split if s))
         if len(self.known) + len(seen) > self.cache_pieces:
             self.older, self.known = self.known, {}
