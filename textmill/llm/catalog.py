@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import sql
+from textmill.llm.alignment import alignment_digest
 from textmill.llm.bpe_trie import bpe_digest
 from textmill.llm.bytenet import quality_scores
 from textmill.llm.common import table
@@ -19,6 +20,7 @@ from textmill.llm.packing import pack_documents
 from textmill.llm.passages import passage_digest
 from textmill.llm.projections import near_vectors
 from textmill.llm.token_files import token_digest
+from textmill.llm.whitening import whiten
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +67,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_block_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op6_column_transform, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_composite_density, op4_byte_convolution, op5_vector_packing, op6_column_transform, op7_bitmask_language, op8_divergence_rules, op9_sorted_projections, op10_lsh_forest, op11_prefix_trie, op12_label_spans, op13_block_lanczos)}
 
 
 def oracle_sql() -> dict[str, str]:
