@@ -187,7 +187,7 @@ class Aligner:
     def tidy(self) -> None:
         """Between blocks: the cache stays bounded."""
         if len(self.known) > CACHE_CHUNKS or any(len(x) > LONG_CHUNK for x in self.known):
-            kept = [x for x in self.known if len(x) <= LONG_CHUNK][: CACHE_CHUNKS // 2] if len(self.known) <= CACHE_CHUNKS else []
+            kept = [x for x in self.known if len(x) <= LONG_CHUNK] if len(self.known) <= CACHE_CHUNKS else []
             old = self.known, self.n_a, self.n_b, self.n_groups, self.said, self.links
             self.forget()
             for x in kept:
