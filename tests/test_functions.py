@@ -195,6 +195,21 @@ def test_part_roll(spark):
                 assert got[m, i] == part
 
 
+def test_part_roll_of_one_mode_in_many_stretches(spark):
+    r = random.Random(8)
+    rows = [("a", i * i * 7919, r.choice([1, 2, 9, 30, 61, 500])) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (None, 5, 70), (None, 6, 3)], "mode string, seq long, n_tokens long").repartition(64)
+    part, held, expected = 0, 0, {(None, 5): 0, (None, 6): 1}
+    for k, i, n in rows:
+        if held and held + n > 60:
+            part, held = part + 1, 0
+        held += n
+        expected[k, i] = part
+    for together in (2, 16):  # hundreds of stretches, and some
+        assert {(x["mode"], x["seq"]): x["part"] for x in pack.part_roll(df, 60, together=together).collect()} == expected
+    assert pack.part_roll(df.filter("n_tokens < 0"), 60).collect() == []
+
+
 def test_windows_any_partitioning(spark):
     rows = [("s", i, list(range(i * 10, i * 10 + i % 7))) for i in range(300)]
     flat = [t for _, _, ts in rows for t in ts]
@@ -309,6 +324,44 @@ def test_ema_and_failures(spark):
     assert f["longest"] == 3
 
 
+def _best(rows):
+    """The loop that keeps the best checkpoint and its tie-break."""
+    out, best, at, tie, tie_at = [], None, None, None, None
+    for o, p, t in rows:
+        improved = p is not None and (best is None or p > best + 1e-12)
+        tied = improved
+        if improved:
+            best, at, tie, tie_at = p, o, None, None
+        elif p is not None and best is not None:
+            tied = abs(p - best) <= 1e-12
+        raised = tied and t is not None and (tie is None or t > tie + 1e-12)
+        if raised:
+            tie, tie_at = t, o
+        out.append((o, improved, best, at, raised, tie, tie_at))
+    return out
+
+
+def test_running_best_with_scores_closer_than_the_band(spark):
+    r = random.Random(4)
+    runs = {
+        "even": [(i, r.choice([0.5, 0.5 + 4e-13, 0.5 + 8e-13, 0.5 + 2e-12, 0.4, None]), r.choice([None, 1.0, 1.0 + 6e-13, 2.0])) for i in range(300)],
+        "rising": [(i, 1 + i * 3e-13, float(i % 4)) for i in range(200)],
+        "none": [(i, None, 1.0) for i in range(3)],
+    }
+    df = spark.createDataFrame([(k, *x) for k, rows in runs.items() for x in rows], "run string, at long, p double, t double").repartition(7)
+    got = {(x["run"], x["at"]): tuple(x[c] for c in ("at", "improved", "best", "best_order", "tie_improved", "best_tie", "best_tie_order")) for x in evalkit.running_best(df, run="run", order="at", primary="p", tie="t").collect()}
+    assert got == {(k, x[0]): x for k, rows in runs.items() for x in _best(rows)}
+    best = {x["run"]: x["at"] for x in evalkit.best_so_far(df, run="run", order="at", primary="p", tie="t").collect()}
+    last = {k: _best(rows)[-1] for k, rows in runs.items()}
+    assert best == {k: x[3] if x[6] is None else x[6] for k, x in last.items() if x[3] is not None}
+
+
+def test_longest_failures_in_many_buckets(spark):
+    failed = [i % 97 != 0 and not 3000 <= i < 3005 for i in range(6000)]
+    df = spark.createDataFrame([(i * 1000, x) for i, x in enumerate(failed)], "at long, f boolean").withColumn("run", F.lit(1)).repartition(9)
+    assert evalkit.longest_failures(df, run="run", order="at", failed=F.col("f")).collect()[0]["longest"] == 96
+
+
 def test_means_in_buckets_of_any_width(spark):
     r = random.Random(8)
     rows = [(k, 3 * i, None if r.random() < 0.1 else 400 - i + 90 * r.random()) for i in range(400) for k in ("a", None)]

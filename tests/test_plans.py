@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 
 import pyarrow as pa
 import pytest
@@ -28,6 +29,23 @@ def test_running_sum_any_width(spark):
                     total += v
 
 
+def test_running_sum_of_sparse_orders(spark):
+    """Ids spread over the whole range of a long, a cluster far from zero and negative ones: few buckets, none of them large."""
+    r = random.Random(2)
+    orders = sorted({*(r.randrange(-(2**62), 2**62) for _ in range(20_000)), *range(3000), *(10**15 + i for i in range(3000))})
+    d = spark.createDataFrame([(o, o % 7) for o in orders], "o long, v long").repartition(5)
+    before, expected = 0, {}
+    for o in orders:
+        expected[o] = before
+        before += o % 7
+    got = ordered.running(d, [], "o", {"s": ordered.Running(F.col("v")), "m": ordered.running_min(F.col("o"))}, width=500)
+    rows = got.collect()
+    assert {x["o"]: x["s"] for x in rows} == expected
+    assert {x["m"] for x in rows if x["o"] != orders[0]} == {orders[0]}
+    sizes = ordered.bucketed(d, "o", 500).groupBy("_coarse", "_fine").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert sizes["most"] <= 3000 and sizes["n"] < 1000
+
+
 def test_running_sum_keeps_nulls(spark):
     d = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", None, 7), ("a", 1, 8)], "k string, o long, v long")
     got = {(r["k"], r["o"]): r["s"] for r in ordered.running_sum(d, ["k"], "o", F.col("v"), "s").collect()}

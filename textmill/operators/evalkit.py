@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 
 from textmill.functions.numbers import finite, is_metric, metric
 from textmill.functions.text import step_number
-from textmill.plans.ordered import WIDTH
+from textmill.plans.ordered import WIDTH, Running, bucketed, running, running_max
+from textmill.plans.shared import written
 
 
 def _walk(value: object, names: tuple[str, ...] = (), places: tuple[int, ...] = ()) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str | None]]:
@@ -152,18 +153,67 @@ def ema_rows(rows: DataFrame, *, run: str, order: str, value: str, alpha: float
     return out.select(run, order, value, "ema", F.least("_within", "_low").alias("least"))
 
 
-def best_so_far(rows: DataFrame, *, run: str, order: str, primary: str, tie: str) -> DataFrame:
-    """The best row of each run by primary score, then by the tie-break (missing ones last), then the earliest; scores closer than 1e-12 are equal."""
-    p, t = F.round(finite(F.col(primary)), 12), F.round(finite(F.col(tie)), 12)
-    first = W.partitionBy(run).orderBy(p.desc(), t.desc_nulls_last(), F.col(order).asc())
-    return rows.filter(p.isNotNull()).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+#: Scores closer than this are equal.
+BAND = 1e-12
+
 
+def _raised(rows: DataFrame, keys: list[str], order: str, value: Column, into: str) -> DataFrame:
+    """Adds `into`: whether a row's value beats the best one before it by more than the band, and so becomes the best.
 
-def running_best(rows: DataFrame, *, run: str, order: str, primary: str) -> DataFrame:
-    """Adds `best`, the best primary score so far, and whether this row improved it."""
-    w = W.partitionBy(run).orderBy(order)
-    before = F.max(primary).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("best", F.max(primary).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("improved", before.isNull() | (F.col(primary) > before + 1e-12))
+    Only a row above every row before can do so, and it surely does if it is above them by more than the
+    band; what lies between depends on no row but the few before it that are as close, back to the last
+    sure one.  So the scan is a running maximum, and only rows within the band above that are folded.
+    """
+    seen = running(rows.withColumn("_value", value), keys, order, {"_before": running_max(F.col("_value"))})
+    above = F.col("_value").isNotNull() & (F.col("_before").isNull() | (F.col("_value") > F.col("_before")))
+    sure = F.col("_value").isNotNull() & (F.col("_before").isNull() | (F.col("_value") > F.col("_before") + BAND))
+    seen = written(seen.withColumns({"_above": above, "_sure": sure}), "scores")
+    seen = written(running(seen, keys, order, {"_last": running_max(F.when(F.col("_sure"), F.col("_value")))}, inclusive=True), "scores")
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_order")
+        best, raised = part.column("_last")[0].as_py(), []
+        for v in part.column("_value").to_pylist():
+            raised.append(v > best + BAND)
+            best = v if raised[-1] else best
+        return part.select(["_row"]).filter(pa.array(raised))
+
+    row = F.struct(*keys, order).alias("_row")
+    close = seen.filter(F.col("_above") & ~F.col("_sure")).select(row, F.struct(*keys).alias("_keys"), F.col(order).alias("_order"), "_last", "_value")
+    kind = close.schema["_row"].dataType.simpleString()
+    found = close.groupBy("_keys", "_last").applyInArrow(fold, f"_row {kind}").withColumn("_close", F.lit(True))
+    out = seen.withColumn("_row", F.struct(*keys, order)).join(found, "_row", "left").withColumn(into, F.col("_sure") | F.coalesce("_close", F.lit(False)))
+    return out.drop("_row", "_close", "_value", "_before", "_above", "_sure", "_last")
+
+
+def running_best(rows: DataFrame, *, run: str, order: str, primary: str, tie: str | None = None) -> DataFrame:
+    """Adds what an evaluation loop would hold after each row: improved, best, best_order (the first row with that score).
+
+    With `tie`, also tie_improved, best_tie and best_tie_order: the best tie-break score among the rows
+    whose primary score equals the best one, counted anew whenever that improves; a missing tie-break
+    score changes nothing, a missing or infinite primary score neither.  Scores within 1e-12 are equal.
+    No run has to be in one task.
+    """
+    score = finite(F.col(primary))
+    out = written(_raised(bucketed(rows, order), [run], order, score, "improved"), "scores")
+    what = {"best": running_max(F.when(F.col("improved"), score)), "best_order": running_max(F.when(F.col("improved"), F.col(order)))}
+    out = running(out, [run], order, what, inclusive=True)
+    if tie is not None:
+        # a better primary score opens an epoch of its own
+        second, keys = finite(F.col(tie)), [run, "best_order"]
+        tied = F.when(F.abs(score - F.col("best")) <= BAND, second)
+        out = written(_raised(written(out, "scores"), keys, order, tied, "tie_improved"), "scores")
+        what = {"best_tie": running_max(F.when(F.col("tie_improved"), second)), "best_tie_order": running_max(F.when(F.col("tie_improved"), F.col(order)))}
+        out = running(out, keys, order, what, inclusive=True)
+    return out.drop("_coarse", "_fine")
+
+
+def best_so_far(rows: DataFrame, *, run: str, order: str, primary: str, tie: str) -> DataFrame:
+    """The best row of each run: of those with the best primary score the one with the best tie-break, or the first where none has one."""
+    names = rows.columns
+    scanned = running_best(rows, run=run, order=order, primary=primary, tie=tie).filter("improved OR tie_improved")
+    last = F.struct("best_order", "best_tie_order")  # epochs grow, and within one the winners' orders do
+    return scanned.groupBy(run).agg(F.max_by(F.struct(*names), last).alias("_r")).select("_r.*")
 
 
 def latest_events(events: DataFrame, *, kind: str, order: str, priority: list[str]) -> DataFrame:
@@ -174,10 +224,11 @@ def latest_events(events: DataFrame, *, kind: str, order: str, priority: list[st
 
 
 def longest_failures(rows: DataFrame, *, run: str, order: str, failed: Column) -> DataFrame:
-    """The longest stretch of consecutive failures of each run, by gaps and islands."""
-    marked = rows.withColumn("_f", failed).withColumn("_island", F.sum((~F.col("_f")).cast("int")).over(W.partitionBy(run).orderBy(order)))
-    lengths = marked.groupBy(run, "_island").agg(F.sum(F.col("_f").cast("int")).alias("n"))
-    return lengths.groupBy(run).agg(F.max("n").cast("long").alias("longest"))
+    """The longest stretch of consecutive failures of each run, by gaps and islands: a stretch is the failures after the same number of successes, and is summed before it is shuffled."""
+    success = (~F.col("_f")).cast("long")
+    marked = running(rows.select(run, order, F.coalesce(failed, F.lit(False)).alias("_f")), [run], order, {"_island": Running(success)}, inclusive=True)
+    lengths = marked.groupBy(run, "_island").agg(F.sum(F.col("_f").cast("long")).alias("n"))
+    return lengths.groupBy(run).agg(F.max("n").alias("longest"))
 
 
 def ranked_files(files: DataFrame, preferred: str) -> DataFrame:

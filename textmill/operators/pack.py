@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textmill.plans.ordered import WIDTH, hash_rank, row_numbers, running_sum
+from textmill.plans.ordered import WIDTH, Running, hash_rank, row_numbers, running, running_sum
+from textmill.plans.shared import drop, written
 
 
 def windows(docs: DataFrame, length: int, *, key: str, order: str, tokens: str = "tokens", width: int = WIDTH) -> DataFrame:
@@ -58,25 +58,81 @@ def shift(ids: Column) -> tuple[Column, Column]:
     return F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids) - 1)
 
 
-def part_roll(docs: DataFrame, most: int, *, key: str = "mode", order: str = "seq", tokens: str = "n_tokens") -> DataFrame:
+#: Parts that one task rolls together, about.
+TOGETHER = 64
+
+
+def _next_starts(at: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """For rows that follow each other gaplessly: the place of the row that would open the next part if a part began at each; their number where none would."""
+    found = np.searchsorted(at, at + most, side="right") - 1
+    # that row holds the first token too many; a row too long for any part is followed by its successor
+    found = np.where(end[found] > at + most, np.maximum(found, np.arange(len(at)) + 1), len(at))
+    return np.minimum(found, len(at))
+
+
+def part_roll(docs: DataFrame, most: int, *, key: str = "mode", order: str = "seq", tokens: str = "n_tokens", together: int = TOGETHER) -> DataFrame:
     """Adds `part`: a document that doesn't fit a part that has something opens the next one.
 
-    The fold is sequential for each key; only (key, order, tokens) rows go through it, in batches.
-    """
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        for batch in parts:
-            numbers = []
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                part, held = state.get(k, (0, 0))
-                part, held = (part + 1, n) if held and held + n > most else (part, held + n)
-                state[k] = part, held
-                numbers.append(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "part"])
+    No task holds a key.  Running sums place the documents on an axis of tokens, on which the document
+    that would open the next part after any given one is found by a search.  Tasks take stretches of some
+    `together` parts each and follow those pointers for every document in which a part of the stretch could
+    begin first (they lie within `most` tokens of its begin), to the first beginning in the next stretch;
+    pointer doubling over these few documents, a logarithmic number of joins, says where each stretch is
+    entered, and the stretches then mark their beginnings and count them.
 
+    Documents without tokens are left out, ties in `order` are taken in one order or another, null keys are
+    a key.  Returns key, order, tokens, part.
+    """
+    spark, width, paths = docs.sparkSession, most * together, []
     kind = dict(docs.dtypes)
-    rows = docs.filter(F.col(tokens) > 0).select(key, order, tokens).repartition(key).sortWithinPartitions(key, order)
-    return rows.mapInArrow(run, f"{key} {kind[key]}, {order} {kind[order]}, {tokens} {kind[tokens]}, part int")
+    rows = written(docs.filter(F.col(tokens) > 0).select(key, order, tokens), "roll-rows", paths)
+    # a document longer than a part is a part of its own, however long it is
+    size = F.least(F.col(tokens).cast("long"), F.lit(most + 1))
+    placed = running_sum(rows, [key], order, size, "_at").withColumn("_end", F.col("_at") + size)
+    placed = written(placed.withColumn("_stretch", F.floor(F.col("_at") / width)), "roll", paths)
+
+    def exits(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_at")
+        at, end, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_at", "_end", "_own"))
+        n = int(own.sum())  # those of the next stretch come last
+        to = np.append(_next_starts(at, end, most), len(at))
+        while (to[:n] < n).any():
+            to = np.where(to < n, to[to], to)
+        first = np.flatnonzero(part.column("_gap").to_numpy()[:n] <= most)
+        good = first[to[first] < len(at)]
+        return pa.table({"_key": part.column("_key").take(pa.array(good)), "_from": pa.array(at[good]), "_to": pa.array(at[to[good]])})
+
+    gap = F.col("_at") - F.col("_stretch") * width
+    own = placed.select(F.struct(key).alias("_key"), "_stretch", "_at", "_end", F.lit(True).alias("_own"), gap.alias("_gap"))
+    ahead = own.filter((F.col("_gap") <= most) & (F.col("_stretch") > 0)).withColumns({"_stretch": F.col("_stretch") - 1, "_own": F.lit(False)})
+    edges = own.unionByName(ahead).groupBy("_key", "_stretch").applyInArrow(exits, f"_key struct<{key}: {kind[key]}>, _from long, _to long")
+    edges = written(edges, "roll-edges", paths)
+    entered = written(placed.filter("_at = 0").select(F.struct(key).alias("_key"), F.col("_at").alias("_entry")), "roll-entries", paths)
+    longest = placed.agg(F.max("_stretch").alias("n")).first().n or 0
+    for _ in range(longest.bit_length()):
+        reached = entered.join(edges, (entered["_key"] == edges["_key"]) & (F.col("_entry") == F.col("_from"))).select(entered["_key"], F.col("_to").alias("_entry"))
+        entered = written(entered.unionByName(reached), "roll-entries", paths)
+        onward = edges.select(F.col("_key").alias("_same"), F.col("_from").alias("_via"), F.col("_to").alias("_onward"))
+        edges = written(edges.join(onward, (F.col("_key") == F.col("_same")) & (F.col("_to") == F.col("_via"))).select("_key", "_from", F.col("_onward").alias("_to")), "roll-edges", paths)
+
+    def begins(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_at")
+        at, end = part.column("_at").to_numpy(), part.column("_end").to_numpy()
+        first, marks = part.column("_entry")[0].as_py(), np.zeros(len(at), np.int64)
+        if first is not None:
+            to, i = _next_starts(at, end, most), int(np.searchsorted(at, first))
+            while i < len(at):
+                marks[i] = 1
+                i = int(to[i])
+        return part.drop_columns(["_entry", "_key", "_stretch", "_end"]).append_column("_begins", pa.array(marks))
+
+    keyed = placed.withColumn("_key", F.struct(key))
+    entry = entered.select(F.struct("_key", F.floor(F.col("_entry") / width).alias("_stretch")).alias("_place"), "_entry")
+    joined = keyed.withColumn("_place", F.struct("_key", "_stretch")).join(entry, "_place", "left").drop("_place")
+    marked = written(joined.groupBy("_key", "_stretch").applyInArrow(begins, f"{key} {kind[key]}, {order} {kind[order]}, {tokens} {kind[tokens]}, _at long, _begins long"), "roll-begins")
+    drop(spark, *paths)
+    counted = running(marked, [key], "_at", {"part": Running(F.col("_begins"))}, inclusive=True)
+    return counted.select(key, order, tokens, (F.col("part") - 1).cast("int").alias("part"))
 
 
 def shuffled(windows_: DataFrame, seed: int, rank: int = 0, *, key: str, window: str = "window") -> DataFrame:
