@@ -6,7 +6,7 @@ import importlib
 
 from textmill.queries import base
 
-MODULES = ("corpus", "training", "evaluation", "various")
+MODULES = ("corpus", "training", "evaluation", "various", "streams")
 
 
 def _load() -> None:

@@ -271,7 +271,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", file_name("url", 40).alias("name"), strip_prefixes("url", ["https://", "http://"], until_stable=True).alias("bare"))
 
 
-def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
@@ -279,26 +279,26 @@ def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS key, count(*) AS documents, CAST(sum(CASE WHEN before < 400 THEN 1 ELSE 0 END) AS BIGINT) AS admitted FROM (SELECT user_id, coalesce(sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) GROUP BY user_id")
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream's budgeted admission, drained: every event is a document of event_id % 100 tokens."""
-    e = _event_files(spark, sf_dir).withColumn("n", F.col("event_id") % 100)
+    e = event_files(spark, sf_dir).withColumn("n", F.col("event_id") % 100)
     out = flows.drained(flows.admitted_stream(e, 400, source="user_id", order="event_id", tokens="n"))
     return out.groupBy("key").agg(F.count("*").alias("documents"), F.sum(F.col("admitted").cast("long")).alias("admitted"))
 
 
 @query(f"{_EMA} SELECT user_id AS key, round(max_by(ema, r), 6) AS ema FROM m GROUP BY user_id")
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = flows.drained(flows.ema_stream(_event_files(spark, sf_dir), run="user_id", order="event_id", value="value"))
+    out = flows.drained(flows.ema_stream(event_files(spark, sf_dir), run="user_id", order="event_id", value="value"))
     return out.groupBy("key").agg(F.round(F.max_by("ema", "order"), 6).alias("ema"))
 
 
 @query("SELECT event_type, count(*) AS documents, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events GROUP BY event_type")
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_files(spark, sf_dir).withColumn("n", F.col("event_id") % 100)
+    e = event_files(spark, sf_dir).withColumn("n", F.col("event_id") % 100)
     return flows.drained(flows.totals_stream(e, source="event_type", tokens="n"), "complete")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ext_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: tumbling windows over the events' stream."""
-    events = _event_files(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = event_files(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     out = flows.counted_windows(events, at="ts", kind="event_type", size="1 hour")
     return flows.drained(out, "complete")

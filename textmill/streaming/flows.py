@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textmill.plans.shared import scratch
 from textmill.sources.readers import Source
 
 
@@ -75,7 +74,7 @@ def committed_once(root: str, name: str = "batches") -> Callable[[DataFrame, int
     return write
 
 
-def drained(stream: DataFrame, mode: str = "append", root: str | None = None, most_batches: int | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", root: str | None = None, keep_batch: bool = False) -> DataFrame:
     """All that a stream gives now, written batch by batch and read from the files; in complete mode, the last batch.
 
     Batches and checkpoint are under `root`; without one, in a new folder of the one that driver and
@@ -83,10 +82,7 @@ def drained(stream: DataFrame, mode: str = "append", root: str | None = None, mo
     """
     spark = stream.sparkSession
     if root is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='textmill-')).rstrip('/')}/textmill/stream-{uuid.uuid4().hex}"
+        root = scratch(spark, "stream")
     spark.createDataFrame([], stream.schema).withColumn("batch_id", F.lit(-1)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/batches")
     writer = stream.writeStream.foreachBatch(committed_once(root)).outputMode(mode).trigger(availableNow=True)
     writer.option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
@@ -94,7 +90,7 @@ def drained(stream: DataFrame, mode: str = "append", root: str | None = None, mo
     out = spark.read.schema(schema).parquet(f"{root}/batches")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("batch_id").alias("batch_id"))), "batch_id", "left_semi")
-    return out.drop("batch_id")
+    return out if keep_batch else out.drop("batch_id")
 
 
 class Unreadable(RuntimeError):
@@ -134,9 +130,45 @@ def source_stream(spark: SparkSession, source: Source, schema: str, *, files_ahe
     return reader.load(source.path)
 
 
-def counted_windows(events: DataFrame, *, at: str, kind: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Extension: events of each kind by tumbling window, with a watermark."""
-    return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+def counted_windows(events: DataFrame, *, at: str, kind: str, size: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Extension: events of each kind by window, tumbling or, with `slide`, sliding, with a watermark."""
+    return events.withWatermark(at, late).groupBy(F.window(at, size, slide).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def sessions(events: DataFrame, *, at: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Extension: each key's sessions, stretches of events less than `gap` apart: key, start, end (gap included), n.  In append mode a session comes when the watermark has passed its end; rows later than that are dropped and counted in the query's progress."""
+    by = events.withWatermark(at, late).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
+    return by.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def paired(first: DataFrame, second: DataFrame, *, key: str, at: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Extension: rows of two streams with one key, the second at most `within` after the first.  Both have a watermark, so state is bounded by the interval.
+
+    Columns of the first as they are, those of the second with `next_` before their names.
+    """
+    one = first.withWatermark(at, late)
+    two = second.select(*(F.col(c).alias(f"next_{c}") for c in second.columns)).withWatermark(f"next_{at}", late)
+    near = (F.col(f"next_{at}") >= F.col(at)) & (F.col(f"next_{at}") <= F.col(at) + F.expr(f"INTERVAL {within}"))
+    return one.join(two, (F.col(key) == F.col(f"next_{key}")) & near)
+
+
+def json_log(spark: SparkSession, path: str, schema: str, *, files_ahead: int = 100) -> DataFrame:
+    """A folder of JSON lines files that grows, as a stream; damaged lines are left out."""
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_ahead).json(path)
+
+
+def latest_stream(events: DataFrame, *, kind: str, order: str) -> DataFrame:
+    """The last event of each kind, in update mode: a batch gives the kinds that have a new last one or more events.
+
+    State is one event a kind; an event that comes again, or after later ones, changes nothing.
+    """
+    return events.groupBy(kind).agg(F.max_by(F.struct(*events.columns), F.struct(order)).alias("e")).select("e.*")
+
+
+def upserted(stream: DataFrame, root: str, key: str) -> DataFrame:
+    """All that a stream in update mode gives now, its last row of each key; the files keep a row for each update."""
+    rows = drained(stream, "update", root, keep_batch=True)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch_id").alias("r")).select("r.*")
 
 
 class Stalled(RuntimeError):
@@ -145,8 +177,6 @@ class Stalled(RuntimeError):
 
 def await_progress(query, longest_s: float = 300.0, poll_s: float = 1.0) -> None:
     """Waits for a query to end; Stalled if it handles no row for longest_s."""
-    import time
-
     last, since = -1, time.monotonic()
     while query.isActive:
         if query.awaitTermination(poll_s):
