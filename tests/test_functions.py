@@ -88,6 +88,38 @@ def test_strip_html(spark):
     assert results(spark, pages, markup.strip_html("x")) == [python(p) for p in pages]
 
 
+def test_character_references(spark):
+    """Every named reference, with and without its semicolon and with more behind it, numbers of all kinds, and mixtures."""
+    import html.entities
+
+    r = random.Random(1)
+    texts = ["&" + k + end for k in html.entities.html5 for end in ("", "x", ";", "=1")]
+    texts += [f"a&#{n}{end}" for n in [*range(300), 0xD800, 0xDFFF, 0x10FFFF, 0x110000, 0x1FFFE, 0xFDD0, 0xFFFE, 10**20] for end in (";", "", " z")]
+    texts += [f"&#x{n:x};&#X{n:X}q" for n in (0, 9, 13, 0x80, 0x9F, 0x41, 0x1F600, 0xFFFF, 0x10FFFF, 0x110000)]
+    texts += ["".join(r.choice(["&", "amp", "lt", ";", "#", "x", "41", "notit", "not", "in", " ", "&amp;", "<", "é", "frac12", "&copy"]) for _ in range(12)) for _ in range(2000)]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "none", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", markup.unescaped("t").alias("u"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    wrong = {texts[x.i]: x.u for x in df.collect() if x.u != (None if texts[x.i] is None else html.unescape(texts[x.i]))}
+    assert not wrong
+
+
+def test_entries_of_deep_and_long_payloads(spark):
+    import json
+
+    deep = json.dumps({"a": 1})
+    for i in range(50):
+        deep = f'{{"k{i}": {deep}, "x": [{i}]}}'
+    wide = json.dumps({f"t{i}": {"pass@1": i / 1e6} for i in range(20_000)})
+    rows = spark.createDataFrame([(1, deep), (2, wide), (3, "no json"), (4, None), (5, "[]")], "id int, p string")
+    found = evalkit.flattened(rows, key="id", payload="p")
+    counts = {r["id"]: r["count"] for r in found.groupBy("id").count().collect()}
+    assert counts == {1: 151, 2: 40_000}
+    last = found.filter("id = 1 AND name = 'a'").first()
+    assert list(last["names"]) == [*(f"k{i}" for i in range(49, -1, -1)), "a"] and len(last["places"]) == 51 and last["value"] == "1"
+    assert evalkit.task_score(found, "t19999", "pass@1", key="id").collect()[0]["score"] == 0.019999
+
+
 def test_notebooks(spark):
     book = '{"metadata": {"kernelspec": {"name": "%s"}}, "cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"cell_type": "markdown", "source": "m"}, {"cell_type": "code", "source": "c"}, {"cell_type": "code", "source": " "}, 3, {"cell_type": "code", "source": "[1]"}, {"cell_type": "code"}]}'
     texts = [book % "Python 3", book % "ir", "not json", "[1]", '{"cells": 3}', "", None, '{"metadata": 3, "cells": [{"cell_type": "code", "source": "x"}]}', '{"metadata": {"language_info": {"name": "  "}, "kernelspec": {"language": "R"}}, "cells": []}']

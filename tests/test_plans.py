@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.operators import budget
-from textmill.plans import manifest, ordered
-from textmill.sources import mix, readers
+from textmill.plans import ledger, manifest, ordered
+from textmill.sources import mix, readers, tail
 from textmill.streaming import flows
 
 
@@ -127,12 +127,74 @@ def test_log(spark, tmp_path):
     path = tmp_path / "l.jsonl"
     for i in range(100):
         manifest.append_line(path, {"i": i}, most_bytes=200)
-    tail = lambda most=1 << 20: [r["i"] for r in manifest.tail_objects(spark, str(path), "i int", most).collect()]
-    rows = tail()
+    last = lambda most=1 << 20: [r["i"] for r in tail.tail_objects(spark, str(path), "i int", most).collect()]
+    rows = last()
     assert path.stat().st_size <= 200 and rows == list(range(rows[0], 100))
     with path.open("a") as f:
         f.write("bad\n\n[1]\n")
-    assert tail()[-1] == 99 and tail(30) == [98, 99] and not list(tmp_path.glob("*.tmp"))
+    assert last()[-1] == 99 and last(30) == [98, 99] and not list(tmp_path.glob("*.tmp"))
+
+
+def test_end_of_a_large_log_is_read_from_its_end(spark, tmp_path):
+    path = tmp_path / "big.log"
+    with path.open("wb") as f:
+        f.truncate(1 << 30)  # a gigabyte that takes no room
+        f.seek(1 << 30)
+        f.write(b"".join(b"\nline %07d %s" % (i, b"x" * (i % 90)) for i in range(40_000)) + b"\n")
+    ranges = tail.TailReader(str(path), 1 << 20).partitions()
+    assert len(ranges) > 3 and sum(r.end - r.begin for r in ranges) == 1 << 20
+    data = path.open("rb")
+    data.seek(-(1 << 20), 2)
+    lines = data.read().decode().split("\n")[1:-1]
+    found = tail.tail_lines(spark, str(path)).orderBy("at").collect()
+    assert [r["value"] for r in found] == lines
+    size = path.stat().st_size
+    assert found[-1]["at"] + len(lines[-1]) + 1 == size
+    assert [r["value"] for r in tail.last_lines(spark, str(path), 20_000, skip="5 ").collect()] == [x for x in (f"line {i:07d} {'x' * (i % 90)}" for i in range(40_000)) if "5 " not in x][-20_000:]
+
+
+def test_files_of_a_folder_are_one_log(spark, tmp_path):
+    for name, text in (("a.log", "1\n2\n"), ("b.log", ""), ("c.log", "3\n\n4")):
+        (tmp_path / name).write_text(text)
+    lines = lambda n: [r["value"] for r in tail.tail_lines(spark, str(tmp_path), n).orderBy("file", "at").collect()]
+    assert lines(100) == ["1", "2", "3", "", "4"] and lines(6) == ["3", "", "4"] and lines(3) == ["", "4"] and lines(1) == []
+    assert [r["value"] for r in tail.last_lines(spark, str(tmp_path), 3, first_bytes=1).collect()] == ["2", "3", "4"]
+    assert tail.tail_lines(spark, str(tmp_path / "none")).collect() == []
+    small = tmp_path / "long"
+    small.mkdir()
+    (small / "x").write_text("y" * 700_000 + "\n" + "z" * 300 + "\nend")
+    assert [len(r["value"]) for r in tail.tail_lines(spark, str(small)).orderBy("at").collect()] == [700_000, 300, 3]
+
+
+def test_ledger_gives_way_to_the_first_writer(spark, tmp_path):
+    root = f"file://{tmp_path}/ledger"
+    one, two = ledger.Ledger(spark, root, keep=3), ledger.Ledger(spark, root, keep=3)
+    assert one.read() == (0, {})
+    seen, state = two.read()
+    one.commit(0, ledger.with_shard({}, {"id": 0, "actual_tokens": 7}))
+    with pytest.raises(manifest.Conflict):
+        two.commit(seen, ledger.with_shard(state, {"id": 1, "actual_tokens": 1}))
+    two.change(lambda s: ledger.with_shard(s, {"id": 1, "actual_tokens": 5}))
+    number, state = one.read()
+    assert number == 2 and [(x["tokens_start"], x["tokens_end"]) for x in state["shards"]] == [(0, 7), (7, 12)] and state["tokens_prepared"] == 12
+
+
+def test_writers_race_for_the_ledger(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/ledger"
+
+    def work(writer):
+        own = ledger.Ledger(spark, root, keep=3)
+        for k in range(6):
+            own.change(lambda s, k=k: ledger.with_shard(s, {"id": f"{writer}-{k}", "actual_tokens": 1}))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    number, state = ledger.Ledger(spark, root).read()
+    assert number == 24 and {x["id"] for x in state["shards"]} == {f"{w}-{k}" for w in range(4) for k in range(6)}
+    assert [x["tokens_start"] for x in state["shards"]] == list(range(24))
+    assert len(list((tmp_path / "ledger").glob("*.json"))) <= 4 and not list((tmp_path / "ledger").glob(".*.new"))
 
 
 def test_delete_below(tmp_path):
@@ -169,7 +231,7 @@ def test_text_and_json_sources(spark, tmp_path):
     log = tmp_path / "l.jsonl"
     log.write_text('{"a": 1}\nbad\n\n{"a": 2}\n')
     assert sorted(r["a"] for r in readers.json_lines(spark, str(log), "a int").collect()) == [1, 2]
-    assert [r["value"] for r in readers.last_lines(spark, str(log), 2, skip="bad").collect()] == ['{"a": 1}', '{"a": 2}']
+    assert [r["value"] for r in tail.last_lines(spark, str(log), 2, skip="bad").collect()] == ['{"a": 1}', '{"a": 2}']
     (tmp_path / "g.json").write_text(json.dumps([["x", "y"], ["z"]]))
     assert sorted(map(tuple, readers.generations(spark, str(tmp_path / "g.json"), 5).collect())) == [(5, 0, "x"), (5, 1, "y"), (6, 0, "z")]
     (tmp_path / "d.json").write_text(json.dumps({"k": {"v": 1}}, indent=1))

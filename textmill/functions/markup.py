@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,9 +34,55 @@ def tidy(x: Column | str) -> Column:
     return strip(F.regexp_replace(col(x), BLANK_LINES, "\n\n"))
 
 
+#: What may follow an ampersand as a reference, as the standard reads it.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Slots of the table of names, so that a look-up goes through a few entries.
+NAME_SLOTS = 512
+
+
+def _table(names: dict[str, str]) -> Column:
+    """A literal array of maps, in which a name's map is found by its checksum."""
+    slots: list[dict[str, str]] = [{} for _ in range(NAME_SLOTS)]
+    for k, v in names.items():
+        slots[zlib.crc32(k.encode()) % NAME_SLOTS][k] = v
+    return F.array(*(F.create_map(*(F.lit(x) for pair in (m or {"": ""}).items() for x in pair)) for m in slots))
+
+
+def _found(table: Column, name: Column) -> Column:
+    return F.try_element_at(F.get(table, (F.crc32(name.cast("binary")) % NAME_SLOTS).cast("int")), name)
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of a numeric reference; as the standard says, some stand for others and some for none."""
+    digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    # more digits than any character has are too many; fewer fit a long
+    n = F.coalesce(F.when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0))
+    n = F.when(F.length(digits) > 9, F.lit(0x110000)).otherwise(F.least(n, F.lit(0x110000))).cast("int")
+    windows = {c: bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}
+    others = {0: "\ufffd", 0x0D: "\r"} | {c: chr(c) if x == "\ufffd" else x for c, x in windows.items()}
+    special = F.create_map(*(F.lit(x) for pair in others.items() for x in pair))
+    none = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    out_of_range = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(F.map_contains_key(special, n), F.element_at(special, n)).when(out_of_range, "\ufffd").when(none, "").otherwise(char)
+
+
 def unescaped(x: Column | str) -> Column:
-    """Character references decoded; Spark has no table of them, so this goes through Arrow."""
-    return F.pandas_udf(lambda s: s.map(html.unescape, na_action="ignore"), "string")(col(x))
+    """Character references decoded, as the standard does it: the text is cut at its ampersands, and each part's reference looked up; of names without a semicolon the longest known beginning counts."""
+    plain = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
+    every, without = _table(html.entities.html5), _table(plain)
+    longest = max(map(len, plain))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        rest = F.substring(part, F.length(name) + 1, F.length(part))
+        known = [F.when(F.length(name) > k, F.concat(_found(without, F.substring(name, 1, k)), F.substring(part, F.lit(k + 1), F.length(part)))) for k in range(longest, 1, -1)]
+        named = F.coalesce(F.concat(_found(every, name), rest), *known, F.concat(F.lit("&"), part))
+        return F.when(name == "", F.concat(F.lit("&"), part)).when(name.startswith("#"), F.concat(_numbered(name), rest)).otherwise(named)
+
+    parts = F.split(col(x), "&", -1)
+    decoded = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(one(part)))
+    return F.when(F.contains(col(x), F.lit("&")), F.array_join(decoded, "")).otherwise(col(x))
 
 
 def strip_html(x: Column | str) -> Column:

@@ -28,22 +28,22 @@ def _walk(value: object, names: tuple[str, ...] = (), places: tuple[int, ...] =
             yield from _walk(v, (*names, str(k)), (*places, i))
 
 
-def flattened(df: DataFrame, *, key: str, payload: str) -> DataFrame:
-    """key, names, places, name, value: all entries of a JSON column.  Text that isn't JSON gives none."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows: list[tuple] = []
-            for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                try:
-                    found = json.loads(text or "null")
-                except (ValueError, RecursionError):
-                    continue
-                rows += [(k, list(names), list(places), names[-1], value) for names, places, value in _walk(found)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [part.schema.field(0).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "names", "places", "name", "value"])
+class Entries:
+    """Table function: all entries of a JSON text, one after the other.  Text that isn't JSON gives none."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        try:
+            found = json.loads(text or "null")
+        except (ValueError, RecursionError):
+            return
+        for names, places, value in _walk(found):
+            yield list(names), list(places), names[-1], value
 
-    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, names array<string>, places array<int>, name string, value string")
+
+def flattened(df: DataFrame, *, key: str, payload: str) -> DataFrame:
+    """key, names, places, name, value: all entries of a JSON column."""
+    entries = F.udtf(Entries, returnType="names array<string>, places array<int>, name string, value string", useArrow=True)
+    return df.select(key, payload).lateralJoin(entries(F.col(payload).outer())).drop(payload)
 
 
 def named_metric(entries: DataFrame, name: str, *, key: str, below: int = 0) -> DataFrame:
@@ -231,9 +231,9 @@ def longest_failures(rows: DataFrame, *, run: str, order: str, failed: Column) -
     return lengths.groupBy(run).agg(F.max("n").alias("longest"))
 
 
-def ranked_files(files: DataFrame, preferred: str) -> DataFrame:
-    """Candidate files of one model (a handful): the preferred name first, then .safetensors, then by name; adds `place`."""
-    order = W.orderBy((F.col("name") == preferred).desc(), F.col("name").endswith(".safetensors").desc(), "name")
+def ranked_files(files: DataFrame, preferred: str, *, model: str | None = None) -> DataFrame:
+    """Candidate files of a model (a handful): the preferred name first, then .safetensors, then by name; adds `place`.  model: the column that tells models apart."""
+    order = W.partitionBy(*([model] if model else [])).orderBy((F.col("name") == preferred).desc(), F.col("name").endswith(".safetensors").desc(), "name")
     return files.withColumn("place", F.row_number().over(order))
 
 

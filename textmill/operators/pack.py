@@ -48,6 +48,14 @@ def attention_pairs(rows: DataFrame, *, sample: str, place: str) -> DataFrame:
     return q.join(k, [sample, "segment"]).filter("k <= q")
 
 
+def pair_counts(spans: DataFrame, length: int, *, key: str, begin: str, tokens: str) -> DataFrame:
+    """key, window, segments, pairs: how many pairs `attention_pairs` would give, from the documents' spans alone: a part of n tokens has n (n + 1) / 2."""
+    end, at = F.col(begin) + F.col(tokens), F.col("window") * length
+    parts = spans.withColumn("window", F.explode(F.sequence(F.floor(F.col(begin) / length), F.floor((end - 1) / length))))
+    n = F.least(end, at + length) - F.greatest(F.col(begin), at)
+    return parts.withColumn("_n", n).groupBy(key, "window").agg(F.count("*").alias("segments"), F.sum((F.col("_n") * (F.col("_n") + 1) / 2).cast("long")).alias("pairs"))
+
+
 def loss_mask(positions: Column) -> Column:
     """Whether each token's successor is of the same document."""
     return F.transform(F.slice(positions, 2, F.size(positions) - 1), lambda p: p != 0)

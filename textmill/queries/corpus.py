@@ -22,9 +22,14 @@ _ENGLISH = (
 )
 
 
-@query(f"WITH {SQL_TARGETS} SELECT source_id, category, target FROM targets")
+@query(
+    f"WITH {SQL_DOCS}, w AS (SELECT source_id, category, sum(n_tokens)::DOUBLE AS weight FROM docs WHERE source_id IS NOT NULL GROUP BY ALL), {SQL_TARGETS.split(', mix AS', 1)[1].join(['mix AS', '']).split(', targets AS', 1)[0]}"
+    f" SELECT source_id, category, CAST(floor(floor({SHARD_TOKENS} * fraction) * weight / sum(weight) OVER (PARTITION BY category)) AS BIGINT) AS target FROM w JOIN mix USING (category)"
+)
 def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets(sources(spark), mix(spark), SHARD_TOKENS).select("source_id", "category", "target")
+    """The mixture's targets where a source weighs as much as it has tokens."""
+    weights = counted(spark, sf_dir).filter("source_id IS NOT NULL").groupBy("source_id", "category").agg(F.sum("n_tokens").cast("double").alias("weight"))
+    return targets(weights, mix(spark), SHARD_TOKENS).select("source_id", "category", "target")
 
 
 @query(f"SELECT doc_id FROM documents WHERE coalesce({_ENGLISH}, false)")
@@ -156,9 +161,14 @@ def zero_token_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reset_barren(cursor, stats)
 
 
-@query("SELECT 'src' || i AS source_id, CASE WHEN i < 3 THEN 7 ELSE 0 END::BIGINT AS epoch, CASE WHEN i < 3 THEN 5 ELSE 0 END::BIGINT AS \"offset\" FROM range(20) t(i)")
+@query(
+    "WITH c AS (SELECT source, max(doc_id) % 5 AS epoch, count(*) AS n FROM documents WHERE CAST(substr(source, 4) AS INT) % 2 = 0 GROUP BY source)"
+    " SELECT 'src' || i AS source_id, coalesce(epoch, 0)::BIGINT AS epoch, coalesce(n, 0)::BIGINT AS \"offset\" FROM range(20) t(i) LEFT JOIN c ON source = 'src' || i"
+)
 def source_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cursor = spark.createDataFrame([(f"src{i}", 7, 5) for i in range(3)], "source_id string, epoch long, offset long")
+    """Where each configured source stands, by what earlier shards (here: the documents of every other source) read of it."""
+    d = read(spark, sf_dir, "documents").filter(F.substring("source", 4, 9).cast("int") % 2 == 0)
+    cursor = d.groupBy(F.col("source").alias("source_id")).agg((F.max("doc_id") % 5).alias("epoch"), F.count("*").alias("offset"))
     return with_cursor(sources(spark).select("source_id"), cursor).select("source_id", "epoch", "offset")
 
 

@@ -128,12 +128,12 @@ def ema_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT i AS step, round(CASE WHEN i < 100 THEN 3e-4::DOUBLE * (i + 1) / 100 ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5 * (1 + cos(pi() * least((i - 100) / 900.0::DOUBLE, 1.0))) END, 10) AS rate,"
-    " CAST((i // 250 + 1) * 250 AS BIGINT) AS next_eval, round(least(60.0::DOUBLE, 2 * pow(2, greatest(i % 8 - 1, 0))), 6) AS wait FROM range(1200) t(i)"
+    "SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 3e-4::DOUBLE * (event_id + 1) / 100 ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5 * (1 + cos(pi() * least((event_id - 100) / 4900.0::DOUBLE, 1.0))) END, 10) AS rate,"
+    " CAST((event_id // 250 + 1) * 250 AS BIGINT) AS next_eval, round(least(60.0::DOUBLE, 2 * pow(2, greatest(event_id % 8 - 1, 0))), 6) AS wait FROM events"
 )
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.range(1200).withColumnRenamed("id", "step")
-    return s.select("step", F.round(numbers.learning_rate(F.col("step"), 3e-4, 3e-5, 100, 1000), 10).alias("rate"), numbers.next_multiple(F.col("step"), 250).alias("next_eval"), F.round(numbers.back_off(F.col("step") % 8, 2.0, 60.0), 6).alias("wait"))
+    s = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    return s.select("step", F.round(numbers.learning_rate(F.col("step"), 3e-4, 3e-5, 100, 5000), 10).alias("rate"), numbers.next_multiple(F.col("step"), 250).alias("next_eval"), F.round(numbers.back_off(F.col("step") % 8, 2.0, 60.0), 6).alias("wait"))
 
 
 @query("SELECT event_id, (event_id // 500 + 1) * 500 AS due FROM events")
@@ -249,20 +249,31 @@ def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalkit.longest_failures(read(spark, sf_dir, "events"), run="user_id", order="event_id", failed=(F.col("event_type") == "error") | (F.col("value") < 20))
 
 
-@query("SELECT i AS id, CASE WHEN v < 65535 THEN 2 ELSE 4 END AS width, least(CAST(floor(i * 1073741824.0::DOUBLE * 0.8 / (4.0 + CASE WHEN v < 65535 THEN 2 ELSE 4 END + 0.05)) AS BIGINT), 1000000000) AS tokens, CAST(8 * 2048 * 16 * i AS BIGINT) AS step_tokens FROM (SELECT i, 60000 + i * 1000 AS v FROM range(1, 12) t(i))")
+@query(
+    "WITH s AS (SELECT l_suppkey AS id, sum(l_quantity) / 1000.0::DOUBLE AS gib, count(*) AS n, CASE WHEN 60000 + l_suppkey % 12 * 1000 < 65535 THEN 2 ELSE 4 END AS width FROM lineitem GROUP BY l_suppkey)"
+    " SELECT id, width, least(CAST(floor(gib * 1073741824.0::DOUBLE * 0.8::DOUBLE / (4.0::DOUBLE + width + 0.05::DOUBLE)) AS BIGINT), 1000000000) AS tokens, CAST(8 * 2048 * 16 * n AS BIGINT) AS step_tokens FROM s"
+)
 def shard_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.range(1, 12)
-    width = numbers.token_width(F.lit(60000) + F.col("id") * 1000)
-    return r.select("id", width.alias("width"), numbers.shard_tokens(F.col("id").cast("double"), 0.8, 4.0, width, F.lit(1_000_000_000).cast("long")).alias("tokens"), numbers.tokens_per_step(F.lit(8), F.lit(2048), F.lit(16), F.col("id")).alias("step_tokens"))
+    """How many tokens a shard may have: suppliers as machines with a disk, a vocabulary and a number of processes."""
+    r = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.sum("l_quantity") / 1000.0).alias("gib"), F.count("*").alias("n"))
+    width = numbers.token_width(F.lit(60000) + F.col("id") % 12 * 1000)
+    return r.select("id", width.alias("width"), numbers.shard_tokens(F.col("gib"), 0.8, 4.0, width, F.lit(1_000_000_000).cast("long")).alias("tokens"), numbers.tokens_per_step(F.lit(8), F.lit(2048), F.lit(16), F.col("n")).alias("step_tokens"))
+
+
+_FILES = "f AS (SELECT user_id, CASE event_id % 4 WHEN 0 THEN 'model.safetensors' WHEN 1 THEN event_type || '_' || event_id || '.safetensors' WHEN 2 THEN 'step_' || event_id || '.pt' ELSE event_type || '.pt' END AS name, min(event_id) AS id FROM events GROUP BY ALL)"
 
 
 @query(
-    "SELECT * FROM (VALUES ('model.safetensors', 'm', 1, 5::BIGINT), ('a.safetensors', 'a', 2, NULL), ('b.safetensors', 'b', 3, NULL), ('step_7.pt', 'x', 4, 7), ('z.pt', 'layer', 5, NULL)) t(name, bare, place, step)".replace("1, 5::BIGINT", "1, NULL::BIGINT")
+    f"WITH {_FILES} SELECT user_id, name, 'layer.' || id AS bare, CAST(row_number() OVER (PARTITION BY user_id ORDER BY name = 'model.safetensors' DESC, name LIKE '%.safetensors' DESC, name) AS INT) AS place, CASE WHEN name LIKE 'step\\_%' ESCAPE '\\' THEN id END AS step FROM f"
 )
 def checkpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("z.pt", "module._orig_mod.layer"), ("b.safetensors", "b"), ("model.safetensors", "module.m"), ("step_7.pt", "_orig_mod.x"), ("a.safetensors", "a")], "name string, key string")
-    ranked = evalkit.ranked_files(files, "model.safetensors")
-    return ranked.select("name", strip_prefixes("key", ["module.", "_orig_mod."]).alias("bare"), "place", step_number("name").alias("step"))
+    """Each user's events as the files of a model, ranked, and their tensors' bare names."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    name = F.when(i % 4 == 0, "model.safetensors").when(i % 4 == 1, F.concat_ws("", kind, F.lit("_"), i, F.lit(".safetensors"))).when(i % 4 == 2, F.concat_ws("", F.lit("step_"), i, F.lit(".pt"))).otherwise(F.concat(kind, F.lit(".pt")))
+    files = read(spark, sf_dir, "events").groupBy("user_id", name.alias("name")).agg(F.min("event_id").alias("id"))
+    files = files.withColumn("key", F.concat_ws("", F.when(F.col("id") % 2 == 0, "module.").otherwise("_orig_mod."), F.lit("_orig_mod.layer."), "id"))
+    ranked = evalkit.ranked_files(files, "model.safetensors", model="user_id")
+    return ranked.select("user_id", "name", strip_prefixes("key", ["module.", "_orig_mod."], until_stable=True).alias("bare"), "place", step_number("name").alias("step"))
 
 
 @query("SELECT page_id, substr(regexp_replace(trim(url), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 40) AS name, regexp_replace(url, '^(https?://)+', '') AS bare FROM pages WHERE url <> ''")

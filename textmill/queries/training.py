@@ -137,14 +137,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT source_id, \"window\", count(DISTINCT segment) AS segments, CAST(sum((n * (n + 1)) // 2) AS BIGINT) AS pairs FROM (SELECT source_id, \"window\", segment, count(*) AS n FROM seg GROUP BY ALL) GROUP BY ALL"
 )
 def segment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of short windows, and the pairs that a causal mask within documents lets through."""
-    d = docs(spark, sf_dir).select("source_id", "seq", words("text").alias("tokens"))
-    w = running_sum(d.filter(F.size("tokens") > 0), ["source_id"], "seq", F.size("tokens").cast("long"), "s")
-    t = w.select("source_id", "s", F.posexplode("tokens").alias("place", "w")).withColumn("at", F.col("s") + F.col("place"))
-    t = t.select("source_id", F.floor(F.col("at") / 32).alias("window"), (F.col("at") % 32).alias("p"), "place").withColumn("sample", F.concat_ws("/", "source_id", "window"))
-    s = pack.segments(t, sample="sample", place="p", position="place")
-    pairs = pack.attention_pairs(s, sample="sample", place="p").groupBy("sample").agg(F.countDistinct("segment").alias("segments"), F.count("*").alias("pairs"))
-    return pairs.select(F.element_at(F.split("sample", "/"), 1).alias("source_id"), F.element_at(F.split("sample", "/"), 2).cast("long").alias("window"), "segments", "pairs")
+    """Segments of short windows, and how many pairs a causal mask within documents lets through."""
+    w = running_sum(counted(spark, sf_dir).filter("n_tokens > 0"), ["source_id"], "seq", F.col("n_tokens"), "at")
+    return pack.pair_counts(w, 32, key="source_id", begin="at", tokens="n_tokens")
 
 
 @query(

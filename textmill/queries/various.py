@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from textmill.functions import markup, numbers, text
 from textmill.operators import budget, evalkit, filters, pack, rl, sft
 from textmill.queries.base import SHARD_TOKENS, SOURCES, SQL_DOCS, SQL_TARGETS, counted, docs, mix, query, read, sources
-from textmill.sources import readers
+from textmill.plans import ledger
+from textmill.plans.shared import scratch
+from textmill.sources import readers, tail
 from textmill.sources.mix import targets
 
 _WINDOWS_OF = 'w AS (SELECT source_id, unnest(range(0, CAST(sum(n_tokens) AS BIGINT) // 129)) AS "window" FROM docs GROUP BY source_id)'
@@ -148,10 +150,31 @@ def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", "target_tokens", F.col("actual_tokens").cast("long").alias("actual_tokens"), "documents", "examples_consumed", "epochs_completed", "epoch", "offset", F.col("stream_retries").cast("long").alias("stream_retries"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN 3e-4::DOUBLE * (0.05 + 0.95 * i / 100.0::DOUBLE) ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5 * (1 + cos(pi() * least((i - 100) / 900.0::DOUBLE, 1.0))) END, 10) AS rate, CAST(ceil(i / 7.0) AS BIGINT) AS steps FROM range(1100) t(i)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 500 THEN 3e-4::DOUBLE * (0.05 + 0.95 * event_id / 500.0::DOUBLE) ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5 * (1 + cos(pi() * least((event_id - 500) / 4500.0::DOUBLE, 1.0))) END, 10) AS rate, CAST(ceil(event_id / 7.0) AS BIGINT) AS steps FROM events")
 def lr_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.range(1100).withColumnRenamed("id", "step")
-    return s.select("step", F.round(numbers.learning_rate_by_ratio(F.col("step"), 3e-4, 0.1, 1000), 10).alias("rate"), numbers.total_steps(F.col("step"), F.lit(7)).alias("steps"))
+    s = read(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
+    return s.select("step", F.round(numbers.learning_rate_by_ratio(F.col("step"), 3e-4, 0.1, 5000), 10).alias("rate"), numbers.total_steps(F.col("step"), F.lit(7)).alias("steps"))
+
+
+@query("SELECT event_id FROM events QUALIFY sum(strlen(event_id || ' ' || event_type) + 1) OVER (ORDER BY event_id DESC) < 4096")
+def log_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines in the last four kilobytes of the events as a log of several files, read from its end."""
+    path = scratch(spark, "log")
+    lines = read(spark, sf_dir, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(F.concat_ws(" ", "event_id", "event_type").alias("value"))
+    lines.write.text(path)
+    return tail.tail_lines(spark, path, 4096).select(F.split("value", " ")[0].cast("long").alias("event_id"))
+
+
+@query(
+    "WITH s AS (SELECT l_suppkey % 8 AS id, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1) SELECT id, n AS actual_tokens, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS tokens_start, CAST(sum(n) OVER (ORDER BY id) AS BIGINT) AS tokens_end, 'built' AS status FROM s"
+)
+def ledger_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards put into the shared manifest one after the other, and read from its last state."""
+    own = ledger.Ledger(spark, scratch(spark, "ledger"))
+    shards = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("id")).agg(F.sum("l_quantity").cast("long").alias("actual_tokens")).orderBy("id")
+    for shard in shards.collect():  # eight rows
+        own.change(lambda state, shard=shard: ledger.with_shard(state, shard.asDict()))
+    return spark.createDataFrame(own.read()[1]["shards"], "id long, actual_tokens long, tokens_start long, tokens_end long, status string")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS told, round(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2020-01-01'), 3) AS seconds FROM events")

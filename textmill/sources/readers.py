@@ -134,18 +134,6 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, at: lines of text files, and what orders them: file, place of the part of the file, number within it."""
-    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n")).alias("at"))
-
-
-def last_lines(spark: SparkSession, path: str, n: int, skip: str | None = None) -> DataFrame:
-    """The last n non-blank lines of a text file (a top-k report), without those that match `skip`."""
-    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
-    rows = rows.filter(~F.col("value").rlike(skip)) if skip else rows
-    return rows.orderBy(F.desc("at")).limit(n).orderBy("at").select("value")
-
-
 def item_text(items: DataFrame, item_id: int, *, id_column: str = "item_id", text_column: str = "text") -> str:
     """The prompt of one benchmark item; KeyError if there is none."""
     found = items.filter(F.col(id_column) == item_id).select(F.col(text_column).alias("t")).limit(1).collect()
