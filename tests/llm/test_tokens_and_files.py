@@ -119,6 +119,29 @@ def test_packing_covers_every_id(documents, corpus, nothing):
     assert sorted(map(tuple, again), key=repr) == sorted((tuple(r)[:-1] for r in rows), key=repr)
 
 
+def test_short_documents_fill_their_sequences(spark):
+    """Documents of ten to forty-nine words in many blocks of one task: every sequence is full but those that the very last bin is split into."""
+    import textmill.llm.packing as module
+
+    r = np.random.default_rng(6)
+    texts = [(i, " ".join(["word"] * int(r.integers(10, 50)))) for i in range(4500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = pack_documents(df).collect()
+    total = sum(len(x.split()) + 1 for _, x in texts)
+    sizes = defaultdict(int)
+    for row in rows:
+        sizes[row["sequence_id"]] += row["length"]
+    assert sum(sizes.values()) == total
+    assert len(sizes) == total // 4096 + (total % 4096).bit_count()
+    assert len(rows) <= 4500 + len(sizes)  # hardly a document is cut
+    # more documents than segments: such bins stay as they are
+    few = [(i, "") for i in range(module.Limits().segments * 3 + 5)]
+    sizes = defaultdict(int)
+    for row in pack_documents(spark.createDataFrame(few, "doc_id long, text string").coalesce(1)).collect():
+        sizes[row["sequence_id"]] += row["length"]
+    assert sorted(sizes.values()) == [1, 4, *[module.Limits().segments] * 3]
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_bins_keep_all_limits(cut):
     r = np.random.default_rng(4)

@@ -6,9 +6,10 @@ largest dot product with what the bin has left (both as shares of the limits); t
 dimensions so draws examples that use them in the same proportion.  Where examples may be cut, the
 first part of the next one fills a bin that nothing fits.
 
-A task packs its own rows in blocks of bounded size; no row moves.  A last bin that is not full is
-split into bins whose lengths are powers of two, which need no padding, so splitting the work into
-many tasks costs no padding at all.  Sequence ids are the task's number, shifted, plus a count: unique
+A task packs its own rows in blocks of bounded size; no row moves.  What a block's last bin holds goes
+into the next block; only a task's very last bin is split into bins whose lengths are powers of two,
+which need no padding.  A bin that another limit than that on tokens has closed stays as it is, and is
+padded.  Equal scores: the first example wins.  Empty table: no rows.  Sequence ids are the task's number, shifted, plus a count: unique
 over the table and equal on every run over the same files.
 """
 
@@ -34,7 +35,7 @@ TASK_SHIFT = 40
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 64
+    segments: int = 512
     loss_tokens: int = 4096
 
 
@@ -124,13 +125,17 @@ def pack_documents(
     path = tokenizer_path or default_path()
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
-    def flush(block: list[tuple[int | None, bytes, int | None]], base: int) -> tuple[pa.RecordBatch, int]:
+    def flush(block: list[tuple[int | None, bytes, int | None, int]], base: int, last: bool) -> tuple[pa.RecordBatch, int, list]:
+        """The rows of a block's bins, the next sequence id, and what the next block begins with."""
         tokens = np.array([len(x[1]) // 4 for x in block], np.int64)
+        begun = np.array([x[3] for x in block], np.int64)
         loss = np.array([n if x[2] is None else x[2] for x, n in zip(block, tokens, strict=True)], np.int64)
-        bins = []
-        for own in pack(tokens, loss, limits, cut=True):
-            total = sum(x[2] for x in own)
-            bins += [own] if total == limits.tokens else to_powers(own)
+        bins = [[(i, int(begun[i]) + at, n) for i, at, n in own] for own in pack(tokens - begun, loss, limits, cut=True)]
+        rest = bins.pop() if bins and sum(x[2] for x in bins[-1]) < limits.tokens and len(bins[-1]) < limits.segments else []
+        # a bin that isn't full has no part but the last of any example
+        kept = [(*block[i][:3], at) for i, at, _ in rest]
+        if last and rest:
+            bins += to_powers(rest)
         rows: list[list] = [[] for _ in range(7 + with_ids)]
         for k, own in enumerate(bins):
             offset = 0
@@ -141,7 +146,7 @@ def pack_documents(
                     column.append(v)
                 offset += n
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")]), base + len(bins)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")]), base + len(bins), kept
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id, cache_pieces).encode
@@ -150,14 +155,14 @@ def pack_documents(
             ids, texts, losses = (part.column(k).to_pylist() for k in range(3))
             for i, j in batches(texts, batch_bytes):
                 for x in zip(ids[i:j], encode(texts[i:j]), losses[i:j], strict=True):
-                    block.append(x)
+                    block.append((*x, 0))
                     held += len(x[1]) // 4
                     if len(block) >= BLOCK_EXAMPLES or held >= BLOCK_TOKENS:
-                        out, base = flush(block, base)
+                        out, base, block = flush(block, base, False)
                         yield out
-                        block, held = [], 0
+                        held = sum(len(x[1]) // 4 - x[3] for x in block)
         if block:
-            yield flush(block, base)[0]
+            yield flush(block, base, True)[0]
 
     loss = F.lit(None).cast("long") if loss_column is None else F.greatest(F.col(loss_column).cast("long"), F.lit(0))
     return arrow(df.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"), loss.alias("_loss")), run, schema)
