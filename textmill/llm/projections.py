@@ -2,18 +2,18 @@
 
 Each pass orders the vectors of a label by a key of concatenated random hashes (signs of random
 projections, most significant first) and compares every vector with the window of its neighbours whose
-keys have the leading bits in common.  How many bits those are follows the label's size, so that
-windows stay at about `block` vectors, and how many passes there are follows the bits, so that a pair
-at the threshold shares a window in some pass, but for a share of `missed` of such pairs: a label of up
-to `block` vectors is one window of one pass.  A window that a dense place fills beyond `block` is
-compared in pairs of blocks, so it loses nothing.
+keys have the leading bits in common: a run of the order.  How many bits those are follows the label's
+size, so that windows hold about the square root of its vectors, whatever that size is, and how many
+passes there are follows the bits, so that a pair at the threshold shares a window in some pass, but for
+a share of `missed` of such pairs.  A window that a dense place fills beyond `block` is compared in pairs
+of blocks, so it loses nothing.
 
 Pairs at or over the threshold, verified in double precision, are united over all passes.  A pair counts
 as a link in the first pass whose window holds both, which the two vectors' own keys tell, so no pair
 is ever written: a task gives a count for each vector and a spanning set of links.
 
 Equal vectors of a label are one vertex with a weight, so copies cost nothing.  Keys are counted before
-vectors move; vectors meet by window.  The work grows with the size of a label to the power 1.2 or so,
+vectors move; vectors meet by window.  The work grows with the size of a label to the power 1.5 or so,
 that on a dense window with its square.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, vectors without a label or
@@ -45,8 +45,8 @@ class Settings:
     seed: int = 13
 
     def bits(self, n: Column) -> Column:
-        """Leading bits that windows share in a label of n vectors."""
-        return F.greatest(F.ceil(F.log2(n / self.block)), F.lit(0)).cast("int")
+        """Leading bits that windows share in a label of n vectors: windows of about the square root of n."""
+        return F.ceil(F.log2(n) / 2).cast("int")
 
     def passes(self, bits: int) -> int:
         """A pair at the threshold agrees in a bit with the chance 1 - angle / pi."""
