@@ -220,6 +220,35 @@ def test_names_alone_cut_nothing():
     assert html_text.extract(only) == LONG
 
 
+def test_headings_and_titled_sections_stay_whatever_their_ids():
+    nav = "<nav><a href=1>home</a></nav>"
+    heads = "".join(f'<h2 id="{x}">{x.title()} law</h2><p>{LONG} {x}</p>' for x in ("cookies", "related", "navigation", "comments"))
+    assert html_text.extract(f"{nav}<article><h1>T</h1>{heads}</article>") == "\n".join(["T", *(y for x in ("cookies", "related", "navigation", "comments") for y in (f"{x.title()} law", f"{LONG} {x}"))])
+    page = f'{nav}<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><section id="related"><h2>Related work</h2><p>A short one.</p></section></article>'
+    assert html_text.extract(page) == f"T\n{LONG}\n{LONG}\nRelated work\nA short one."
+    links = "".join(f"<li><a href={k}>Another post {k}</a></li>" for k in range(4))
+    page = f'{nav}<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><section id="related"><h2>Related</h2><ul>{links}</ul></section></article>'
+    assert html_text.extract(page) == f"T\n{LONG}\n{LONG}"
+
+
+def test_articles_of_the_given_pages():
+    """All pages of a table whose article is marked: its words, nothing else."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    from tests.oracle import ROOT
+
+    pages = pq.read_table(f"{ROOT}/sf0.01/pages.parquet").to_pylist()
+    good = 0
+    for page in pages:
+        article = re.search(r"(?s)<article[^>]*>(.*?)</article>", page["html"])
+        own = re.sub(r"(?s)<(script|style|aside|nav|form|div class=.?ad\b)[^>]*>.*?</(script|style|aside|nav|form|div)>", " ", article[1])
+        good += html_text.extract(page["html"]).split() == html.unescape(re.sub(r"<[^>]+>", " ", own)).split()
+    assert good >= 0.99 * len(pages)
+
+
 def test_lists_of_links_inside_the_article_stay():
     links = "".join(f"<li><a href={k}>Reference {k}</a></li>" for k in range(5))
     page = f"<nav><ul>{links}</ul></nav><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></article>"

@@ -65,12 +65,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "attributes", "named", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "main")
+    __slots__ = ("name", "parent", "children", "attributes", "named", "titled", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "main")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
-        self.named = self.main = False
+        self.named = self.titled = self.main = False
 
     @property
     def below(self) -> list[Node]:
@@ -183,22 +183,32 @@ def parse(source: str) -> Node:
 
 
 def _said(node: Node) -> str:
-    """What an element's attributes say of it: "out" if it is hidden or has the role of something else, "comments", "named" or nothing."""
+    """What an element's attributes say of it: "out" if it is hidden or has the role of something else, "comments", "named", "titled" or nothing.
+
+    Headings have no name: their ids are made from their texts.  A block whose id repeats words of its own heading is titled by it.
+    """
     found = ""
     for m in _ATTRIBUTE.finditer(node.attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             return "out"
-        if key in ("class", "id"):
+        if key in ("class", "id") and node.name not in HEADINGS:
             for word in value.split():
                 parts = set(_LETTERS.findall(_HUMP.sub("-", word).lower()))
                 if parts & COMMENTS and parts <= COMMENTS | BESIDE_COMMENTS:
                     found = "comments"
                 elif parts & NAMES and parts <= NAMES | BESIDE:
-                    found = found or "named"
+                    titled = key == "id" and parts <= _heading_words(node)
+                    found = found if found in ("comments", "named") else "titled" if titled else "named"
     return found
 
 
+def _heading_words(node: Node) -> set[str]:
+    """Words of the headings directly in a block."""
+    own = [x for x in node.children if not isinstance(x, str) and x.name in HEADINGS]
+    return {w for x in own for y in x.children if isinstance(y, str) for w in _LETTERS.findall(y.lower())}
+
+
 def _plain(root: Node) -> int:
     """Characters outside links."""
     total, pending = 0, [root]
@@ -224,7 +234,7 @@ def prune(root: Node) -> None:
                 said = _said(x) if x.attributes and x.name not in NEVER_NAMED else ""
                 if x.name in CUT or said == "out" or (x.name == "header" and not inside):
                     continue
-                x.named = bool(said)
+                x.named, x.titled = said in ("named", "comments"), said == "titled"
                 if said == "comments":
                     comments.append(x)
                 pending.append((x, inside or x.name in ("article", "main")))
@@ -320,7 +330,7 @@ def select(root: Node) -> None:
     within = {id(x) for x in taken}
     chars = sum(x.chars for x in taken if not _inside(x, within))
     for node in nodes:
-        if node.named and (node.chars < SHORT_SHARE * chars or node.link_chars > LINKED_SHARE * node.chars):
+        if node.named and node.chars < SHORT_SHARE * chars or (node.named or node.titled) and node.link_chars > LINKED_SHARE * node.chars:
             node.children = []
     holder = _holder(taken)
     pending = [holder]
