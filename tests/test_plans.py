@@ -257,6 +257,19 @@ def test_documents_and_access(spark):
     assert readers.missing_access(readers.Source("s", "c", path="s3://b/x"), [], True, False)
 
 
+def test_configured_source(spark, tmp_path):
+    for name, n in (("train-0", 3), ("train-1", 2), ("test-0", 9)):
+        spark.range(n).coalesce(1).write.json(str(tmp_path / "set" / "py" / f"{name}.json"))
+    source = {"id": "s", "dataset": str(tmp_path / "set"), "data_dir": "py", "hf_token": "secret"}
+    assert readers.configured(spark, source, {}, {}, format="json").count() == 5
+    assert readers.configured(spark, source | {"split": "test[:10%]"}, {}, {}, format="json").count() == 9
+    assert readers.configured(spark, source | {"data_files": ["train-1.json", "test-0.json"]}, {}, {}, format="json").count() == 11
+    assert readers.configured(spark, source | {"data_files": {"train": "train-0.json"}}, {}, {}, format="json").count() == 3
+    assert readers.configured(spark, {"dataset": str(tmp_path / "set"), "name": "py"}, {}, {}, format="json").count() == 5
+    with pytest.raises(ValueError, match="no files for split"):
+        readers.configured(spark, source | {"split": "x", "data_files": {"train": "a"}}, {}, {}, format="json")
+
+
 def test_fallback_source(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "ok"))
     got = readers.scan_either(spark, readers.Source("a", "c", path=str(tmp_path / "none")), readers.Source("b", "c", path=str(tmp_path / "ok")))

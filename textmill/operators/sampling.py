@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +11,20 @@ from pyspark.sql import Window as W
 from textmill.functions.text import uniform
 
 
-def entries(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, id, z: a vector's elements as rows."""
-    return df.select(key, F.posexplode(vector).alias("id", "z")).withColumn("z", F.col("z").cast("double"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _down(key: str) -> W:
-    return W.partitionBy(key).orderBy(F.desc("z"), "id")
+def falling(vector: Column) -> Column:
+    """A vector's elements as structs (id, z), the largest first, smaller index first among equals."""
+    marked = F.transform(vector, lambda z, i: F.struct((-z.cast("double")).alias("n"), i.alias("id")))
+    return F.transform(F.array_sort(marked), lambda x: F.struct(x["id"].alias("id"), (-x["n"]).alias("z")))
 
 
-def top_k(rows: DataFrame, k: int, *, key: str) -> DataFrame:
-    """The k largest of each vector, smaller index first among equals; adds `place` from 1."""
-    return rows.withColumn("place", F.row_number().over(_down(key))).filter(F.col("place") <= k)
+def top_k(vector: Column, k: int) -> Column:
+    """The k largest of a vector, as in `falling`."""
+    return F.slice(falling(vector), 1, k)
 
 
 def top_k_with_ties(rows: DataFrame, k: int, *, key: str) -> DataFrame:
@@ -30,17 +32,20 @@ def top_k_with_ties(rows: DataFrame, k: int, *, key: str) -> DataFrame:
     return rows.withColumn("place", F.rank().over(W.partitionBy(key).orderBy(F.desc("z")))).filter(F.col("place") <= k)
 
 
-def softmax(rows: DataFrame, *, key: str, temperature: float = 1.0) -> DataFrame:
-    """Adds `p`."""
-    own = W.partitionBy(key)
-    e = F.exp((F.col("z") - F.max("z").over(own)) / temperature)
-    return rows.withColumn("_e", e).withColumn("p", F.col("_e") / F.sum("_e").over(own)).drop("_e")
+def softmax(vector: Column, temperature: float = 1.0) -> Column:
+    """A vector's probabilities."""
+    scaled = _let(F.array_max(vector).cast("double"), lambda most: F.transform(vector, lambda z: F.exp((z.cast("double") - most) / temperature)))
+    return _let(scaled, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
-def nucleus(rows: DataFrame, p: float, *, key: str) -> DataFrame:
-    """The largest elements until those before hold more than p of the probability; the first always stays.  rows: with `p`."""
-    before = F.coalesce(F.sum("p").over(_down(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("before", before).filter(F.col("before") <= p)
+def nucleus(p: Column, most: float) -> Column:
+    """The largest probabilities, as in `falling`, until those before hold more than `most`; the first always stays."""
+    def kept(ranked: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"))
+        held = F.aggregate(ranked, start, lambda s, x: F.struct((s["before"] + x["z"]).alias("before"), (s["n"] + (s["before"] <= most).cast("int")).alias("n")), lambda s: s["n"])
+        return F.slice(ranked, 1, held)
+
+    return _let(falling(p), kept)
 
 
 def argmax(vector: Column) -> Column:
@@ -48,11 +53,11 @@ def argmax(vector: Column) -> Column:
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
 
 
-def multinomial(rows: DataFrame, *, key: str, seed: int) -> DataFrame:
-    """One id for each vector, by its probabilities: the first at which their running sum passes a number drawn from (seed, key)."""
-    upto = F.sum("p").over(W.partitionBy(key).orderBy("id"))
-    passed = rows.withColumn("upto", upto).filter(F.col("upto") > uniform(str(seed), F.col(key)))
-    return passed.groupBy(key).agg(F.min("id").alias("id"))
+def multinomial(p: Column, draw: Column) -> Column:
+    """The first index at which the running sum of probabilities passes a number drawn from [0, 1); null if none does."""
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("n"))
+    below = F.aggregate(p, start, lambda s, x: F.struct((s["upto"] + x).alias("upto"), (s["n"] + (s["upto"] + x <= draw).cast("int")).alias("n")), lambda s: s["n"])
+    return _let(below, lambda n: F.when(n < F.size(p), n))
 
 
 def intervals(weights: DataFrame, *, key: str, weight: str, within: Sequence[str] = ()) -> DataFrame:
@@ -94,10 +99,10 @@ def expert_balance(rows: DataFrame, experts: int, *, expert: str) -> DataFrame:
     return counts.join(F.broadcast(mean)).select("expert", "n", F.signum(F.col("mean") - F.col("n")).cast("int").alias("update"))
 
 
-def router_loss(rows: DataFrame, experts: int) -> DataFrame:
-    """One row: experts times the sum over experts of (share of first choices) * (mean probability).  rows: key, id, p."""
-    first = rows.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("p"), "id")))
-    by = first.groupBy("id").agg(F.avg((F.col("_r") == 1).cast("int")).alias("share"), F.avg("p").alias("mean"))
+def router_loss(rows: DataFrame, p: Column, experts: int) -> DataFrame:
+    """One row: experts times the sum over experts of (share of first choices) * (mean probability).  p: each row's probabilities."""
+    marked = rows.select(p.alias("p")).select("p", argmax(F.col("p")).alias("first"))
+    by = marked.select("first", F.posexplode("p").alias("id", "p")).groupBy("id").agg(F.avg((F.col("id") == F.col("first")).cast("int")).alias("share"), F.avg("p").alias("mean"))
     return by.agg((F.sum(F.col("share") * F.col("mean")) * experts).alias("loss"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import numbers
-from textmill.functions.text import file_name, step_number, strip_prefixes
+from textmill.functions.text import file_name, step_number, strip_prefixes, uniform
 from textmill.operators import evalkit, sampling
 from textmill.plans import manifest
 from textmill.queries.base import query, read, sql_uniform
@@ -15,13 +15,14 @@ from textmill.streaming import flows
 _E = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) - 1 AS id FROM embeddings)"
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.entries(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", sampling.softmax(F.col("embedding"), 0.7).alias("p"))
 
 
 @query(f"WITH {_E} SELECT vec_id, CAST(id AS INT) AS id, round(z, 6) AS z, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, id) AS INT) AS place FROM e QUALIFY place <= 5")
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.top_k(_rows(spark, sf_dir), 5, key="vec_id").withColumn("z", F.round("z", 6))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sampling.top_k(F.col("embedding"), 5)).alias("place", "x"))
+    return e.select("vec_id", "x.id", F.round("x.z", 6).alias("z"), (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT l_orderkey AS key, CAST(l_linenumber AS INT) AS id, l_quantity AS z FROM lineitem QUALIFY rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) <= 2")
@@ -35,13 +36,13 @@ _P = f"{_E}, p AS (SELECT vec_id, id, z, exp((z - max(z) OVER w) / 0.7::DOUBLE)
 
 @query(f"WITH {_P} SELECT vec_id, CAST(id AS INT) AS id, round(p, 6) AS p FROM s")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.softmax(_rows(spark, sf_dir), key="vec_id", temperature=0.7).select("vec_id", "id", F.round("p", 6).alias("p"))
+    return _probabilities(spark, sf_dir).select("vec_id", F.posexplode("p").alias("id", "p")).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {_P} SELECT vec_id, count(*) AS n, round(sum(p), 6) AS mass FROM (SELECT vec_id, p, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY z DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s) WHERE b <= 0.8 GROUP BY vec_id")
 def nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = sampling.nucleus(sampling.softmax(_rows(spark, sf_dir), key="vec_id", temperature=0.7), 0.8, key="vec_id")
-    return kept.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("mass"))
+    kept = _probabilities(spark, sf_dir).select("vec_id", sampling.nucleus(F.col("p"), 0.8).alias("x"))
+    return kept.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["z"]), 6).alias("mass"))
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS id FROM embeddings")
@@ -51,7 +52,7 @@ def argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_P} SELECT vec_id, CAST(min(id) AS INT) AS id FROM (SELECT vec_id, id, sum(p) OVER (PARTITION BY vec_id ORDER BY id) AS upto FROM s) WHERE upto > {sql_uniform("'42'", 'vec_id')} GROUP BY vec_id")
 def multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.multinomial(sampling.softmax(_rows(spark, sf_dir), key="vec_id", temperature=0.7), key="vec_id", seed=42)
+    return _probabilities(spark, sf_dir).select("vec_id", sampling.multinomial(F.col("p"), uniform("42", F.col("vec_id"))).alias("id"))
 
 
 @query(
@@ -71,8 +72,7 @@ def expert_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_P}, f AS (SELECT id, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, id) = 1 AS first FROM s), b AS (SELECT id, avg(first::INT) AS share, avg(p) AS mean FROM f GROUP BY id) SELECT round(64 * sum(share * mean), 6) AS loss FROM b")
 def router_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sampling.softmax(_rows(spark, sf_dir), key="vec_id", temperature=0.7).withColumnRenamed("vec_id", "key")
-    return sampling.router_loss(p, 64).select(F.round("loss", 6).alias("loss"))
+    return sampling.router_loss(_probabilities(spark, sf_dir), F.col("p"), 64).select(F.round("loss", 6).alias("loss"))
 
 
 @query("WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT d, coalesce(avg(z) FILTER (label = 3), avg(z)) AS v FROM x GROUP BY d) SELECT list(round(v, 6) ORDER BY d) AS mean FROM m")

@@ -56,6 +56,28 @@ def scan(spark: SparkSession, source: Source) -> DataFrame:
     return spark.read.format(source.format).options(**source.options).load(path)
 
 
+def configured(spark: SparkSession, source: dict, config: dict, environment: Mapping[str, str], *, format: str = "parquet") -> DataFrame:
+    """Reads a source as a configuration describes it: dataset (a path), data_dir, data_files (a list, or lists by split), split, and what `reader_options` makes of the rest, as the reader's options.
+
+    A token goes to the reader as an option too, and is in no plan's text: Spark redacts it.
+    """
+    options = reader_options(source, config, environment)
+    folder = "/".join(x.strip("/") if i else x.rstrip("/") for i, x in enumerate(x for x in (source["dataset"], options.pop("data_dir", "")) if x))
+    files, split = options.pop("data_files", None), (source.get("split") or "train").split("[")[0].strip()
+    if isinstance(files, Mapping):
+        if split not in files:
+            raise ValueError(f"source {source.get('id')} has no files for split {split}")
+        files = files[split]
+    names = [files] if isinstance(files, str) else list(files or [])
+    if options.get("name") and not names:
+        folder = f"{folder}/{options['name']}"
+    if not names:
+        names = [f"{split}*"]
+    if format == "arrow":
+        spark.dataSource.register(ArrowFiles)
+    return spark.read.format(format).options(**{k: str(v) for k, v in options.items()}).load([f"{folder}/{x}" for x in names])
+
+
 def scan_either(spark: SparkSession, first: Source, otherwise: Source) -> DataFrame:
     """The first source, or the other one where the first can't be read."""
     from pyspark.errors import PySparkException
