@@ -118,6 +118,10 @@ def test_entries_of_deep_and_long_payloads(spark):
     last = found.filter("id = 1 AND name = 'a'").first()
     assert list(last["names"]) == [*(f"k{i}" for i in range(49, -1, -1)), "a"] and len(last["places"]) == 51 and last["value"] == "1"
     assert evalkit.task_score(found, "t19999", "pass@1", key="id").collect()[0]["score"] == 0.019999
+    evalkit.register_entries(spark)
+    rows.createOrReplaceTempView("payloads")
+    told = spark.sql("SELECT id, e.* FROM payloads, LATERAL json_entries(p) e WHERE id = 1")
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted(map(tuple, found.filter("id = 1").collect()), key=repr)
 
 
 def test_notebooks(spark):

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,21 +29,56 @@ def _walk(value: object, names: tuple[str, ...] = (), places: tuple[int, ...] =
 
 
 class Entries:
-    """Table function: all entries of a JSON text, one after the other.  Text that isn't JSON gives none."""
+    """Table function for SQL: all entries of a JSON text, one after the other.  Text that isn't JSON gives none."""
 
     def eval(self, text: str) -> Iterator[tuple]:
-        try:
-            found = json.loads(text or "null")
-        except (ValueError, RecursionError):
-            return
-        for names, places, value in _walk(found):
+        for names, places, value in _entries(text):
             yield list(names), list(places), names[-1], value
 
 
+def _entries(text: str | None) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str | None]]:
+    try:
+        found = json.loads(text or "null")
+    except (ValueError, RecursionError):
+        return
+    yield from _walk(found)
+
+
+ENTRIES = "names array<string>, places array<int>, name string, value string"
+#: Entries in a batch that `flattened` gives.
+BATCH_ENTRIES = 10_000
+
+
+def register_entries(spark: SparkSession, name: str = "json_entries") -> None:
+    """Makes the table function known to SQL: SELECT ... FROM t, LATERAL json_entries(payload)."""
+    spark.udtf.register(name, F.udtf(Entries, returnType=ENTRIES, useArrow=True))
+
+
 def flattened(df: DataFrame, *, key: str, payload: str) -> DataFrame:
-    """key, names, places, name, value: all entries of a JSON column."""
-    entries = F.udtf(Entries, returnType="names array<string>, places array<int>, name string, value string", useArrow=True)
-    return df.select(key, payload).lateralJoin(entries(F.col(payload).outer())).drop(payload)
+    """key, names, places, name, value: all entries of a JSON column, given in batches of bounded size however many a payload has."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "names", "places", "name", "value"]
+        for part in parts:
+            kinds = [part.schema.field(0).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.string(), pa.string()]
+            rows: tuple[list, ...] = tuple([] for _ in names)
+            for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for path, places, value in _entries(text):
+                    for column, x in zip(rows, (k, path, places, path[-1], value), strict=True):
+                        column.append(x)
+                    if len(rows[0]) >= BATCH_ENTRIES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
+                        rows = tuple([] for _ in names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names)
+
+    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {ENTRIES}")
+
+
+def _visited(name: str, below: int) -> Column:
+    """What orders entries as they are looked at: at each level an object's keys of the metric's name first, then by place; the first `below` levels by place alone."""
+    order = F.zip_with("names", "places", lambda n, p: F.struct((~is_metric(n, name)).cast("int").alias("later"), p.alias("at")))
+    if below:
+        order = F.transform(order, lambda x, i: F.when(i < below, F.struct(F.lit(0).alias("later"), x["at"].alias("at"))).otherwise(x))
+    return order
 
 
 def named_metric(entries: DataFrame, name: str, *, key: str, below: int = 0) -> DataFrame:
@@ -52,9 +87,7 @@ def named_metric(entries: DataFrame, name: str, *, key: str, below: int = 0) ->
     An object's own keys count before what it holds, and so does what a key of that name holds; else by
     place.  The first `below` levels only tell where to look: they are taken by place.
     """
-    order = F.zip_with("names", "places", lambda n, p: F.struct((~is_metric(n, name)).cast("int").alias("later"), p.alias("at")))
-    if below:
-        order = F.transform(order, lambda x, i: F.when(i < below, F.struct(F.lit(0).alias("later"), x["at"].alias("at"))).otherwise(x))
+    order = _visited(name, below)
     good = entries.withColumn("score", metric("value")).filter(is_metric("name", name) & F.col("score").isNotNull() & (F.size("names") > below))
     return good.groupBy(key).agg(F.min_by("score", order).alias("score"))
 
@@ -74,12 +107,18 @@ def task_scores(entries: DataFrame, tasks: list[str], name: str, *, key: str, pr
     tasks: those of the configuration (see `text.task_names`); primary and tie-break are added if they are missing.
     """
     every = list(dict.fromkeys([*(t.lower() for t in tasks), primary.lower(), *([tie.lower()] if tie else [])]))
-    keys, out = entries.select(key).distinct(), None
-    for task in every:
-        found = task_score(entries, task, tie_name if tie and tie_name and task == tie.lower() else name, key=key, anywhere=task == primary.lower())
-        one = keys.join(found, key, "left").select(key, F.lit(task).alias("task"), "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    wanted = {t: tie_name if tie and tie_name and t == tie.lower() else name for t in every}
+    top = F.lower(F.get("names", F.lit(0)))
+    score = metric("value")
+
+    def first(n: str, below: int, here: Column) -> Column:
+        return F.min_by(score, F.when(here & is_metric("name", n) & score.isNotNull() & (F.size("names") > below), _visited(n, below)))
+
+    # one aggregate a task, and one for the primary task's look anywhere, over one pass
+    found = {t: first(n, 1, F.contains(top, F.lit(t))).alias(f"_{i}") for i, (t, n) in enumerate(wanted.items())}
+    by = entries.groupBy(key).agg(*found.values(), first(name, 0, F.lit(True)).alias("_any"))
+    rows = [F.struct(F.lit(t).alias("task"), (F.coalesce(F.col(f"_{i}"), F.col("_any")) if t == primary.lower() else F.col(f"_{i}")).alias("score")) for i, t in enumerate(every)]
+    return by.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.task", "x.score")
 
 
 def loss_by_mode(rows: DataFrame, modes: DataFrame, *, mode: str, loss: str, empty: float = 0.0) -> DataFrame:

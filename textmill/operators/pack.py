@@ -156,9 +156,9 @@ def scan_windows(spark: SparkSession, path: str, length: int, seed: int, rank: i
 
 def rank_ranges(rows: DataFrame, world: int, *, order: str) -> DataFrame:
     """Adds `rank`: equal ranges of the order; the remainder is dropped."""
-    numbered = row_numbers(rows, order, "_n")
-    size = F.floor(F.lit(rows.count()) / world)
-    return numbered.withColumn("rank", F.floor(F.col("_n") / F.greatest(size, F.lit(1))).cast("int")).filter((F.col("rank") < world) & (size > 0)).drop("_n")
+    size = rows.agg(F.floor(F.count("*") / world).alias("_size"))  # one row
+    numbered = row_numbers(rows, order, "_n").join(F.broadcast(size.filter("_size > 0")))
+    return numbered.withColumn("rank", F.floor(F.col("_n") / F.col("_size")).cast("int")).filter(F.col("rank") < world).drop("_n", "_size")
 
 
 def micro_batches(rows: DataFrame, size: int, *, keys: list[str], order: str, start: int = 0) -> DataFrame:
@@ -170,6 +170,6 @@ def micro_batches(rows: DataFrame, size: int, *, keys: list[str], order: str, st
 
 def train_and_validation(rows: DataFrame, validation: float, *, order: str) -> DataFrame:
     """Adds `split`: the first ceil((1 - validation) * n) rows train, the rest validate."""
-    n = rows.count()
-    numbered = row_numbers(rows, order, "_n")
-    return numbered.withColumn("split", F.when(F.col("_n") < F.ceil(F.lit((1 - validation) * n)), "train").otherwise("validation")).drop("_n")
+    most = rows.agg(F.ceil(F.lit(1 - validation) * F.count("*")).alias("_train"))  # one row
+    numbered = row_numbers(rows, order, "_n").join(F.broadcast(most))
+    return numbered.withColumn("split", F.when(F.col("_n") < F.col("_train"), "train").otherwise("validation")).drop("_n", "_train")
