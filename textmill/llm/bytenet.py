@@ -12,7 +12,7 @@ chosen by hash, twice as many at most where ids repeat, texts of at most `sample
 bounded size.  Labels other than 0 and 1 and null texts are not learned from; repeated label rows
 count as often as they are there.  Without both labels in the sample every score is the label's share
 (0.5 without any).  Null text: scored as the empty text.  Very long texts take longer only; equal
-texts have equal scores, whatever their row.
+texts have equal scores, whatever their row, and a score of 0.5 predicts 1.  Empty table: no rows.
 """
 
 from __future__ import annotations

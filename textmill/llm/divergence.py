@@ -10,7 +10,8 @@ reference of all documents.
 No document moves: references are one small row per language, computed by aggregates that are
 combined before the shuffle; the second pass is a projection after a join with those rows.
 
-Null text: empty text, no words, base_failed.  Null or rare `lang`: pooled reference.  Repeated rows
+Null text: empty text, no words, base_failed.  Very long texts: whole, in time linear in them.  Words that
+tie for the last common place are taken in alphabetical order; a distance equal to its threshold passes.  Null or rare `lang`: pooled reference.  Repeated rows
 and null ids: a result each.  Empty table: empty result.
 """
 

@@ -9,7 +9,8 @@ down, each element over the threshold contributes its subtree's element with the
 What an element is called never decides alone.  Elements that HTML itself sets apart from an article
 (scripts, forms, navigation, footers, page headers, hidden ones, ...) are cut before.  A block whose whole
 class or id names it an advert, notice, menu and the like counts with a fraction of its density, and
-inside the core it goes if it is also short beside the core or mostly links.  Reader comments, which
+inside the core it goes if it is also short beside the core or mostly links.  Headings have no names, and a
+block whose id repeats words of its own heading goes only if it is mostly links.  Reader comments, which
 are as dense as articles, go where a text is left without them.
 
 Headings go with what they head: those inside the smallest element that holds all that was taken stay,
@@ -19,7 +20,7 @@ and so do those before it with nothing but headings between.
 Decoded text: white space inside a block becomes one space, blocks are joined by newlines.  Null or
 empty html, and pages without text: the empty string.  Unclosed, stray and truncated tags are allowed;
 the time of a page is linear in its length, so a very long one only takes longer.  Rows are
-independent; repeated rows and null ids keep their places.
+independent; repeated rows and null ids keep their places.  Empty table: no rows.
 """
 
 from __future__ import annotations

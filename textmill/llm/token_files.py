@@ -29,7 +29,7 @@ from textmill.llm.tokens import batches, default_path, encoder
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIP_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 HAS_CHECKSUM = 0x80
-#: Ids after which a frame ends (a longer document has a frame of its own).
+#: Ids after which a frame ends; a longer document ends the frame that holds what came before it.
 FRAME_TOKENS = 32_768
 
 
