@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 Parquet in the shared folder and reads it again as the next stage's input.  All stages but the last
 return the columns of their input.  What a stage decides takes effect: rows that it rejects are gone,
 texts that it cuts are cut, documents that the mixture repeats are there as often.
+
+Null texts go at the first stage; null ids are ids like others at every stage.  Rows that repeat whole
+are a group of near-duplicates, of which one stays.  Of a group any one may stay, the same one on every
+run over the same files.  An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
