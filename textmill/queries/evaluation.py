@@ -276,6 +276,19 @@ def checkpoint_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("user_id", "name", strip_prefixes("key", ["module.", "_orig_mod."], until_stable=True).alias("bare"), "place", step_number("name").alias("step"))
 
 
+@query(
+    "WITH r AS (SELECT max(event_id) AS step FROM events WHERE event_type = 'purchase'), c AS (SELECT max(event_id) AS step FROM events WHERE event_type = 'click')"
+    " SELECT 'result' AS kind, 'eval_results_step_' || step || '.json' AS name, step FROM r UNION ALL SELECT 'checkpoint', 'step_' || step || '.pt', step FROM c"
+)
+def newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest result file and the checkpoint to resume from, among names that events leave."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    name = F.when(kind == "purchase", F.concat_ws("", F.lit("eval_results_step_"), i, F.lit(".json"))).when(kind == "click", F.concat_ws("", F.lit("step_"), i, F.lit(".pt"))).otherwise(F.concat(kind, F.lit(".log")))
+    files = read(spark, sf_dir, "events").select(name.alias("name"))
+    checkpoints = files.filter(F.col("name").endswith(".pt"))
+    return evalkit.newest_result(files).select(F.lit("result").alias("kind"), "name", "step").unionByName(evalkit.newest_checkpoint(checkpoints).select(F.lit("checkpoint").alias("kind"), "name", "step"))
+
+
 @query("SELECT page_id, substr(regexp_replace(trim(url), '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 40) AS name, regexp_replace(url, '^(https?://)+', '') AS bare FROM pages WHERE url <> ''")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages").filter("url <> ''")
