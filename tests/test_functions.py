@@ -130,6 +130,21 @@ def test_notebooks(spark):
     assert results(spark, texts, markup.processed("x", markup.NOTEBOOK)) == ["a\nb\n\nc\n\n[1]", "", "not json", "", "", "", None, "x", ""]
 
 
+def test_texts_that_only_begin_as_json_are_no_notebooks(spark):
+    import json
+
+    book = '{"metadata": {}, "cells": [{"cell_type": "code", "source": "x"}]%s}'
+    damaged = ["8316107434564120 Thanlyan of", "1, 2", "1] 2", '1, "a"] b', "[1] [2]", '"a" b', "null x", "true\xa0", "[1]]", "1 // 2", book % "" + " x", book % "" + book % "", book % "" + "}", book % "]", "{'cells': []}", book % ', "o": [1'[:-1]]
+    for x in damaged:
+        with pytest.raises(ValueError):
+            json.loads(x)
+    assert results(spark, damaged, markup.processed("x", markup.NOTEBOOK)) == damaged
+    long = '"%s"' % ("y" * 20_000_001)  # longer than the strings that Jackson reads unasked
+    whole = ["12", ' "a"\n', "null", "[1]", book % "", f"\n {book % ''}\t\r\n", book % ', "o": [NaN, -Infinity]', book % f', "o": {"[" * 900}{"]" * 900}', book % f', "o": {"9" * 4300}', book % f', "o": {long}']
+    assert all(json.loads(x) is not ... for x in whole)
+    assert results(spark, whole, markup.processed("x", markup.NOTEBOOK)) == [""] * 4 + ["x"] * 6
+
+
 def test_questions_and_issues(spark):
     qa, issue = markup.SLOTS["stackexchange_preference_qa"], markup.SLOTS["github_issue_conversation"]
     assert markup.gathered({"question": {"body": "<b>q</b>"}, "answers": [{"text": "a&lt;"}, "", {"body": "b"}, {"other": 1}, "<code>c</code>"]}, qa) == "q\n\na<\n\nb\n\n`c`"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tests.oracle import ROOT, difference
+from tests.oracle import ROOT, TABLES, difference
 from textmill import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -18,3 +18,15 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, f"{ROOT}/sf0.001").limit(1).count() == 1
+
+
+def test_notebook_cells_of_odd_texts(spark, tmp_path):
+    """Texts that begin as JSON, are JSON, end in the query's own sign, or are missing, at ids of every kind."""
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{ROOT}/sf0.001/{t}.parquet")
+    texts = ["8316107434564120 Thanlyan of", "8316107434564120", "[1] [2]", '{"cells": []} x', '{"cells": []}', "a#", "a\n\nb\n \nc#\n", '"a\n"', "", "\n", None]
+    rows = [(15 * k + i, x) for k, x in enumerate(texts) for i in range(15)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    next((tmp_path / "documents").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert difference(spark, QUERIES["notebook_cells"], SQL["notebook_cells"], str(tmp_path)) == ""

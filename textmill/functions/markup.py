@@ -160,20 +160,39 @@ def gathered(row: object, slots: tuple[Slot, ...]) -> str:
     return "\n\n".join(out)
 
 
+#: JSON as Python reads it, with NaN and infinities, integers of so many digits and strings of any length; `whole_json` adds a level to a thousand.
+JSON_READ = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "maxNumLen": "4300", "maxStringLen": str(2**31 - 1), "maxNestingDepth": "1001"}
+
+
+def whole_json(x: Column | str) -> Column:
+    """A list: the value of a text that is one JSON value from end to end, as a variant; of other texts, nothing.
+
+    Spark's parsers stop behind the first value, whatever follows it.  So the text is read as an item before
+    its own checksum, which comes second, and last, only where all of the text belongs to the first item.
+    """
+    text = col(x)
+    mark = F.sha2(text, 256)
+    items = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<variant>", JSON_READ)
+    whole = F.filter(F.array(items), lambda v: (F.size(v) == 2) & (F.try_variant_get(F.get(v, F.lit(1)), "$", "string") == mark))
+    return F.transform(whole, lambda v: F.get(v, F.lit(0)))
+
+
 def notebook_code(x: Column | str) -> Column:
     """A Python notebook's code cells, blank lines between; text that isn't JSON stays, other JSON and other kernels give nothing.
 
     Expressions over a variant.  Parts of a cell's source that are no texts stand as JSON.
     """
-    text = col(x)
-    book = F.try_parse_json(text)
     at = lambda v, path, kind: F.try_variant_get(v, path, kind)
-    names = [F.nullif(normal_language(at(book, f"$.metadata.{path}", "string")), F.lit("")) for path in ("language_info.name", "kernelspec.language", "kernelspec.name")]
-    foreign = ~F.coalesce(F.contains(F.coalesce(*names), F.lit("python")), F.lit(True))
-    code = F.filter(at(book, "$.cells", "array<variant>"), lambda c: at(c, "$.cell_type", "string") == "code")
-    sources = F.transform(code, lambda c: F.coalesce(F.array_join(F.transform(at(c, "$.source", "array<variant>"), lambda p: at(p, "$", "string")), ""), at(c, "$.source", "string")))
-    cells = F.array_join(F.filter(sources, lambda s: strip(s) != ""), "\n\n")
-    return F.when(text.isNull(), F.lit(None)).when(book.isNull(), text).when(foreign, "").otherwise(F.coalesce(cells, F.lit("")))
+
+    def told(book: Column) -> Column:
+        names = [F.nullif(normal_language(at(book, f"$.metadata.{path}", "string")), F.lit("")) for path in ("language_info.name", "kernelspec.language", "kernelspec.name")]
+        foreign = ~F.coalesce(F.contains(F.coalesce(*names), F.lit("python")), F.lit(True))
+        code = F.filter(at(book, "$.cells", "array<variant>"), lambda c: at(c, "$.cell_type", "string") == "code")
+        sources = F.transform(code, lambda c: F.coalesce(F.array_join(F.transform(at(c, "$.source", "array<variant>"), lambda p: at(p, "$", "string")), ""), at(c, "$.source", "string")))
+        cells = F.array_join(F.filter(sources, lambda s: strip(s) != ""), "\n\n")
+        return F.when(foreign, "").otherwise(F.coalesce(cells, F.lit("")))
+
+    return F.coalesce(F.get(F.transform(whole_json(x), told), F.lit(0)), col(x))
 
 
 def _loaded(x: str) -> object:
