@@ -104,6 +104,13 @@ def test_character_references(spark):
     assert not wrong
 
 
+def test_names_that_need_their_semicolon(spark):
+    """They alone stay without it; longer names that begin like them, and all others, are decoded."""
+    texts = ["&quot", "&quot;", "&quotx;", "&quot=", "&copyright", "&copysr;", "&middot &amp &lt", "&QUOT", "&amp;quot;", "&#34", None]
+    assert results(spark, texts, markup.unescaped("x", closed=("copy", "middot", "quot"))) == ["&quot", '"', "&quotx;", "&quot=", "&copyright", "\u2117", "&middot & <", '"', "&quot;", '"', None]
+    assert results(spark, texts, markup.unescaped("x")) == [None if x is None else html.unescape(x) for x in texts]
+
+
 def test_entries_of_deep_and_long_payloads(spark):
     import json
 

@@ -30,3 +30,16 @@ def test_notebook_cells_of_odd_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
     next((tmp_path / "documents").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     assert difference(spark, QUERIES["notebook_cells"], SQL["notebook_cells"], str(tmp_path)) == ""
+
+
+def test_strip_html_full_of_cut_references(spark, tmp_path):
+    """The references that the tables' pages hold, cut at each place as in a title, whatever follows."""
+    for t in TABLES:
+        if t != "pages":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{ROOT}/sf0.001/{t}.parquet")
+    held = ["&amp;", "&copy;", "&middot;", "&quot;"]
+    pages = [f"<h1>token = {x[:k]}{end}" for x in held for k in range(1, len(x) + 1) for end in ("", " ", "</h1><p>a &amp; b</p>", "x", "x;", "1;", "=1", "&quot;", "&quot", "&&")]
+    pages += ["&amp;quot;", "&amp;quot", "&ampquot;", "&amp;amp;", "<a href='?a&quot=1'>&quot</a>", "<code>&quot</code>", "&<b>quot;</b>", "&quot", "", None]
+    spark.createDataFrame([(i, "/", x) for i, x in enumerate(pages)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    next((tmp_path / "pages").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert difference(spark, QUERIES["strip_html_full"], SQL["strip_html_full"], str(tmp_path)) == ""

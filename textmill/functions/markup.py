@@ -67,10 +67,14 @@ def _numbered(reference: Column) -> Column:
     return F.when(F.map_contains_key(special, n), F.element_at(special, n)).when(out_of_range, "\ufffd").when(none, "").otherwise(char)
 
 
-def unescaped(x: Column | str) -> Column:
-    """Character references decoded, as the standard does it: the text is cut at its ampersands, and each part's reference looked up; of names without a semicolon the longest known beginning counts."""
-    plain = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
-    every, without = _table(html.entities.html5), _table(plain)
+def unescaped(x: Column | str, closed: Sequence[str] = ()) -> Column:
+    """Character references decoded, as the standard does it: the text is cut at its ampersands, and each part's reference looked up; of names without a semicolon the longest known beginning counts.
+
+    closed: names that, unlike in the standard, count only with their semicolon.
+    """
+    names = {k: v for k, v in html.entities.html5.items() if k not in closed}
+    plain = {k: v for k, v in names.items() if not k.endswith(";")}
+    every, without = _table(names), _table(plain)
     longest = max(map(len, plain))
 
     def one(part: Column) -> Column:
@@ -85,8 +89,8 @@ def unescaped(x: Column | str) -> Column:
     return F.when(F.contains(col(x), F.lit("&")), F.array_join(decoded, "")).otherwise(col(x))
 
 
-def strip_html(x: Column | str) -> Column:
-    return tidy(unescaped(without_tags(x)))
+def strip_html(x: Column | str, closed: Sequence[str] = ()) -> Column:
+    return tidy(unescaped(without_tags(x), closed))
 
 
 def flat(value: object) -> str:
